@@ -167,12 +167,13 @@ def resolve_edits(edits: DataFrame, quotes: DataFrame, discounts: DataFrame) ->
 #     percentage, but it turns a percentage that would take the line below zero into 100,
 #     and whether it does so depends on the sign of the gross price alone.
 # Each of these is a maximum over ``seq`` except the quantity at the time of the discount,
-# which is looked up inside ranges of ``seq`` first and then across the ranges. So a line
-# with any number of edits is spread over many tasks, and nothing is collected into lists.
+# which is looked up inside a piece of the log first and then across the pieces. So the
+# edits of one line are spread over as many tasks as they have pieces, nothing is collected
+# into lists, and the summary of a piece stands for its edits from then on.
 
 
-def _summaries(edits: DataFrame, seq_range: int) -> DataFrame:
-    """One row per line and range of ``seq``."""
+def summarise_pieces(edits: DataFrame, seq_range: int = SEQ_RANGE) -> DataFrame:
+    """One row per line and piece of valid edits, a piece being a range of ``seq``."""
     quantity = F.col("kind") == "qty"
     discount = F.col("kind").isin("pct", "amt")
     piece = [*LINE_KEY, "piece"]
@@ -201,57 +202,58 @@ def _summaries(edits: DataFrame, seq_range: int) -> DataFrame:
     )
 
 
-def _line_summary(pieces: DataFrame) -> DataFrame:
-    """One row per line, from its pieces in order."""
+def merge_pieces(pieces: DataFrame) -> DataFrame:
+    """One row per line. Pieces count in order of ``piece``; ``seq`` only orders edits of
+    the same piece. ``*_piece`` tells which piece a value came from."""
+    def place(seq: str) -> Column:
+        return F.when(F.col(seq).isNotNull(), F.col("piece"))
+
     earlier = W.partitionBy(*LINE_KEY).orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    aggregates = {"removed": F.max("removed")}
+    for group, columns in {"qty": ["qty_seq", "qty"], "some": ["some_seq", "some_qty"],
+                           "disc": ["disc_seq", "disc_value", "by_amount", "disc_qty"]}.items():
+        aggregates[f"{group}_piece"] = F.max(f"{group}_piece")
+        aggregates |= {c: F.max_by(c, f"{group}_piece") for c in columns}
     return (
         pieces.withColumn("disc_qty", F.coalesce(
             "disc_qty", F.last("qty", ignorenulls=True).over(earlier)))
-        .groupBy(*LINE_KEY)
-        .agg(
-            F.max("qty_seq").alias("__qty_seq"),
-            F.max_by("qty", "qty_seq").alias("__qty"),
-            F.max("some_seq").alias("__some_seq"),
-            F.max_by("some_qty", "some_seq").alias("__some_qty"),
-            F.max("disc_seq").alias("__disc_seq"),
-            F.max_by("disc_value", "disc_seq").alias("__disc_value"),
-            F.max_by("by_amount", "disc_seq").alias("__by_amount"),
-            F.max_by("disc_qty", "disc_seq").alias("__disc_qty"),
-            F.max("removed").alias("__removed"),
-        )
+        .withColumns({"qty_piece": place("qty_seq"), "some_piece": place("some_seq"),
+                      "disc_piece": place("disc_seq")})
+        .groupBy(*LINE_KEY).agg(*[c.alias(n) for n, c in aggregates.items()])
     )
 
 
-def summarise_edits(edits: DataFrame, seq_range: int = SEQ_RANGE) -> DataFrame:
-    """What a log of valid edits means for each line it touches."""
-    return _line_summary(_summaries(edits, seq_range))
-
-
-def replay_edits(cart: DataFrame, edits: DataFrame, seq_range: int = SEQ_RANGE) -> DataFrame:
-    """The cart after all edits of a log of valid edits, applied in order of ``seq``
-    (unique per line). Lines without a price keep their values but can be removed."""
-    joined = cart.join(summarise_edits(edits, seq_range), LINE_KEY, "left").where(
+def apply_summary(cart: DataFrame, summary: DataFrame) -> DataFrame:
+    """The cart after the edits that ``summary`` (see ``merge_pieces``) stands for."""
+    own = [c for c in summary.columns if c not in LINE_KEY]
+    joined = cart.join(summary.withColumnsRenamed({c: f"__{c}" for c in own}), LINE_KEY, "left").where(
         ~F.coalesce("__removed", F.lit(False)))
     price = F.col("unit_price")
-    qty_seq, disc_seq, some_seq = F.col("__qty_seq"), F.col("__disc_seq"), F.col("__some_seq")
+    has_qty, has_disc = F.col("__qty_seq").isNotNull(), F.col("__disc_seq").isNotNull()
+
+    def came_after(a: str, b: str) -> Column:
+        return (F.col(f"__{a}_piece") > F.col(f"__{b}_piece")) | (
+            (F.col(f"__{a}_piece") == F.col(f"__{b}_piece"))
+            & (F.col(f"__{a}_seq") > F.col(f"__{b}_seq")))
 
     # The line right after its last discount edit, or as it was if there is none.
     kind = F.when(F.col("__by_amount"), "amt").otherwise("pct")
     at_discount = _edited(price, F.coalesce("__disc_qty", "quantity"), F.col("disc_pct"),
                           kind, F.col("__disc_value"))
     state = joined.withColumns({
-        "__touched": _editable() & (qty_seq.isNotNull() | disc_seq.isNotNull()),
-        "__pct": F.when(disc_seq.isNotNull(), at_discount.disc_pct).otherwise(F.col("disc_pct")),
+        "__touched": _editable() & (has_qty | has_disc),
+        "__pct": F.when(has_disc, at_discount.disc_pct).otherwise(F.col("disc_pct")),
         "__amt": at_discount.disc_amt,
         "__new_qty": F.coalesce("__qty", "quantity"),
         "__ends_by_amount": F.coalesce(
-            F.col("__by_amount") & (qty_seq.isNull() | (disc_seq > qty_seq)), F.lit(False)),
+            F.col("__by_amount") & (~has_qty | came_after("disc", "qty")), F.lit(False)),
+        "__later": F.col("__some_seq").isNotNull() & (~has_disc | came_after("some", "disc")),
+        "__later_gross": price * F.col("__some_qty"),
     })
-    # Quantities that came later.
-    later = some_seq.isNotNull() & (disc_seq.isNull() | (some_seq > disc_seq))
-    settled = _settle(price * F.col("__some_qty"), F.col("__pct"),
-                      price * F.col("__some_qty") * (F.col("__pct") / 100.0), F.col("__some_qty"))
-    state = state.withColumn("__pct", F.when(later, settled.disc_pct).otherwise(F.col("__pct")))
+    # A quantity that came later turns too large a percentage into 100.
+    too_large = F.col("__later") & (
+        F.col("__later_gross") - F.col("__later_gross") * (F.col("__pct") / 100.0) < 0)
+    state = state.withColumn("__pct", F.when(too_large, 100.0).otherwise(F.col("__pct")))
     gross = price * F.col("__new_qty")
     amount = F.when(F.col("__ends_by_amount"), F.col("__amt")).otherwise(
         gross * (F.col("__pct") / 100.0))
@@ -264,3 +266,9 @@ def replay_edits(cart: DataFrame, edits: DataFrame, seq_range: int = SEQ_RANGE)
         F.when(F.col("__touched"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c)
         for c in cart.columns
     ])
+
+
+def replay_edits(cart: DataFrame, edits: DataFrame, seq_range: int = SEQ_RANGE) -> DataFrame:
+    """The cart after all edits of a log of valid edits, applied in order of ``seq``
+    (unique per line). Lines without a price keep their values but can be removed."""
+    return apply_summary(cart, merge_pieces(summarise_pieces(edits, seq_range)))

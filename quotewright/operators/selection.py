@@ -149,31 +149,21 @@ def _eligible_counts(quotes: DataFrame, catalog: DataFrame, tags: DataFrame, nam
         .groupBy(BOOK, "key_set", *facets).agg(F.sum("n").alias("n")), "key_set")
     per_book = with_facets(
         by_name.groupBy(BOOK, *facets).agg(F.sum("n").alias("n"))).withColumnRenamed("n", "whole")
+    keyed = kinds.select(BOOK, "key_set").distinct().select(BOOK, "key_set", F.inline("key_set"))
 
-    selections = _selections(quotes, choices)
-    tag_selection = [BOOK, "application", "protocol"]
-    matched = (
-        _selection_keys(selections.select(*tag_selection).distinct())
-        .join(kinds.select(BOOK, "key_set").distinct()
-              .select(BOOK, "key_set", F.inline("key_set")), [BOOK, "app_key", "proto_key"])
-        .select(*tag_selection, "key_set").distinct()
-    )
-    tagged = matched.select(*tag_selection).distinct().withColumn("tagged", F.lit(True))
-    counted = (
-        selections.join(matched, tag_selection)
-        .join(per_kind, [BOOK, "key_set", *choices])
-        .groupBy(*tag_selection, *choices).agg(F.sum("n").alias("n"))
-    )
+    selection = [BOOK, "application", "protocol", *choices]
     answers = (
-        selections.join(tagged, tag_selection, "left")
-        .join(counted, [*tag_selection, *choices], "left")
+        _selection_keys(_selections(quotes, choices))
+        .join(keyed, [BOOK, "app_key", "proto_key"], "left")
+        .select(*selection, "key_set").distinct()
+        .join(per_kind, [BOOK, "key_set", *choices], "left")
+        .groupBy(*selection)
+        .agg(F.sum("n").alias("n"), F.max(F.col("key_set").isNotNull()).alias("tagged"))
         .join(per_book, [BOOK, *choices], "left")
-        .select(*tag_selection, *choices,
-                F.when(F.col("tagged"), F.col("n")).otherwise(F.col("whole")).alias("n"))
+        .select(*selection, F.when(F.col("tagged"), F.col("n")).otherwise(F.col("whole")).alias("n"))
     )
     return (
-        quotes.select("quote_id", *tag_selection, *choices)
-        .join(answers, [*tag_selection, *choices], "left")
+        quotes.select("quote_id", *selection).join(answers, selection, "left")
         .select("quote_id", F.coalesce("n", F.lit(0)).alias("n_eligible"))
     )
 

@@ -413,6 +413,7 @@ SELECT book_id, display_text FROM ({discounts('''(SELECT * REPLACE (NULL AS supp
     "resolved_edits": "SELECT * FROM valid",
     "replay_edits": "SELECT * FROM replayed",
     "stream_edits": "SELECT * FROM replayed",
+    "stream_edit_summaries": "SELECT * FROM replayed",
     "edited_quote_totals": totals("replayed"),
     "quote_totals": totals("priced"),
     "invoice_totals": totals("priced", "raw - disc"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from functools import wraps
+from functools import cached_property, partial, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +14,12 @@ from quotewright.functions.values import truthy
 from quotewright.operators import catalog, discounts, selection, surcharges, totals
 from quotewright.operators import cart as carts
 from quotewright.operators import cleaning, tagging
-from quotewright.plans.views import table, view
+from quotewright.plans.views import table, view, view_over
 from quotewright.schemas import (
     ALL_APPLICATIONS, ALL_PROTOCOLS, BOOK, CART, ITEM_LINE, LINE_KEY, ROW, SERVICE_CODE,
-    SERVICE_LINE, PriceBook,
+    SERVICE_LINE,
 )
-from quotewright.session import tune
+from quotewright.session import shared_dir, tune
 from quotewright.sources.tables import counts, price_book
 from quotewright.streaming import edits as live
 
@@ -46,8 +46,41 @@ def raw_sheets(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
             "discounts": view(spark, sf, "discounts_raw")}
 
 
-def book(spark: SparkSession, sf: str) -> PriceBook:
-    return price_book(raw_sheets(spark, sf), AS_OF)
+class Book:
+    """The tables of a ``PriceBook``, each built when a query first asks for it."""
+
+    def __init__(self, spark: SparkSession, sf: str):
+        self._view = partial(view, spark, sf)
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return cleaning.clean_items(self._view("items_raw"))
+
+    @cached_property
+    def services(self) -> DataFrame:
+        return cleaning.clean_services(self._view("services_raw"))
+
+    @cached_property
+    def item_tags(self) -> DataFrame:
+        return tagging.item_tags(self._view("items_raw"))
+
+    @cached_property
+    def service_tags(self) -> DataFrame:
+        return tagging.service_tags(self._view("services_raw"))
+
+    @cached_property
+    def item_multipliers(self) -> DataFrame:
+        return surcharges.item_multipliers(self._view("surcharges_raw"))
+
+    @cached_property
+    def service_multipliers(self) -> DataFrame:
+        return surcharges.service_multipliers(self._view("surcharges_raw"))
+
+    @cached_property
+    def discounts(self) -> DataFrame:
+        return cleaning.clean_discounts(self._view("discounts_raw"), AS_OF)
+
+
 
 
 def quotes(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,7 +92,7 @@ def tagged(raw: DataFrame) -> DataFrame:
     return raw.where(F.col("application").isNotNull() & F.col("protocol").isNotNull())
 
 
-def cart_lines(spark: SparkSession, sf: str, prices: PriceBook) -> DataFrame:
+def cart_lines(spark: SparkSession, sf: str, prices: Book) -> DataFrame:
     """Cart lines before pricing, with ``status``: one join against items and services
     together. A line whose catalog row was dropped in cleaning has no match."""
     refs = prices.items.select(
@@ -80,22 +113,22 @@ def cart_lines(spark: SparkSession, sf: str, prices: PriceBook) -> DataFrame:
     )
 
 
-def plain_cart(spark: SparkSession, sf: str, prices: PriceBook) -> DataFrame:
+def plain_cart(spark: SparkSession, sf: str, prices: Book) -> DataFrame:
     return cart_lines(spark, sf, prices).select(*CART.fieldNames())
 
 
-def priced_cart(spark: SparkSession, sf: str, prices: PriceBook) -> DataFrame:
+def priced_cart(spark: SparkSession, sf: str, prices: Book) -> DataFrame:
     return carts.reprice(plain_cart(spark, sf, prices), quotes(spark, sf),
                          prices.item_multipliers, prices.service_multipliers)
 
 
-def priced_lines(spark: SparkSession, sf: str, prices: PriceBook) -> DataFrame:
+def priced_lines(spark: SparkSession, sf: str, prices: Book) -> DataFrame:
     """As :func:`priced_cart`, with ``status`` kept for choosing lines."""
     return carts.reprice(cart_lines(spark, sf, prices), quotes(spark, sf),
                          prices.item_multipliers, prices.service_multipliers)
 
 
-def edit_log(events: DataFrame, sf: str, prices: PriceBook) -> DataFrame:
+def edit_log(events: DataFrame, sf: str, prices: Book) -> DataFrame:
     """Logged edits with the display text that supplier edits name."""
     spark = events.sparkSession
     texts = cleaning.clean_discounts(view(spark, sf, "discounts_raw"), AS_OF).select(
@@ -104,7 +137,7 @@ def edit_log(events: DataFrame, sf: str, prices: PriceBook) -> DataFrame:
         *LINE_KEY, "seq", "op", "value", "display_text")
 
 
-def valid_edits(spark: SparkSession, sf: str, prices: PriceBook) -> DataFrame:
+def valid_edits(spark: SparkSession, sf: str, prices: Book) -> DataFrame:
     return discounts.resolve_edits(edit_log(view(spark, sf, "edit_events"), sf, prices),
                                    quotes(spark, sf), prices.discounts)
 
@@ -114,7 +147,7 @@ def valid_edits(spark: SparkSession, sf: str, prices: PriceBook) -> DataFrame:
 
 @query
 def price_book_counts(spark, sf):
-    return counts(book(spark, sf))
+    return counts(price_book(raw_sheets(spark, sf), AS_OF))
 
 
 @query
@@ -212,14 +245,14 @@ def surcharge_labels(spark, sf):
 
 @query
 def multiplier_reference(spark, sf):
-    prices = book(spark, sf)
+    prices = Book(spark, sf)
     return surcharges.multiplier_reference(quotes(spark, sf), prices.item_multipliers,
                                            prices.service_multipliers)
 
 
 @query
 def surcharge_rejects(spark, sf):
-    prices = book(spark, sf)
+    prices = Book(spark, sf)
     return surcharges.surcharge_rejects(quotes(spark, sf), prices.item_multipliers,
                                         prices.service_multipliers)
 
@@ -229,14 +262,14 @@ def surcharge_rejects(spark, sf):
 
 @query
 def filter_items(spark, sf):
-    prices = book(spark, sf)
+    prices = Book(spark, sf)
     return selection.filter_items(prices.items, prices.item_tags,
                                   application="FURNITURE", protocol="proto A")
 
 
 @query
 def filter_items_brand(spark, sf):
-    prices = book(spark, sf)
+    prices = Book(spark, sf)
     return selection.filter_items(prices.items, prices.item_tags, brand="Brand#2",
                                   category="ECONOMY", application="BUILDING", protocol="proto C")
 
@@ -251,21 +284,21 @@ def filter_items_fallback(spark, sf):
 
 @query
 def filter_services(spark, sf):
-    prices = book(spark, sf)
+    prices = Book(spark, sf)
     return selection.filter_services(prices.services, prices.service_tags,
                                      application="MACHINERY", protocol="proto C")
 
 
 @query
 def filter_services_group(spark, sf):
-    prices = book(spark, sf)
+    prices = Book(spark, sf)
     return selection.filter_services(prices.services, prices.service_tags, group="NATION_15",
                                      application="BUILDING")
 
 
 @query
 def eligible_items_by_quote(spark, sf):
-    prices = book(spark, sf)
+    prices = Book(spark, sf)
     return selection.eligible_item_counts(quotes(spark, sf), prices.items, prices.item_tags)
 
 
@@ -278,47 +311,47 @@ def eligible_items_by_quote_fallback(spark, sf):
 
 @query
 def eligible_services_by_quote(spark, sf):
-    prices = book(spark, sf)
+    prices = Book(spark, sf)
     return selection.eligible_service_counts(quotes(spark, sf), prices.services,
                                              prices.service_tags)
 
 
 @query
 def application_choices(spark, sf):
-    prices = book(spark, sf)
+    prices = Book(spark, sf)
     return selection.application_choices(prices.item_tags, prices.service_tags)
 
 
 @query
 def protocol_choices(spark, sf):
-    prices = book(spark, sf)
+    prices = Book(spark, sf)
     return selection.protocol_choices(prices.item_tags, prices.service_tags, "MACHINERY")
 
 
 @query
 def protocol_choices_all(spark, sf):
-    prices = book(spark, sf)
+    prices = Book(spark, sf)
     return selection.protocol_choices(prices.item_tags, prices.service_tags)
 
 
 @query
 def choice_brands(spark, sf):
-    return selection.choice_list(book(spark, sf).items, "brand")
+    return selection.choice_list(Book(spark, sf).items, "brand")
 
 
 @query
 def choice_categories(spark, sf):
-    return selection.choice_list(book(spark, sf).items, "category")
+    return selection.choice_list(Book(spark, sf).items, "category")
 
 
 @query
 def choice_groups(spark, sf):
-    return selection.choice_list(book(spark, sf).services, "grp")
+    return selection.choice_list(Book(spark, sf).services, "grp")
 
 
 @query
 def choice_discounts(spark, sf):
-    return selection.choice_list(book(spark, sf).discounts, "display_text")
+    return selection.choice_list(Book(spark, sf).discounts, "display_text")
 
 
 # --- catalog ---------------------------------------------------------------------------
@@ -326,27 +359,27 @@ def choice_discounts(spark, sf):
 
 @query
 def item_prices_long(spark, sf):
-    prices = book(spark, sf)
+    prices = Book(spark, sf)
     return catalog.price_items_long(prices.items, prices.item_multipliers).select(
         BOOK, "product_code", "label", "label_ix", "price")
 
 
 @query
 def item_prices_wide(spark, sf):
-    prices = book(spark, sf)
+    prices = Book(spark, sf)
     return catalog.price_items_wide(prices.items, prices.item_multipliers)
 
 
 @query
 def service_prices_long(spark, sf):
-    prices = book(spark, sf)
+    prices = Book(spark, sf)
     return catalog.price_services_long(prices.services, prices.service_multipliers).select(
         BOOK, "service", "label", "label_ix", "price")
 
 
 @query
 def service_prices_wide(spark, sf):
-    prices = book(spark, sf)
+    prices = Book(spark, sf)
     return catalog.price_services_wide(prices.services, prices.service_multipliers)
 
 
@@ -363,27 +396,27 @@ def _picks(spark: SparkSession, sf: str, catalog_rows: DataFrame, kind: str) ->
     )
 
 
-def _started_cart(spark: SparkSession, sf: str, prices: PriceBook) -> DataFrame:
+def _started_cart(spark: SparkSession, sf: str, prices: Book) -> DataFrame:
     return cart_lines(spark, sf, prices).where(F.col("status") == "F").select(*CART.fieldNames())
 
 
 @query
 def cart_add_items(spark, sf):
-    prices = book(spark, sf)
+    prices = Book(spark, sf)
     return carts.add_items(_started_cart(spark, sf, prices),
                            _picks(spark, sf, prices.items, ITEM_LINE))
 
 
 @query
 def cart_add_services(spark, sf):
-    prices = book(spark, sf)
+    prices = Book(spark, sf)
     return carts.add_services(_started_cart(spark, sf, prices),
                               _picks(spark, sf, prices.services, SERVICE_LINE))
 
 
 @query
 def cart_remove(spark, sf):
-    lines = cart_lines(spark, sf, book(spark, sf))
+    lines = cart_lines(spark, sf, Book(spark, sf))
     gone = view(spark, sf, "cart_lines").where(F.col("status") == "F").select(
         "quote_id", F.col("line_no").cast("string").alias("cart_id"))
     return carts.remove_lines(lines.select(*CART.fieldNames()), gone)
@@ -391,7 +424,7 @@ def cart_remove(spark, sf):
 
 @query
 def cart_reprice(spark, sf):
-    return priced_cart(spark, sf, book(spark, sf))
+    return priced_cart(spark, sf, Book(spark, sf))
 
 
 # --- edits -----------------------------------------------------------------------------
@@ -404,7 +437,7 @@ def _edited(lines: DataFrame) -> DataFrame:
 @query
 def edit_single(spark, sf):
     """Only the first valid edit of every line."""
-    prices = book(spark, sf)
+    prices = Book(spark, sf)
     first = valid_edits(spark, sf, prices).groupBy(*LINE_KEY).agg(
         F.min_by("kind", "seq").alias("kind"), F.min_by("value", "seq").alias("value"))
     return _edited(discounts.apply_edits(priced_cart(spark, sf, prices), first))
@@ -418,19 +451,19 @@ def _open_lines(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def bulk_percent(spark, sf):
     return _edited(discounts.bulk_percent(
-        priced_cart(spark, sf, book(spark, sf)), _open_lines(spark, sf), 12.5))
+        priced_cart(spark, sf, Book(spark, sf)), _open_lines(spark, sf), 12.5))
 
 
 @query
 def bulk_amount(spark, sf):
     return _edited(discounts.bulk_amount(
-        priced_cart(spark, sf, book(spark, sf)), _open_lines(spark, sf), 9000.0))
+        priced_cart(spark, sf, Book(spark, sf)), _open_lines(spark, sf), 9000.0))
 
 
 @query
 def supplier_discount(spark, sf):
     """Open lines with the discount whose row number is their catalog row number."""
-    prices = book(spark, sf)
+    prices = Book(spark, sf)
     chosen = (
         view(spark, sf, "cart_lines").where(F.col("status") == "O")
         .select("quote_id", F.col("line_no").cast("string").alias("cart_id"),
@@ -451,12 +484,12 @@ def ambiguous_discounts(spark, sf):
 
 @query
 def resolved_edits(spark, sf):
-    return valid_edits(spark, sf, book(spark, sf))
+    return valid_edits(spark, sf, Book(spark, sf))
 
 
 @query
 def replay_edits(spark, sf):
-    prices = book(spark, sf)
+    prices = Book(spark, sf)
     return _edited(discounts.replay_edits(priced_cart(spark, sf, prices),
                                           valid_edits(spark, sf, prices)))
 
@@ -464,55 +497,67 @@ def replay_edits(spark, sf):
 @query
 def edited_quote_totals(spark, sf):
     """End to end: price the carts, replay the edits, total the quotes."""
-    prices = book(spark, sf)
+    prices = Book(spark, sf)
     lines = discounts.replay_edits(priced_cart(spark, sf, prices), valid_edits(spark, sf, prices))
     return totals.quote_totals(lines, quotes(spark, sf))
 
 
-@query
-def stream_edits(spark, sf):
-    """The same log as ``replay_edits``, read as a stream of files."""
-    prices = book(spark, sf)
+def _edit_stream(spark: SparkSession, sf: str, prices: Book) -> DataFrame:
+    """``valid_edits``, read as a stream of files."""
     events = spark.readStream.schema(table(spark, sf, "events").schema).parquet(
         f"{sf}/events.parquet*")
-    log = edit_log(view(spark, sf, "edit_events", events=events), sf, prices)
-    edits = discounts.resolve_edits(log, quotes(spark, sf), prices.discounts)
+    log = edit_log(view_over(spark, "edit_events", {"events": events}), sf, prices)
+    return discounts.resolve_edits(log, quotes(spark, sf), prices.discounts)
+
+
+@query
+def stream_edits(spark, sf):
+    prices = Book(spark, sf)
     lines = priced_cart(spark, sf, prices)
-    versions = live.run_to_table(spark, live.stream_edits(edits, lines))
+    versions = live.run_to_table(spark, live.stream_edits(_edit_stream(spark, sf, prices), lines))
     return _edited(live.current_lines(lines, versions))
 
 
+@query
+def stream_edit_summaries(spark, sf):
+    prices = Book(spark, sf)
+    out = shared_dir(spark, "edit-summaries")
+    live.stream_summaries(_edit_stream(spark, sf, prices), out,
+                          shared_dir(spark, "summaries-checkpoint")).awaitTermination()
+    return _edited(live.apply_summaries(spark, priced_cart(spark, sf, prices), out))
+
+
 # --- totals and outputs ----------------------------------------------------------------
 
 
 @query
 def quote_totals(spark, sf):
-    return totals.quote_totals(priced_cart(spark, sf, book(spark, sf)), quotes(spark, sf))
+    return totals.quote_totals(priced_cart(spark, sf, Book(spark, sf)), quotes(spark, sf))
 
 
 @query
 def invoice_totals(spark, sf):
-    return totals.invoice_totals(priced_cart(spark, sf, book(spark, sf)), quotes(spark, sf))
+    return totals.invoice_totals(priced_cart(spark, sf, Book(spark, sf)), quotes(spark, sf))
 
 
 @query
 def grand_total_text(spark, sf):
-    return totals.grand_total_text(priced_cart(spark, sf, book(spark, sf)), quotes(spark, sf))
+    return totals.grand_total_text(priced_cart(spark, sf, Book(spark, sf)), quotes(spark, sf))
 
 
 @query
 def quote_view(spark, sf):
-    return totals.quote_view(priced_cart(spark, sf, book(spark, sf)), quotes(spark, sf))
+    return totals.quote_view(priced_cart(spark, sf, Book(spark, sf)), quotes(spark, sf))
 
 
 @query
 def quote_lines_internal(spark, sf):
-    return totals.quote_lines(priced_cart(spark, sf, book(spark, sf)))
+    return totals.quote_lines(priced_cart(spark, sf, Book(spark, sf)))
 
 
 @query
 def invoice_lines(spark, sf):
-    return totals.invoice_lines(priced_cart(spark, sf, book(spark, sf)))
+    return totals.invoice_lines(priced_cart(spark, sf, Book(spark, sf)))
 
 
 @query

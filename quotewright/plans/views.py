@@ -6,6 +6,8 @@ stands for a base table or for another view.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -81,9 +83,10 @@ FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nation
     # One cart line per line number of an order; repeated line numbers are merged.
     "cart_lines": """
 SELECT l_orderkey AS quote_id, l_linenumber AS line_no,
-  CASE WHEN max(l_returnflag) = 'R' THEN 'Processing' ELSE 'Item' END AS type,
-  CASE WHEN max(l_returnflag) = 'R' THEN min(l_suppkey) ELSE min(l_partkey) END AS ref_ix,
-  max(l_linestatus) AS status,
+  CASE WHEN max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 1 THEN 'Processing' ELSE 'Item' END AS type,
+  CASE WHEN max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 1 THEN min(l_suppkey)
+       ELSE min(l_partkey) END AS ref_ix,
+  CASE WHEN max(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) = 1 THEN 'O' ELSE 'F' END AS status,
   sum(l_quantity) AS quantity, min(l_discount) * CAST(100 AS DOUBLE) AS disc_pct
 FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
     "edit_events": """
@@ -97,7 +100,9 @@ FROM {events}""",
 }
 
 
+@cache
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. Its files are listed and their schema read once per session."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -105,11 +110,15 @@ def _names(sql: str) -> list[str]:
     return [n for n in BASE_TABLES if "{" + n + "}" in sql]
 
 
-def view(spark: SparkSession, sf_dir: str, name: str, **override: DataFrame) -> DataFrame:
-    """An adapter view over the tables in ``sf_dir``, or over a table given by name."""
-    sql = VIEWS[name]
-    frames = {n: override[n] if n in override else table(spark, sf_dir, n) for n in _names(sql)}
-    return spark.sql(sql, **frames)
+@cache
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An adapter view over the tables in ``sf_dir``."""
+    return view_over(spark, name, {n: table(spark, sf_dir, n) for n in _names(VIEWS[name])})
+
+
+def view_over(spark: SparkSession, name: str, frames: dict[str, DataFrame]) -> DataFrame:
+    """An adapter view over base tables handed in, streams included."""
+    return spark.sql(VIEWS[name], **frames)
 
 
 def view_sql(name: str) -> str:

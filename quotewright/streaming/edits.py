@@ -1,4 +1,9 @@
-"""Live edits: the log of ``operators.discounts`` as a stream."""
+"""Live edits: the log of ``operators.discounts`` as a stream, in two forms.
+
+:func:`stream_edits` keeps every edited line in the state store and emits its new version
+after each micro-batch. :func:`stream_summaries` keeps nothing: each micro-batch becomes one
+more piece of the log, summarised in the JVM, and a cart is brought up to date when read.
+"""
 
 from __future__ import annotations
 
@@ -8,24 +13,26 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
+from quotewright.operators.discounts import apply_summary, merge_pieces, summarise_pieces
 from quotewright.schemas import LINE_KEY
 from quotewright.session import shared_dir, ship_by_value
 
+AMOUNTS = ["unit_price", "quantity", "disc_pct", "disc_amt", "final_total"]
 STATE = T.StructType([
-    *[T.StructField(n, T.DoubleType())
-      for n in ("unit_price", "quantity", "disc_pct", "disc_amt", "final_total")],
+    *[T.StructField(n, T.DoubleType()) for n in AMOUNTS],
     T.StructField("removed", T.BooleanType()),
     T.StructField("version", T.LongType()),
 ])
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+ship_by_value(__name__)
+
 
 def fold(line: dict, kinds: list[str], values: list[float]) -> dict:
     """One line after some valid edits, in the order given."""
-    price, qty, pct = line["unit_price"], line["quantity"], line["disc_pct"]
-    amt, total = line["disc_amt"], line["final_total"]
+    price, qty, pct, amt, total = (line[n] for n in AMOUNTS)
     removed = line["removed"]
     editable = not any(v is None or pd.isna(v) for v in (price, qty, pct))
     for kind, value in zip(kinds, values):
@@ -46,33 +53,26 @@ def fold(line: dict, kinds: list[str], values: list[float]) -> dict:
             "final_total": total, "removed": removed, "version": line["version"] + len(kinds)}
 
 
-ship_by_value(__name__)
-
-
 class LineEdits(StatefulProcessor):
-    """Keeps one cart line per key and emits its new version after every batch of edits.
-    Edits to a line that is not in the cart, or was removed, are ignored."""
+    """State of one line: its amounts after the edits so far. The first edit brings the
+    line's amounts in the cart along. A removed line keeps its state as a marker, since
+    later edits of it must be ignored."""
 
     def init(self, handle) -> None:
         self.line = handle.getValueState("line", STATE)
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = initialState.iloc[0]
-        self.line.update(tuple(
-            None if pd.isna(row[n]) else float(row[n]) for n in STATE.fieldNames()[:5]
-        ) + (False, 0))
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        edits = pd.concat([r[["seq", "kind", "value"]] for r in rows], ignore_index=True)
-        if not self.line.exists():
-            return
-        line = dict(zip(STATE.fieldNames(), self.line.get()))
-        edits = edits.sort_values("seq", kind="stable")
-        line = fold(line, edits["kind"].tolist(), edits["value"].tolist())
-        if line["removed"]:
-            self.line.clear()
+        edits = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
+        if self.line.exists():
+            line = dict(zip(STATE.fieldNames(), self.line.get()))
+            if line["removed"]:
+                return
         else:
-            self.line.update(tuple(line[n] for n in STATE.fieldNames()))
+            first = edits.iloc[0]
+            line = {n: None if pd.isna(first[n]) else float(first[n]) for n in AMOUNTS}
+            line |= {"removed": False, "version": 0}
+        line = fold(line, edits["kind"].tolist(), edits["value"].tolist())
+        self.line.update(tuple(line[n] for n in STATE.fieldNames()))
         yield pd.DataFrame([{**dict(zip(LINE_KEY, key)), **line}])
 
     def close(self) -> None:
@@ -82,18 +82,20 @@ class LineEdits(StatefulProcessor):
 def stream_edits(edits: DataFrame, cart: DataFrame, output_mode: str = "Append") -> DataFrame:
     """A stream of valid edits (see ``resolve_edits``) -> a stream of line versions.
 
-    The cart is loaded into the state store once. Within a micro-batch edits apply in
-    order of ``seq``; between micro-batches in order of arrival. There is no watermark:
-    a line's state lives until the line is removed.
+    The cart is a table the stream is joined with, so only edited lines enter the state
+    store and edits of unknown lines fall away. Within a micro-batch edits apply in order
+    of ``seq``; between micro-batches in order of arrival. There is no watermark.
     """
     edits.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     key_types = [f for f in cart.schema.fields if f.name in LINE_KEY]
-    initial = cart.select(*LINE_KEY, *STATE.fieldNames()[:5])
-    return edits.select(*LINE_KEY, "seq", "kind", "value").groupBy(*LINE_KEY).transformWithStateInPandas(
-        statefulProcessor=LineEdits(),
-        outputStructType=T.StructType([*key_types, *STATE.fields]),
-        outputMode=output_mode, timeMode="None",
-        initialState=initial.groupBy(*LINE_KEY),
+    return (
+        edits.select(*LINE_KEY, "seq", "kind", "value")
+        .join(cart.select(*LINE_KEY, *AMOUNTS), LINE_KEY)
+        .groupBy(*LINE_KEY)
+        .transformWithStateInPandas(
+            statefulProcessor=LineEdits(),
+            outputStructType=T.StructType([*key_types, *STATE.fields]),
+            outputMode=output_mode, timeMode="None")
     )
 
 
@@ -113,13 +115,40 @@ def run_to_table(spark: SparkSession, versions: DataFrame, checkpoint: str | Non
 
 def current_lines(cart: DataFrame, versions: DataFrame) -> DataFrame:
     """The cart with each line in its latest version."""
-    fields = ["quantity", "disc_pct", "disc_amt", "final_total", "removed"]
+    fields = [*AMOUNTS[1:], "removed"]
     latest = versions.groupBy(*LINE_KEY).agg(
         *[F.max_by(c, "version").alias(f"__{c}") for c in fields],
-        F.lit(True).alias("__edited"))
+        F.max(F.lit(True)).alias("__edited"))
     return (
         cart.join(latest, LINE_KEY, "left")
         .where(~F.coalesce("__removed", F.lit(False)))
         .select(*[F.when(F.col("__edited"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c)
                   if c in fields else F.col(c) for c in cart.columns])
     )
+
+
+# --- without a state store ---------------------------------------------------------------
+
+BATCH = "batch_id"
+
+
+def stream_summaries(edits: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Start a query that stores, per micro-batch, one summary row for each line it edits.
+
+    A batch owns its folder and overwrites it when it is run again, so a restart after a
+    lost driver leaves neither gaps nor repeats.
+    """
+    def store(batch: DataFrame, batch_id: int) -> None:
+        merged = merge_pieces(summarise_pieces(batch)).drop("qty_piece", "some_piece", "disc_piece")
+        merged.write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
+
+    return (
+        edits.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
+def apply_summaries(spark: SparkSession, cart: DataFrame, out: str) -> DataFrame:
+    """The cart after all micro-batches stored in ``out``, in order of arrival."""
+    pieces = spark.read.parquet(out).withColumn("piece", F.col(BATCH).cast("long")).drop(BATCH)
+    return apply_summary(cart, merge_pieces(pieces))
