@@ -13,13 +13,14 @@ from quotewright.functions.values import fill_null, number, plain_number, truthy
 from quotewright.schemas import BOOK, ROW
 
 
-def positional(df: DataFrame, positions: Sequence[int] | Mapping[str, int],
-               names: Sequence[str] | None = None) -> DataFrame:
+def picked_columns(columns: Sequence[str], positions: Mapping[str, int]) -> list[Column]:
+    """The columns at the given positions, under their new names."""
+    return [F.col(f"`{columns[i]}`").alias(name) for name, i in positions.items()]
+
+
+def positional(df: DataFrame, positions: Mapping[str, int]) -> DataFrame:
     """Pick columns by position and rename them, in the order given."""
-    if isinstance(positions, Mapping):
-        names, positions = list(positions), list(positions.values())
-    return df.select(*[F.col(f"`{df.columns[i]}`").alias(n)
-                       for i, n in zip(positions, names, strict=True)])
+    return df.select(*picked_columns(df.columns, positions))
 
 
 def _item_columns(raw: DataFrame) -> DataFrame:

@@ -310,6 +310,11 @@ SQL: dict[str, str] = {
         for n, t in {"items": "items", "services": "services", "item_multipliers": "imults",
                      "service_multipliers": "smults", "item_tags": "itags",
                      "service_tags": "stags", "discounts": "discounts"}.items()),
+    "workbook_rows": """
+SELECT 'part-' || CAST(row_ix // 1000 AS VARCHAR) AS book_id,
+  row_number() OVER (PARTITION BY row_ix // 1000 ORDER BY row_ix) AS row_ix,
+  product_code, brand, item, category, description, base_cost, add_cost, is_constant,
+  application, protocol FROM items_raw""",
     "clean_items": "SELECT * FROM items",
     "item_rejects": """
 SELECT book_id, row_ix, product_code, add_text AS add_cost_text, 'add_cost is not a number' AS reason

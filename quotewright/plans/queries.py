@@ -17,10 +17,11 @@ from quotewright.operators import cleaning, tagging
 from quotewright.plans.views import table, view, view_over
 from quotewright.schemas import (
     ALL_APPLICATIONS, ALL_PROTOCOLS, BOOK, CART, ITEM_LINE, LINE_KEY, ROW, SERVICE_CODE,
-    SERVICE_LINE,
+    SERVICE_LINE, SHEET_HEADERS, SHEET_POSITIONS,
 )
 from quotewright.session import shared_dir, tune
 from quotewright.sources.tables import counts, price_book
+from quotewright.sources.workbooks import pack_workbooks, parse_workbooks, workbook_sheet
 from quotewright.streaming import edits as live
 
 AS_OF = dt.date(1998, 2, 15)
@@ -150,6 +151,17 @@ def price_book_counts(spark, sf):
     return counts(price_book(raw_sheets(spark, sf), AS_OF))
 
 
+@query
+def workbook_rows(spark, sf):
+    """The price sheet after a trip through workbooks of at most a thousand rows each."""
+    columns = [*SHEET_POSITIONS["prices"], "note", "protocol", "application"]
+    header = [SHEET_HEADERS["prices"].get(c, c) for c in columns]
+    rows = view(spark, sf, "items_raw").withColumn("note", F.lit(None).cast("string")).select(
+        F.lit("part").alias(BOOK), F.lit(0).alias("sheet_ix"), (F.col(ROW) + 1).alias(ROW),
+        F.array(*columns).alias("cells"))
+    return workbook_sheet(parse_workbooks(pack_workbooks(rows, [header], 1000)), "prices")
+
+
 @query
 def clean_items(spark, sf):
     return cleaning.clean_items(view(spark, sf, "items_raw"))

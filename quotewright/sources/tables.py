@@ -7,9 +7,10 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quotewright.operators.cleaning import clean_discounts, clean_items, clean_services
+from quotewright.operators.cleaning import (
+    clean_discounts, clean_items, clean_services, picked_columns,
+)
 from quotewright.operators.surcharges import item_multipliers, service_multipliers
 from quotewright.operators.tagging import item_tags, service_tags
 from quotewright.schemas import (
@@ -18,26 +19,31 @@ from quotewright.schemas import (
 
 
 def trimmed(df: DataFrame) -> DataFrame:
-    """Text cells without surrounding blanks; an empty cell is a missing one."""
-    def cell(f: T.StructField):
-        if not isinstance(f.dataType, T.StringType):
-            return F.col(f.name)
-        return F.nullif(F.trim(F.col(f.name)), F.lit("")).alias(f.name)
+    """All columns but the row number as text, without surrounding blanks; an empty cell is
+    a missing one."""
+    def cell(name: str):
+        c = F.col(f"`{name}`")
+        if name == ROW:
+            return c.cast("long").alias(name)
+        return F.nullif(F.trim(c.cast("string")), F.lit("")).alias(name)
 
-    return df.select(*[cell(f) for f in df.schema.fields])
+    return df.select(*[cell(c) for c in df.columns])
 
 
 def read_sheet(spark: SparkSession, path: str, sheet: str, fmt: str = "csv") -> DataFrame:
-    """One raw sheet. Files hold ``book_id`` and ``row_ix`` (sheet order) before the
-    sheet's own columns, all of which are read as text."""
-    reader = spark.read.schema(RAW_SCHEMAS[sheet])
+    """One raw sheet. Files hold ``book_id`` and ``row_ix`` (sheet order), then the sheet's
+    own columns. CSV and Parquet bring their own column names, so columns beyond those of
+    the format do no harm; no file is read to guess types."""
+    reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True).option("multiLine", False)
-    df = trimmed(reader.format(fmt).load(path))
-    picked = {name: i + 2 for name, i in SHEET_POSITIONS[sheet].items()}
+        reader = reader.option("header", True)
+    elif fmt == "json":
+        reader = reader.schema(RAW_SCHEMAS[sheet])
+    df = trimmed(reader.load(path))
+    own = [c for c in df.columns if c not in (BOOK, ROW)]
     return df.select(
-        F.col(BOOK), F.col(ROW),
-        *[F.col(df.columns[i]).alias(name) for name, i in picked.items()],
+        BOOK, ROW,
+        *picked_columns(own, SHEET_POSITIONS[sheet]),
         *[F.col(header).alias(name) for name, header in SHEET_HEADERS[sheet].items()],
     )
 

@@ -1,7 +1,7 @@
-"""Price books uploaded as ``.xlsx`` files, a folder of them at a time.
+"""Price books as ``.xlsx`` files, many at a time.
 
 Spark lists and ships the files; each task unpacks the workbooks it was given and
-passes their rows on in batches.
+passes their rows on in batches. Packing is the same step backwards.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quotewright.schemas import BOOK, CELLS, ROW, SHEET_HEADERS, SHEET_POSITIONS, SHEETS
 from quotewright.session import ship_by_value
@@ -111,10 +113,13 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def ingest_workbooks(spark: SparkSession, path: str, glob: str = "*.xlsx") -> DataFrame:
     """Every cell row of every workbook below ``path``. A file that cannot be read gives a
     row with ``error`` set instead of ending the job. The file's path is its ``book_id``."""
-    files = (
+    return parse_workbooks(
         spark.read.format("binaryFile").option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", True).load(path).select("path", "content")
-    )
+        .option("recursiveFileLookup", True).load(path).select("path", "content"))
+
+
+def parse_workbooks(files: DataFrame) -> DataFrame:
+    """As :func:`ingest_workbooks`, from a table of ``path`` and ``content``."""
     return files.mapInPandas(_parse, CELLS)
 
 
@@ -140,3 +145,84 @@ def workbook_sheet(cells: DataFrame, sheet: str) -> DataFrame:
 
 def workbook_sheets(cells: DataFrame) -> dict[str, DataFrame]:
     return {sheet: workbook_sheet(cells, sheet) for sheet in SHEETS}
+
+
+# --- packing -------------------------------------------------------------------------------
+
+# The parts of a minimal workbook and the row limit of its format.
+MAX_SHEET_ROWS = 1_048_576
+CONTENT_TYPES = (
+    '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
+    '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+    '<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument'
+    '.spreadsheetml.sheet.main+xml"/>{}</Types>'
+)
+SHEET_TYPE = (
+    '<Override PartName="/xl/worksheets/sheet{}.xml" ContentType="application/vnd'
+    '.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>'
+)
+OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+ROOT_RELATIONS = (
+    '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+    f'<Relationship Id="rId1" Type="{OFFICE}/officeDocument" Target="xl/workbook.xml"/></Relationships>'
+)
+FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("content", T.BinaryType())])
+
+
+def _letters(i: int) -> str:
+    out = ""
+    i += 1
+    while i:
+        i, rest = divmod(i - 1, 26)
+        out = chr(65 + rest) + out
+    return out
+
+
+def workbook_bytes(sheets: list[list[list[str | None]]]) -> bytes:
+    """One workbook with these sheets of text cells."""
+    main, ns = MAIN.strip("{}"), 'xmlns="{}"'
+    numbers = range(1, len(sheets) + 1)
+    parts = {
+        "[Content_Types].xml": CONTENT_TYPES.format("".join(SHEET_TYPE.format(n) for n in numbers)),
+        "_rels/.rels": ROOT_RELATIONS,
+        "xl/workbook.xml": f'<workbook {ns.format(main)} xmlns:r="{OFFICE}"><sheets>' + "".join(
+            f'<sheet name="Sheet{n}" sheetId="{n}" r:id="rId{n}"/>' for n in numbers)
+        + "</sheets></workbook>",
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/'
+        '2006/relationships">' + "".join(
+            f'<Relationship Id="rId{n}" Type="{OFFICE}/worksheet" Target="worksheets/sheet{n}.xml"/>'
+            for n in numbers) + "</Relationships>",
+    }
+    for n, sheet in zip(numbers, sheets):
+        rows = "".join(
+            f'<row r="{r}">' + "".join(
+                f'<c r="{_letters(i)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>'
+                for i, v in enumerate(cells) if v is not None) + "</row>"
+            for r, cells in enumerate(sheet, start=1))
+        parts[f"xl/worksheets/sheet{n}.xml"] = (
+            f"<worksheet {ns.format(main)}><sheetData>{rows}</sheetData></worksheet>")
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+        for name, text in parts.items():
+            archive.writestr(name, f'<?xml version="1.0" encoding="UTF-8"?>{text}')
+    return buffer.getvalue()
+
+
+def pack_workbooks(rows: DataFrame, headers: list[list[str]],
+                   rows_per_workbook: int = 10_000) -> DataFrame:
+    """Cell rows (``book_id``, ``sheet_ix``, ``row_ix`` from 1, ``cells``) -> workbooks as a table
+    of ``path`` and ``content``. ``headers`` holds the top row of every sheet. A workbook is built
+    whole in one task, so a book is cut into as many as its row range needs."""
+    if rows_per_workbook >= MAX_SHEET_ROWS:
+        raise ValueError(f"a sheet holds at most {MAX_SHEET_ROWS} rows")
+
+    def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        sheets: list[list] = [[header] for header in headers]
+        part = part.sort_values(["sheet_ix", "row_ix"])
+        for sheet_ix, cells in zip(part["sheet_ix"], part["cells"]):
+            sheets[sheet_ix].append(list(cells))
+        return pd.DataFrame([(key[0], workbook_bytes(sheets))], columns=["path", "content"])
+
+    number = F.floor((F.col(ROW) - 1) / rows_per_workbook).cast("string")
+    return rows.select(F.concat_ws("-", BOOK, number).alias("path"), "sheet_ix", ROW, "cells").groupBy(
+        "path").applyInPandas(pack, FILES)

@@ -114,9 +114,9 @@ def test_replay_equals_one_edit_after_another(spark, seq_range):
     want = []
     for row in lines:
         state = dict(zip(CART.names, row))
-        after = fold({**{n: state[n] for n in AMOUNTS}, "removed": False, "version": 0},
-                     *(list(x) for x in zip(*by_line.get((row[0], row[1]), [])) or ([], []))
-                     if by_line.get((row[0], row[1])) else ([], []))
+        start = {**{n: state[n] for n in AMOUNTS}, "removed": False, "version": 0}
+        done = by_line.get((row[0], row[1]), [])
+        after = fold(start, [k for k, _ in done], [v for _, v in done])
         if not after["removed"]:
             want.append((row[0], row[1], *[after[n] for n in AMOUNTS[1:]]))
     assert rows(got, *SHOWN) == sorted(want)
