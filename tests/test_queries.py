@@ -69,8 +69,8 @@ def test_a_hot_quote_is_split(spark, tmp_path):
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
     }
     prices = Book(spark, SF_DIR)
@@ -79,7 +79,7 @@ def test_a_hot_quote_is_split(spark, tmp_path):
     cart = cart.withColumns({
         "quote_id": F.when(F.col("id") < 5, F.lit(7)).otherwise(F.col("quote_id")).cast("long"),
         "cart_id": F.concat_ws("-", "quote_id", "cart_id", "id")}).drop("id")
-    cart.write.parquet(str(tmp_path / "cart"))
+    cart.repartition(16).write.parquet(str(tmp_path / "cart"))
     cart = spark.read.parquet(str(tmp_path / "cart"))
     priced = reprice(cart, quotes(spark, SF_DIR), prices.item_multipliers, prices.service_multipliers)
     old = {k: spark.conf.get(k, None) for k in settings}
