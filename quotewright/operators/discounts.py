@@ -102,9 +102,11 @@ def bulk_amount(cart: DataFrame, selection: DataFrame, amount: float) -> DataFra
 
 def discount_lookup(discounts: DataFrame) -> DataFrame:
     """Discounts by display text. A text that stands for several rows is ambiguous and
-    cannot be applied."""
+    cannot be applied; a type other than percentage and amount cannot either."""
     return discounts.groupBy(BOOK, "display_text").agg(
-        F.min("amount").alias("amount"), F.min("type").alias("type"),
+        F.max("amount").alias("amount"),
+        F.max(F.col("type") == "percentage").alias("percentage"),
+        F.max(F.col("type").isin("percentage", "amount")).alias("known"),
         (F.count("*") > 1).alias("ambiguous"))
 
 
@@ -112,13 +114,11 @@ def ambiguous_discounts(discounts: DataFrame) -> DataFrame:
     return discount_lookup(discounts).where("ambiguous").select(BOOK, "display_text")
 
 
-def _supplier_edits(requests: DataFrame, quotes: DataFrame, discounts: DataFrame) -> DataFrame:
+def supplier_edits(requests: DataFrame, quotes: DataFrame, discounts: DataFrame) -> DataFrame:
     """Requests that name a discount by its text -> the edit each amounts to."""
-    usable = discount_lookup(discounts).where(
-        ~F.col("ambiguous") & F.col("type").isin("percentage", "amount"))
-    percentage = F.col("type") == "percentage"
-    kind = F.when(percentage, "pct").otherwise("amt")
-    value = F.when(percentage, F.col("amount") * 100.0).otherwise(F.col("amount"))
+    usable = discount_lookup(discounts).where(~F.col("ambiguous") & F.col("known"))
+    kind = F.when(F.col("percentage"), "pct").otherwise("amt")
+    value = F.when(F.col("percentage"), F.col("amount") * 100.0).otherwise(F.col("amount"))
     kept = [c for c in requests.columns if c != "display_text"]
     return (
         requests.join(quotes.select("quote_id", BOOK), "quote_id")
@@ -131,31 +131,32 @@ def supplier_discount(cart: DataFrame, selection: DataFrame, quotes: DataFrame,
                       discounts: DataFrame) -> DataFrame:
     """Apply to each selected line (``quote_id``, ``cart_id``, ``display_text``) the named
     discount of its quote's price book. The line's brand does not matter."""
-    return apply_edits(cart, _supplier_edits(
+    return apply_edits(cart, supplier_edits(
         selection.select(*LINE_KEY, "display_text").distinct(), quotes, discounts))
 
 
-def resolve_edits(edits: DataFrame, quotes: DataFrame, discounts: DataFrame) -> DataFrame:
-    """An edit log in its logged form (``op``) -> valid edits (``kind``, ``value``).
-
-    Rejected requests disappear: negative or missing values, a bulk percentage over
-    100, a discount text that is unknown or ambiguous. Works on a stream as well.
-    """
+def direct_edits(edits: DataFrame) -> DataFrame:
+    """Logged edits other than supplier discounts, reduced to valid ones."""
     op, value = F.col("op"), F.col("value")
     kind = (
-        F.when(op.isin("qty", "pct", "amt"), op)
+        F.when(op.isin("qty", "pct", "amt", "remove"), op)
         .when((op == "bulk_pct") & (value <= 100), "pct")
         .when(op == "bulk_amt", "amt")
-        .when(op == "remove", op)
     )
-    direct = (
-        edits.where(op != "supplier")
-        .select(*LINE_KEY, "seq", kind.alias("kind"), value)
+    return (
+        edits.select(*LINE_KEY, "seq", kind.alias("kind"), value)
         .where(F.col("kind").isNotNull() & ((F.col("kind") == "remove") | _ordinary(value)))
     )
-    named = _supplier_edits(
-        edits.where(op == "supplier").select(*LINE_KEY, "seq", "display_text"), quotes, discounts)
-    return direct.unionByName(named)
+
+
+def resolve_edits(edits: DataFrame, quotes: DataFrame, discounts: DataFrame) -> DataFrame:
+    """An edit log in its logged form (``op``) -> valid edits (``kind``, ``value``).
+
+    Rejected requests disappear: negative or missing values, a bulk percentage over
+    100, a discount text that is unknown or ambiguous. Works on a stream as well.
+    """
+    named = edits.where(F.col("op") == "supplier").select(*LINE_KEY, "seq", "display_text")
+    return direct_edits(edits).unionByName(supplier_edits(named, quotes, discounts))
 
 
 # --- replaying a log -----------------------------------------------------------------

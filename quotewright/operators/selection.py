@@ -126,13 +126,15 @@ def _eligible_counts(quotes: DataFrame, catalog: DataFrame, tags: DataFrame, nam
 
     Names with the same set of tag keys are interchangeable, so the catalog shrinks to
     counts per (book, key set, filter values) before any selection meets it. A key set
-    holds the distinct tags written on one name, however many rows repeat that name.
+    holds the distinct tags written on one name, however many rows repeat that name; its
+    digest stands for it in the joins.
     """
     facets = list(filters.values())
     choices = list(filters)
     kinds = (
         _row_keys(tags, name).groupBy(BOOK, *name)
         .agg(F.array_sort(F.collect_set(F.struct("app_key", "proto_key"))).alias("key_set"))
+        .withColumn("kind", F.sha2(F.to_json("key_set"), 256))
     )
     by_name = catalog.groupBy(BOOK, *dict.fromkeys([*name, *facets])).agg(F.count("*").alias("n"))
 
@@ -145,20 +147,24 @@ def _eligible_counts(quotes: DataFrame, catalog: DataFrame, tags: DataFrame, nam
             BOOK, *keys, *choices).agg(F.sum("n").alias("n"))
 
     per_kind = with_facets(
-        null_safe_join(kinds, by_name, [BOOK, *name], "inner")
-        .groupBy(BOOK, "key_set", *facets).agg(F.sum("n").alias("n")), "key_set")
+        null_safe_join(kinds.drop("key_set"), by_name, [BOOK, *name], "inner")
+        .groupBy(BOOK, "kind", *facets).agg(F.sum("n").alias("n")), "kind")
     per_book = with_facets(
         by_name.groupBy(BOOK, *facets).agg(F.sum("n").alias("n"))).withColumnRenamed("n", "whole")
-    keyed = kinds.select(BOOK, "key_set").distinct().select(BOOK, "key_set", F.inline("key_set"))
-
-    selection = [BOOK, "application", "protocol", *choices]
+    keyed = kinds.groupBy(BOOK, "kind").agg(F.first("key_set").alias("key_set")).select(
+        BOOK, "kind", F.inline("key_set"))
+
+    tag_selection = [BOOK, "application", "protocol"]
+    selection = [*tag_selection, *choices]
+    matched = (
+        _selection_keys(_selections(quotes, []))
+        .join(keyed, [BOOK, "app_key", "proto_key"]).select(*tag_selection, "kind").distinct()
+    )
     answers = (
-        _selection_keys(_selections(quotes, choices))
-        .join(keyed, [BOOK, "app_key", "proto_key"], "left")
-        .select(*selection, "key_set").distinct()
-        .join(per_kind, [BOOK, "key_set", *choices], "left")
+        _selections(quotes, choices).join(matched, tag_selection, "left")
+        .join(per_kind, [BOOK, "kind", *choices], "left")
         .groupBy(*selection)
-        .agg(F.sum("n").alias("n"), F.max(F.col("key_set").isNotNull()).alias("tagged"))
+        .agg(F.sum("n").alias("n"), F.max(F.col("kind").isNotNull()).alias("tagged"))
         .join(per_book, [BOOK, *choices], "left")
         .select(*selection, F.when(F.col("tagged"), F.col("n")).otherwise(F.col("whole")).alias("n"))
     )

@@ -328,10 +328,12 @@ FROM discounts_raw""",
 SELECT is_constant, coalesce(upper(is_constant) IN ('TRUE', 'T', 'YES', 'Y', '1'), false) AS flag,
   count(*) AS n FROM items_raw GROUP BY ALL""",
     "item_tags": """
-SELECT book_id, brand, item, len(application) AS n_application, len(protocol) AS n_protocol,
+SELECT book_id, brand, item, CAST(len(application) AS INTEGER) AS n_application,
+  CAST(len(protocol) AS INTEGER) AS n_protocol,
   array_to_string(application, '/') AS application, array_to_string(protocol, '/') AS protocol FROM itags""",
     "service_tags": """
-SELECT book_id, service, len(application) AS n_application, len(protocol) AS n_protocol,
+SELECT book_id, service, CAST(len(application) AS INTEGER) AS n_application,
+  CAST(len(protocol) AS INTEGER) AS n_protocol,
   array_to_string(application, '/') AS application, array_to_string(protocol, '/') AS protocol FROM stags""",
     "tag_membership": f"""
 SELECT book_id, count(*) AS n_all,

@@ -129,18 +129,20 @@ def priced_lines(spark: SparkSession, sf: str, prices: Book) -> DataFrame:
                          prices.item_multipliers, prices.service_multipliers)
 
 
-def edit_log(events: DataFrame, sf: str, prices: Book) -> DataFrame:
-    """Logged edits with the display text that supplier edits name."""
+def events_as_edits(events: DataFrame, sf: str, prices: Book) -> DataFrame:
+    """Valid edits of a log, or of a stream, whose supplier edits give the row number of
+    the discount they name instead of its text."""
     spark = events.sparkSession
     texts = cleaning.clean_discounts(view(spark, sf, "discounts_raw"), AS_OF).select(
         F.col(ROW).alias("discount_ix"), "display_text")
-    return events.join(texts, "discount_ix", "left").select(
-        *LINE_KEY, "seq", "op", "value", "display_text")
+    named = events.where(F.col("op") == "supplier").join(texts, "discount_ix").select(
+        *LINE_KEY, "seq", "display_text")
+    return discounts.direct_edits(events).unionByName(
+        discounts.supplier_edits(named, quotes(spark, sf), prices.discounts))
 
 
 def valid_edits(spark: SparkSession, sf: str, prices: Book) -> DataFrame:
-    return discounts.resolve_edits(edit_log(view(spark, sf, "edit_events"), sf, prices),
-                                   quotes(spark, sf), prices.discounts)
+    return events_as_edits(view(spark, sf, "edit_events"), sf, prices)
 
 
 # --- sources and cleaning --------------------------------------------------------------
@@ -518,8 +520,7 @@ def _edit_stream(spark: SparkSession, sf: str, prices: Book) -> DataFrame:
     """``valid_edits``, read as a stream of files."""
     events = spark.readStream.schema(table(spark, sf, "events").schema).parquet(
         f"{sf}/events.parquet*")
-    log = edit_log(view_over(spark, "edit_events", {"events": events}), sf, prices)
-    return discounts.resolve_edits(log, quotes(spark, sf), prices.discounts)
+    return events_as_edits(view_over(spark, "edit_events", {"events": events}), sf, prices)
 
 
 @query

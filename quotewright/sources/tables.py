@@ -66,6 +66,23 @@ def read_price_book(spark: SparkSession, paths: Mapping[str, str], fmt: str = "c
     return price_book({s: read_sheet(spark, paths[s], s, fmt) for s in SHEETS}, as_of)
 
 
+def write_price_book(book: PriceBook, path: str) -> None:
+    """Store the clean tables once for all quotes. Files are cut and sorted by book, so a
+    reader that names some books skips the rest by the statistics in the files, and a
+    large book spans several files."""
+    for name in PriceBook.__dataclass_fields__:
+        df = getattr(book, name)
+        second = next(c for c in (ROW, "label_ix", "item", "service") if c in df.columns)
+        df.repartitionByRange(BOOK, second).sortWithinPartitions(BOOK, second).write.mode(
+            "overwrite").parquet(f"{path}/{name}")
+
+
+def load_price_book(spark: SparkSession, path: str) -> PriceBook:
+    """Stored clean tables. Their file sizes are what Spark goes by when it decides whether
+    a table is small enough to broadcast."""
+    return PriceBook(**{n: spark.read.parquet(f"{path}/{n}") for n in PriceBook.__dataclass_fields__})
+
+
 def counts(book: PriceBook) -> DataFrame:
     """Rows per clean table and price book."""
     parts = [

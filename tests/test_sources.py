@@ -7,7 +7,9 @@ from test_catalog_cart import line
 
 from quotewright.schemas import CART, SHEETS
 from quotewright.sources import sinks
-from quotewright.sources.tables import counts, price_book, read_price_book
+from quotewright.sources.tables import (
+    counts, load_price_book, price_book, read_price_book, write_price_book,
+)
 from quotewright.sources.workbooks import (
     ingest_workbooks, pack_workbooks, workbook_bytes, workbook_rejects, workbook_sheet, workbook_sheets,
 )
@@ -76,6 +78,16 @@ def test_price_book_from_files(spark, tmp_path, fmt):
     check(read_price_book(spark, paths, fmt, AS_OF))
 
 
+def test_stored_price_book(spark, tmp_path):
+    path = str(tmp_path / "a.xlsx")
+    (tmp_path / "a.xlsx").write_bytes(workbook_bytes(SHEETS_OF_TEXT))
+    write_price_book(price_book(workbook_sheets(ingest_workbooks(spark, path)), AS_OF), str(tmp_path / "book"))
+    stored = load_price_book(spark, str(tmp_path / "book"))
+    check(stored)
+    text = stored.items.where("book_id = 'z'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(book_id,z)" in text
+
+
 @pytest.mark.parametrize("fmt", ["csv", "parquet"])
 def test_sinks(spark, tmp_path, fmt):
     cart = spark.createDataFrame([line(1, "a", price=10.0, total=18.0, amt=2.0), line(2, "a", price=1.0)], CART)
