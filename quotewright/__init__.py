@@ -1,5 +1,43 @@
 """Quoting and pricing in bulk on Spark DataFrames."""
 
+from quotewright.operators.cart import add_items, add_services, remove_lines, reprice
+from quotewright.operators.catalog import (
+    price_items_long, price_items_wide, price_services_long, price_services_wide,
+)
+from quotewright.operators.discounts import (
+    apply_edits, bulk_amount, bulk_percent, edit_amount, edit_percent, edit_quantity, replay_edits,
+    resolve_edits, supplier_discount,
+)
+from quotewright.operators.selection import (
+    application_choices, choice_list, eligible_item_counts, eligible_items, eligible_service_counts,
+    eligible_services, filter_items, filter_services, protocol_choices,
+)
+from quotewright.operators.surcharges import multiplier_reference, surcharge_labels, surcharge_rejects
+from quotewright.operators.totals import (
+    batch_totals, grand_total_text, invoice_lines, invoice_totals, quote_header, quote_lines,
+    quote_totals, quote_view,
+)
 from quotewright.schemas import PriceBook
+from quotewright.session import tune
+from quotewright.sources.sinks import write_quote_lines, write_quote_totals
+from quotewright.sources.tables import (
+    load_price_book, price_book, read_price_book, write_price_book,
+)
+from quotewright.sources.workbooks import ingest_workbooks, workbook_rejects, workbook_sheets
+from quotewright.streaming.edits import (
+    apply_summaries, current_lines, run_to_table, stream_edits, stream_summaries,
+)
 
-__all__ = ["PriceBook"]
+__all__ = [
+    "PriceBook", "add_items", "add_services", "application_choices", "apply_edits", "apply_summaries",
+    "batch_totals", "bulk_amount", "bulk_percent", "choice_list", "current_lines", "edit_amount",
+    "edit_percent", "edit_quantity", "eligible_item_counts", "eligible_items",
+    "eligible_service_counts", "eligible_services", "filter_items", "filter_services",
+    "grand_total_text", "ingest_workbooks", "invoice_lines", "invoice_totals", "load_price_book",
+    "multiplier_reference", "price_book", "price_items_long", "price_items_wide",
+    "price_services_long", "price_services_wide", "protocol_choices", "quote_header", "quote_lines",
+    "quote_totals", "quote_view", "read_price_book", "remove_lines", "replay_edits", "reprice",
+    "resolve_edits", "run_to_table", "stream_edits", "stream_summaries", "supplier_discount",
+    "surcharge_labels", "surcharge_rejects", "tune", "workbook_rejects", "workbook_sheets",
+    "write_price_book", "write_quote_lines", "write_quote_totals",
+]

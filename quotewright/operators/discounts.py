@@ -81,6 +81,21 @@ def apply_edits(cart: DataFrame, edits: DataFrame) -> DataFrame:
     ])
 
 
+def edit_quantity(cart: DataFrame, edits: DataFrame) -> DataFrame:
+    """New quantities (``quote_id``, ``cart_id``, ``value``); the percentages stay."""
+    return apply_edits(cart, edits.withColumn("kind", F.lit("qty")))
+
+
+def edit_percent(cart: DataFrame, edits: DataFrame) -> DataFrame:
+    """New percentages; the amounts follow, and more than 100 counts as 100."""
+    return apply_edits(cart, edits.withColumn("kind", F.lit("pct")))
+
+
+def edit_amount(cart: DataFrame, edits: DataFrame) -> DataFrame:
+    """New amounts; the percentages follow, and more than the price counts as the price."""
+    return apply_edits(cart, edits.withColumn("kind", F.lit("amt")))
+
+
 def _to_selection(cart: DataFrame, selection: DataFrame, kind: str, value: Column) -> DataFrame:
     chosen = selection.select(*LINE_KEY).distinct()
     return apply_edits(cart, chosen.withColumns({"kind": F.lit(kind), "value": value}))

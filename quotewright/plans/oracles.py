@@ -405,6 +405,10 @@ SELECT * FROM (""" + one_edit(
         "AND n.nth = 1", "n.kind", "n.value") + """)
 WHERE (quote_id, cart_id) NOT IN (SELECT (quote_id, cart_id) FROM (
   SELECT quote_id, cart_id, arg_min(kind, seq) AS first FROM valid GROUP BY ALL) WHERE first = 'remove')""",
+    **{f"edit_{name}": one_edit(
+        "FROM priced l LEFT JOIN (SELECT quote_id, cart_id, kind, arg_min(value, seq) AS value FROM valid "
+        f"WHERE kind = '{kind}' GROUP BY ALL) n ON n.quote_id = l.quote_id AND n.cart_id = l.cart_id",
+        "n.kind", "n.value") for name, kind in (("quantity", "qty"), ("percent", "pct"), ("amount", "amt"))},
     "bulk_percent": one_edit("FROM priced l", IS_OPEN.format("'pct'"), "12.5::DOUBLE"),
     "bulk_amount": one_edit("FROM priced l", IS_OPEN.format("'amt'"), "9000::DOUBLE"),
     "supplier_discount": one_edit(

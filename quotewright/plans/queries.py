@@ -457,6 +457,32 @@ def edit_single(spark, sf):
     return _edited(discounts.apply_edits(priced_cart(spark, sf, prices), first))
 
 
+def _first_of_kind(spark: SparkSession, sf: str, prices: Book, kind: str) -> DataFrame:
+    return valid_edits(spark, sf, prices).where(F.col("kind") == kind).groupBy(*LINE_KEY).agg(
+        F.min_by("value", "seq").alias("value"))
+
+
+@query
+def edit_quantity(spark, sf):
+    prices = Book(spark, sf)
+    return _edited(discounts.edit_quantity(priced_cart(spark, sf, prices),
+                                           _first_of_kind(spark, sf, prices, "qty")))
+
+
+@query
+def edit_percent(spark, sf):
+    prices = Book(spark, sf)
+    return _edited(discounts.edit_percent(priced_cart(spark, sf, prices),
+                                          _first_of_kind(spark, sf, prices, "pct")))
+
+
+@query
+def edit_amount(spark, sf):
+    prices = Book(spark, sf)
+    return _edited(discounts.edit_amount(priced_cart(spark, sf, prices),
+                                         _first_of_kind(spark, sf, prices, "amt")))
+
+
 def _open_lines(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "cart_lines").where(F.col("status") == "O").select(
         "quote_id", F.col("line_no").cast("string").alias("cart_id"))
