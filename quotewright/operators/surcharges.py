@@ -13,6 +13,10 @@ from quotewright.schemas import BOOK, PRICE_LIST, PROCESSING, ROW
 # Rows of one book that are multiplied in one task; longer sheets are cut into blocks.
 BLOCK_ROWS = 4096
 
+# What the two multipliers of a quote are called.
+ITEM_CATEGORY = "Items (Consumables)"
+SERVICE_CATEGORY = "Processing Services"
+
 
 def _last_wins(rows: DataFrame, value: str) -> DataFrame:
     """One row per label: the value of its last row, the place of its first. A label
@@ -108,8 +112,8 @@ def multiplier_reference(quotes: DataFrame, items: DataFrame, services: DataFram
         return F.struct(F.lit(ord_).alias("ord"), F.lit(category).alias("category"),
                         F.concat(F.lit("x"), shown).alias("multiplier"))
 
-    rows = F.array(entry(1, "Items (Consumables)", "item_mult"),
-                   entry(2, "Processing Services", "service_mult"))
+    rows = F.array(entry(1, ITEM_CATEGORY, "item_mult"),
+                   entry(2, SERVICE_CATEGORY, "service_mult"))
     return (
         with_multipliers(quotes.select("quote_id", BOOK, "item_surcharge", "service_surcharge"),
                          items, services)

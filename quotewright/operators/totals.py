@@ -18,6 +18,8 @@ QUOTE_LINES = {
     "name": "Item", "unit_price": "Amount", "description": "Description", "quantity": "Quantity",
     "disc_pct": "Discount %", "disc_amt": "Discount $", "final_total": "Total Amount [AUD]",
 }
+BATCH_TOTAL, PROJECT_TOTAL, BATCHES = "Total (Per Batch): $", " | Total Project (", " batches): $"
+NO_TOTAL = "Total (Per Batch): $0.00"
 HEADER = [
     ("Title", "title"), ("Date:", "date"), ("Quote ID:", "quote_id"),
     ("Project ID:", "project_id"), ("Project Title:", "title"), ("Platform:", "platform"),
@@ -64,15 +66,15 @@ def invoice_totals(cart: DataFrame, quotes: DataFrame) -> DataFrame:
 
 def grand_total_text(cart: DataFrame, quotes: DataFrame) -> DataFrame:
     shown = F.concat(
-        F.lit("Total (Per Batch): $"), fixed_cents(F.col("net_total"), grouped=True),
-        F.lit(" | Total Project ("), F.col("n_batches").cast("string"), F.lit(" batches): $"),
+        F.lit(BATCH_TOTAL), fixed_cents(F.col("net_total"), grouped=True),
+        F.lit(PROJECT_TOTAL), F.col("n_batches").cast("string"), F.lit(BATCHES),
         fixed_cents(F.col("net_total") * F.col("n_batches"), grouped=True),
     )
     ready = ((F.col("n_lines") > 0) & is_set(F.col("item_surcharge"))
              & is_set(F.col("service_surcharge")))
     wanted = quotes.select("quote_id", "n_batches", "item_surcharge", "service_surcharge")
     return _for_every_quote(wanted, batch_totals(cart)).select(
-        "quote_id", F.when(ready, shown).otherwise("Total (Per Batch): $0.00").alias("text"))
+        "quote_id", F.when(ready, shown).otherwise(NO_TOTAL).alias("text"))
 
 
 def quote_view(cart: DataFrame, quotes: DataFrame) -> DataFrame:
