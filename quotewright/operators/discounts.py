@@ -10,6 +10,7 @@ An edit is reduced to one of four kinds before it is applied:
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -218,13 +219,24 @@ def summarise_pieces(edits: DataFrame, seq_range: int = SEQ_RANGE) -> DataFrame:
     )
 
 
+def widen_pieces(pieces: DataFrame, width: int) -> DataFrame:
+    """Merge each line's ranges of ``seq`` into ranges ``width`` times as wide."""
+    wider = pieces.withColumn("wide", F.floor(F.col("piece") / width))
+    return _merged(wider, [*LINE_KEY, "wide"]).drop(
+        "qty_piece", "some_piece", "disc_piece").withColumnRenamed("wide", "piece")
+
+
 def merge_pieces(pieces: DataFrame) -> DataFrame:
     """One row per line. Pieces count in order of ``piece``; ``seq`` only orders edits of
     the same piece. ``*_piece`` tells which piece a value came from."""
+    return _merged(pieces, LINE_KEY)
+
+
+def _merged(pieces: DataFrame, keys: list[str]) -> DataFrame:
     def place(seq: str) -> Column:
         return F.when(F.col(seq).isNotNull(), F.col("piece"))
 
-    earlier = W.partitionBy(*LINE_KEY).orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*keys).orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
     aggregates = {"removed": F.max("removed")}
     for group, columns in {"qty": ["qty_seq", "qty"], "some": ["some_seq", "some_qty"],
                            "disc": ["disc_seq", "disc_value", "by_amount", "disc_qty"]}.items():
@@ -235,7 +247,7 @@ def merge_pieces(pieces: DataFrame) -> DataFrame:
             "disc_qty", F.last("qty", ignorenulls=True).over(earlier)))
         .withColumns({"qty_piece": place("qty_seq"), "some_piece": place("some_seq"),
                       "disc_piece": place("disc_seq")})
-        .groupBy(*LINE_KEY).agg(*[c.alias(n) for n, c in aggregates.items()])
+        .groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
     )
 
 
@@ -284,7 +296,16 @@ def apply_summary(cart: DataFrame, summary: DataFrame) -> DataFrame:
     ])
 
 
-def replay_edits(cart: DataFrame, edits: DataFrame, seq_range: int = SEQ_RANGE) -> DataFrame:
+def replay_edits(cart: DataFrame, edits: DataFrame, seq_range: int = SEQ_RANGE,
+                 widths: Sequence[int] = ()) -> DataFrame:
     """The cart after all edits of a log of valid edits, applied in order of ``seq``
-    (unique per line). Lines without a price keep their values but can be removed."""
-    return apply_summary(cart, merge_pieces(summarise_pieces(edits, seq_range)))
+    (unique per line). Lines without a price keep their values but can be removed.
+
+    A line's edits are cut into ranges of ``seq_range`` numbers, whose summaries are then
+    merged. Where ``seq`` is sparse, say a timestamp, a busy line has many ranges: ``widths``
+    merges them in steps, e.g. ``(1 << 20,)`` for up to a million neighbours at a time.
+    """
+    pieces = summarise_pieces(edits, seq_range)
+    for width in widths:
+        pieces = widen_pieces(pieces, width)
+    return apply_summary(cart, merge_pieces(pieces))

@@ -104,10 +104,12 @@ def random_logs(n_lines, seed):
     return lines, edits
 
 
-@pytest.mark.parametrize("seq_range", [1 << 20, 10, 1])
-def test_replay_equals_one_edit_after_another(spark, seq_range):
+@pytest.mark.parametrize("seq_range, widths", [
+    (1 << 20, ()), (10, ()), (1, ()), (1, (7,)), (2, (3, 4)), (1, (1000,))])
+def test_replay_equals_one_edit_after_another(spark, seq_range, widths):
     lines, edits = random_logs(3000, seed=seq_range)
-    got = d.replay_edits(spark.createDataFrame(lines, CART), spark.createDataFrame(edits, VALID), seq_range)
+    got = d.replay_edits(spark.createDataFrame(lines, CART), spark.createDataFrame(edits, VALID), seq_range,
+                         widths)
     by_line = {}
     for q, c, seq, kind, value in sorted(edits, key=lambda e: e[2]):
         by_line.setdefault((q, c), []).append((kind, value))
