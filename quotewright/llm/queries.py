@@ -36,13 +36,18 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
-def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+def pack_documents(docs: DataFrame) -> DataFrame:
+    """The pieces of ``docs`` with a checksum of their ids and their places in sequences."""
+    pieces = packing.token_pieces(docs, _tokenizer("byte_bpe_50k.json"))
     digests = stored(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
     return packing.pack(digests).select(
         "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "tokens")
     token_files.write_token_files(_table(spark, sf_dir, "documents"), folder, _tokenizer("byte_bpe_50k.json"))
