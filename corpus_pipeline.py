@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotewright.llm import exact_dedup, packing, secrets, simhash
-from quotewright.llm.queries import pack_documents
+from quotewright.llm import exact_dedup, secrets, simhash, toxicity
+from quotewright.llm.queries import pack_documents, toxicity_chain
 from quotewright.llm.store import stored
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain, fitted on ``labels``, finds toxic go."""
+    chain = toxicity_chain(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, chain, "toxic")
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for the case of A-Z the one with the largest id stays."""
     return exact_dedup.deduplicate(docs)
@@ -32,6 +38,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("exact_dedup", drop_exact_copies),
     ("simhash", drop_near_copies),
     ("secrets", mask_secrets),

@@ -63,6 +63,22 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM texts LEFT JOIN listed USING (doc_id)
 """
 
+TOP_K = """
+WITH parts AS (
+    SELECT vec_id, i, embedding[i] AS x
+    FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings WHERE vec_id IS NOT NULL)
+), bad AS (SELECT DISTINCT vec_id FROM parts WHERE x IS NULL OR NOT isfinite(x)),
+numbers AS (
+    SELECT vec_id, i, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM parts ANTI JOIN bad USING (vec_id)
+), scores AS (
+    SELECT q.vec_id AS query_id, v.vec_id, CAST(sum(q.x * v.x) AS BIGINT) AS score
+    FROM numbers q JOIN numbers v ON q.i = v.i AND q.vec_id <> v.vec_id
+    WHERE q.vec_id % 50 = 0 GROUP BY ALL
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scores QUALIFY rank <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": CHAT, "op6_exact_dedup": EXACT_DEDUP, "op7_secrets": SECRETS}
+    return {"op1_chat": CHAT, "op6_exact_dedup": EXACT_DEDUP, "op7_secrets": SECRETS, "op9_top_k": TOP_K}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotewright.llm import chat, exact_dedup, packing, secrets, simhash, token_files
+from quotewright.llm import (
+    bit_slices, bpe, chat, exact_dedup, lm_score, packing, secrets, simhash, token_files, toxicity)
 from quotewright.llm.store import stored
 from quotewright.session import shared_dir
 
@@ -36,6 +37,18 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
+def toxicity_chain(docs: DataFrame, labels: DataFrame) -> toxicity.Chain:
+    """Quality first: what is junk helps to tell what is toxic."""
+    return toxicity.train(docs, labels, ("quality", "toxic"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity_chain(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.predict(docs, chain).select(
+        "doc_id", "p_quality", "p_toxic", (F.col("p_toxic") > toxicity.THRESHOLD).alias("toxic"))
+
+
 def pack_documents(docs: DataFrame) -> DataFrame:
     """The pieces of ``docs`` with a checksum of their ids and their places in sequences."""
     pieces = packing.token_pieces(docs, _tokenizer("byte_bpe_50k.json"))
@@ -75,4 +88,26 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op3_packing, op4_token_files, op5_simhash, op6_exact_dedup, op7_secrets)}
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is what is labelled as of good quality, the background all other documents."""
+    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("_target", F.lit(True))
+    return lm_score.score(_table(spark, sf_dir, "documents").join(good, "doc_id", "left"), "_target")
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = bit_slices.quantised(_table(spark, sf_dir, "embeddings"))
+    return bit_slices.top_k(vectors, vectors.where("id % 50 = 0")).select(
+        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = _tokenizer("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode_texts(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.token_digests(encoded, ranks)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_chat, op2_toxicity, op3_packing, op4_token_files, op5_simhash, op6_exact_dedup, op7_secrets, op8_lm_score, op9_top_k,
+    op10_bpe)}
