@@ -92,9 +92,10 @@ def exact_groups(
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document stays, with all their columns."""
-    dropped = (
-        exact_groups(docs, id_col, text_col).where(~F.col("kept"))
-        .select(F.col(id_col).alias("_dropped")).distinct()
-    )
-    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col("_dropped")), "left_anti")
+    """The rows of ``docs`` that stay, with all their columns; ids may be NULL or repeat."""
+    groups = exact_groups(docs, id_col, text_col, digest=True)
+    dropped = groups.where(~F.col("kept")).select(
+        F.col(id_col).alias("_dropped"), F.col("text_sha256").alias("_sha256")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("_dropped")) & (
+        F.sha2(ascii_lower(whole(F.col(text_col))), 256) == F.col("_sha256"))
+    return docs.join(dropped, same, "left_anti")

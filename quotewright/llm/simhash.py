@@ -117,6 +117,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component; rows without id go."""
-    kept = near_duplicates(docs, id_col, text_col, words).where(F.col(id_col) == F.col("component_id"))
-    return docs.join(kept.select(id_col).distinct(), id_col, "left_semi")
+    """``docs`` without the rows whose id is not the smallest of their component.
+
+    A repeated id is one document, which stays if one of its rows does. Rows without id stay.
+    """
+    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, words).where(F.col(id_col).isNotNull())
+    dropped = found.groupBy(F.col(id_col).alias("_dropped")).agg(
+        F.bool_and(F.col(id_col) != F.col("component_id")).alias("_all")).where("_all")
+    return docs.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")

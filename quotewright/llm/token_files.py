@@ -202,5 +202,6 @@ def read_token_files(spark: SparkSession, folder: str, wanted: DataFrame | None
     rows = index if wanted is None else index.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     placed = rows.join(parts, "part").select(
         "doc_id", "part", "start", "n_tokens", (F.col("start") + F.col("_before")).alias("global_start"))
-    return placed.repartition("part").sortWithinPartitions("part", "start").mapInArrow(
+    # A fixed number of partitions: Spark sees the small index, not the files that are read for it.
+    return placed.repartition(max(1, parts.count()), "part").sortWithinPartitions("part", "start").mapInArrow(
         _read(folder), "doc_id long, start long, n_tokens long, ids binary")

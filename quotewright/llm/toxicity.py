@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], id_co
     if words:
         rows[cells["_key"].map(place), cells["column"]] = strength(cells["n"])
     folds = np.arange(len(answers)) * 2654435761 % (1 << 32) % FOLDS
-    weights = fit_chain(rows, answers[list(categories)].to_numpy(np.float64).reshape(len(answers), -1), folds)
+    weights = fit_chain(rows, answers[list(categories)].to_numpy(np.float64).reshape(-1, len(categories)), folds)
     return Chain(tuple(categories), words, weights)
 
 
