@@ -27,11 +27,13 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotewright.llm.store import per_worker
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MOST_STATES = 30_000
-MOST_PAIRS = 1_000_000
-CACHED_PARTS = 400_000
+MOST_PAIRS = 400_000
+CACHED_PARTS = 300_000  # of one generation
 DECODED_AT_ONCE = 1 << 16
 SPACE_RUN = re.compile(r"\s ")
 CUT = re.compile(r"(?<=\S) ")
@@ -86,7 +88,7 @@ class Transducer:
                     self.ends.append(-1)
                 node = below
             self.ends[node] = rank
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}  # by (left + 1) << 32 | right
         self.split: dict[int, tuple[int, int] | None] = {}
         self.states: dict[tuple, State] = {}
         self.start = self._state(-1, (((), 0),))
@@ -114,12 +116,13 @@ class Transducer:
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether ``right`` may follow ``left`` (-1: begin the input)."""
-        known = self.follows.get((left, right))
+        pair = left + 1 << 32 | right
+        known = self.follows.get(pair)
         if known is None:
             if len(self.follows) > MOST_PAIRS:
                 self.follows.clear()
             known = self._halves(right) is not None and (left < 0 or self._stay_apart(left, right))
-            self.follows[left, right] = known
+            self.follows[pair] = known
         return known
 
     def _stay_apart(self, left: int, right: int) -> bool:
@@ -185,13 +188,14 @@ class Transducer:
         last = [-1] * (len(data) + 1)
         for i in range(len(data)):
             before, node = last[i], 0
+            pairs = before + 1 << 32
             for j in range(i, len(data)):
                 node = children[node].get(data[j])
                 if node is None:
                     break
                 token = ends[node]
                 if token >= 0 and last[j + 1] < 0:  # the encoding of a prefix is unique
-                    fits = follows.get((before, token))
+                    fits = follows.get(pairs | token)
                     if fits or fits is None and self.may_follow(before, token):
                         last[j + 1] = token
         out, end = [], len(data)
@@ -296,7 +300,7 @@ def _token_list(ranks: dict[bytes, int]) -> list[bytes]:
 
 def _encode(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(read_ranks(path), pattern)
+        encoder = per_worker(("bpe", path, pattern), lambda: Encoder(read_ranks(path), pattern))
         for batch in batches:
             first, ids, size = 0, [], 0
             for i, text in enumerate(batch.column(1)):
@@ -321,7 +325,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
 
 def _digest(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _token_list(read_ranks(path))
+        tokens = per_worker(("tokens", path), lambda: _token_list(read_ranks(path)))
         for batch in batches:
             counts, encoded, decoded = [], [], []
             for row in batch.column(1):
@@ -348,7 +352,7 @@ def token_digests(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -
 
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _token_list(read_ranks(path))
+        tokens = per_worker(("tokens", path), lambda: _token_list(read_ranks(path)))
         for batch in batches:
             texts = ["".join(decode_stream(np.frombuffer(x.as_py(), "<u4"), tokens)) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_id", "text"])

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 import quotewright.llm.tokens
+from quotewright.llm.store import per_worker
 from quotewright.llm.tokens import PartTokenizer
 
 for _module in (__name__, quotewright.llm.tokens.__name__):
@@ -33,7 +34,7 @@ PLAN = "length int, runs array<struct<first:long,last:long,sequence:long,offsets
 
 def _pieces(path: str, capacity: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = PartTokenizer(path)
+        tokenizer = per_worker(("parts", path), lambda: PartTokenizer(path))
         end = np.array([end_id], "<u4").tobytes()
         columns = ("_id", "piece", "start", "length", "ids")
         for batch in batches:

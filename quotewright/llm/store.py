@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
+from types import ModuleType
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -20,3 +22,14 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def per_worker(key: tuple, make: Callable):
+    """``make()``, once in a Python worker process and key; for look-up tables that tasks can share.
+
+    Code is sent to the workers by value, so that a module's own globals do not outlive a task.
+    """
+    kept = sys.modules.setdefault("quotewright_per_worker", ModuleType("quotewright_per_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

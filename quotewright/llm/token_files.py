@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import quotewright.llm.tokens
+from quotewright.llm.store import per_worker
 from quotewright.llm.tokens import PartTokenizer
 
 for _module in (__name__, quotewright.llm.tokens.__name__):
@@ -122,7 +123,7 @@ def _write(folder: str, tokenizer_path: str, end_id: int, frame_bytes: int):
         system, root = fs.FileSystem.from_uri(folder)
         part = TaskContext.get().partitionId()
         unfinished = f"{root}/unfinished-{uuid.uuid4().hex}"
-        tokenizer, end = PartTokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        tokenizer, end = per_worker(("parts", tokenizer_path), lambda: PartTokenizer(tokenizer_path)), np.array([end_id], "<u4").tobytes()
         writer = stream = None
         for batch in batches:
             ids, starts, counts = batch.column(0), [], []
