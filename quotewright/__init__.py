@@ -2,7 +2,8 @@
 
 from quotewright.operators.cart import add_items, add_services, remove_lines, reprice
 from quotewright.operators.catalog import (
-    price_items_long, price_items_wide, price_services_long, price_services_wide,
+    label_names, price_items_by_label, price_items_long, price_items_wide, price_services_by_label,
+    price_services_long, price_services_wide,
 )
 from quotewright.operators.discounts import (
     apply_edits, bulk_amount, bulk_percent, edit_amount, edit_percent, edit_quantity, replay_edits,
@@ -34,8 +35,8 @@ __all__ = [
     "edit_percent", "edit_quantity", "eligible_item_counts", "eligible_items",
     "eligible_service_counts", "eligible_services", "filter_items", "filter_services",
     "grand_total_text", "ingest_workbooks", "invoice_lines", "invoice_totals", "load_price_book",
-    "multiplier_reference", "price_book", "price_items_long", "price_items_wide",
-    "price_services_long", "price_services_wide", "protocol_choices", "quote_header", "quote_lines",
+    "label_names", "multiplier_reference", "price_book", "price_items_by_label", "price_items_long",
+    "price_items_wide", "price_services_by_label", "price_services_long", "price_services_wide", "protocol_choices", "quote_header", "quote_lines",
     "quote_totals", "quote_view", "read_price_book", "remove_lines", "replay_edits", "reprice",
     "resolve_edits", "run_to_table", "stream_edits", "stream_summaries", "supplier_discount",
     "surcharge_labels", "surcharge_rejects", "tune", "workbook_rejects", "workbook_sheets",

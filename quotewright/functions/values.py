@@ -50,9 +50,14 @@ def is_set(c: Column) -> Column:
 
 
 def plain_number(c: Column, digits: int = 10) -> Column:
-    """Shortest plain decimal text: 15.0 -> '15', 0.07 * 100 -> '7'."""
-    text = F.round(c, digits).cast(f"decimal(28,{digits})").cast("string")
-    return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
+    """Shortest plain decimal text: 15.0 -> '15', 0.07 * 100 -> '7'.
+
+    From 10^18 on there are no decimals to show: whole numbers, and beyond 38 digits the
+    exponent form of a double.
+    """
+    text = F.round(c, digits).try_cast(f"decimal(28,{digits})").cast("string")
+    short = F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
+    return F.coalesce(short, c.try_cast("decimal(38,0)").cast("string"), c.cast("string"))
 
 
 def fixed_cents(c: Column, grouped: bool = False) -> Column:
@@ -61,11 +66,16 @@ def fixed_cents(c: Column, grouped: bool = False) -> Column:
     return text if grouped else F.replace(text, F.lit(","), F.lit(""))
 
 
-def money(c: Column) -> Column:
-    """Six-decimal form for sums: adding decimals does not depend on row order."""
-    return c.cast("decimal(18,6)")
-
-
 def total(c: Column) -> Column:
-    """Order-independent sum of a double column; 0 when there is nothing to add."""
-    return F.coalesce(F.sum(money(c)).cast("double"), F.lit(0.0))
+    """Sum of a double column; 0 when there is nothing to add, NaN counts as nothing.
+
+    Amounts below 10^21 are added as decimals with six places, which does not depend on row
+    order; those below 10^11, nearly all, in a form that is faster. Larger ones are added as
+    doubles. No amount ends the job or is left out.
+    """
+    size = F.abs(c)
+    small = F.sum(F.when(size < 1e11, c).cast("decimal(18,6)")).cast("double")
+    wide = F.sum(F.when((size >= 1e11) & (size < 1e21), c).cast("decimal(28,6)")).cast("double")
+    rest = F.sum(F.when((size >= 1e21) & ~F.isnan(c), c))
+    zero = F.lit(0.0)
+    return F.coalesce(small, zero) + F.coalesce(wide, zero) + F.coalesce(rest, zero)

@@ -58,7 +58,10 @@ def add_services(cart: DataFrame, picks: DataFrame) -> DataFrame:
     return cart.unionByName(new_service_lines(fresh))
 
 
-def remove_lines(cart: DataFrame, removals: DataFrame) -> DataFrame:
+def remove_lines(cart: DataFrame, removals: DataFrame | Column) -> DataFrame:
+    """The cart without the lines in ``removals``: a table of line keys, or a condition."""
+    if isinstance(removals, Column):
+        return cart.where(~F.coalesce(removals, F.lit(False)))
     return cart.join(removals.select(*LINE_KEY), LINE_KEY, "left_anti")
 
 

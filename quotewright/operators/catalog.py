@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from quotewright.schemas import BOOK
 
-# Labels become columns, so there can only be as many as a schema takes.
-MAX_LABEL_COLUMNS = 1000
-
 
 def _item_price(multiplier: Column) -> Column:
     flat = F.col("base_cost") + F.col("add_cost")
@@ -40,22 +37,39 @@ def price_services_long(services: DataFrame, multipliers: DataFrame) -> DataFram
 
 
 def label_names(multipliers: DataFrame) -> list[str]:
-    """Distinct labels, which name the columns of a wide catalog. Asks Spark for at most
-    one more than can be columns, and refuses rather than leave one out."""
-    rows = (
-        multipliers.groupBy("label").agg(F.min("label_ix").alias("first"))
-        .orderBy("first", "label").take(MAX_LABEL_COLUMNS + 1)
-    )
-    if len(rows) > MAX_LABEL_COLUMNS:
-        raise ValueError(f"more than {MAX_LABEL_COLUMNS} labels: use the long form")
-    return [r["label"] for r in rows]
+    """Distinct labels in sheet order, as names for the columns of a wide catalog.
+
+    They are brought to the driver: call it for the books a wide catalog is meant for. Many
+    books with labels of their own fit :func:`price_items_by_label`.
+    """
+    rows = multipliers.groupBy("label").agg(F.min("label_ix").alias("first")).orderBy("first", "label")
+    return [r["label"] for r in rows.collect()]
+
+
+def _by_label(catalog: DataFrame, multipliers: DataFrame, price) -> DataFrame:
+    """Labels are collected per book, and so are as many as one sheet has."""
+    own = F.sort_array(F.collect_list(F.struct("label_ix", "label", "multiplier")))
+    per_book = multipliers.groupBy(BOOK).agg(own.alias("__labels"))
+    prices = F.transform("__labels", lambda m: F.struct(
+        m["label"].alias("label"), price(m["multiplier"]).alias("price")))
+    return catalog.join(per_book, BOOK, "left").withColumn(
+        "prices", F.coalesce(prices, F.array())).drop("__labels")
+
+
+def price_items_by_label(items: DataFrame, multipliers: DataFrame) -> DataFrame:
+    """One row per item with ``prices``, an array of (label, price) in the order of its book."""
+    return _by_label(items, multipliers, _item_price)
+
+
+def price_services_by_label(services: DataFrame, multipliers: DataFrame) -> DataFrame:
+    return _by_label(services, multipliers, _service_price)
 
 
-def _wide(catalog: DataFrame, multipliers: DataFrame, labels: Sequence[str] | None,
+def _wide(catalog: DataFrame, multipliers: DataFrame, labels: Sequence[str],
           price, keep: Sequence[Column]) -> DataFrame:
     """The multipliers are pivoted, one row per book, and not the catalog: its rows meet
     all their label columns in a single join."""
-    labels = list(labels) if labels is not None else label_names(multipliers)
+    labels = list(labels)
     if not labels:
         return catalog.select(*keep)
     per_book = multipliers.groupBy(BOOK).pivot("label", labels).agg(
@@ -69,14 +83,14 @@ def _wide(catalog: DataFrame, multipliers: DataFrame, labels: Sequence[str] | No
 
 
 def price_items_wide(items: DataFrame, multipliers: DataFrame,
-                     labels: Sequence[str] | None = None) -> DataFrame:
-    """One price column per label; NULL where the book does not have the label."""
+                     labels: Sequence[str]) -> DataFrame:
+    """One price column for each of ``labels``; NULL where the book does not have the label."""
     keep = [F.col(BOOK), F.col("product_code").alias("code"), F.col("brand"), F.col("item"),
             F.col("description")]
     return _wide(items, multipliers, labels, _item_price, keep)
 
 
 def price_services_wide(services: DataFrame, multipliers: DataFrame,
-                        labels: Sequence[str] | None = None) -> DataFrame:
+                        labels: Sequence[str]) -> DataFrame:
     keep = [F.col(c) for c in (BOOK, "grp", "service", "description")]
     return _wide(services, multipliers, labels, _service_price, keep)

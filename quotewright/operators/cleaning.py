@@ -53,15 +53,19 @@ def clean_services(raw: DataFrame) -> DataFrame:
     ).where(F.col("base_price").isNotNull())
 
 
+# A date that starts with year, month and day; what follows, such as a time, is ignored.
+DATE_PATTERN = r"^\s*(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:\D.*)?$"
+SERIAL_PATTERN = r"^\d{1,6}(\.\d+)?$"
+
+
 def _end_date(raw: DataFrame) -> Column:
     c = F.col("end_date")
     if not isinstance(raw.schema["end_date"].dataType, T.StringType):
         return c.cast("date")
     # Workbooks store a date as the number of days since 1899-12-30.
     serial = F.date_add(F.lit(dt.date(1899, 12, 30)), F.floor(c.try_cast("double")).cast("int"))
-    return F.when(c.rlike(r"^\d{1,6}(\.\d+)?$"), serial).otherwise(
-        F.coalesce(F.try_to_date(c, "yyyy-MM-dd"), F.try_to_date(c, "yyyy/MM/dd"))
-    )
+    written = F.concat_ws("-", *[F.regexp_extract(c, DATE_PATTERN, i) for i in (1, 2, 3)])
+    return F.when(c.rlike(SERIAL_PATTERN), serial).when(c.rlike(DATE_PATTERN), written.try_cast("date"))
 
 
 def discount_display(supplier: Column, label: Column, amount: Column, kind: Column) -> Column:
@@ -72,20 +76,36 @@ def discount_display(supplier: Column, label: Column, amount: Column, kind: Colu
     return F.concat_ws(" | ", fill_null(supplier, "NA"), fill_null(label, "NA"), shown)
 
 
+def _discount_columns(raw: DataFrame, as_of: dt.date | None) -> DataFrame:
+    end_date, amount = _end_date(raw), number(raw, "amount")
+    return raw.select(
+        BOOK, ROW, "supplier", "label", amount.alias("amount"), F.lower("type").alias("type"),
+        end_date.alias("end_date"), (F.lit(as_of) if as_of else F.current_date()).alias("today"),
+        # Written but unreadable: such a row must not pass as one without an end.
+        F.when(F.col("end_date").isNotNull() & end_date.isNull(), "end_date is not a date")
+        .when(F.col("amount").isNotNull() & amount.isNull(), "amount is not a number").alias("reason"),
+        F.col("end_date").cast("string").alias("end_date_text"), F.col("amount").cast("string").alias("amount_text"),
+    )
+
+
 def clean_discounts(raw: DataFrame, as_of: dt.date | None = None) -> DataFrame:
-    """Discounts in force on ``as_of`` (today if not given); no end date means open."""
-    today = F.lit(as_of) if as_of else F.current_date()
-    kind = F.lower("type")
-    amount = number(raw, "amount")
+    """Discounts in force on ``as_of`` (today if not given); no end date means open. Rows with
+    an unreadable date or amount go to :func:`discount_rejects`."""
     return (
-        raw.select(BOOK, ROW, "supplier", "label", amount.alias("amount"), kind.alias("type"),
-                   F.coalesce(_end_date(raw), today).alias("end_date"))
-        .where(F.col("type").isNotNull() & (F.col("amount") > 0) & (F.col("end_date") >= today))
-        .drop("end_date")
+        _discount_columns(raw, as_of)
+        .where(F.col("reason").isNull() & F.col("type").isNotNull() & (F.col("amount") > 0)
+               & (F.coalesce("end_date", "today") >= F.col("today")))
+        .select(BOOK, ROW, "supplier", "label", "amount", "type")
         .withColumn("display_text", discount_display(
             F.col("supplier"), F.col("label"), F.col("amount"), F.col("type")))
     )
 
 
+def discount_rejects(raw: DataFrame) -> DataFrame:
+    """Discount rows whose end date or amount is written but cannot be read."""
+    return _discount_columns(raw, None).where(F.col("reason").isNotNull()).select(
+        BOOK, ROW, "supplier", "end_date_text", "amount_text", "reason")
+
+
 def surcharge_rows(raw: DataFrame, kind: str) -> DataFrame:
     return raw.where(F.col("type") == kind)

@@ -65,23 +65,28 @@ def _editable() -> Column:
             & F.col("disc_pct").isNotNull())
 
 
-def apply_edits(cart: DataFrame, edits: DataFrame) -> DataFrame:
-    """Apply at most one edit (``kind``, ``value``) per line. An edit with a negative or
-    missing value changes nothing."""
-    joined = cart.join(
-        edits.select(*LINE_KEY, F.col("kind").alias("__kind"), F.col("value").alias("__value")),
-        LINE_KEY, "left",
-    ).where(F.coalesce(F.col("__kind") != "remove", F.lit(True)))
+def _apply(lines: DataFrame, columns: list[str], kind: Column, value: Column) -> DataFrame:
+    """One edit, given by two columns, on every line of ``lines``; NULL ``kind``: none."""
+    lines = lines.withColumns({"__kind": kind, "__value": value}).where(
+        F.coalesce(F.col("__kind") != "remove", F.lit(True)))
     valid = F.col("__kind").isin("qty", "pct", "amt") & _ordinary(F.col("__value")) & _editable()
     line = _edited(F.col("unit_price"), F.col("quantity"), F.col("disc_pct"),
                    F.col("__kind"), F.col("__value"))
     new = line._asdict()
-    return joined.withColumn("__valid", F.coalesce(valid, F.lit(False))).select(*[
+    return lines.withColumn("__valid", F.coalesce(valid, F.lit(False))).select(*[
         F.when(F.col("__valid"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c)
-        for c in cart.columns
+        for c in columns
     ])
 
 
+def apply_edits(cart: DataFrame, edits: DataFrame) -> DataFrame:
+    """Apply at most one edit (``kind``, ``value``) per line. An edit with a negative or
+    missing value changes nothing."""
+    joined = cart.join(
+        edits.select(*LINE_KEY, F.col("kind").alias("__k"), F.col("value").alias("__v")), LINE_KEY, "left")
+    return _apply(joined, cart.columns, F.col("__k"), F.col("__v"))
+
+
 def edit_quantity(cart: DataFrame, edits: DataFrame) -> DataFrame:
     """New quantities (``quote_id``, ``cart_id``, ``value``); the percentages stay."""
     return apply_edits(cart, edits.withColumn("kind", F.lit("qty")))
@@ -97,19 +102,22 @@ def edit_amount(cart: DataFrame, edits: DataFrame) -> DataFrame:
     return apply_edits(cart, edits.withColumn("kind", F.lit("amt")))
 
 
-def _to_selection(cart: DataFrame, selection: DataFrame, kind: str, value: Column) -> DataFrame:
+def _to_selection(cart: DataFrame, selection: DataFrame | Column, kind: str, value: Column) -> DataFrame:
+    """``selection`` is a table of line keys, or a condition on the cart, which needs no join."""
+    if isinstance(selection, Column):
+        return _apply(cart, cart.columns, F.when(selection, kind), value)
     chosen = selection.select(*LINE_KEY).distinct()
     return apply_edits(cart, chosen.withColumns({"kind": F.lit(kind), "value": value}))
 
 
-def bulk_percent(cart: DataFrame, selection: DataFrame, pct: float) -> DataFrame:
+def bulk_percent(cart: DataFrame, selection: DataFrame | Column, pct: float) -> DataFrame:
     """The same percentage on every selected line; nothing unless 0 <= pct <= 100."""
     if not 0 <= pct <= 100:
         return cart
     return _to_selection(cart, selection, "pct", F.lit(float(pct)))
 
 
-def bulk_amount(cart: DataFrame, selection: DataFrame, amount: float) -> DataFrame:
+def bulk_amount(cart: DataFrame, selection: DataFrame | Column, amount: float) -> DataFrame:
     """The full amount off every selected line (it is not shared out)."""
     if not amount >= 0:
         return cart
@@ -130,23 +138,38 @@ def ambiguous_discounts(discounts: DataFrame) -> DataFrame:
     return discount_lookup(discounts).where("ambiguous").select(BOOK, "display_text")
 
 
-def supplier_edits(requests: DataFrame, quotes: DataFrame, discounts: DataFrame) -> DataFrame:
-    """Requests that name a discount by its text -> the edit each amounts to."""
-    usable = discount_lookup(discounts).where(~F.col("ambiguous") & F.col("known"))
+def _usable(discounts: DataFrame) -> DataFrame:
+    """(book, display_text) -> the edit that naming the discount amounts to."""
     kind = F.when(F.col("percentage"), "pct").otherwise("amt")
     value = F.when(F.col("percentage"), F.col("amount") * 100.0).otherwise(F.col("amount"))
+    return discount_lookup(discounts).where(~F.col("ambiguous") & F.col("known")).select(
+        BOOK, "display_text", kind.alias("kind"), value.alias("value"))
+
+
+def supplier_edits(requests: DataFrame, quotes: DataFrame, discounts: DataFrame) -> DataFrame:
+    """Requests that name a discount by its text -> the edit each amounts to."""
     kept = [c for c in requests.columns if c != "display_text"]
     return (
         requests.join(quotes.select("quote_id", BOOK), "quote_id")
-        .join(usable, [BOOK, "display_text"])
-        .select(*kept, kind.alias("kind"), value.alias("value"))
+        .join(_usable(discounts), [BOOK, "display_text"])
+        .select(*kept, "kind", "value")
     )
 
 
-def supplier_discount(cart: DataFrame, selection: DataFrame, quotes: DataFrame,
+def supplier_discount(cart: DataFrame, selection: DataFrame | Column, quotes: DataFrame,
                       discounts: DataFrame) -> DataFrame:
-    """Apply to each selected line (``quote_id``, ``cart_id``, ``display_text``) the named
-    discount of its quote's price book. The line's brand does not matter."""
+    """Apply to each selected line the named discount of its quote's price book.
+
+    ``selection`` is a table (``quote_id``, ``cart_id``, ``display_text``), or an expression
+    over the cart that gives each line's text, NULL where it is not selected; then the
+    cart needs no second reading. The line's brand does not matter.
+    """
+    if isinstance(selection, Column):
+        books = quotes.select("quote_id", F.col(BOOK).alias("__book"))
+        usable = _usable(discounts).toDF("__book", "__text", "__k", "__v")
+        named = cart.withColumn("__text", selection).join(books, "quote_id", "left")
+        return _apply(named.join(usable, ["__book", "__text"], "left"), cart.columns,
+                      F.col("__k"), F.col("__v"))
     return apply_edits(cart, supplier_edits(
         selection.select(*LINE_KEY, "display_text").distinct(), quotes, discounts))
 

@@ -217,9 +217,10 @@ def protocol_choices(items: DataFrame, services: DataFrame, application: str = A
     return _choices(tags(items).unionByName(tags(services)), ALL_PROTOCOLS)
 
 
-def choice_list(df: DataFrame, column: str) -> DataFrame:
-    """Sorted distinct non-NULL values of a column, per book."""
-    return (
-        df.select(BOOK, F.col(column).alias("choice"))
-        .where(F.col("choice").isNotNull()).distinct().orderBy(BOOK, "choice")
-    )
+def choice_list(df: DataFrame, column: str, first: str = ALL) -> DataFrame:
+    """Sorted distinct non-NULL values of a column, per book, after the entry that restricts
+    nothing: ``All`` for filters, an empty text for discounts and surcharges."""
+    entries = F.array(F.struct(F.lit(0).alias("ord"), F.lit(first).alias("choice")),
+                      F.struct(F.lit(1).alias("ord"), F.col("value").alias("choice")))
+    values = df.select(BOOK, F.col(column).alias("value")).where("value IS NOT NULL").distinct()
+    return values.select(BOOK, F.inline(entries)).distinct().orderBy(BOOK, "ord", "choice")

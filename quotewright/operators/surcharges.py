@@ -10,9 +10,6 @@ from quotewright.functions.values import is_set, number, plain_number
 from quotewright.operators.cleaning import surcharge_rows
 from quotewright.schemas import BOOK, PRICE_LIST, PROCESSING, ROW
 
-# Rows of one book that are multiplied in one task; longer sheets are cut into blocks.
-BLOCK_ROWS = 4096
-
 # What the two multipliers of a quote are called.
 ITEM_CATEGORY = "Items (Consumables)"
 SERVICE_CATEGORY = "Processing Services"
@@ -24,7 +21,7 @@ def _last_wins(rows: DataFrame, value: str) -> DataFrame:
     return (
         rows.where(is_set(F.col("label")))
         .groupBy(BOOK, "label")
-        .agg(F.max_by(value, ROW).alias("multiplier"), F.min(ROW).cast("int").alias("label_ix"))
+        .agg(F.max_by(value, ROW).alias("multiplier"), F.min(ROW).alias("label_ix"))
     )
 
 
@@ -33,41 +30,24 @@ def item_multipliers(raw: DataFrame) -> DataFrame:
     return _last_wins(rows.withColumn("amount", number(rows, "amount")), "amount")
 
 
-def running_product(rows: DataFrame, value: str, out: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def running_product(rows: DataFrame, value: str, out: str) -> DataFrame:
     """Product of ``value`` from the first row of the book up to each row, in sheet
     order; NULL from the first NULL on.
 
-    Rows are multiplied inside blocks of the row index, then the blocks' products
-    are carried forward, so no task ever holds more than a block of rows or one
-    number per block of a book.
+    Rounding makes a product depend on its order, so the rows of a book are multiplied one
+    after the other in one task. They stream through it and spill; a sheet of a workbook has
+    at most 2^20 rows. Books run side by side.
     """
-    so_far = W.unboundedPreceding
-    block = F.floor(F.col(ROW) / block_rows).alias("__block")
-    inside = W.partitionBy(BOOK, "__block").orderBy(ROW).rowsBetween(so_far, W.currentRow)
-    local = rows.select("*", block).select(
-        "*",
-        F.product(value).over(inside).alias("__product"),
-        F.max(F.col(value).isNull()).over(inside).alias("__hole"),
-    )
-    earlier = W.partitionBy(BOOK).orderBy("__block").rowsBetween(so_far, -1)
-    carried = (
-        local.groupBy(BOOK, "__block")
-        .agg(F.max_by("__product", ROW).alias("__product"), F.max("__hole").alias("__hole"))
-        .select(
-            BOOK, "__block",
-            F.coalesce(F.product("__product").over(earlier), F.lit(1.0)).alias("__carry"),
-            F.coalesce(F.max("__hole").over(earlier), F.lit(False)).alias("__carry_hole"),
-        )
-    )
-    whole = F.when(~F.col("__hole") & ~F.col("__carry_hole"), F.col("__carry") * F.col("__product"))
-    return local.join(carried, [BOOK, "__block"]).select(*rows.columns, whole.alias(out))
+    so_far = W.partitionBy(BOOK).orderBy(ROW).rowsBetween(W.unboundedPreceding, W.currentRow)
+    whole = F.when(~F.max(F.col(value).isNull()).over(so_far), F.product(value).over(so_far))
+    return rows.withColumn(out, whole)
 
 
-def service_multipliers(raw: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def service_multipliers(raw: DataFrame) -> DataFrame:
     """Processing surcharges stack: each label stands for the product up to its row."""
     rows = surcharge_rows(raw, PROCESSING)
     rows = rows.withColumn("amount", number(rows, "amount"))
-    return _last_wins(running_product(rows, "amount", "cumulative", block_rows), "cumulative")
+    return _last_wins(running_product(rows, "amount", "cumulative"), "cumulative")
 
 
 def surcharge_labels(multipliers: DataFrame) -> DataFrame:

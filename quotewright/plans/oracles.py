@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 from quotewright.functions.values import NUMBER_PATTERN
+from quotewright.operators.cleaning import DATE_PATTERN, SERIAL_PATTERN
 from quotewright.operators.totals import HEADER, QUOTE_LINES, QUOTE_VIEW
 from quotewright.plans.views import VIEWS, view_sql
 
@@ -40,11 +41,22 @@ def has(list_: str, selected: str, wildcard: str) -> str:
             f"OR list_contains({list_}, '{wildcard}'))")
 
 
+def day(c: str) -> str:
+    part = "lpad(regexp_extract({0}, '{1}', {2}), 2, '0')"
+    y, m, d = (part.format(c, DATE_PATTERN, i) for i in (1, 2, 3))
+    y = f"regexp_extract({c}, '{DATE_PATTERN}', 1)"
+    return (f"CASE WHEN regexp_matches({c}, '{SERIAL_PATTERN}') "
+            f"THEN DATE '1899-12-30' + CAST(floor(TRY_CAST({c} AS DOUBLE)) AS INTEGER) "
+            f"WHEN regexp_matches({c}, '{DATE_PATTERN}') "
+            f"THEN TRY_CAST({y} || '-' || {m} || '-' || {d} AS DATE) END")
+
+
 def discounts(source: str) -> str:
     return f"""
 SELECT *, {display('supplier', 'label', 'amount', 'type')} AS display_text
-FROM (SELECT book_id, row_ix, supplier, label, amount, lower(type) AS type FROM {source}
-      WHERE type IS NOT NULL AND amount > 0 AND coalesce(end_date, {AS_OF}) >= {AS_OF})"""
+FROM (SELECT book_id, row_ix, supplier, label, amount, lower(type) AS type
+      FROM (SELECT *, {day('end_date')} AS ends FROM {source})
+      WHERE type IS NOT NULL AND amount > 0 AND (end_date IS NULL OR ends >= {AS_OF}))"""
 
 
 def edited(kind: str, value: str) -> str:
@@ -86,14 +98,11 @@ SELECT book_id, brand, item, {tags('application', 'ALL_APPLICATIONS')} AS applic
     "stags": f"""
 SELECT book_id, service, {tags('application', 'ALL_APPLICATIONS')} AS application,
   {tags('protocol', 'ALL_PROTOCOLS')} AS protocol FROM services_raw""",
-    "itags_strict": f"""
-SELECT book_id, brand, item, {tags('application', 'ALL_APPLICATIONS')} AS application,
-  {tags('protocol', 'ALL_PROTOCOLS')} AS protocol
-FROM items_raw WHERE application IS NOT NULL AND protocol IS NOT NULL""",
+    "picky_quotes": "SELECT * REPLACE ('nope' AS protocol) FROM quotes",
     "discounts": discounts("discounts_raw"),
     "imults": """
 SELECT book_id, label, arg_max(struct_pack(a := amount), row_ix).a AS multiplier,
-  CAST(min(row_ix) AS INTEGER) AS label_ix
+  min(row_ix) AS label_ix
 FROM surcharges_raw WHERE type = 'PRICE_LIST' GROUP BY book_id, label""",
     "stacked": """
 SELECT *, CASE WHEN max(CASE WHEN amount IS NULL THEN 1 ELSE 0 END) OVER w = 0
@@ -102,7 +111,7 @@ FROM surcharges_raw WHERE type = 'PROCESSING'
 WINDOW w AS (PARTITION BY book_id ORDER BY row_ix ROWS UNBOUNDED PRECEDING)""",
     "smults": """
 SELECT book_id, label, arg_max(struct_pack(a := cumulative), row_ix).a AS multiplier,
-  CAST(min(row_ix) AS INTEGER) AS label_ix
+  min(row_ix) AS label_ix
 FROM stacked GROUP BY book_id, label""",
     "params": """
 SELECT quotes.*, im.multiplier AS item_mult, sm.multiplier AS service_mult,
@@ -175,11 +184,16 @@ FROM (SELECT *, CASE WHEN kind = 'amt' THEN value ELSE g * (p / 100::DOUBLE) END
     "replayed": """
 SELECT quote_id, cart_id, unit_price, quantity, disc_pct, disc_amt, final_total
 FROM (SELECT *, row_number() OVER (PARTITION BY quote_id, cart_id ORDER BY nth DESC) AS back FROM walk)
-WHERE back = 1 AND (quote_id, cart_id) NOT IN (SELECT (quote_id, cart_id) FROM valid WHERE kind = 'remove')""",
-    "shapes": """
-SELECT DISTINCT book_id, application, protocol, brand_filter, category_filter, group_filter FROM quotes""",
+ANTI JOIN (SELECT quote_id, cart_id FROM valid WHERE kind = 'remove') r USING (quote_id, cart_id)
+WHERE back = 1""",
 }
-RECURSIVE = {"walk"}
+# The same walk over the edits of one kind.
+KINDS = {"qty": "edit_quantity", "pct": "edit_percent", "amt": "edit_amount"}
+for kind in KINDS:
+    STEPS[f"valid_{kind}"] = f"SELECT * FROM valid WHERE kind = '{kind}'"
+    for step in ("numbered", "walk", "replayed"):
+        STEPS[f"{step}_{kind}"] = re.sub(r"\b(valid|numbered|walk)\b", rf"\1_{kind}", STEPS[step])
+RECURSIVE = {"walk", *(f"walk_{kind}" for kind in KINDS)}
 
 
 def with_steps(sql: str) -> str:
@@ -226,14 +240,17 @@ SELECT c.* FROM {catalog} c WHERE {extra} AND (
   OR NOT EXISTS (SELECT 1 FROM {tag_table} t WHERE t.book_id = c.book_id AND {match}))"""
 
 
-def eligible(catalog: str, tag_table: str, name: list[str], filters: dict[str, str]) -> str:
+def eligible(catalog: str, tag_table: str, name: list[str], filters: dict[str, str],
+             source: str = "quotes") -> str:
     match = (f"{has('t.application', 'c.application', 'ALL_APPLICATIONS')} AND "
              f"{has('t.protocol', 'c.protocol', 'ALL_PROTOCOLS')}")
     names = ", ".join(f"t.{n}" for n in name)
     same = " AND ".join(f"h.{n} = k.{n}" for n in name)
     keep = " AND ".join(f"(s.{f} = 'All' OR s.{f} = k.{c})" for f, c in filters.items())
     return f"""
-, combos AS (SELECT DISTINCT book_id, application, protocol FROM quotes),
+, combos AS (SELECT DISTINCT book_id, application, protocol FROM {source}),
+shapes AS (SELECT DISTINCT book_id, application, protocol, brand_filter, category_filter, group_filter
+  FROM {source}),
 hits AS (SELECT DISTINCT c.book_id, c.application, c.protocol, {names}
   FROM combos c JOIN {tag_table} t ON t.book_id = c.book_id WHERE {match}),
 shown AS (
@@ -245,7 +262,7 @@ shown AS (
 answers AS (SELECT s.*, (SELECT count(*) FROM shown k WHERE k.book_id = s.book_id
     AND k.application = s.application AND k.protocol = s.protocol AND {keep}) AS n
   FROM shapes s)
-SELECT quote_id, n AS n_eligible FROM quotes JOIN answers USING
+SELECT quote_id, n AS n_eligible FROM {source} JOIN answers USING
   (book_id, application, protocol, brand_filter, category_filter, group_filter)"""
 
 
@@ -256,8 +273,11 @@ UNION ALL
 SELECT DISTINCT book_id, 1, choice FROM ({parts}) WHERE choice NOT IN ('ALL_APPLICATIONS', 'ALL_PROTOCOLS')"""
 
 
-def distinct(source: str, column: str) -> str:
-    return f"SELECT DISTINCT book_id, {column} AS choice FROM {source} WHERE {column} IS NOT NULL"
+def distinct(source: str, column: str, first: str = "All") -> str:
+    return f"""
+SELECT DISTINCT book_id, 0 AS ord, '{first}' AS choice FROM {source} WHERE {column} IS NOT NULL
+UNION ALL
+SELECT DISTINCT book_id, 1, {column} FROM {source} WHERE {column} IS NOT NULL"""
 
 
 def wide(catalog: str, multipliers: str, labels: list[str], keep: str, price: str) -> str:
@@ -321,6 +341,10 @@ SELECT book_id, row_ix, product_code, add_text AS add_cost_text, 'add_cost is no
 FROM items_typed WHERE base_cost IS NOT NULL AND add_text IS NOT NULL AND add_number IS NULL""",
     "clean_services": "SELECT * FROM services",
     "active_discounts": "SELECT * FROM discounts",
+    "discount_rejects": f"""
+SELECT book_id, row_ix, supplier, end_date AS end_date_text, CAST(amount AS VARCHAR) AS amount_text,
+  'end_date is not a date' AS reason
+FROM discounts_raw WHERE end_date IS NOT NULL AND {day('end_date')} IS NULL""",
     "discount_display": f"""
 SELECT row_ix, {display('supplier', 'label', 'coalesce(amount, 0)', 'lower(type)')} AS display_text
 FROM discounts_raw""",
@@ -359,14 +383,14 @@ FROM params WHERE configured AND NOT priceable""",
     "filter_items": filtered("items", "itags", ["brand", "item"], "FURNITURE", "proto A"),
     "filter_items_brand": filtered("items", "itags", ["brand", "item"], "BUILDING", "proto C",
                                    "brand = 'Brand#2' AND category = 'ECONOMY'"),
-    "filter_items_fallback": filtered("items", "itags_strict", ["brand", "item"], "BUILDING", "nope"),
+    "filter_items_fallback": filtered("items", "itags", ["brand", "item"], "BUILDING", "nope"),
     "filter_services": filtered("services", "stags", ["service"], "MACHINERY", "proto C"),
     "filter_services_group": filtered("services", "stags", ["service"], "BUILDING", "All",
                                       "grp = 'NATION_15'"),
     "eligible_items_by_quote": eligible("items", "itags", ["brand", "item"], {
         "brand_filter": "brand", "category_filter": "category"}),
-    "eligible_items_by_quote_fallback": eligible("items", "itags_strict", ["brand", "item"], {
-        "brand_filter": "brand", "category_filter": "category"}),
+    "eligible_items_by_quote_fallback": eligible("items", "itags", ["brand", "item"], {
+        "brand_filter": "brand", "category_filter": "category"}, "picky_quotes"),
     "eligible_services_by_quote": eligible("services", "stags", ["service"], {"group_filter": "grp"}),
     "application_choices": choices(
         "SELECT book_id, unnest(application) AS choice FROM itags "
@@ -380,12 +404,17 @@ FROM params WHERE configured AND NOT priceable""",
     "choice_brands": distinct("items", "brand"),
     "choice_categories": distinct("items", "category"),
     "choice_groups": distinct("services", "grp"),
-    "choice_discounts": distinct("discounts", "display_text"),
+    "choice_discounts": distinct("discounts", "display_text", ""),
     "item_prices_long": f"""
 SELECT c.book_id, product_code, label, label_ix, {ITEM_PRICE} AS price
 FROM items c JOIN imults m ON m.book_id = c.book_id""",
     "item_prices_wide": wide("items", "imults", ITEM_LABELS,
                              "book_id, product_code AS code, brand, item, description", ITEM_PRICE),
+    **{f"{kind}_prices_by_label": f"""
+SELECT c.book_id, c.row_ix, CAST(row_number() OVER (PARTITION BY c.book_id, c.row_ix ORDER BY label_ix) - 1
+  AS INTEGER) AS position, label, {price} AS price
+FROM {kind}s c JOIN {kind[0]}mults m ON m.book_id = c.book_id"""
+       for kind, price in (("item", ITEM_PRICE), ("service", SERVICE_PRICE))},
     "service_prices_long": f"""
 SELECT c.book_id, service, label, label_ix, {SERVICE_PRICE} AS price
 FROM services c JOIN smults m ON m.book_id = c.book_id""",
@@ -398,17 +427,18 @@ FROM services c JOIN smults m ON m.book_id = c.book_id""",
         "Processing", "P", "services", "l.name IS NOT DISTINCT FROM k.service",
         "'SVC', k.service, k.description, 'Processing', k.grp, k.base_price, 0::DOUBLE, false"),
     "cart_remove": f"SELECT {BUILT_CART} FROM lines WHERE status <> 'F'",
+    "cart_rejects": """
+SELECT quote_id, line_no, type, ref_ix, 'no catalog row' AS reason FROM cart_lines
+WHERE type = 'Item' AND ref_ix NOT IN (SELECT row_ix FROM items)
+  OR type = 'Processing' AND ref_ix NOT IN (SELECT row_ix FROM services)""",
     "cart_reprice": f"SELECT {BUILT_CART} FROM priced",
     "edit_single": """
 SELECT * FROM (""" + one_edit(
         "FROM priced l LEFT JOIN numbered n ON n.quote_id = l.quote_id AND n.cart_id = l.cart_id "
         "AND n.nth = 1", "n.kind", "n.value") + """)
-WHERE (quote_id, cart_id) NOT IN (SELECT (quote_id, cart_id) FROM (
-  SELECT quote_id, cart_id, arg_min(kind, seq) AS first FROM valid GROUP BY ALL) WHERE first = 'remove')""",
-    **{f"edit_{name}": one_edit(
-        "FROM priced l LEFT JOIN (SELECT quote_id, cart_id, kind, arg_min(value, seq) AS value FROM valid "
-        f"WHERE kind = '{kind}' GROUP BY ALL) n ON n.quote_id = l.quote_id AND n.cart_id = l.cart_id",
-        "n.kind", "n.value") for name, kind in (("quantity", "qty"), ("percent", "pct"), ("amount", "amt"))},
+ANTI JOIN (SELECT quote_id, cart_id FROM valid GROUP BY ALL HAVING arg_min(kind, seq) = 'remove') r
+  USING (quote_id, cart_id)""",
+    **{name: f"SELECT * FROM replayed_{kind}" for kind, name in KINDS.items()},
     "bulk_percent": one_edit("FROM priced l", IS_OPEN.format("'pct'"), "12.5::DOUBLE"),
     "bulk_amount": one_edit("FROM priced l", IS_OPEN.format("'amt'"), "9000::DOUBLE"),
     "supplier_discount": one_edit(

@@ -88,15 +88,9 @@ def quotes(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "quotes")
 
 
-def tagged(raw: DataFrame) -> DataFrame:
-    """Rows with both tag lists written, hence without wildcards."""
-    return raw.where(F.col("application").isNotNull() & F.col("protocol").isNotNull())
-
-
-def cart_lines(spark: SparkSession, sf: str, prices: Book) -> DataFrame:
-    """Cart lines before pricing, with ``status``: one join against items and services
-    together. A line whose catalog row was dropped in cleaning has no match."""
-    refs = prices.items.select(
+def _catalog_rows(prices: Book) -> DataFrame:
+    """Items and services as what cart lines refer to."""
+    return prices.items.select(
         F.lit(ITEM_LINE).alias("type"), F.col(ROW).alias("ref_ix"), "product_code",
         F.col("item").alias("name"), "description", "category",
         F.col("base_cost").alias("base_ref"), F.col("add_cost").alias("add_ref"), "is_constant",
@@ -105,12 +99,17 @@ def cart_lines(spark: SparkSession, sf: str, prices: Book) -> DataFrame:
         F.lit(SERVICE_CODE).alias("product_code"), F.col("service").alias("name"), "description",
         F.col("grp").alias("category"), F.col("base_price").alias("base_ref"),
         F.lit(0.0).alias("add_ref"), F.lit(False).alias("is_constant")))
+
+
+def cart_lines(spark: SparkSession, sf: str, prices: Book) -> DataFrame:
+    """Cart lines before pricing, with ``status`` and ``ref_ix``: one join against items and
+    services together. Lines whose catalog row was dropped in cleaning are ``cart_rejects``."""
     zero = F.lit(0.0)
     return (
-        view(spark, sf, "cart_lines").join(refs, ["type", "ref_ix"])
+        view(spark, sf, "cart_lines").join(_catalog_rows(prices), ["type", "ref_ix"])
         .withColumns({"cart_id": F.col("line_no").cast("string"), "unit_price": zero,
                       "disc_amt": zero, "final_total": zero})
-        .select(*CART.fieldNames(), "status")
+        .select(*CART.fieldNames(), "status", "ref_ix")
     )
 
 
@@ -124,7 +123,7 @@ def priced_cart(spark: SparkSession, sf: str, prices: Book) -> DataFrame:
 
 
 def priced_lines(spark: SparkSession, sf: str, prices: Book) -> DataFrame:
-    """As :func:`priced_cart`, with ``status`` kept for choosing lines."""
+    """As :func:`priced_cart`, with ``status`` and ``ref_ix`` kept for choosing lines."""
     return carts.reprice(cart_lines(spark, sf, prices), quotes(spark, sf),
                          prices.item_multipliers, prices.service_multipliers)
 
@@ -184,6 +183,11 @@ def active_discounts(spark, sf):
     return cleaning.clean_discounts(view(spark, sf, "discounts_raw"), AS_OF)
 
 
+@query
+def discount_rejects(spark, sf):
+    return cleaning.discount_rejects(view(spark, sf, "discounts_raw"))
+
+
 @query
 def discount_display(spark, sf):
     """Display text of every discount row, in force or not."""
@@ -290,9 +294,9 @@ def filter_items_brand(spark, sf):
 
 @query
 def filter_items_fallback(spark, sf):
-    """No tag row matches, so the whole catalog of every book stays."""
-    raw = view(spark, sf, "items_raw")
-    return selection.filter_items(cleaning.clean_items(raw), tagging.item_tags(tagged(raw)),
+    """In book 3, which has no wildcards, no tag row matches and the whole catalog stays."""
+    prices = Book(spark, sf)
+    return selection.filter_items(prices.items, prices.item_tags,
                                   application="BUILDING", protocol="nope")
 
 
@@ -318,9 +322,10 @@ def eligible_items_by_quote(spark, sf):
 
 @query
 def eligible_items_by_quote_fallback(spark, sf):
-    raw = view(spark, sf, "items_raw")
-    return selection.eligible_item_counts(quotes(spark, sf), cleaning.clean_items(raw),
-                                          tagging.item_tags(tagged(raw)))
+    """Every quote asks for a protocol that only wildcards match; book 3 has none."""
+    prices = Book(spark, sf)
+    return selection.eligible_item_counts(
+        quotes(spark, sf).withColumn("protocol", F.lit("nope")), prices.items, prices.item_tags)
 
 
 @query
@@ -365,7 +370,7 @@ def choice_groups(spark, sf):
 
 @query
 def choice_discounts(spark, sf):
-    return selection.choice_list(Book(spark, sf).discounts, "display_text")
+    return selection.choice_list(Book(spark, sf).discounts, "display_text", first="")
 
 
 # --- catalog ---------------------------------------------------------------------------
@@ -381,7 +386,16 @@ def item_prices_long(spark, sf):
 @query
 def item_prices_wide(spark, sf):
     prices = Book(spark, sf)
-    return catalog.price_items_wide(prices.items, prices.item_multipliers)
+    return catalog.price_items_wide(prices.items, prices.item_multipliers,
+                                    catalog.label_names(prices.item_multipliers))
+
+
+@query
+def item_prices_by_label(spark, sf):
+    prices = Book(spark, sf)
+    return catalog.price_items_by_label(prices.items, prices.item_multipliers).select(
+        BOOK, ROW, F.posexplode("prices").alias("position", "entry")).select(
+        BOOK, ROW, "position", "entry.label", "entry.price")
 
 
 @query
@@ -394,7 +408,16 @@ def service_prices_long(spark, sf):
 @query
 def service_prices_wide(spark, sf):
     prices = Book(spark, sf)
-    return catalog.price_services_wide(prices.services, prices.service_multipliers)
+    return catalog.price_services_wide(prices.services, prices.service_multipliers,
+                                       catalog.label_names(prices.service_multipliers))
+
+
+@query
+def service_prices_by_label(spark, sf):
+    prices = Book(spark, sf)
+    return catalog.price_services_by_label(prices.services, prices.service_multipliers).select(
+        BOOK, ROW, F.posexplode("prices").alias("position", "entry")).select(
+        BOOK, ROW, "position", "entry.label", "entry.price")
 
 
 # --- cart ------------------------------------------------------------------------------
@@ -431,9 +454,15 @@ def cart_add_services(spark, sf):
 @query
 def cart_remove(spark, sf):
     lines = cart_lines(spark, sf, Book(spark, sf))
-    gone = view(spark, sf, "cart_lines").where(F.col("status") == "F").select(
-        "quote_id", F.col("line_no").cast("string").alias("cart_id"))
-    return carts.remove_lines(lines.select(*CART.fieldNames()), gone)
+    return carts.remove_lines(lines, F.col("status") == "F").select(*CART.fieldNames())
+
+
+@query
+def cart_rejects(spark, sf):
+    """Cart lines whose catalog row does not exist or was dropped in cleaning."""
+    return view(spark, sf, "cart_lines").join(
+        _catalog_rows(Book(spark, sf)), ["type", "ref_ix"], "left_anti").select(
+        "quote_id", "line_no", "type", "ref_ix", F.lit("no catalog row").alias("reason"))
 
 
 @query
@@ -457,61 +486,46 @@ def edit_single(spark, sf):
     return _edited(discounts.apply_edits(priced_cart(spark, sf, prices), first))
 
 
-def _first_of_kind(spark: SparkSession, sf: str, prices: Book, kind: str) -> DataFrame:
-    return valid_edits(spark, sf, prices).where(F.col("kind") == kind).groupBy(*LINE_KEY).agg(
-        F.min_by("value", "seq").alias("value"))
+def _replayed_kind(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """The cart after all edits of one kind."""
+    prices = Book(spark, sf)
+    edits = valid_edits(spark, sf, prices).where(F.col("kind") == kind)
+    return _edited(discounts.replay_edits(priced_cart(spark, sf, prices), edits))
 
 
 @query
 def edit_quantity(spark, sf):
-    prices = Book(spark, sf)
-    return _edited(discounts.edit_quantity(priced_cart(spark, sf, prices),
-                                           _first_of_kind(spark, sf, prices, "qty")))
+    return _replayed_kind(spark, sf, "qty")
 
 
 @query
 def edit_percent(spark, sf):
-    prices = Book(spark, sf)
-    return _edited(discounts.edit_percent(priced_cart(spark, sf, prices),
-                                          _first_of_kind(spark, sf, prices, "pct")))
+    return _replayed_kind(spark, sf, "pct")
 
 
 @query
 def edit_amount(spark, sf):
-    prices = Book(spark, sf)
-    return _edited(discounts.edit_amount(priced_cart(spark, sf, prices),
-                                         _first_of_kind(spark, sf, prices, "amt")))
-
-
-def _open_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "cart_lines").where(F.col("status") == "O").select(
-        "quote_id", F.col("line_no").cast("string").alias("cart_id"))
+    return _replayed_kind(spark, sf, "amt")
 
 
 @query
 def bulk_percent(spark, sf):
-    return _edited(discounts.bulk_percent(
-        priced_cart(spark, sf, Book(spark, sf)), _open_lines(spark, sf), 12.5))
+    return _edited(discounts.bulk_percent(priced_lines(spark, sf, Book(spark, sf)), F.col("status") == "O", 12.5))
 
 
 @query
 def bulk_amount(spark, sf):
-    return _edited(discounts.bulk_amount(
-        priced_cart(spark, sf, Book(spark, sf)), _open_lines(spark, sf), 9000.0))
+    return _edited(discounts.bulk_amount(priced_lines(spark, sf, Book(spark, sf)), F.col("status") == "O", 9000.0))
 
 
 @query
 def supplier_discount(spark, sf):
     """Open lines with the discount whose row number is their catalog row number."""
     prices = Book(spark, sf)
-    chosen = (
-        view(spark, sf, "cart_lines").where(F.col("status") == "O")
-        .select("quote_id", F.col("line_no").cast("string").alias("cart_id"),
-                F.col("ref_ix").alias(ROW))
-        .join(prices.discounts.select(ROW, "display_text"), ROW)
-    )
+    texts = prices.discounts.select(F.col(ROW).alias("ref_ix"), "display_text")
+    lines = priced_lines(spark, sf, prices).join(texts, "ref_ix", "left")
     return _edited(discounts.supplier_discount(
-        priced_cart(spark, sf, prices), chosen, quotes(spark, sf), prices.discounts))
+        lines, F.when(F.col("status") == "O", F.col("display_text")), quotes(spark, sf), prices.discounts))
 
 
 @query
@@ -546,7 +560,8 @@ def _edit_stream(spark: SparkSession, sf: str, prices: Book) -> DataFrame:
     """``valid_edits``, read as a stream of files."""
     events = spark.readStream.schema(table(spark, sf, "events").schema).parquet(
         f"{sf}/events.parquet*")
-    return events_as_edits(view_over(spark, "edit_events", {"events": events}), sf, prices)
+    frames = {"events": events, "supplier": table(spark, sf, "supplier")}
+    return events_as_edits(view_over(spark, "edit_events", frames), sf, prices)
 
 
 @query

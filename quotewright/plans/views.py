@@ -14,7 +14,8 @@ BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "li
 
 VIEWS = {
     # Catalog rows with unusable prices, missing and unreadable extra costs, six spellings of
-    # the flag, untrimmed and trailing-separator tags, and repeated names.
+    # the flag, untrimmed and trailing-separator tags, and repeated names. Book 3 has no wildcards,
+    # so that selections can match nothing there.
     "items_raw": """
 SELECT CAST(p_partkey % 5 AS INT) AS book_id, p_partkey AS row_ix,
   'P' || CAST(p_partkey AS STRING) AS product_code,
@@ -25,9 +26,11 @@ SELECT CAST(p_partkey % 5 AS INT) AS book_id, p_partkey AS row_ix,
   CASE WHEN p_partkey % 23 = 0 THEN 'ask' WHEN p_size % 5 = 0 THEN CAST(p_size AS STRING) END AS add_cost,
   CASE p_partkey % 8 WHEN 0 THEN 'yes' WHEN 1 THEN 'T' WHEN 2 THEN '1' WHEN 3 THEN 'N'
        WHEN 4 THEN NULL ELSE 'false' END AS is_constant,
-  CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'MACHINERY;HOUSEHOLD'
+  CASE p_size % 5 WHEN 0 THEN CASE WHEN p_partkey % 5 = 3 THEN 'MACHINERY' END
+       WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'MACHINERY;HOUSEHOLD'
        WHEN 3 THEN 'AUTOMOBILE; FURNITURE' ELSE 'BUILDING;FURNITURE;' END AS application,
-  CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'proto A' WHEN 2 THEN 'proto A;proto B'
+  CASE p_partkey % 4 WHEN 0 THEN CASE WHEN p_partkey % 5 = 3 THEN 'proto A' END
+       WHEN 1 THEN 'proto A' WHEN 2 THEN 'proto A;proto B'
        ELSE 'proto C' END AS protocol
 FROM {part}""",
     "services_raw": """
@@ -47,16 +50,25 @@ SELECT n_regionkey AS book_id, CAST(n_nationkey AS BIGINT) AS row_ix,
   CASE WHEN n_nationkey = 14 THEN NULL
        ELSE CAST(1 AS DOUBLE) + CAST(n_nationkey AS DOUBLE) / CAST(100 AS DOUBLE) END AS amount
 FROM {nation}""",
+    # End dates are text: plain, with a time, with single digits, as serial numbers, unreadable.
     "discounts_raw": """
 SELECT CAST(s_suppkey % 5 AS INT) AS book_id, s_suppkey AS row_ix,
   s_name AS supplier, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE 'deal' END AS label,
   CASE WHEN s_suppkey % 9 = 0 THEN NULL
        WHEN s_suppkey % 4 = 0 THEN CAST(s_suppkey AS DOUBLE) - CAST(20 AS DOUBLE)
        ELSE CAST(s_suppkey AS DOUBLE) / CAST(200 AS DOUBLE) END AS amount,
-  CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE DATE '1998-01-01' + CAST(s_suppkey AS INT) END AS end_date,
+  CASE WHEN s_suppkey % 6 = 0 THEN NULL
+       WHEN s_suppkey % 10 = 1 THEN CAST(ends AS STRING) || ' 00:00:00'
+       WHEN s_suppkey % 10 = 2 THEN CAST(ends AS STRING) || 'T12:30:00'
+       WHEN s_suppkey % 10 = 3 THEN CAST(year(ends) AS STRING) || '/' || CAST(month(ends) AS STRING)
+            || '/' || CAST(day(ends) AS STRING)
+       WHEN s_suppkey % 10 = 4 THEN CAST(35796 + s_suppkey AS STRING)
+       WHEN s_suppkey % 10 = 5 THEN CAST(day(ends) AS STRING) || '.' || CAST(month(ends) AS STRING)
+            || '.' || CAST(year(ends) AS STRING)
+       ELSE CAST(ends AS STRING) END AS end_date,
   CASE s_suppkey % 4 WHEN 0 THEN 'AMOUNT' WHEN 1 THEN 'Percentage' WHEN 2 THEN 'percentage'
        ELSE NULL END AS type
-FROM {supplier}""",
+FROM (SELECT *, DATE '1998-01-01' + CAST(s_suppkey AS INT) AS ends FROM {supplier}) s""",
     # Every 50th quote has no item surcharge, quotes of the priority '3-MEDIUM' of book 1 name
     # one that does not exist, and book 4 has a NULL service multiplier.
     "quotes": """
@@ -95,7 +107,7 @@ SELECT user_id AS quote_id, CAST(1 + event_id % 5 AS STRING) AS cart_id, event_i
        WHEN 'signup' THEN 'bulk_pct'
        ELSE CASE WHEN value >= 250 THEN 'remove' WHEN value >= 120 THEN 'bulk_amt' ELSE 'supplier' END
        END AS op,
-  value, CAST(event_id % 100 AS BIGINT) AS discount_ix
+  value, CAST(event_id % (SELECT max(s_suppkey) + 1 FROM {supplier}) AS BIGINT) AS discount_ix
 FROM {events}""",
 }
 

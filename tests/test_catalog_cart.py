@@ -3,6 +3,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from quotewright.operators import cart as carts
+from quotewright.functions.values import total
 from quotewright.operators import catalog, totals
 from quotewright.operators.surcharges import multiplier_reference, surcharge_rejects
 from quotewright.schemas import CART
@@ -45,20 +46,50 @@ def test_catalog_prices(spark, item_mults):
     assert rows(catalog.price_items_long(items, item_mults), "product_code", "label", "price") == [
         ("x", "hole", None), ("x", "std", 155.0), ("y", "hole", 105.0), ("y", "std", 105.0),
         ("z", "low", 55.0)]
-    wide = catalog.price_items_wide(items, item_mults)
+    wide = catalog.price_items_wide(items, item_mults, catalog.label_names(item_mults))
     assert wide.columns == ["book_id", "code", "brand", "item", "description", "low", "std", "hole"]
     assert rows(wide, "code", "std", "hole", "low") == [
         ("w", None, None, None), ("x", 155.0, None, None), ("y", 105.0, 105.0, None),
         ("z", None, None, 55.0)]
 
 
+def test_many_books_with_labels_of_their_own(spark):
+    books = 1500
+    mults = spark.range(books).selectExpr(
+        "concat('b', id) AS book_id", "concat('label ', id) AS label", "2.0D AS multiplier", "id AS label_ix")
+    items = spark.range(books).selectExpr(
+        "concat('b', id) AS book_id", "concat('p', id) AS product_code", "'x' AS brand", "'i' AS item", "'c' AS category",
+        "'d' AS description", "10.0D AS base_cost", "1.0D AS add_cost", "false AS is_constant")
+    got = catalog.price_items_by_label(items, mults.where("label_ix > 0")).collect()
+    assert len(got) == books
+    for r in got:
+        n = r["book_id"][1:]
+        assert [tuple(p) for p in r["prices"]] == ([] if n == "0" else [(f"label {n}", 21.0)])
+
+
+def test_prices_by_label_keep_the_order_of_the_sheet(spark, service_mults):
+    services = spark.createDataFrame([("b", "g", "s", "d", 40.0), ("none", "g", "t", "d", 1.0)],
+                                     "book_id string, grp string, service string, description string, "
+                                     "base_price double")
+    got = {r["service"]: r["prices"] for r in catalog.price_services_by_label(services, service_mults).collect()}
+    assert [tuple(p) for p in got["s"]] == [("svc", 80.0)] and got["t"] == []
+
+
+def test_totals_of_any_size(spark):
+    """Large amounts neither end the job nor go missing, and small ones add up exactly."""
+    values = [(1, 0.1)] * 30 + [(2, 1e12), (2, 0.25), (3, 1e20), (3, 1e20), (4, 1e300), (4, 1.0), (5, None),
+                                (6, float("nan")), (6, 2.0), (7, -1e12), (7, 1e12), (7, 0.5)]
+    df = spark.createDataFrame(values, "k int, v double").groupBy("k").agg(total(F.col("v")).alias("t"))
+    assert rows(df) == [(1, 3.0), (2, 1e12 + 0.25), (3, 2e20), (4, 1e300), (5, 0.0), (6, 2.0), (7, 0.5)]
+
+
 def test_service_prices(spark, service_mults):
     services = spark.createDataFrame([("b", "g", "s", "d", 40.0)],
                                      "book_id string, grp string, service string, description string, "
                                      "base_price double")
     assert rows(catalog.price_services_long(services, service_mults), "service", "price") == [("s", 80.0)]
-    assert rows(catalog.price_services_wide(services, service_mults), "service", "svc") == [("s", 80.0)]
-    assert catalog.price_services_wide(services, service_mults.limit(0)).columns == [
+    assert rows(catalog.price_services_wide(services, service_mults, ["svc"]), "service", "svc") == [("s", 80.0)]
+    assert catalog.price_services_wide(services, service_mults, []).columns == [
         "book_id", "grp", "service", "description"]
 
 
@@ -114,6 +145,7 @@ def test_add_services_checks_names_of_all_lines(spark):
 
 def test_remove_lines(spark):
     cart = spark.createDataFrame([line(1, "x"), line(1, "y"), line(2, "x")], CART)
+    assert rows(carts.remove_lines(cart, F.col("cart_id") == "none")) == rows(cart)
     gone = spark.createDataFrame([(1, "x"), (1, "x"), (3, "x")], "quote_id long, cart_id string")
     assert rows(carts.remove_lines(cart, gone), "quote_id", "cart_id") == [(1, "y"), (2, "x")]
 

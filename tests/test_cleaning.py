@@ -1,10 +1,12 @@
 import datetime as dt
+import itertools
+import operator
 
 from conftest import rows
 from pyspark.sql import functions as F
 
 from quotewright.operators.cleaning import (
-    clean_discounts, clean_items, clean_services, item_rejects, positional,
+    clean_discounts, discount_rejects, clean_items, clean_services, item_rejects, positional,
 )
 from quotewright.operators.surcharges import (
     item_multipliers, service_multipliers, surcharge_labels,
@@ -77,6 +79,23 @@ def test_discounts(spark):
     assert rows(clean_discounts(raw), "row_ix") == [(2,)]
 
 
+def test_end_dates_are_read_or_rejected(spark):
+    ends = ["2020-01-01 00:00:00", "2020-01-01T00:00:00", "2020-1-5", "2020/1/5 noon", "31/12/2020", "20200101",
+            "soon", "2020-02-31", "2030-02-01 00:00", "2030-1-1", None, "47848", "2020-01-011"]
+    raw = spark.createDataFrame(
+        [("b", i, "S", "L", "5", e, "amount") for i, e in enumerate(ends)]
+        + [("b", 20, "S", "L", "much", None, "amount"), ("b", 21, "S", "L", "1e300", None, "amount"),
+           ("b", 22, "S", "L", "1e18", None, "percentage")],
+        "book_id string, row_ix long, supplier string, label string, amount string, end_date string, type string")
+    active = clean_discounts(raw, dt.date(2026, 1, 1))
+    assert [r[0] for r in rows(active, "row_ix")] == [8, 9, 10, 11, 21, 22]
+    assert rows(discount_rejects(raw), "row_ix", "reason") == [
+        *((i, "end_date is not a date") for i in (4, 5, 6, 7, 12)), (20, "amount is not a number")]
+    # One absurd amount does not keep the other rows from being shown.
+    texts = {r["row_ix"]: r["display_text"] for r in active.collect()}
+    assert texts[8] == "S | L | $5" and texts[21] == "S | L | $1.0E300" and texts[22] == "S | L | 1" + "0" * 20 + "%"
+
+
 def surcharges(spark, *data):
     return spark.createDataFrame(
         [("b", i, kind, label, amount) for i, (kind, label, amount) in enumerate(data)],
@@ -93,15 +112,25 @@ def test_item_multipliers_last_amount_first_place(spark):
 
 
 def test_service_multipliers_stack(spark):
-    def stacked(*amounts, **kw):
+    def stacked(*amounts):
         raw = surcharges(spark, *[("PROCESSING", f"l{i}", a) for i, a in enumerate(amounts)])
-        return [r[1] for r in rows(service_multipliers(raw, **kw), "label", "multiplier")]
+        return [r[1] for r in rows(service_multipliers(raw), "label", "multiplier")]
 
     assert stacked(1.0, 1.2, 1.5) == [1.0, 1.2, 1.2 * 1.5]
     assert stacked(2.0, None, 3.0) == [2.0, None, None]
     assert stacked(0.0, -2.0) == [0.0, 0.0]
-    # Cut into blocks of two rows, with a hole in a later block.
-    assert stacked(2.0, 3.0, 0.5, 4.0, None, 2.0, block_rows=2) == [2.0, 6.0, 3.0, 12.0, None, None]
+    assert stacked(2.0, 3.0, 0.5, 4.0, None, 2.0) == [2.0, 6.0, 3.0, 12.0, None, None]
+
+
+def test_long_sheets_multiply_in_sheet_order(spark):
+    """Bit by bit what multiplying one row after the other gives, gaps in the numbering included."""
+    factors = [1 + ((i * 7919) % 101 - 50) / 10_000 for i in range(10_000)]
+    raw = spark.createDataFrame(
+        [("b", i * 3 + (1 << 33), "PROCESSING", f"l{i}", a) for i, a in enumerate(factors)],
+        "book_id string, row_ix long, type string, label string, amount double")
+    got = service_multipliers(raw).orderBy("label_ix").collect()
+    want = list(itertools.accumulate(factors, operator.mul))
+    assert [r["multiplier"] for r in got] == want and got[0]["label_ix"] == 1 << 33
 
 
 def test_positional(spark):

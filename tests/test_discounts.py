@@ -76,6 +76,8 @@ def test_bulk_and_supplier(spark, quotes, offers):
     keep = [(1, "z", 2.0, 0.0, 0.0, 200.0), (2, "x", 2.0, 0.0, 0.0, 200.0)]
     assert rows(d.bulk_percent(cart, chosen, 25), *SHOWN) == [
         (1, "x", 2.0, 25.0, 50.0, 150.0), (1, "y", 2.0, 25.0, 5.0, 15.0), *keep]
+    by_key = F.concat_ws("/", "quote_id", "cart_id").isin(["/".join(map(str, r)) for r in chosen.collect()])
+    assert rows(d.bulk_percent(cart, by_key, 25)) == rows(d.bulk_percent(cart, chosen, 25))
     assert rows(d.bulk_amount(cart, chosen, 50), *SHOWN) == [
         (1, "x", 2.0, 25.0, 50.0, 150.0), (1, "y", 2.0, 100.0, 20.0, 0.0), *keep]
     for rejected in (d.bulk_percent(cart, chosen, 101), d.bulk_percent(cart, chosen, -1),

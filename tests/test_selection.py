@@ -129,4 +129,5 @@ def test_choices(items, item_tags, service_tags):
         "All", "p1", "p6", "p7"]
     assert [r["choice"] for r in sel.protocol_choices(item_tags, service_tags).collect()] == [
         "All", "X", "p1", "p2", "p3", "p4", "p5", "p6", "p7"]
-    assert [r["choice"] for r in sel.choice_list(items, "brand").collect()] == ["B1", "B2", "B3", "B4"]
+    assert [r["choice"] for r in sel.choice_list(items, "brand").collect()] == ["All", "B1", "B2", "B3", "B4"]
+    assert [r["choice"] for r in sel.choice_list(items, "category", "").collect()] == ["", "cat 1", "cat 2"]

@@ -53,7 +53,8 @@ def test_matches_tag(spark):
 
 
 @pytest.mark.parametrize("x, text", [
-    (15.0, "15"), (0.07 * 100, "7"), (12.5, "12.5"), (100.0, "100"), (0.0, "0"), (1e5, "100000"),
+    (15.0, "15"), (0.07 * 100, "7"), (12.5, "12.5"), (100.0, "100"), (0.0, "0"), (1e5, "100000"), (1e17, "100000000000000000"), (1e18, "1" + "0" * 18),
+    (1e37, "1" + "0" * 37), (1e300, "1.0E300"),
 ])
 def test_plain_number(spark, x, text):
     assert one(spark, plain_number(F.lit(x))) == text
