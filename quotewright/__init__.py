@@ -24,7 +24,9 @@ from quotewright.sources.sinks import write_quote_lines, write_quote_totals
 from quotewright.sources.tables import (
     load_price_book, price_book, read_price_book, write_price_book,
 )
-from quotewright.sources.workbooks import ingest_workbooks, workbook_rejects, workbook_sheets
+from quotewright.sources.workbooks import (
+    ingest_workbooks, stage_workbooks, workbook_rejects, workbook_sheets,
+)
 from quotewright.streaming.edits import (
     apply_summaries, current_lines, run_to_table, stream_edits, stream_summaries,
 )
@@ -38,7 +40,7 @@ __all__ = [
     "label_names", "multiplier_reference", "price_book", "price_items_by_label", "price_items_long",
     "price_items_wide", "price_services_by_label", "price_services_long", "price_services_wide", "protocol_choices", "quote_header", "quote_lines",
     "quote_totals", "quote_view", "read_price_book", "remove_lines", "replay_edits", "reprice",
-    "resolve_edits", "run_to_table", "stream_edits", "stream_summaries", "supplier_discount",
+    "resolve_edits", "run_to_table", "stage_workbooks", "stream_edits", "stream_summaries", "supplier_discount",
     "surcharge_labels", "surcharge_rejects", "tune", "workbook_rejects", "workbook_sheets",
     "write_price_book", "write_quote_lines", "write_quote_totals",
 ]

@@ -93,6 +93,8 @@ CELLS = T.StructType([
     T.StructField("sheet_ix", T.IntegerType()),
     T.StructField(ROW, T.LongType()),
     T.StructField("cells", T.ArrayType(T.StringType())),
+    # The cells that the sheet's header names, in the order of SHEET_HEADERS.
+    T.StructField("named", T.ArrayType(T.StringType())),
     T.StructField("error", T.StringType()),
 ])
 

@@ -36,7 +36,8 @@ def read_sheet(spark: SparkSession, path: str, sheet: str, fmt: str = "csv") ->
     the format do no harm; no file is read to guess types."""
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        # Quoted text may hold line breaks and doubled quotes.
+        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
     elif fmt == "json":
         reader = reader.schema(RAW_SCHEMAS[sheet])
     df = trimmed(reader.load(path))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
@@ -91,33 +92,56 @@ def _rows(archive: zipfile.ZipFile) -> Iterator[tuple[int, int, list[str | None]
                     row_ix += 1
 
 
+def _typed_rows(archive: zipfile.ZipFile) -> Iterator[tuple]:
+    """(sheet, row, cells, named cells): the header, row 0, says where the named cells are."""
+    places: list[int | None] = []
+    for sheet_ix, row_ix, cells in _rows(archive):
+        if row_ix == 0:
+            headers = SHEET_HEADERS[SHEETS[sheet_ix]].values() if sheet_ix < len(SHEETS) else ()
+            places = [cells.index(h) if h in cells else None for h in headers]
+        named = [cells[at] if at is not None and at < len(cells) else None for at in places]
+        yield sheet_ix, row_ix, cells, named
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A workbook's rows are held back until it is read to its end: all of them or none."""
     columns = CELLS.fieldNames()
     for files in batches:
         for path, content in zip(files["path"], files["content"]):
+            held: list[pd.DataFrame] = []
             batch: list[tuple] = []
             try:
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for sheet_ix, row_ix, cells in _rows(archive):
-                        batch.append((path, sheet_ix, row_ix, cells, None))
+                    for row in _typed_rows(archive):
+                        batch.append((path, *row, None))
                         if len(batch) == BATCH_ROWS:
-                            yield pd.DataFrame(batch, columns=columns)
+                            held.append(pd.DataFrame(batch, columns=columns))
                             batch = []
-            except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, IndexError,
+            except (zipfile.BadZipFile, zlib.error, EOFError, KeyError, ElementTree.ParseError, IndexError,
                     ValueError) as e:
-                batch.append((path, None, None, None, f"{type(e).__name__}: {e}"))
+                held, batch = [], [(path, None, None, None, None, f"{type(e).__name__}: {e}")]
             if batch:
-                yield pd.DataFrame(batch, columns=columns)
+                held.append(pd.DataFrame(batch, columns=columns))
+            yield from held
 
 
 def ingest_workbooks(spark: SparkSession, path: str, glob: str = "*.xlsx") -> DataFrame:
-    """Every cell row of every workbook below ``path``. A file that cannot be read gives a
-    row with ``error`` set instead of ending the job. The file's path is its ``book_id``."""
+    """Every cell row of every workbook below ``path``. A file that cannot be read to its end
+    gives one row with ``error`` set, and no other. The file's path is its ``book_id``.
+
+    Each use of the result parses the files; :func:`stage_workbooks` parses them once.
+    """
     return parse_workbooks(
         spark.read.format("binaryFile").option("pathGlobFilter", glob)
         .option("recursiveFileLookup", True).load(path).select("path", "content"))
 
 
+def stage_workbooks(cells: DataFrame, path: str) -> DataFrame:
+    """``cells`` written to ``path``, by sheet, and read from there: a sheet then reads its rows only."""
+    cells.write.partitionBy("sheet_ix").parquet(path)
+    return cells.sparkSession.read.schema(CELLS).parquet(path)
+
+
 def parse_workbooks(files: DataFrame) -> DataFrame:
     """As :func:`ingest_workbooks`, from a table of ``path`` and ``content``."""
     return files.mapInPandas(_parse, CELLS)
@@ -130,17 +154,10 @@ def workbook_rejects(cells: DataFrame) -> DataFrame:
 
 def workbook_sheet(cells: DataFrame, sheet: str) -> DataFrame:
     """One raw sheet of every workbook: some columns by position, some by header."""
-    rows = cells.where((F.col("sheet_ix") == SHEETS.index(sheet)) & F.col("error").isNull())
-    body = rows.where(F.col(ROW) > 0)
     picked = [F.get("cells", F.lit(i)).alias(n) for n, i in SHEET_POSITIONS[sheet].items()]
-    named = SHEET_HEADERS[sheet]
-    if not named:
-        return body.select(BOOK, ROW, *picked)
-    places = rows.where(F.col(ROW) == 0).select(
-        BOOK, *[(F.array_position("cells", header) - 1).cast("int").alias(f"__{n}")
-                for n, header in named.items()])
-    found = [F.when(F.col(f"__{n}") >= 0, F.get("cells", F.col(f"__{n}"))).alias(n) for n in named]
-    return body.join(places, BOOK, "left").select(BOOK, ROW, *picked, *found)
+    found = [F.get("named", F.lit(i)).alias(n) for i, n in enumerate(SHEET_HEADERS[sheet])]
+    body = cells.where((F.col("sheet_ix") == SHEETS.index(sheet)) & (F.col(ROW) > 0))
+    return body.select(BOOK, ROW, *picked, *found)
 
 
 def workbook_sheets(cells: DataFrame) -> dict[str, DataFrame]:

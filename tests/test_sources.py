@@ -1,17 +1,20 @@
 import datetime as dt
+import io
 import os
+import zipfile
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 from test_catalog_cart import line
 
 from quotewright.schemas import CART, SHEETS
 from quotewright.sources import sinks
 from quotewright.sources.tables import (
-    counts, load_price_book, price_book, read_price_book, write_price_book,
+    counts, load_price_book, price_book, read_price_book, read_sheet, write_price_book,
 )
 from quotewright.sources.workbooks import (
-    ingest_workbooks, pack_workbooks, workbook_bytes, workbook_rejects, workbook_sheet, workbook_sheets,
+    ingest_workbooks, pack_workbooks, stage_workbooks, workbook_bytes, workbook_rejects, workbook_sheet, workbook_sheets,
 )
 
 PRICES = [
@@ -56,6 +59,34 @@ def test_workbooks(spark, tmp_path):
     check(price_book({s: workbook_sheet(one_book, s) for s in SHEETS}, AS_OF))
 
 
+def damaged(sheets, name, change):
+    """A workbook with one of its parts changed."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(workbook_bytes(sheets))) as old, zipfile.ZipFile(out, "w") as new:
+        for part in old.namelist():
+            new.writestr(part, change(old.read(part)) if part.endswith(name) else old.read(part))
+    return out.getvalue()
+
+
+def test_workbooks_are_read_whole_or_not_at_all(spark, tmp_path):
+    whole = workbook_bytes(SHEETS_OF_TEXT)
+    (tmp_path / "whole.xlsx").write_bytes(whole)
+    (tmp_path / "sheet3.xlsx").write_bytes(damaged(SHEETS_OF_TEXT, "sheet3.xml", lambda x: x[:len(x) // 2]))
+    (tmp_path / "cut.xlsx").write_bytes(whole[:len(whole) // 2])
+    cells = ingest_workbooks(spark, str(tmp_path))
+    name = F.element_at(F.split("book_id", "/"), -1).alias("name")
+    assert rows(workbook_rejects(cells).select(name)) == [("cut.xlsx",), ("sheet3.xlsx",)]
+    staged = stage_workbooks(cells, str(tmp_path / "staged"))
+    assert rows(workbook_rejects(staged).select(name)) == [("cut.xlsx",), ("sheet3.xlsx",)]
+    for sheet in SHEETS:
+        assert rows(workbook_sheet(cells, sheet).select(name).distinct()) == [("whole.xlsx",)]
+        assert rows(workbook_sheet(staged, sheet)) == rows(workbook_sheet(cells, sheet))
+        plan = workbook_sheet(cells, sheet)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInPandas") == 1 and "Join" not in plan
+        plan = workbook_sheet(staged, sheet)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInPandas" not in plan and "PartitionFilters: [isnotnull(sheet_ix" in plan
+
+
 def test_packing_cuts_long_books(spark):
     data = [("b", 0, i, [str(i), None, f"t{i}"]) for i in range(1, 8)]
     cells = spark.createDataFrame(data, "book_id string, sheet_ix int, row_ix long, cells array<string>")
@@ -65,6 +96,13 @@ def test_packing_cuts_long_books(spark):
         pack_workbooks(cells, [["n"]], rows_per_workbook=2_000_000)
 
 
+def test_csv_text_with_line_breaks_and_quotes(spark, tmp_path):
+    (tmp_path / "s.csv").write_text('book_id,row_ix,Group,Code,Service,Description,Base_Price,Protocol,Application\n'
+                                    'b,1,g,c,s,"two\nlines, ""quoted""",4.5,p,A\n')
+    got = read_sheet(spark, str(tmp_path / "s.csv"), "services")
+    assert rows(got, "description", "base_price", "application") == [('two\nlines, "quoted"', "4.5", "A")]
+
+
 @pytest.mark.parametrize("fmt", ["csv", "json", "parquet"])
 def test_price_book_from_files(spark, tmp_path, fmt):
     paths = {}
