@@ -45,8 +45,7 @@ def toxicity_chain(docs: DataFrame, labels: DataFrame) -> toxicity.Chain:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = toxicity_chain(docs, _table(spark, sf_dir, "labels"))
-    return toxicity.predict(docs, chain).select(
-        "doc_id", "p_quality", "p_toxic", (F.col("p_toxic") > toxicity.THRESHOLD).alias("toxic"))
+    return toxicity.predict(docs, chain, keep=["doc_id"]).withColumn("toxic", F.col("p_toxic") > toxicity.THRESHOLD)
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:

@@ -186,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], id_co
     return Chain(tuple(categories), words, weights)
 
 
-def _score(model, text_at: int):
+def _score(model, text_at: int, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = Chain(*model.value)
         seen: dict[str, tuple[int, ...]] = {}
@@ -197,20 +197,22 @@ def _score(model, text_at: int):
                 rows = np.stack([chain.features(t.as_py(), seen) for t in some.column(text_at)])
                 found = chain.probabilities(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [*some.columns, *(pa.array(p) for p in found.T)], [*some.schema.names, *names])
+                    [*(some.column(c) for c in kept), *(pa.array(p) for p in found.T)], [*kept, *names])
 
     return run
 
 
-def predict(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``p_<category>`` for each category; columns of these names are replaced.
+def predict(docs: DataFrame, chain: Chain, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs``, or its columns ``keep``, with ``p_<category>`` for each category.
 
-    A NULL or empty text is judged by the intercepts. No row is lost or moved.
+    Columns of these names are replaced. A NULL or empty text is judged by the intercepts. No row
+    is lost or moved.
     """
     rows = docs.drop(*[f"p_{c}" for c in chain.categories])
-    schema = StructType([*rows.schema.fields, *(StructField(f"p_{c}", DoubleType()) for c in chain.categories)])
+    kept = rows.columns if keep is None else keep
+    schema = StructType([*(rows.schema[c] for c in kept), *(StructField(f"p_{c}", DoubleType()) for c in chain.categories)])
     model = docs.sparkSession.sparkContext.broadcast((chain.categories, chain.words, chain.weights))
-    return rows.mapInArrow(_score(model, rows.columns.index(text_col)), schema)
+    return rows.mapInArrow(_score(model, rows.columns.index(text_col), kept), schema)
 
 
 def drop_toxic(docs: DataFrame, chain: Chain, category: str, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
