@@ -88,9 +88,13 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The target is what is labelled as of good quality, the background all other documents."""
+    """The target is what is labelled as of good quality, the background all other documents.
+
+    Labels grow with the documents, so they are joined by a shuffle, at every size.
+    """
     good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("_target", F.lit(True))
-    return lm_score.score(_table(spark, sf_dir, "documents").join(good, "doc_id", "left"), "_target")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_score.score(docs.join(good.hint("merge"), "doc_id", "left"), "_target")
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
