@@ -174,28 +174,32 @@ def supplier_discount(cart: DataFrame, selection: DataFrame | Column, quotes: Da
         selection.select(*LINE_KEY, "display_text").distinct(), quotes, discounts))
 
 
-def direct_edits(edits: DataFrame) -> DataFrame:
-    """Logged edits other than supplier discounts, reduced to valid ones."""
-    op, value = F.col("op"), F.col("value")
-    kind = (
-        F.when(op.isin("qty", "pct", "amt", "remove"), op)
-        .when((op == "bulk_pct") & (value <= 100), "pct")
-        .when(op == "bulk_amt", "amt")
-    )
-    return (
-        edits.select(*LINE_KEY, "seq", kind.alias("kind"), value)
-        .where(F.col("kind").isNotNull() & ((F.col("kind") == "remove") | _ordinary(value)))
-    )
-
-
 def resolve_edits(edits: DataFrame, quotes: DataFrame, discounts: DataFrame) -> DataFrame:
     """An edit log in its logged form (``op``) -> valid edits (``kind``, ``value``).
 
     Rejected requests disappear: negative or missing values, a bulk percentage over
-    100, a discount text that is unknown or ambiguous. Works on a stream as well.
+    100, a discount text that is unknown or ambiguous. Works on a stream as well, and reads
+    the log once. Edits that name no discount get a text of their own, so that they spread
+    over the tasks of the look-up, which finds nothing for them.
     """
-    named = edits.where(F.col("op") == "supplier").select(*LINE_KEY, "seq", "display_text")
-    return direct_edits(edits).unionByName(supplier_edits(named, quotes, discounts))
+    op, value, named = F.col("op"), F.col("value"), F.coalesce(F.col("op") == "supplier", F.lit(False))
+    usable = _usable(discounts).toDF("__book", "__text", "__k", "__v").withColumn("__named", F.lit(True))
+    books = quotes.select("quote_id", F.col(BOOK).alias("__book"))
+    looked_up = (
+        edits.withColumns({"__named": named, "__text": F.when(named, F.col("display_text")).otherwise(
+            F.col("seq").cast("string"))})
+        .join(books, "quote_id", "left")
+        .join(usable, ["__named", "__book", "__text"], "left")
+    )
+    kind = (
+        F.when(op.isin("qty", "pct", "amt", "remove"), op)
+        .when((op == "bulk_pct") & (value <= 100), "pct")
+        .when(op == "bulk_amt", "amt")
+        .when(named, F.col("__k"))
+    )
+    amount = F.when(named, F.col("__v")).otherwise(value)
+    return looked_up.select(*LINE_KEY, "seq", kind.alias("kind"), amount.alias("value")).where(
+        F.col("kind").isNotNull() & ((F.col("kind") == "remove") | _ordinary(F.col("value"))))
 
 
 # --- replaying a log -----------------------------------------------------------------

@@ -131,13 +131,9 @@ def priced_lines(spark: SparkSession, sf: str, prices: Book) -> DataFrame:
 def events_as_edits(events: DataFrame, sf: str, prices: Book) -> DataFrame:
     """Valid edits of a log, or of a stream, whose supplier edits give the row number of
     the discount they name instead of its text."""
-    spark = events.sparkSession
-    texts = cleaning.clean_discounts(view(spark, sf, "discounts_raw"), AS_OF).select(
-        F.col(ROW).alias("discount_ix"), "display_text")
-    named = events.where(F.col("op") == "supplier").join(texts, "discount_ix").select(
-        *LINE_KEY, "seq", "display_text")
-    return discounts.direct_edits(events).unionByName(
-        discounts.supplier_edits(named, quotes(spark, sf), prices.discounts))
+    texts = prices.discounts.select(F.col(ROW).alias("discount_ix"), "display_text")
+    return discounts.resolve_edits(
+        events.join(texts, "discount_ix", "left"), quotes(events.sparkSession, sf), prices.discounts)
 
 
 def valid_edits(spark: SparkSession, sf: str, prices: Book) -> DataFrame:
@@ -564,11 +560,21 @@ def _edit_stream(spark: SparkSession, sf: str, prices: Book) -> DataFrame:
     return events_as_edits(view_over(spark, "edit_events", frames), sf, prices)
 
 
+def _stored_cart(spark: SparkSession, sf: str, prices: Book) -> DataFrame:
+    """The priced cart as a table, which every micro-batch reads."""
+    out = shared_dir(spark, "priced-cart")
+    lines = priced_cart(spark, sf, prices)
+    lines.write.parquet(out)
+    return spark.read.schema(lines.schema).parquet(out)
+
+
 @query
 def stream_edits(spark, sf):
     prices = Book(spark, sf)
-    lines = priced_cart(spark, sf, prices)
-    versions = live.run_to_table(spark, live.stream_edits(_edit_stream(spark, sf, prices), lines))
+    lines = _stored_cart(spark, sf, prices)
+    versions = live.run_to_table(
+        spark, live.stream_edits(_edit_stream(spark, sf, prices), lines),
+        shared_dir(spark, "line-versions"), shared_dir(spark, "versions-checkpoint"))
     return _edited(live.current_lines(lines, versions))
 
 

@@ -8,6 +8,7 @@ more piece of the log, summarised in the JVM, and a cart is brought up to date w
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from quotewright.operators.discounts import apply_summary, merge_pieces, summarise_pieces
 from quotewright.schemas import LINE_KEY
-from quotewright.session import shared_dir, ship_by_value
+from quotewright.session import ship_by_value
 
 AMOUNTS = ["unit_price", "quantity", "disc_pct", "disc_amt", "final_total"]
 STATE = T.StructType([
@@ -84,7 +85,9 @@ def stream_edits(edits: DataFrame, cart: DataFrame, output_mode: str = "Append")
 
     The cart is a table the stream is joined with, so only edited lines enter the state
     store and edits of unknown lines fall away. Within a micro-batch edits apply in order
-    of ``seq``; between micro-batches in order of arrival. There is no watermark.
+    of ``seq``; between micro-batches in order of arrival. There is no watermark. ``cart`` is
+    read again in every micro-batch, so store it priced. Sets the session's state store
+    provider to RocksDB.
     """
     edits.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     key_types = [f for f in cart.schema.fields if f.name in LINE_KEY]
@@ -99,12 +102,10 @@ def stream_edits(edits: DataFrame, cart: DataFrame, output_mode: str = "Append")
     )
 
 
-def run_to_table(spark: SparkSession, versions: DataFrame, checkpoint: str | None = None,
-                 out: str | None = None) -> DataFrame:
-    """Drain the stream's source into a Parquet folder and return that folder as a table.
-    The file sink's log makes a restarted run add no row twice."""
-    out = out or shared_dir(spark, "line-versions")
-    checkpoint = checkpoint or shared_dir(spark, "edits-checkpoint")
+def run_to_table(spark: SparkSession, versions: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Drain the stream's source into the Parquet folder ``out`` and return it as a table.
+    The file sink's log makes a restarted run add no row twice. Both folders must be ones
+    that all executors reach."""
     query = (
         versions.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
         .option("path", out).option("checkpointLocation", checkpoint).start()
@@ -148,7 +149,43 @@ def stream_summaries(edits: DataFrame, out: str, checkpoint: str, **trigger) ->
     )
 
 
-def apply_summaries(spark: SparkSession, cart: DataFrame, out: str) -> DataFrame:
+class Base(NamedTuple):
+    """A folder with one row per line for all micro-batches up to ``upto``."""
+
+    path: str
+    upto: int
+
+
+def _pieces(spark: SparkSession, out: str, base: Base | None) -> DataFrame:
+    """The base, if there is one, and the summaries of the micro-batches after it."""
+    tail = spark.read.parquet(out).withColumn("piece", F.col(BATCH).cast("long"))
+    if base is None:
+        return tail.drop(BATCH)
+    tail = tail.where(F.col(BATCH) > base.upto).drop(BATCH)  # older folders are not read
+    earlier = spark.read.parquet(base.path).withColumn("piece", F.lit(base.upto).cast("long"))
+    return earlier.unionByName(tail)
+
+
+def compact_summaries(spark: SparkSession, out: str, path: str, upto: int, base: Base | None = None) -> Base:
+    """Merge all micro-batches up to ``upto`` into one row per line, in the new folder ``path``.
+
+    Builds on an earlier ``base``, if given. ``upto`` must be below the number of the last
+    micro-batch, which a restart may write again. Folders that a base covers may be deleted.
+    """
+    pieces = _pieces(spark, out, base).where(F.col("piece") <= upto)
+    merged = merge_pieces(pieces)
+    groups = ("qty", "some", "disc")
+    # Between micro-batches arrival counts, not ``seq``: keep the order of the three only.
+    at = {g: F.struct(f"{g}_piece", f"{g}_seq") for g in groups}
+    places = {
+        f"{g}_seq": F.when(F.col(f"{g}_seq").isNotNull(), sum(
+            F.when(F.col(f"{o}_seq").isNotNull() & (at[o] <= at[g]), 1).otherwise(0) for o in groups).cast("long"))
+        for g in groups
+    }
+    merged.withColumns(places).drop(*[f"{g}_piece" for g in groups]).write.parquet(path)
+    return Base(path, upto)
+
+
+def apply_summaries(spark: SparkSession, cart: DataFrame, out: str, base: Base | None = None) -> DataFrame:
     """The cart after all micro-batches stored in ``out``, in order of arrival."""
-    pieces = spark.read.parquet(out).withColumn("piece", F.col(BATCH).cast("long")).drop(BATCH)
-    return apply_summary(cart, merge_pieces(pieces))
+    return apply_summary(cart, merge_pieces(_pieces(spark, out, base)))

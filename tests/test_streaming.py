@@ -25,11 +25,11 @@ def case(spark, tmp_path_factory):
 def test_stateful_stream_equals_replay(spark, case, tmp_path):
     cart, log, stream = case
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
-    versions = live.run_to_table(spark, live.stream_edits(stream, cart), checkpoint, out)
+    versions = live.run_to_table(spark, live.stream_edits(stream, cart), out, checkpoint)
     assert rows(live.current_lines(cart, versions), *SHOWN) == rows(replay_edits(cart, log), *SHOWN)
     n = versions.count()
     # Nothing new: a restart from the same checkpoint adds nothing.
-    assert live.run_to_table(spark, live.stream_edits(stream, cart), checkpoint, out).count() == n
+    assert live.run_to_table(spark, live.stream_edits(stream, cart), out, checkpoint).count() == n
 
 
 def test_summary_stream_equals_replay(spark, case, tmp_path):
@@ -40,6 +40,37 @@ def test_summary_stream_equals_replay(spark, case, tmp_path):
     assert rows(live.apply_summaries(spark, cart, out), *SHOWN) == rows(replay_edits(cart, log), *SHOWN)
 
 
+def test_compaction_keeps_results_and_bounds_the_pieces(spark, case, tmp_path):
+    cart, log, stream = case
+    out = str(tmp_path / "out")
+    live.stream_summaries(stream, out, str(tmp_path / "checkpoint")).awaitTermination()
+    want = rows(replay_edits(cart, log), *SHOWN)
+    first = live.compact_summaries(spark, out, str(tmp_path / "base-0"), 0)
+    second = live.compact_summaries(spark, out, str(tmp_path / "base-1"), 1, first)
+    for base in (first, second):
+        assert rows(live.apply_summaries(spark, cart, out, base), *SHOWN) == want
+        stored = spark.read.parquet(base.path)
+        assert stored.count() == stored.select("quote_id", "cart_id").distinct().count()
+    text = live.apply_summaries(spark, cart, out, second)._jdf.queryExecution().executedPlan().toString()
+    assert "(batch_id" in text and "> 1)" in text  # folders that the base covers are not read
+
+
+def test_compaction_keeps_the_order_of_arrival(spark, tmp_path):
+    """An amount that arrives last counts last, whatever its number."""
+    cart = spark.createDataFrame(random_logs(1, seed=0)[0], CART).withColumns(
+        {"unit_price": F.lit(10.0), "quantity": F.lit(1.0), "disc_pct": F.lit(0.0)})
+    key = cart.select("quote_id", "cart_id").first()
+    folder, out = str(tmp_path / "edits"), str(tmp_path / "out")
+    for seq, kind, value in ((9, "qty", 3.0), (4, "amt", 6.0), (2, "qty", 2.0), (1, "pct", 50.0)):
+        spark.createDataFrame([(*key, seq, kind, value)], VALID).coalesce(1).write.mode("append").parquet(folder)
+        live.stream_summaries(spark.readStream.schema(VALID).parquet(folder), out, str(tmp_path / "cp")).awaitTermination()
+    want = rows(live.apply_summaries(spark, cart, out), *SHOWN)
+    assert want[0][2:4] == (2.0, 50.0)
+    for upto in range(3):
+        base = live.compact_summaries(spark, out, str(tmp_path / f"base-{upto}"), upto)
+        assert rows(live.apply_summaries(spark, cart, out, base), *SHOWN) == want
+
+
 def test_arrival_order_wins_across_batches(spark, tmp_path):
     """The second file holds an earlier number, yet comes later."""
     cart = spark.createDataFrame(random_logs(1, seed=0)[0], CART).withColumns(
