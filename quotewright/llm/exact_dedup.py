@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quotewright.llm.store import stored
 from quotewright.llm.text import ascii_lower, whole
 
 FILTER_BITS = 1 << 23  # 1 MB as a bitmap
@@ -77,12 +78,13 @@ def exact_groups(
     else:
         hashed = candidates.withColumn("_full", F.when(F.col("_same_prefix"), full))
     extra = ["text_sha256"] if digest else []
-    hashed = hashed.select("_id", "_length", "_full", *extra)
-    groups = (
+    # Stored, the groups meet their rows in a join of its own shuffles, which Spark can split where
+    # one group holds many rows.
+    hashed = stored(hashed.select("_id", "_length", "_full", *extra), "hashes")
+    groups = stored(
         hashed.where("_full IS NOT NULL").groupBy("_length", "_full")
         .agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .where("group_size > 1")
-    )
+        .where("group_size > 1"), "groups")
     size = F.coalesce(F.col("group_size"), F.lit(1).cast("long"))
     keep = F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("keep_id"))
     return hashed.join(groups, ["_length", "_full"], "left").select(
