@@ -19,6 +19,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A cart that is dealt by quote for pricing stays so for joins on quote and line.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 

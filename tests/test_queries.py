@@ -63,6 +63,14 @@ def test_filters_reach_the_scan(spark):
     assert "IsNotNull(p_brand)" in plan(choice_list(raw, "brand"))
 
 
+@pytest.mark.parametrize("name", ["bulk_percent", "bulk_amount", "supplier_discount", "cart_remove", "replay_edits",
+                                  "edited_quote_totals"])
+def test_carts_and_logs_are_read_once(spark, name):
+    text = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"FileScan parquet \[[^\]]*l_orderkey", text)) == 1
+    assert len(re.findall(r"FileScan parquet \[[^\]]*event_id", text)) <= 1
+
+
 def test_a_hot_quote_is_split(spark, tmp_path):
     """Half of all lines belong to one quote: without broadcasts, the join that prices them
     is split by AQE although the totals need the same key."""
