@@ -10,13 +10,14 @@ An edit is reduced to one of four kinds before it is applied:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quotewright.operators.cart import reprice
 from quotewright.schemas import BOOK, LINE_KEY
 
 # Width of the ranges of ``seq`` in which a line's edits are replayed side by side. A line
@@ -336,3 +337,39 @@ def replay_edits(cart: DataFrame, edits: DataFrame, seq_range: int = SEQ_RANGE,
     for width in widths:
         pieces = widen_pieces(pieces, width)
     return apply_summary(cart, merge_pieces(pieces))
+
+
+def replay_with_surcharges(cart: DataFrame, edits: DataFrame, changes: DataFrame, quotes: DataFrame,
+                           item_multipliers: DataFrame, service_multipliers: DataFrame,
+                           store: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The cart after a log of valid edits during which quotes change their surcharges.
+
+    ``changes`` has ``quote_id``, ``seq``, ``item_surcharge`` and ``service_surcharge``; a change
+    re-prices all lines of its quote at that point, which undoes clamps and rescales amounts, and
+    comes after an edit of the same ``seq``. A change to unset or unknown surcharges leaves the lines
+    as they are. Between two changes the price is fixed, so each stretch of the log is replayed by
+    its summary; there are as many rounds as any quote has changes, over the quotes with further
+    changes only. ``store`` writes a table and reads it again; it is called once a round.
+    """
+    numbered = changes.withColumn("epoch", F.row_number().over(W.partitionBy("quote_id").orderBy("seq")))
+    at = numbered.groupBy("quote_id").agg(F.collect_list("seq").alias("__changes"))
+    dated = store(
+        edits.join(at, "quote_id", "left").withColumn("epoch", F.coalesce(
+            F.size(F.filter("__changes", lambda s: s < F.col("seq"))), F.lit(0))).drop("__changes"))
+
+    def replayed(lines: DataFrame, epoch: int) -> DataFrame:
+        return replay_edits(lines, dated.where(F.col("epoch") == epoch).drop("epoch"))
+
+    last = numbered.agg(F.max("epoch")).first()[0] or 0
+    books = quotes.select("quote_id", BOOK)
+    lines, finished = replayed(cart, 0), []
+    for epoch in range(1, last + 1):
+        now = numbered.where(F.col("epoch") == epoch).drop("epoch")
+        lines = store(lines)
+        finished.append(lines.join(now, "quote_id", "left_anti"))
+        changed = lines.join(now.select("quote_id"), "quote_id", "left_semi")
+        priced = reprice(changed, now.join(books, "quote_id"), item_multipliers, service_multipliers)
+        lines = replayed(priced, epoch)
+    for done in finished:
+        lines = lines.unionByName(done)
+    return lines

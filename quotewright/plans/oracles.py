@@ -193,7 +193,38 @@ for kind in KINDS:
     STEPS[f"valid_{kind}"] = f"SELECT * FROM valid WHERE kind = '{kind}'"
     for step in ("numbered", "walk", "replayed"):
         STEPS[f"{step}_{kind}"] = re.sub(r"\b(valid|numbered|walk)\b", rf"\1_{kind}", STEPS[step])
-RECURSIVE = {"walk", *(f"walk_{kind}" for kind in KINDS)}
+# Edits and changes of surcharges together; no edit applies while a price is unknown.
+STEPS["numbered_both"] = """
+SELECT *, row_number() OVER (PARTITION BY quote_id, cart_id ORDER BY seq, kind = 'reprice') AS nth
+FROM (SELECT quote_id, cart_id, seq, kind, value FROM valid
+  UNION ALL
+  SELECT quote_id, cart_id, seq, 'reprice', CASE WHEN type = 'Item' AND is_constant THEN base_ref + add_ref
+      WHEN type = 'Item' THEN base_ref * im.multiplier + add_ref
+      WHEN type = 'Processing' THEN base_ref * sm.multiplier ELSE 0 END
+  FROM lines JOIN surcharge_changes c USING (quote_id) JOIN (SELECT quote_id, book_id FROM quotes) USING (quote_id)
+  JOIN imults im ON im.book_id = quotes.book_id AND im.label = c.item_surcharge
+  JOIN smults sm ON sm.book_id = quotes.book_id AND sm.label = c.service_surcharge)""".replace(
+    "(SELECT quote_id, book_id FROM quotes) USING", "(SELECT quote_id, book_id FROM quotes) quotes USING")
+STEPS["walk_both"] = """
+SELECT quote_id, cart_id, unit_price, quantity, disc_pct, disc_amt, final_total, CAST(0 AS BIGINT) AS nth
+FROM priced
+UNION ALL
+SELECT quote_id, cart_id, price, q,
+  CASE WHEN same THEN p0 WHEN over THEN 100::DOUBLE ELSE p END, CASE WHEN same THEN a0 WHEN over THEN g ELSE a END,
+  CASE WHEN same THEN t0 WHEN over THEN g - g ELSE g - a END, nth
+FROM (SELECT *, kind <> 'reprice' AND coalesce(g - a < 0, false) AS over
+FROM (SELECT *, CASE WHEN kind = 'amt' THEN value ELSE g * (p / 100::DOUBLE) END AS a
+  FROM (SELECT *, CASE kind WHEN 'amt' THEN CASE WHEN g > 0 THEN value / g * 100::DOUBLE ELSE 0::DOUBLE END
+                       WHEN 'pct' THEN value ELSE p0 END AS p
+    FROM (SELECT *, price * q AS g
+      FROM (SELECT w.quote_id, w.cart_id, w.disc_pct AS p0, w.disc_amt AS a0, w.final_total AS t0, n.kind, n.value, n.nth,
+              n.kind <> 'reprice' AND w.unit_price IS NULL AS same,
+              CASE WHEN n.kind = 'reprice' THEN n.value ELSE w.unit_price END AS price,
+              CASE WHEN n.kind = 'qty' AND w.unit_price IS NOT NULL THEN n.value ELSE w.quantity END AS q
+            FROM walk_both w JOIN numbered_both n ON n.quote_id = w.quote_id AND n.cart_id = w.cart_id
+              AND n.nth = w.nth + 1)))))"""
+STEPS["replayed_both"] = STEPS["replayed"].replace("FROM walk)", "FROM walk_both)")
+RECURSIVE = {"walk", "walk_both", *(f"walk_{kind}" for kind in KINDS)}
 
 
 def with_steps(sql: str) -> str:
@@ -453,6 +484,7 @@ SELECT book_id, display_text FROM ({discounts('''(SELECT * REPLACE (NULL AS supp
   ceil(amount / 10::DOUBLE) AS amount) FROM discounts_raw)''')}) GROUP BY ALL HAVING count(*) > 1""",
     "resolved_edits": "SELECT * FROM valid",
     "replay_edits": "SELECT * FROM replayed",
+    "replay_edits_with_surcharges": "SELECT * FROM replayed_both",
     "stream_edits": "SELECT * FROM replayed",
     "stream_edit_summaries": "SELECT * FROM replayed",
     "edited_quote_totals": totals("replayed"),

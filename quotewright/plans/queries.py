@@ -140,6 +140,13 @@ def valid_edits(spark: SparkSession, sf: str, prices: Book) -> DataFrame:
     return events_as_edits(view(spark, sf, "edit_events"), sf, prices)
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder."""
+    out = shared_dir(df.sparkSession, "table")
+    df.write.parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
 # --- sources and cleaning --------------------------------------------------------------
 
 
@@ -552,6 +559,16 @@ def edited_quote_totals(spark, sf):
     return totals.quote_totals(lines, quotes(spark, sf))
 
 
+@query
+def replay_edits_with_surcharges(spark, sf):
+    """The edit log of quotes whose surcharges change in between."""
+    prices = Book(spark, sf)
+    lines = discounts.replay_with_surcharges(
+        priced_cart(spark, sf, prices), valid_edits(spark, sf, prices), view(spark, sf, "surcharge_changes"),
+        quotes(spark, sf), prices.item_multipliers, prices.service_multipliers, _stored)
+    return _edited(lines)
+
+
 def _edit_stream(spark: SparkSession, sf: str, prices: Book) -> DataFrame:
     """``valid_edits``, read as a stream of files."""
     events = spark.readStream.schema(table(spark, sf, "events").schema).parquet(
@@ -560,18 +577,10 @@ def _edit_stream(spark: SparkSession, sf: str, prices: Book) -> DataFrame:
     return events_as_edits(view_over(spark, "edit_events", frames), sf, prices)
 
 
-def _stored_cart(spark: SparkSession, sf: str, prices: Book) -> DataFrame:
-    """The priced cart as a table, which every micro-batch reads."""
-    out = shared_dir(spark, "priced-cart")
-    lines = priced_cart(spark, sf, prices)
-    lines.write.parquet(out)
-    return spark.read.schema(lines.schema).parquet(out)
-
-
 @query
 def stream_edits(spark, sf):
     prices = Book(spark, sf)
-    lines = _stored_cart(spark, sf, prices)
+    lines = _stored(priced_cart(spark, sf, prices))
     versions = live.run_to_table(
         spark, live.stream_edits(_edit_stream(spark, sf, prices), lines),
         shared_dir(spark, "line-versions"), shared_dir(spark, "versions-checkpoint"))
