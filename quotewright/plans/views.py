@@ -109,7 +109,8 @@ SELECT user_id AS quote_id, CAST(1 + event_id % 5 AS STRING) AS cart_id, event_i
        END AS op,
   value, CAST(event_id % (SELECT max(s_suppkey) + 1 FROM {supplier}) AS BIGINT) AS discount_ix
 FROM {events}""",
-    # Quotes that change their surcharges now and then; some to labels that their book lacks.
+    # Quotes that change their surcharges now and then; some to labels that their book lacks. The
+    # events are those whose value is no percentage, so that they are no valid edits as well.
     "surcharge_changes": """
 SELECT user_id AS quote_id, event_id AS seq,
   CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'RETIRED'
@@ -118,7 +119,7 @@ SELECT user_id AS quote_id, event_id AS seq,
   'NATION_' || CAST(n_regionkey + CASE WHEN n_regionkey % 2 = 0 THEN 10 ELSE 5 END AS STRING) AS service_surcharge
 FROM {events} JOIN {orders} ON o_orderkey = user_id JOIN {customer} ON o_custkey = c_custkey
 JOIN {nation} ON c_nationkey = n_nationkey
-WHERE event_type = 'signup'""",
+WHERE event_type = 'signup' AND value > 100""",
 }
 
 
