@@ -156,12 +156,14 @@ def _eligible_counts(quotes: DataFrame, catalog: DataFrame, tags: DataFrame, nam
 
     tag_selection = [BOOK, "application", "protocol"]
     selection = [*tag_selection, *choices]
+    # The narrower list comes from the wider one, whose shuffle is then used twice.
+    made = _selections(quotes, choices)
     matched = (
-        _selection_keys(_selections(quotes, []))
+        _selection_keys(made.select(*tag_selection).distinct())
         .join(keyed, [BOOK, "app_key", "proto_key"]).select(*tag_selection, "kind").distinct()
     )
     answers = (
-        _selections(quotes, choices).join(matched, tag_selection, "left")
+        made.join(matched, tag_selection, "left")
         .join(per_kind, [BOOK, "kind", *choices], "left")
         .groupBy(*selection)
         .agg(F.sum("n").alias("n"), F.max(F.col("kind").isNotNull()).alias("tagged"))
