@@ -232,7 +232,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int =
     index, blocks = build_index(vectors, block_rows)
     asked = queries.dropDuplicates(["id"]).mapInArrow(_pack_queries, "query_ids binary, columns int, queries binary")
     dealt = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = index.join(dealt, "block").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    # Blocks are few bytes and much work: Spark is told how many tasks there are to be.
+    pairs = index.repartition(blocks, "block").join(dealt.repartition(blocks, "block"), "block")
+    found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
