@@ -8,16 +8,26 @@ from pyspark.sql import functions as F
 from quotewright.llm.store import stored
 
 
+SALTS = 8  # tasks that the links of one node are dealt to
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` with the least neighbour ``m`` of ``u``; a node may have a large part of all links."""
+    salts = F.array(*[F.lit(i).cast("long") for i in range(SALTS)])
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    return salted.join(least.withColumn("salt", F.explode(salts)), ["u", "salt"]).drop("salt")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u")).toDF("u", "v")
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    others = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    others = _with_least(down, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
