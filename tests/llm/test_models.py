@@ -133,6 +133,27 @@ def test_losses_are_cross_entropies(spark):
     assert lm_score.score(docs.limit(0), "good").count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 40, lm_score.BLOCK])
+def test_every_word_is_scored(spark, block):
+    rng = random.Random(12)
+    rare = [f"word{i}" for i in range(3000)]  # more words than any fixed vocabulary of the past
+    docs = [(i, " ".join(["The"] * rng.randint(0, 9) + rng.choices(rare, k=rng.randint(0, 120))), rng.random() < 0.3)
+            for i in range(100 if block == 1 else 300)]
+    docs += [(1000, None, True), (1001, "", None), (None, "word1 word2", None), (1002, "the", True), (1002, "THE \u00e9t\u00e9", True)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, good boolean")
+    assert rows(lm_score.score(table, "good", block=block).drop("score")) == [
+        (i, n, *(v and pytest.approx(v, rel=1e-9) for v in losses)) for i, n, *losses in sorted(
+            brute.language_losses(docs), key=lambda r: tuple((v is not None, str(type(v)), v) for v in r))]
+
+
+def test_rare_words_tell_documents_apart(spark):
+    common = " ".join(f"c{i}" for i in range(1000))  # as many words as the model once knew
+    docs = [(1, "rareone", True), (2, "raretwo", False), *((10 + i, common, i % 2 == 0) for i in range(4))]
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(
+        spark.createDataFrame(docs, "doc_id long, text string, good boolean"), "good").collect()}
+    assert got[1] < 0 < got[2]
+
+
 def test_chains_use_out_of_fold_probabilities():
     rng = np.random.default_rng(0)
     rows_ = rng.random((200, 5)).astype(np.float32)
