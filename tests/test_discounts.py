@@ -148,3 +148,45 @@ def test_a_discount_never_exceeds_the_price(price, edits):
     start = dict(zip(AMOUNTS, (price, 1.0, 0.0, 0.0, price)), removed=False, version=0)
     after = fold(start, [k for k, _ in edits], [v for _, v in edits])
     assert 0 <= after["final_total"] <= price * after["quantity"]
+
+
+EDITORS = {
+    # The edit in SQL: new quantity, percentage and amount before a discount above the price is cut.
+    "edit_quantity": ("v", "disc_pct", "unit_price * v * (disc_pct / 100)"),
+    "edit_percent": ("quantity", "v", "unit_price * quantity * (v / 100)"),
+    "edit_amount": ("quantity", "CASE WHEN unit_price * quantity > 0 THEN v / (unit_price * quantity) * 100 ELSE 0 END", "v"),
+}
+
+
+@pytest.mark.parametrize("name", EDITORS)
+def test_single_editors_equal_their_sql(spark, name):
+    import duckdb
+
+    rng = random.Random(name)
+    lines = [line(q, f"l{i}", price=rng.choice([None, 0.0, 10.0, 99.5]), qty=rng.choice([0.0, 1.0, 3.0]),
+                  pct=rng.choice([0.0, 20.0, 100.0]), total=7.0) for q in (1, 2) for i in range(40)]
+    cart = priced(spark, *lines)
+    edits = [(q, f"l{i}", rng.choice([None, -1.0, 0.0, 2.0, 50.0, 150.0, 1000.0]))
+             for q in (1, 3) for i in range(0, 60, rng.choice([1, 2]))]
+    got = getattr(d, name)(cart, spark.createDataFrame(edits, "quote_id long, cart_id string, value double"))
+    db = duckdb.connect()
+    db.sql("CREATE TABLE cart (quote_id BIGINT, cart_id TEXT, unit_price DOUBLE, quantity DOUBLE, disc_pct DOUBLE, "
+           "disc_amt DOUBLE, final_total DOUBLE)")
+    db.sql("CREATE TABLE edits (quote_id BIGINT, cart_id TEXT, v DOUBLE)")
+    db.executemany("INSERT INTO cart VALUES (?, ?, ?, ?, ?, ?, ?)", [list(r) for r in cart.select(
+        "quote_id", "cart_id", "unit_price", "quantity", "disc_pct", "disc_amt", "final_total").collect()])
+    db.executemany("INSERT INTO edits VALUES (?, ?, ?)", [list(e) for e in edits])
+    quantity, pct, amount = EDITORS[name]
+    expected = db.sql(f"""
+        WITH edited AS (
+          SELECT *, coalesce(v >= 0 AND unit_price IS NOT NULL, false) AS ok, {quantity} AS q, {pct} AS p, {amount} AS a
+          FROM cart LEFT JOIN edits USING (quote_id, cart_id)),
+        cut AS (SELECT *, unit_price * q AS gross, coalesce(unit_price * q - a < 0, false) AS above FROM edited)
+        SELECT quote_id, cart_id, CASE WHEN ok THEN q ELSE quantity END,
+          CASE WHEN NOT ok THEN disc_pct WHEN above THEN 100 ELSE p END,
+          CASE WHEN NOT ok THEN disc_amt WHEN above THEN gross ELSE a END,
+          CASE WHEN NOT ok THEN final_total WHEN above THEN 0 ELSE gross - a END
+        FROM cut ORDER BY quote_id, cart_id""").fetchall()
+    assert len(expected) == len(lines) and any(e[2:] != tuple(g) for e, g in zip(
+        expected, sorted(cart.select(*SHOWN).collect())))
+    assert rows(got, *SHOWN) == expected
