@@ -1,5 +1,6 @@
 """The operators once more, in plain Python, for small tables."""
 
+import base64
 import hashlib
 import math
 import re
@@ -8,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
@@ -39,6 +41,15 @@ def token_ids(docs):
     return {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for i, t in docs}
 
 
+def bpe_digests(docs):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, lines))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids = {i: own.encode_ordinary(t or "") for i, t in docs}
+    return sorted((i, len(ids[i]), sha(little_endian(ids[i])), sha(t or "")) for i, t in docs)
+
+
 def token_files(docs):
     out, start = [], 0
     for i, ids in sorted(token_ids(docs).items()):

@@ -259,3 +259,29 @@ def test_queries_equal_brute_force(spark):
     assert rows(QUERIES["op5_simhash"](spark, SF_DIR)) == brute.near_duplicates(docs)
     total = sum(map(len, brute.token_ids(docs).values()))
     assert brute.check_packing(docs, QUERIES["op3_packing"](spark, SF_DIR).collect()) <= -(-total // 1024) + 4
+
+
+def test_model_queries_equal_brute_force(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet").collect()
+    good = {r["doc_id"] for r in labels if r["quality"] == 1}
+
+    scores = QUERIES["op8_lm_score"](spark, SF_DIR)
+    assert scores.columns == ["doc_id", "n_words", "target_loss", "background_loss", "score"]
+    expected = [(i, n, t, b, t and t - b) for i, n, t, b in brute.language_losses([(i, t, i in good) for i, t in docs])]
+    assert rows(scores) == [(i, n, *(v and pytest.approx(v, abs=1e-9) for v in x)) for i, n, *x in sorted(expected)]
+
+    judged = QUERIES["op2_toxicity"](spark, SF_DIR)
+    assert judged.columns == ["doc_id", "p_quality", "p_toxic", "toxic"]
+    judged = {r["doc_id"]: r for r in judged.collect()}
+    assert sorted(judged) == sorted(i for i, _ in docs)
+    assert all(r["toxic"] == (r["p_toxic"] > 0.5) for r in judged.values())
+    for column, p in (("toxic", "p_toxic"), ("quality", "p_quality")):
+        known = {r["doc_id"]: r[column] for r in labels if r["doc_id"] in judged and r[column] is not None}
+        right = sum((judged[i][p] > 0.5) == bool(label) for i, label in known.items())
+        constant = max(sum(known.values()), len(known) - sum(known.values()))
+        assert constant < len(known) and right >= (0.95 * len(known) if column == "toxic" else constant), (column, right)
+
+    encoded = QUERIES["op10_bpe"](spark, SF_DIR)
+    assert encoded.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert rows(encoded) == brute.bpe_digests(docs)
