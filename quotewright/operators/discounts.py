@@ -339,9 +339,25 @@ def replay_edits(cart: DataFrame, edits: DataFrame, seq_range: int = SEQ_RANGE,
     return apply_summary(cart, merge_pieces(pieces))
 
 
+def _in_epochs(edits: DataFrame, changes: DataFrame, seq_range: int) -> DataFrame:
+    """Edits and changes in one table, with ``epoch``: how many changes of the quote came before an
+    edit, or up to a change. Counted in ranges of ``seq``, to which the earlier ranges' counts are added."""
+    rows = edits.withColumn("__change", F.lit(False)).unionByName(
+        changes.select("quote_id", "seq", "item_surcharge", "service_surcharge", F.lit(True).alias("__change")),
+        allowMissingColumns=True).withColumns({
+            "__piece": F.floor(F.col("seq") / seq_range), "__n": F.col("__change").cast("long")})
+    earlier = W.partitionBy("quote_id").orderBy("__piece").rowsBetween(W.unboundedPreceding, -1)
+    carried = rows.where("__change").groupBy("quote_id", "__piece").agg(F.sum("__n").alias("__n"))
+    pieces = rows.select("quote_id", "__piece").distinct().join(carried, ["quote_id", "__piece"], "left").select(
+        "quote_id", "__piece", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__carried"))
+    so_far = W.partitionBy("quote_id", "__piece").orderBy("seq", "__change").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return rows.withColumn("epoch", F.sum("__n").over(so_far)).join(pieces, ["quote_id", "__piece"], "left").withColumn(
+        "epoch", F.col("epoch") + F.coalesce("__carried", F.lit(0))).drop("__piece", "__n", "__carried")
+
+
 def replay_with_surcharges(cart: DataFrame, edits: DataFrame, changes: DataFrame, quotes: DataFrame,
                            item_multipliers: DataFrame, service_multipliers: DataFrame,
-                           store: Callable[[DataFrame], DataFrame]) -> DataFrame:
+                           store: Callable[[DataFrame], DataFrame], seq_range: int = SEQ_RANGE) -> DataFrame:
     """The cart after a log of valid edits during which quotes change their surcharges.
 
     ``changes`` has ``quote_id``, ``seq``, ``item_surcharge`` and ``service_surcharge``; a change
@@ -349,13 +365,12 @@ def replay_with_surcharges(cart: DataFrame, edits: DataFrame, changes: DataFrame
     comes after an edit of the same ``seq``. A change to unset or unknown surcharges leaves the lines
     as they are. Between two changes the price is fixed, so each stretch of the log is replayed by
     its summary; there are as many rounds as any quote has changes, over the quotes with further
-    changes only. ``store`` writes a table and reads it again; it is called once a round.
+    changes only. So the time grows with the changes of the busiest quote. ``store`` writes a table and reads it again; it is called once a round.
     """
-    numbered = changes.withColumn("epoch", F.row_number().over(W.partitionBy("quote_id").orderBy("seq")))
-    at = numbered.groupBy("quote_id").agg(F.collect_list("seq").alias("__changes"))
-    dated = store(
-        edits.join(at, "quote_id", "left").withColumn("epoch", F.coalesce(
-            F.size(F.filter("__changes", lambda s: s < F.col("seq"))), F.lit(0))).drop("__changes"))
+    dated_all = store(_in_epochs(edits, changes, seq_range))
+    surcharges = ["item_surcharge", "service_surcharge"]
+    dated, numbered = dated_all.where("not __change").drop("__change", *surcharges), dated_all.where("__change").select(
+        "quote_id", "seq", *surcharges, "epoch")
 
     def replayed(lines: DataFrame, epoch: int) -> DataFrame:
         return replay_edits(lines, dated.where(F.col("epoch") == epoch).drop("epoch"))
