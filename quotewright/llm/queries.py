@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotewright.llm import (
-    bit_slices, bpe, chat, exact_dedup, lm_score, packing, secrets, simhash, token_files, toxicity)
+    bit_slices, bpe, chat, exact_dedup, filter_audit, host_rules, lm_score, merkle, packing, secrets, simhash, token_files,
+    toxicity)
 from quotewright.llm.store import stored
 from quotewright.session import shared_dir
 
@@ -111,6 +112,26 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(encoded, ranks)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.judge(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leaf's proof, checked against texts of which those with an even checksum of their id lost their line breaks."""
+    docs = _table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    leaves = docs.select(
+        F.col("doc_id").cast("long").alias("id"), "source", merkle.leaf_hash(*fields, F.col("text")).alias("node"),
+        merkle.leaf_hash(*fields, tampered).alias("claimed"))
+    return merkle.manifest(leaves).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat, op2_toxicity, op3_packing, op4_token_files, op5_simhash, op6_exact_dedup, op7_secrets, op8_lm_score, op9_top_k,
-    op10_bpe)}
+    op10_bpe, op11_filter_audit, op12_host_rules, op13_merkle)}

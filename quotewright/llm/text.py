@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,3 +22,13 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
         F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
     )
+
+
+def words(text: Column) -> Column:
+    """The maximal runs of characters other than ASCII white space."""
+    return F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
