@@ -131,7 +131,7 @@ def audit(docs: DataFrame, labels: DataFrame, filters: str = "ABCDE") -> DataFra
     ).groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct("n", "good", "toxic")))).alias("removals"))
     redundant = redundant.select("part", ((own * sets + F.col("prefix")) * len(filters) + F.col("by")).alias("key"), "n").groupBy(
         "part").agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("losses"))
-    steps = totals.join(removed, "part", "left").join(redundant, "part", "left").select("*", F.inline(_orders(filters)))
+    counts = totals.join(removed, "part", "left").join(redundant, "part", "left")
     zero = F.lit(0).cast("long")
 
     def entry(filter_: Column, prefix: Column, field: str) -> Column:
@@ -145,21 +145,32 @@ def audit(docs: DataFrame, labels: DataFrame, filters: str = "ABCDE") -> DataFra
 
         return F.aggregate(F.sequence(F.lit(0), F.lit(len(filters) - 1)), zero, one)
 
-    own, before = F.col("own"), F.col("before")
-    bit = F.call_function("shiftleft", F.lit(1), own)
-    lost = F.try_element_at
     weights = F.lit([factorial(i) * factorial(len(filters) - 1 - i) for i in range(len(filters))])
 
-    def weighed(total: Column, prefix: Column) -> Column:
-        weight = F.element_at(weights, F.bit_count(prefix) + 1).cast("long")
-        return total + F.when(prefix.bitwiseAND(bit) == 0, weight * entry(own, prefix, "n")).otherwise(zero)
-
+    def state(key: Column) -> Column:
+        """What one filter (key / sets) does after the filters of one prefix (key % sets)."""
+        own, before = (key / sets).cast("int"), key % sets
+        bit = F.call_function("shiftleft", F.lit(1), own)
+        return F.struct(
+            (F.col("total") - over(before.bitwiseOR(bit), lambda g, below: entry(g, below, "n"))).alias("kept"),
+            entry(own, before, "n").alias("removed"),
+            over(before, lambda g, below: F.coalesce(F.try_element_at(
+                "losses", ((own * sets + below) * len(filters) + g).cast("int")), zero)).alias("redundant"),
+            entry(own, F.lit(sets - 1) - bit, "n").alias("unique_fails"),
+            entry(own, before, "good").alias("good_lost"), entry(own, before, "toxic").alias("toxic_lost"))
+
+    def shapley(own: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1), own)
+
+        def weighed(total: Column, prefix: Column) -> Column:
+            weight = F.element_at(weights, F.bit_count(prefix) + 1).cast("long")
+            return total + F.when(prefix.bitwiseAND(bit) == 0, weight * entry(own, prefix, "n")).otherwise(zero)
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(sets - 1)), zero, weighed)
+
+    states = F.transform(F.sequence(F.lit(0), F.lit(len(filters) * sets - 1)), state)
+    shares = F.transform(F.sequence(F.lit(0), F.lit(len(filters) - 1)), shapley)
+    steps = counts.select("part", states.alias("states"), shares.alias("shares")).select("*", F.inline(_orders(filters)))
     return steps.select(
-        "part", "filter_order", "step",
-        (F.col("total") - over(before.bitwiseOR(bit), lambda g, below: entry(g, below, "n"))).alias("kept"),
-        entry(own, before, "n").alias("removed"),
-        over(before, lambda g, below: F.coalesce(
-            lost("losses", ((own * sets + below) * len(filters) + g).cast("int")), zero)).alias("redundant"),
-        entry(own, F.lit(sets - 1) - bit, "n").alias("unique_fails"),
-        entry(own, before, "good").alias("good_lost"), entry(own, before, "toxic").alias("toxic_lost"),
-        F.aggregate(F.sequence(F.lit(0), F.lit(sets - 1)), zero, weighed).alias("shapley"))
+        "part", "filter_order", "step", F.get("states", F.col("own") * sets + F.col("before")).alias("state"),
+        F.get("shares", "own").alias("shapley")).select("part", "filter_order", "step", "state.*", "shapley")

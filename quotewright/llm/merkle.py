@@ -178,12 +178,12 @@ def _proofs(tables: list[DataFrame], finished: DataFrame, levels: int) -> DataFr
     ``finished`` has the proof of every tree's root (tree, proof, subroot, root).
     """
     outer = None
-    for table in reversed(tables[1:] if len(tables) > 1 else []):
+    for table in reversed(tables[1:]):
         ended = table.where("n = 1").select("tree", "at").join(finished, "tree").select("tree", "at", "proof", "subroot", "root")
         open_ = table.where("n > 1").select("tree", "at", "n", "node")
-        outer = ended if outer is None else stored(ended.unionByName(_descend(open_, outer, levels)), "proofs")
+        outer = stored(ended if outer is None else ended.unionByName(_descend(open_, outer, levels)), "proofs")
     alone = tables[0].where("n = 1").select("tree", "at").join(finished, "tree").select("tree", "at", "proof", "subroot", "root")
-    return alone if outer is None else outer.unionByName(alone)
+    return stored(alone if outer is None else outer.unionByName(alone), "proofs")
 
 
 def manifest(leaves: DataFrame, levels: int = LEVELS) -> DataFrame:

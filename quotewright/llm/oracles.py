@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 EXACT_DEDUP = f"""
@@ -80,5 +82,94 @@ FROM scores QUALIFY rank <= 5
 """
 
 
+_STEPS = ", ".join(
+    f"('{''.join(order)}', {i + 1}, {1 << 'ABCDE'.index(f)}, {sum(1 << 'ABCDE'.index(b) for b in order[:i])})"
+    for order in permutations("ABCDE") for i, f in enumerate(order))
+
+FILTER_AUDIT = rf"""
+WITH texts AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), judged AS (
+    SELECT part, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good,
+           doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic,
+           CASE WHEN len(words) < 50 THEN 1 ELSE 0 END
+               + CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END
+               + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 4 ELSE 0 END
+               + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+               + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS fails
+    FROM texts
+), classes AS (
+    SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+    FROM judged GROUP BY part, fails
+), steps(filter_order, step, own, before) AS (VALUES {_STEPS}),
+counted AS (
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, own,
+           sum(CASE WHEN fails & (before | own) = 0 THEN n ELSE 0 END) AS kept,
+           sum(CASE WHEN fails & own <> 0 AND fails & before = 0 THEN n ELSE 0 END) AS removed,
+           sum(CASE WHEN fails & own <> 0 AND fails & before <> 0 THEN n ELSE 0 END) AS redundant,
+           sum(CASE WHEN fails = own THEN n ELSE 0 END) AS unique_fails,
+           sum(CASE WHEN fails & own <> 0 AND fails & before = 0 THEN good ELSE 0 END) AS good_lost,
+           sum(CASE WHEN fails & own <> 0 AND fails & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+    FROM classes, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
+def _shrunken(rule: str) -> str:
+    """A host's failure rate drawn towards the mean of all hosts; ``s`` are the sums over hosts."""
+    return f"""CASE WHEN {rule}_between <= 0 OR {rule}_between IS NULL
+        THEN ({rule} + {rule}_mean * 1e12) / (documents + 1e12)
+        ELSE ({rule} + {rule}_mean * least(1e12, greatest({rule}_mean * (1 - {rule}_mean) / {rule}_between - 1, 0)))
+            / (documents + least(1e12, greatest({rule}_mean * (1 - {rule}_mean) / {rule}_between - 1, 0))) END"""
+
+
+_RULES = ("few_words", "repeated_words", "symbols", "repeated_lines")
+_MEANS = ", ".join(f"sum({r})::DOUBLE / sum(documents) AS {r}_mean" for r in _RULES)
+_BETWEEN = ", ".join(
+    f"(sum({r}::DOUBLE * {r} / documents) - sum({r}) * (sum({r})::DOUBLE / sum(documents))"
+    f" - sum({r})::DOUBLE / sum(documents) * (1 - sum({r})::DOUBLE / sum(documents)) * (count(*) - 1))"
+    f" / nullif(sum(documents) - sum(documents::DOUBLE * documents) / sum(documents), 0) AS {r}_between" for r in _RULES)
+
+HOST_RULES = rf"""
+WITH texts AS (
+    SELECT doc_id, source, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+    FROM documents
+), windows AS (
+    SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS w
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM texts)
+), repeated AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, w) > 1
+), covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM repeated, range(5) r(k) GROUP BY doc_id
+), counts AS (
+    SELECT doc_id, source, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+           length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+           (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines,
+           coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+    FROM texts LEFT JOIN covered USING (doc_id)
+), flags AS (
+    SELECT *, n_words < 10 AS few_words, 100 * n_repeat_words > 20 * n_words AS repeated_words,
+           100 * n_symbols > 10 * n_words AS symbols, 100 * n_dup_lines > 30 * n_lines AS repeated_lines
+    FROM counts
+), hosts AS (
+    SELECT source, count(*) AS documents, {", ".join(f"count(*) FILTER ({r}) AS {r}" for r in _RULES)}
+    FROM flags GROUP BY source
+), sums AS (SELECT {_MEANS}, {_BETWEEN} FROM hosts
+), verdicts AS (
+    SELECT source, greatest({", ".join(f"round({_shrunken(r)}, 9)" for r in _RULES)}) > 0.5 AS rejected FROM hosts, sums
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few_words OR repeated_words AS base_failed,
+       NOT (few_words OR repeated_words) AND NOT rejected AS kept
+FROM flags JOIN verdicts ON flags.source IS NOT DISTINCT FROM verdicts.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": CHAT, "op6_exact_dedup": EXACT_DEDUP, "op7_secrets": SECRETS, "op9_top_k": TOP_K}
+    return {"op1_chat": CHAT, "op6_exact_dedup": EXACT_DEDUP, "op7_secrets": SECRETS, "op9_top_k": TOP_K,
+            "op11_filter_audit": FILTER_AUDIT, "op12_host_rules": HOST_RULES}

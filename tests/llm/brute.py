@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -159,3 +160,115 @@ def check_packing(docs, pieces, capacity=1024):
             at += length
         assert at <= capacity
     return len(by_sequence)
+
+
+# Failure conditions on (id, text, words, all documents), by filter.
+FILTERS = {
+    "A": lambda i, t, w, docs: len(w) < 50,
+    "B": lambda i, t, w, docs: 100 * len(set(w)) < 65 * len(w),
+    "C": lambda i, t, w, docs: 100 * sum("A" <= c <= "Z" for c in t) > 5 * len(t),
+    "D": lambda i, t, w, docs: bool(set(t) & set("#$%&*|")),
+    "E": lambda i, t, w, docs: i is not None and any(j is not None and j < i and (u or "") == t for j, u, _ in docs),
+}
+
+
+def ascii_words(text):
+    return [w.decode() for w in (text or "").encode().split()]
+
+
+def filter_audit(docs, labels):
+    """Rows of the audit of (id, text, source), by applying every order of the filters one after the other."""
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, x in labels if x == 1 and i is not None}
+    judged = [(i, s or "", {f for f, fails in FILTERS.items() if fails(i, t or "", ascii_words(t), docs)}) for i, t, s in docs]
+    out = []
+    for part in {s for _, s, _ in judged}:
+        own, total = [], Counter()
+        for order in itertools.permutations("ABCDE"):
+            left, gone = [d for d in judged if d[1] == part], []
+            for step, f in enumerate(order, 1):
+                lost = [d for d in left if f in d[2]]
+                redundant = sum(f in d[2] for d in gone)
+                left = [d for d in left if f not in d[2]]
+                gone += lost
+                total[f] += len(lost)
+                own.append((f, (part, "".join(order), step, len(left), len(lost), redundant,
+                                sum(d[2] == {f} and d[1] == part for d in judged),
+                                sum(d[0] in good for d in lost), sum(d[0] in toxic for d in lost))))
+        out += [(*row, total[f]) for f, row in own]
+    return sorted(out)
+
+
+def host_counts(text):
+    """(words, their characters, symbols, repeated lines, words in repeated windows of five)."""
+    text = text or ""
+    words = ascii_words(text)
+    windows = defaultdict(list)
+    for i in range(len(words) - 4):
+        windows[tuple(words[i:i + 5])].append(i)
+    repeated = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(5)}
+    lines = [x for x in text.split("\n") if ascii_words(x)]
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeated))
+
+
+def host_verdicts(docs, most=0.5):
+    """(id, counts..., base_failed, kept) of (id, text, source)."""
+    rows, hosts = [], defaultdict(list)
+    for i, t, s in docs:
+        n, chars, symbols, dup, rep = counts = host_counts(t)
+        lines = sum(bool(ascii_words(x)) for x in (t or "").split("\n"))
+        flags = (n < 10, 100 * rep > 20 * n, 100 * symbols > 10 * n, 100 * dup > 30 * lines)
+        rows.append((i, s, counts, flags))
+        hosts[s].append(flags)
+    rejected = set()
+    for rule in range(4):
+        sizes = {h: len(f) for h, f in hosts.items()}
+        failures = {h: sum(x[rule] for x in f) for h, f in hosts.items()}
+        size, mean = sum(sizes.values()), sum(failures.values()) / max(1, sum(sizes.values()))
+        spread = sum(sizes[h] * (failures[h] / sizes[h] - mean) ** 2 for h in hosts)
+        effective = size - sum(n * n for n in sizes.values()) / size if size else 0
+        between = (spread - mean * (1 - mean) * (len(hosts) - 1)) / effective if effective > 0 else 0
+        weight = min(1e12, max(mean * (1 - mean) / between - 1, 0)) if between > 1e-15 else 1e12
+        rejected |= {h for h in hosts if round((failures[h] + mean * weight) / (sizes[h] + weight), 9) > most}
+    return [(i, *counts, flags[0] or flags[1], not (flags[0] or flags[1]) and s not in rejected) for i, s, counts, flags in rows]
+
+
+def _field(value):
+    return "-" if value is None else f"{len(str(value).encode())}:{value}"
+
+
+def merkle_leaf(*values):
+    return sha("".join(map(_field, values)))
+
+
+def merkle(docs):
+    """Rows of the manifest of (doc_id, source, lang, n_chars, text), by recursion over whole trees."""
+    def tree(nodes):
+        """The root of ``nodes`` and the proof of each: lists of (left, right) siblings."""
+        if len(nodes) == 1:
+            return nodes[0], [[]]
+        runs = [nodes[i:i + 3] for i in range(0, len(nodes), 3)]
+        root, above = tree([sha("".join(run)) for run in runs])
+        return root, [[(run[:i], run[i + 1:]), *above[r]] for r, run in enumerate(runs) for i in range(len(run))]
+
+    def lost(d):
+        even = zlib.crc32(str(d[0]).encode()) % 2 == 0 if d[0] is not None else False
+        return (*d[:4], d[4].replace("\n", "") if even and d[4] is not None else d[4])
+
+    sources = defaultdict(list)
+    for d in docs:
+        sources[d[1]].append((d[0] is not None, d[0] or 0, merkle_leaf(*d), merkle_leaf(*lost(d)), d[0]))
+    ordered = sorted(sources, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {s: tree([leaf for _, _, leaf, _, _ in sorted(sources[s], key=lambda x: x[:4])]) for s in ordered}
+    if not trees:
+        return []
+    root, tops = tree([trees[s][0] for s in ordered])
+    out = []
+    for s, top in zip(ordered, tops):
+        subroot, proofs = trees[s]
+        for (_, _, leaf, claimed, i), proof in zip(sorted(sources[s], key=lambda x: x[:4]), proofs):
+            node, steps = claimed, proof + top
+            for left, right in steps:
+                node = sha("".join([*left, node, *right]))
+            out.append((i, leaf, subroot, root, sha("".join(x for left, right in steps for x in [*left, *right])), node, node == root))
+    return out

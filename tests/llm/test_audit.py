@@ -1,0 +1,154 @@
+"""Filter audit, host rules and Merkle manifest against plain Python."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import brute
+from quotewright.llm import filter_audit, heavy, host_rules, merkle
+from quotewright.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, source string"
+WORDS = "the of and a lot to see here in ÉTÉ Große x# |y ZZZ Any".split()
+
+
+def made_texts(n, seed=7):
+    rng = random.Random(seed)
+    kinds = [None, "", " \t\n", "a b c d e a b c d e", "one\none\n \none\r\n", "#$%&*|<> " * 12, "word\x0bword\x1cword\x85word",
+             "the same five words again and the same five words again " * 3]
+    texts = []
+    for _ in range(n):
+        if texts and rng.random() < 0.35:
+            texts.append(rng.choice(texts))
+        elif rng.random() < 0.3:
+            texts.append(rng.choice(kinds))
+        else:
+            texts.append(rng.choice([" ", "\n", "  "]).join(rng.choices(WORDS, k=rng.randint(1, 120))))
+    return texts
+
+
+@pytest.fixture(scope="module")
+def made(spark):
+    rng = random.Random(3)
+    rows = [(i, t, rng.choice([None, "", "é", "src0", "src0", "src0", "b"])) for i, t in enumerate(made_texts(120))]
+    rows += [(None, rows[0][1], "src0"), (None, None, None), (5, rows[5][1], "b"), (6, "other", "once")]
+    return rows
+
+
+def frame(spark, rows, schema=DOCS):
+    return spark.createDataFrame(rows, schema)
+
+
+def as_rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def by_text(rows):
+    return sorted(rows, key=repr)
+
+
+def test_filter_audit_by_brute_force(spark, made):
+    labels = [(i, i % 3 % 2, int(i % 7 == 0)) for i in range(0, 120, 2)] + [(2, 1, None), (None, 1, 1), (999, 1, 1)]
+    got = filter_audit.audit(frame(spark, made), frame(spark, labels, "doc_id long, quality long, toxic long"))
+    assert sorted(as_rows(got)) == brute.filter_audit(made, labels)
+
+
+def test_filter_audit_of_nothing_and_with_clashing_columns(spark, made):
+    labels = frame(spark, [], "doc_id long, quality long, toxic long")
+    assert as_rows(filter_audit.audit(frame(spark, []), labels)) == []
+    clash = {c: F.lit("x") for c in ("id", "row", "part", "failed", "digest", "filter", "prefix", "good", "toxic", "total", "own")}
+    some = made[:30]
+    got = filter_audit.audit(frame(spark, some).withColumns(clash), labels.withColumns({"good": F.lit(1), "id": F.lit(1)}))
+    assert sorted(as_rows(got)) == brute.filter_audit(some, [])
+
+
+def test_relations_hold_one_row_per_failure(spark, made):
+    rows = filter_audit.judged(frame(spark, made))
+    fails = filter_audit.failing_ids(rows, frame(spark, [], "doc_id long, quality long, toxic long"), len(made))
+    want = [f for i, t, s in made for f, failed in brute.FILTERS.items() if failed(i, t or "", brute.ascii_words(t), made)]
+    assert sorted(r["filter"] for r in fails.collect()) == sorted(want)
+    removed, _ = filter_audit.removals(fails, "ABCDE")
+    assert removed.groupBy("row").count().agg(F.max("count")).first()[0] <= 16
+
+
+def test_look_up_splits_hot_keys(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") < 3000, "hot").otherwise((F.col("id") % 1500).cast("string")).alias("k"), "id")
+    found = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    got = heavy.look_up(rows, found, "k", "n", 5000)
+    assert by_text(as_rows(got.select("id", "top"))) == by_text(as_rows(rows.join(found, "k").select("id", "top")))
+    assert found.where(F.col("n") * heavy.MOST_HEAVY > 5000).count() == 1
+
+
+def test_host_rules_by_brute_force(spark, made):
+    rows = made + [(1000 + i, "too few words", "bad") for i in range(40)] + [(2000, " ".join(map(str, range(60))), "bad")]
+    got = host_rules.judge(frame(spark, rows)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    want = brute.host_verdicts(rows)
+    assert by_text(as_rows(got)) == by_text(want)
+    assert (2000, False, False) in {(r[0], r[6], r[7]) for r in want}  # a good document of a rejected host
+
+
+def test_host_rules_of_nothing_long_texts_and_clashing_columns(spark):
+    assert as_rows(host_rules.judge(frame(spark, []))) == []
+    rng = random.Random(1)
+    long = " ".join(rng.choices([f"w{i}" for i in range(60)], k=60_000))
+    rows = [(1, long, "h"), (1, long + " x", "h"), (None, "a b", None)]
+    clash = {c: F.lit(3) for c in ("_id", "_text", "_host", "n_words", "documents", "rejected", "few_words")}
+    got = host_rules.judge(frame(spark, rows).withColumns(clash)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    assert by_text(as_rows(got)) == by_text(brute.host_verdicts(rows))
+
+
+def test_prior_is_weak_where_hosts_differ():
+    mean, weight = host_rules.beta_prior(2, 200, 100, 100.0, 20_000.0)
+    assert mean == 0.5 and weight < 1
+    assert host_rules.beta_prior(2, 200, 100, 50.0, 20_000.0) == (0.5, host_rules.STRONGEST)
+    assert host_rules.beta_prior(0, 0, 0, 0.0, 0.0) == (0.0, host_rules.STRONGEST)
+
+
+MERKLE = "doc_id long, source string, lang string, n_chars long, text string"
+
+
+def merkle_rows(n, seed=5):
+    rng = random.Random(seed)
+    texts = made_texts(n, seed)
+    sources = [None, "", "é", "z", "big", "big", "big", "big"]
+    return [(i, rng.choice(sources), rng.choice([None, "en"]), rng.choice([None, 3, -1]), t) for i, t in enumerate(texts)]
+
+
+def manifest(docs, levels):
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    leaves = docs.select(F.col("doc_id").alias("id"), "source", merkle.leaf_hash(*fields, F.col("text")).alias("node"),
+                         merkle.leaf_hash(*fields, tampered).alias("claimed"))
+    return merkle.manifest(leaves, levels)
+
+
+@pytest.mark.parametrize("levels, n", [(1, 150), (2, 150), (6, 150), (2, 1), (1, 0)])
+def test_manifest_by_brute_force(spark, levels, n):
+    rows = merkle_rows(n)
+    if n > 1:
+        rows += [(None, "big", None, None, None), (3, "big", "en", 1, "twice"), (3, "big", "en", 1, "twice"), (4, "once", "x", 1, "a\nb")]
+    got = as_rows(manifest(frame(spark, rows, MERKLE), levels))
+    assert by_text(got) == by_text(brute.merkle(rows))
+
+
+def test_proofs_detect_a_wrong_leaf():
+    rows = merkle.local_levels([merkle.hash_text(str(i)) for i in range(10)], merkle.depth(10))
+    for i in range(10):
+        proof = merkle.local_proof(rows, i)
+        assert merkle.fold(rows[0][i], proof) == rows[-1][0]
+        assert merkle.fold(rows[0][(i + 1) % 10], proof) != rows[-1][0]
+        assert len(merkle.proof_siblings(proof)) % merkle.DIGEST == 0
+
+
+def test_registered_queries_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = [tuple(r) for r in spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality", "toxic").collect()]
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "source").collect()]
+    assert sorted(as_rows(QUERIES["op11_filter_audit"](spark, SF))) == brute.filter_audit(rows, labels)
+    assert by_text(as_rows(QUERIES["op12_host_rules"](spark, SF))) == by_text(brute.host_verdicts(rows))
+    leaves = [tuple(r) for r in docs.select("doc_id", "source", "lang", "n_chars", "text").collect()]
+    assert by_text(as_rows(QUERIES["op13_merkle"](spark, SF))) == by_text(brute.merkle(leaves))
