@@ -1,13 +1,14 @@
 """Quoting and pricing in bulk on Spark DataFrames."""
 
 from quotewright.operators.cart import add_items, add_services, remove_lines, reprice
+from quotewright.operators.cart_log import replay_cart_log
 from quotewright.operators.catalog import (
     label_names, price_items_by_label, price_items_long, price_items_wide, price_services_by_label,
     price_services_long, price_services_wide,
 )
 from quotewright.operators.discounts import (
     apply_edits, bulk_amount, bulk_percent, edit_amount, edit_percent, edit_quantity, replay_edits,
-    replay_with_surcharges, resolve_edits, supplier_discount,
+    replay_with_surcharges, resolve_edits, supplier_discount, totals_after_events,
 )
 from quotewright.operators.selection import (
     application_choices, choice_list, eligible_item_counts, eligible_items, eligible_service_counts,
@@ -39,9 +40,9 @@ __all__ = [
     "grand_total_text", "ingest_workbooks", "invoice_lines", "invoice_totals", "load_price_book",
     "label_names", "multiplier_reference", "price_book", "price_items_by_label", "price_items_long",
     "price_items_wide", "price_services_by_label", "price_services_long", "price_services_wide", "protocol_choices", "quote_header", "quote_lines",
-    "quote_totals", "quote_view", "read_price_book", "remove_lines", "replay_edits", "replay_with_surcharges",
+    "quote_totals", "quote_view", "read_price_book", "remove_lines", "replay_cart_log", "replay_edits", "replay_with_surcharges",
     "reprice",
     "resolve_edits", "run_to_table", "stage_workbooks", "stream_edits", "stream_summaries", "supplier_discount",
-    "surcharge_labels", "surcharge_rejects", "tune", "workbook_rejects", "workbook_sheets",
+    "surcharge_labels", "surcharge_rejects", "totals_after_events", "tune", "workbook_rejects", "workbook_sheets",
     "write_price_book", "write_quote_lines", "write_quote_totals",
 ]

@@ -17,7 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quotewright.operators.cart import reprice
+from quotewright.operators.cart import unit_price
+from quotewright.operators.scans import RANGES, running
+from quotewright.operators.surcharges import with_multipliers
+from quotewright.operators.totals import total_text
 from quotewright.schemas import BOOK, LINE_KEY
 
 # Width of the ranges of ``seq`` in which a line's edits are replayed side by side. A line
@@ -339,52 +342,164 @@ def replay_edits(cart: DataFrame, edits: DataFrame, seq_range: int = SEQ_RANGE,
     return apply_summary(cart, merge_pieces(pieces))
 
 
-def _in_epochs(edits: DataFrame, changes: DataFrame, seq_range: int) -> DataFrame:
-    """Edits and changes in one table, with ``epoch``: how many changes of the quote came before an
-    edit, or up to a change. Counted in ranges of ``seq``, to which the earlier ranges' counts are added."""
-    rows = edits.withColumn("__change", F.lit(False)).unionByName(
-        changes.select("quote_id", "seq", "item_surcharge", "service_surcharge", F.lit(True).alias("__change")),
-        allowMissingColumns=True).withColumns({
-            "__piece": F.floor(F.col("seq") / seq_range), "__n": F.col("__change").cast("long")})
-    earlier = W.partitionBy("quote_id").orderBy("__piece").rowsBetween(W.unboundedPreceding, -1)
-    carried = rows.where("__change").groupBy("quote_id", "__piece").agg(F.sum("__n").alias("__n"))
-    pieces = rows.select("quote_id", "__piece").distinct().join(carried, ["quote_id", "__piece"], "left").select(
-        "quote_id", "__piece", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__carried"))
-    so_far = W.partitionBy("quote_id", "__piece").orderBy("seq", "__change").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return rows.withColumn("epoch", F.sum("__n").over(so_far)).join(pieces, ["quote_id", "__piece"], "left").withColumn(
-        "epoch", F.col("epoch") + F.coalesce("__carried", F.lit(0))).drop("__piece", "__n", "__carried")
+def dated_params(edits: DataFrame, changes: DataFrame, quotes: DataFrame, item_multipliers: DataFrame,
+                 service_multipliers: DataFrame, store: Callable[[DataFrame], DataFrame],
+                 ranges: Sequence[int] = RANGES) -> tuple[DataFrame, DataFrame]:
+    """The edits with ``params``, the multipliers of the quote's last change before them (NULL: none), and the
+    changes that count: those to surcharges that are set and known."""
+    books = quotes.select("quote_id", BOOK)
+    counted = store(with_multipliers(
+        changes.select("quote_id", "seq", "item_surcharge", "service_surcharge").join(books, "quote_id"),
+        item_multipliers, service_multipliers,
+    ).where("priceable").select("quote_id", "seq", F.struct("item_mult", "service_mult").alias("params")))
+    both = edits.select(*LINE_KEY, "seq", "kind", "value").unionByName(
+        counted.select("quote_id", "seq", F.col("params").alias("__params")), allowMissingColumns=True)
+    # A change has no kind and comes after an edit of the same number.
+    both = store(both.withColumn("__change", F.col("__params").isNotNull()))
+    dated = running(both, ["quote_id"], "seq", last={"params": F.col("__params")}, tie=["__change"], ranges=ranges)
+    return dated.where("not __change").drop("__change", "__params", "params_before"), counted
 
 
 def replay_with_surcharges(cart: DataFrame, edits: DataFrame, changes: DataFrame, quotes: DataFrame,
                            item_multipliers: DataFrame, service_multipliers: DataFrame,
-                           store: Callable[[DataFrame], DataFrame], seq_range: int = SEQ_RANGE) -> DataFrame:
+                           store: Callable[[DataFrame], DataFrame], ranges: Sequence[int] = RANGES) -> DataFrame:
     """The cart after a log of valid edits during which quotes change their surcharges.
 
-    ``changes`` has ``quote_id``, ``seq``, ``item_surcharge`` and ``service_surcharge``; a change
+    ``changes`` has ``quote_id``, ``seq`` (unique per quote), ``item_surcharge`` and ``service_surcharge``; a change
     re-prices all lines of its quote at that point, which undoes clamps and rescales amounts, and
     comes after an edit of the same ``seq``. A change to unset or unknown surcharges leaves the lines
-    as they are. Between two changes the price is fixed, so each stretch of the log is replayed by
-    its summary; there are as many rounds as any quote has changes, over the quotes with further
-    changes only. So the time grows with the changes of the busiest quote. ``store`` writes a table and reads it again; it is called once a round.
+    as they are. Edits of a line do nothing while its price is unknown.
+
+    Quantity and percentage are set by edits alone, at the price then in force: by the last quantity,
+    the last discount with the quantity and price at its time, and the last later quantity that made the gross price
+    positive, or negative, which may turn the percentage into 100. All of these are maxima over ``seq``, so the log is
+    summarised in one pass, however often prices changed. A re-pricing follows from the final state. ``store`` writes a
+    table and reads it again; it is called a fixed number of times.
     """
-    dated_all = store(_in_epochs(edits, changes, seq_range))
-    surcharges = ["item_surcharge", "service_surcharge"]
-    dated, numbered = dated_all.where("not __change").drop("__change", *surcharges), dated_all.where("__change").select(
-        "quote_id", "seq", *surcharges, "epoch")
+    lines = store(cart)
+    dated, counted = dated_params(edits, changes, quotes, item_multipliers, service_multipliers, store, ranges)
+    known = lines.select(*LINE_KEY, "type", "base_ref", "add_ref", "is_constant", "unit_price", "quantity", "disc_pct")
+    price = F.when(F.col("params").isNull(), F.col("unit_price")).otherwise(
+        unit_price(F.col("params.item_mult"), F.col("params.service_mult")))
+    priced = dated.join(known, LINE_KEY).withColumn("price", price)
+    valid = F.col("price").isNotNull() & F.col("quantity").isNotNull() & F.col("disc_pct").isNotNull()
+    priced = store(priced.select(
+        *LINE_KEY, "seq", "value", "price", F.col("quantity").alias("first_quantity"),
+        F.when((F.col("kind") == "remove") | valid, F.col("kind")).alias("kind")).where("kind IS NOT NULL"))
+    is_qty, is_discount = F.col("kind") == "qty", F.col("kind").isin("pct", "amt")
+    placed = running(priced, LINE_KEY, "seq", last={"qty": F.when(is_qty, F.col("value"))}, ranges=ranges)
+    gross = F.col("price") * F.col("value")
+
+    def latest(value: Column, when: Column) -> Column:
+        return F.max_by(F.struct(value.alias("value"), "seq"), F.when(when, F.col("seq")))
+
+    discount = F.struct("kind", "value", "price", F.coalesce("qty", "first_quantity").alias("quantity"))
+    summary = placed.groupBy(*LINE_KEY).agg(
+        F.max(F.col("kind") == "remove").alias("__removed"),
+        F.max(F.when(is_qty | is_discount, F.col("seq"))).alias("__last"),
+        latest(F.col("value"), is_qty).alias("__qty"), latest(discount, is_discount).alias("__disc"),
+        latest(gross, is_qty & (gross > 0)).alias("__above"), latest(gross, is_qty & (gross < 0)).alias("__below"))
+    final = counted.groupBy("quote_id").agg(
+        F.max("seq").alias("__changed"), F.max_by("params", "seq").alias("__params"))
+    joined = lines.join(summary, LINE_KEY, "left").join(final, "quote_id", "left").where(
+        ~F.coalesce("__removed", F.lit(False)))
+    d = F.col("__disc.value")
+    at_discount = _edited(d["price"], d["quantity"], F.col("disc_pct"), d["kind"], d["value"])
+    has_discount, edited, changed = F.col("__disc").isNotNull(), F.col("__last").isNotNull(), F.col("__changed").isNotNull()
+    repriced = changed & (~edited | (F.col("__changed") >= F.col("__last")))
+
+    def too_large(later: str) -> Column:
+        """Whether a quantity that came after the discount turns its percentage into 100."""
+        after = F.col(later).isNotNull() & (~has_discount | (F.col(f"{later}.seq") > F.col("__disc.seq")))
+        g = F.col(f"{later}.value")
+        return F.coalesce(after & (g - g * (F.col("__pct") / 100.0) < 0), F.lit(False))
+
+    state = joined.withColumn("__pct", F.when(has_discount, at_discount.disc_pct).otherwise(F.col("disc_pct")))
+    state = state.withColumns({
+        "__pct": F.when(too_large("__above") | too_large("__below"), 100.0).otherwise(F.col("__pct")),
+        "__price": F.when(changed, unit_price(F.col("__params.item_mult"), F.col("__params.service_mult"))).otherwise(
+            F.col("unit_price")),
+        "__quantity": F.coalesce("__qty.value", "quantity"),
+        "__by_amount": ~repriced & F.coalesce((d["kind"] == "amt") & (F.col("__disc.seq") == F.col("__last")), F.lit(False)),
+        "__at_discount": at_discount.disc_amt, "__touched": edited | changed,
+    })
+    gross = F.col("__price") * F.col("__quantity")
+    state = state.withColumns({"__gross": gross, "__amt": F.when(F.col("__by_amount"), F.col("__at_discount")).otherwise(
+        gross * (F.col("__pct") / 100.0))})
+    new = {"unit_price": F.col("__price"), "quantity": F.col("__quantity"), "disc_pct": F.col("__pct"),
+           "disc_amt": F.col("__amt"), "final_total": F.col("__gross") - F.col("__amt")}
+    return state.select(*[
+        F.when(F.col("__touched"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in cart.columns])
 
-    def replayed(lines: DataFrame, epoch: int) -> DataFrame:
-        return replay_edits(lines, dated.where(F.col("epoch") == epoch).drop("epoch"))
 
-    last = numbered.agg(F.max("epoch")).first()[0] or 0
-    books = quotes.select("quote_id", BOOK)
-    lines, finished = replayed(cart, 0), []
-    for epoch in range(1, last + 1):
-        now = numbered.where(F.col("epoch") == epoch).drop("epoch")
-        lines = store(lines)
-        finished.append(lines.join(now, "quote_id", "left_anti"))
-        changed = lines.join(now.select("quote_id"), "quote_id", "left_semi")
-        priced = reprice(changed, now.join(books, "quote_id"), item_multipliers, service_multipliers)
-        lines = replayed(priced, epoch)
-    for done in finished:
-        lines = lines.unionByName(done)
-    return lines
+# --- totals after every event -----------------------------------------------------------
+
+
+class _State(NamedTuple):
+    """What the edits of a line up to some event come to: running values of ``running``."""
+
+    qty: Column  # struct seq, value: the last quantity
+    disc: Column  # struct seq, kind, value, quantity: the last discount
+    some: Column  # struct seq, gross: the last quantity above zero
+
+
+def _total_in(state: _State) -> Column:
+    """The line's total in a state of its log; the line's own columns are those before the log."""
+    price = F.col("unit_price")
+    at_discount = _edited(price, state.disc["quantity"], F.col("disc_pct"), state.disc["kind"], state.disc["value"])
+    pct = F.when(state.disc.isNotNull(), at_discount.disc_pct).otherwise(F.col("disc_pct"))
+    later = state.some.isNotNull() & (state.disc.isNull() | (state.some["seq"] > state.disc["seq"]))
+    some = state.some["gross"]
+    pct = F.when(later & (some - some * (pct / 100.0) < 0), 100.0).otherwise(pct)
+    gross = price * F.coalesce(state.qty["value"], F.col("quantity"))
+    by_amount = (state.disc["kind"] == "amt") & (state.qty.isNull() | (state.disc["seq"] > state.qty["seq"]))
+    amount = F.when(F.coalesce(by_amount, F.lit(False)), at_discount.disc_amt).otherwise(gross * (pct / 100.0))
+    untouched = state.qty.isNull() & state.disc.isNull()
+    return F.when(untouched, F.col("final_total")).otherwise(gross - amount)
+
+
+def _money(c: Column) -> Column:
+    """As a decimal, so that sums do not depend on their order; NULL, NaN and what is 10^21 or more count as nothing."""
+    return F.coalesce(F.when(F.abs(c) < 1e21, c).cast("decimal(28,6)"), F.lit(0).cast("decimal(28,6)"))
+
+
+def totals_after_events(cart: DataFrame, edits: DataFrame, quotes: DataFrame, store: Callable[[DataFrame], DataFrame],
+                        ranges: Sequence[int] = RANGES) -> DataFrame:
+    """One row per valid edit of a quote in ``quotes``: what the quote comes to right after it.
+
+    ``quote_id``, ``seq`` and ``cart_id`` of the edit, then ``n_lines``, ``net_total``, ``n_batches``, ``project_total`` and
+    ``text``, the grand total as printed (see ``totals.grand_total_text``). Edits of lines that are unknown, have
+    no price or are gone change nothing. Edits of a quote with the same ``seq`` are taken by ``cart_id``.
+
+    Each event's effect on its line's total follows from the running state of the line before and after it; the
+    quote's totals are running sums of the effects. Both scans are cut into ranges of ``seq``.
+    """
+    lines = store(cart.select(*LINE_KEY, "unit_price", "quantity", "disc_pct", "final_total"))
+    log = edits.select(*LINE_KEY, "seq", "kind", "value").join(quotes.select("quote_id"), "quote_id", "left_semi")
+    events = store(log.join(lines.withColumn("known", F.lit(True)), LINE_KEY, "left"))
+    is_qty, is_discount = _editable() & (F.col("kind") == "qty"), _editable() & F.col("kind").isin("pct", "amt")
+    seq, value = F.col("seq"), F.col("value")
+    once = store(running(events, LINE_KEY, "seq", last={
+        "qty": F.when(is_qty, F.struct("seq", "value")),
+        "gone": F.when(F.col("kind") == "remove", F.lit(True))}, ranges=ranges))
+    quantity = F.coalesce("qty.value", "quantity")
+    twice = running(once, LINE_KEY, "seq", last={
+        "disc": F.when(is_discount, F.struct("seq", "kind", "value", quantity.alias("quantity"))),
+        "some": F.when(is_qty & (value > 0), F.struct(seq, (F.col("unit_price") * value).alias("gross")))}, ranges=ranges)
+    after, before = (_money(_total_in(_State(*[F.col(f"{c}{end}") for c in _State._fields]))) for end in ("", "_before"))
+    counts = F.coalesce("known", F.lit(False)) & F.col("gone_before").isNull()
+    leaves = F.col("kind") == "remove"
+    effects = store(twice.select(
+        *LINE_KEY, "seq",
+        F.when(counts, F.when(leaves, F.lit(0)).otherwise(after) - before).otherwise(0).cast("decimal(28,6)").alias("delta"),
+        F.when(counts & leaves, -1).otherwise(0).alias("fewer")))
+    summed = running(effects, ["quote_id"], "seq", sums={"changed": F.col("delta"), "lines": F.col("fewer")},
+                     tie=["cart_id"], ranges=ranges)
+    first = lines.groupBy("quote_id").agg(F.sum(_money(F.col("final_total"))).alias("first"), F.count("*").alias("n_first"))
+    kept = ["n_batches", "item_surcharge", "service_surcharge"]
+    totals = summed.join(first, "quote_id", "left").join(quotes.select("quote_id", *kept), "quote_id").withColumns({
+        "n_lines": F.coalesce("n_first", F.lit(0)) + F.col("lines"),
+        "net_total": (F.coalesce("first", F.lit(0)) + F.col("changed")).cast("double")})
+    return totals.select(
+        "quote_id", "seq", "cart_id", "n_lines", "net_total", "n_batches",
+        (F.col("net_total") * F.col("n_batches")).alias("project_total"), total_text().alias("text"))

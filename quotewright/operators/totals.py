@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotewright.functions.values import fixed_cents, is_set, total
@@ -64,7 +64,8 @@ def invoice_totals(cart: DataFrame, quotes: DataFrame) -> DataFrame:
     return project_totals(totals, quotes)
 
 
-def grand_total_text(cart: DataFrame, quotes: DataFrame) -> DataFrame:
+def total_text() -> Column:
+    """The grand total as printed, from the columns ``net_total``, ``n_batches``, ``n_lines`` and both surcharges."""
     shown = F.concat(
         F.lit(BATCH_TOTAL), fixed_cents(F.col("net_total"), grouped=True),
         F.lit(PROJECT_TOTAL), F.col("n_batches").cast("string"), F.lit(BATCHES),
@@ -72,9 +73,12 @@ def grand_total_text(cart: DataFrame, quotes: DataFrame) -> DataFrame:
     )
     ready = ((F.col("n_lines") > 0) & is_set(F.col("item_surcharge"))
              & is_set(F.col("service_surcharge")))
+    return F.when(ready, shown).otherwise(NO_TOTAL)
+
+
+def grand_total_text(cart: DataFrame, quotes: DataFrame) -> DataFrame:
     wanted = quotes.select("quote_id", "n_batches", "item_surcharge", "service_surcharge")
-    return _for_every_quote(wanted, batch_totals(cart)).select(
-        "quote_id", F.when(ready, shown).otherwise(NO_TOTAL).alias("text"))
+    return _for_every_quote(wanted, batch_totals(cart)).select("quote_id", total_text().alias("text"))
 
 
 def quote_view(cart: DataFrame, quotes: DataFrame) -> DataFrame:

@@ -161,6 +161,8 @@ SELECT quote_id, cart_id, seq, CASE type WHEN 'percentage' THEN 'pct' ELSE 'amt'
 FROM events_log JOIN quotes USING (quote_id)
 JOIN texts ON texts.book_id = quotes.book_id AND texts.display_text = events_log.display_text
 WHERE op = 'supplier' AND type IN ('percentage', 'amount')""",
+    "first_edits": """
+SELECT quote_id, cart_id, arg_min(kind, seq) AS kind, arg_min(value, seq) AS value FROM valid GROUP BY quote_id, cart_id""",
     "numbered": """
 SELECT *, row_number() OVER (PARTITION BY quote_id, cart_id ORDER BY seq) AS nth
 FROM valid SEMI JOIN (SELECT quote_id, cart_id FROM priced WHERE unit_price IS NOT NULL) p
@@ -224,7 +226,50 @@ FROM (SELECT *, CASE WHEN kind = 'amt' THEN value ELSE g * (p / 100::DOUBLE) END
             FROM walk_both w JOIN numbered_both n ON n.quote_id = w.quote_id AND n.cart_id = w.cart_id
               AND n.nth = w.nth + 1)))))"""
 STEPS["replayed_both"] = STEPS["replayed"].replace("FROM walk)", "FROM walk_both)")
-RECURSIVE = {"walk", "walk_both", *(f"walk_{kind}" for kind in KINDS)}
+# What each event does to the total and the number of lines of its quote.
+STEPS["effects"] = """
+SELECT e.quote_id, e.cart_id, e.seq, CASE WHEN gone OR p.quote_id IS NULL THEN 0 ELSE
+    CASE WHEN e.kind = 'remove' THEN 0 ELSE coalesce(CAST(w.final_total AS DECIMAL(28,6)), 0) END
+    - coalesce(CAST(b.final_total AS DECIMAL(28,6)), 0) END AS delta,
+  CASE WHEN e.kind = 'remove' AND NOT gone AND p.quote_id IS NOT NULL THEN -1 ELSE 0 END AS fewer
+FROM (SELECT *, coalesce(max(kind = 'remove') OVER (PARTITION BY quote_id, cart_id ORDER BY seq
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS gone FROM valid) e
+LEFT JOIN (SELECT quote_id, cart_id FROM priced) p USING (quote_id, cart_id)
+LEFT JOIN numbered n USING (quote_id, cart_id, seq)
+LEFT JOIN walk w ON w.quote_id = e.quote_id AND w.cart_id = e.cart_id AND w.nth = n.nth
+LEFT JOIN walk b ON b.quote_id = e.quote_id AND b.cart_id = e.cart_id AND b.nth = n.nth - 1"""
+STEPS["event_totals"] = """
+SELECT quote_id, seq, cart_id, n_batches, item_surcharge, service_surcharge,
+  coalesce(n_first, 0) + CAST(sum(fewer) OVER w AS BIGINT) AS n_lines,
+  CAST(coalesce(first, 0) + sum(delta) OVER w AS DOUBLE) AS net_total
+FROM effects JOIN quotes USING (quote_id)
+LEFT JOIN (SELECT quote_id, count(*) AS n_first, sum(coalesce(CAST(final_total AS DECIMAL(28,6)), 0)) AS first
+  FROM priced GROUP BY quote_id) f USING (quote_id)
+WINDOW w AS (PARTITION BY quote_id ORDER BY seq, cart_id ROWS UNBOUNDED PRECEDING)"""
+# The log of additions and removals one request after the other; ``live`` is the cart of the quote.
+STEPS["requests"] = """
+SELECT quote_id, seq, op, cart_id, coalesce(picks, []) AS picks, row_number() OVER (PARTITION BY quote_id ORDER BY seq) AS nth
+FROM cart_log LEFT JOIN (
+  SELECT quote_id, seq, list(struct_pack(id := id, code := code, name := name, row_ix := row_ix) ORDER BY id) AS picks FROM (
+    SELECT quote_id, seq, 'I-' || CAST(seq AS VARCHAR) || '-' || CAST(ix AS VARCHAR) AS id, product_code AS code, item AS name, row_ix
+    FROM (SELECT quote_id, seq, 1 AS ix, item_ix AS ref FROM cart_log WHERE op = 'items'
+          UNION ALL SELECT quote_id, seq, 2, other_ix FROM cart_log WHERE op = 'items') JOIN items ON row_ix = ref
+    UNION ALL
+    SELECT quote_id, seq, 'P-' || CAST(seq AS VARCHAR) || '-1', 'SVC', service, row_ix
+    FROM cart_log JOIN services ON row_ix = service_ix WHERE op = 'services')
+  GROUP BY quote_id, seq) USING (quote_id, seq)"""
+STEPS["carts"] = """
+SELECT q.quote_id, coalesce(live, []) AS live, CAST(0 AS BIGINT) AS nth FROM (SELECT DISTINCT quote_id FROM cart_log) q LEFT JOIN (
+  SELECT quote_id, list(struct_pack(id := cart_id, code := product_code, name := name, row_ix := CAST(-1 AS BIGINT))) AS live
+  FROM lines GROUP BY quote_id) USING (quote_id)
+UNION ALL
+SELECT c.quote_id, CASE op WHEN 'remove' THEN list_filter(live, lambda x: x.id <> cart_id)
+    WHEN 'items' THEN list_concat(live, list_filter(picks, lambda x: NOT list_contains(list_transform(live, lambda y: y.code), x.code)))
+    ELSE list_concat(live, list_filter(picks, lambda x: NOT list_contains(list_transform(live, lambda y: y.name), x.name))) END, r.nth
+FROM carts c JOIN requests r ON r.quote_id = c.quote_id AND r.nth = c.nth + 1"""
+STEPS["live_lines"] = """
+SELECT quote_id, unnest(live, recursive := true) FROM (SELECT quote_id, arg_max(live, nth) AS live FROM carts GROUP BY quote_id)"""
+RECURSIVE = {"carts", "walk", "walk_both", *(f"walk_{kind}" for kind in KINDS)}
 
 
 def with_steps(sql: str) -> str:
@@ -458,17 +503,26 @@ FROM services c JOIN smults m ON m.book_id = c.book_id""",
         "Processing", "P", "services", "l.name IS NOT DISTINCT FROM k.service",
         "'SVC', k.service, k.description, 'Processing', k.grp, k.base_price, 0::DOUBLE, false"),
     "cart_remove": f"SELECT {BUILT_CART} FROM lines WHERE status <> 'F'",
+    "cart_replayed": f"""
+SELECT {BUILT_CART} FROM lines WHERE quote_id NOT IN (SELECT quote_id FROM cart_log)
+UNION ALL
+SELECT {BUILT_CART} FROM lines SEMI JOIN (SELECT quote_id, id AS cart_id FROM live_lines) x USING (quote_id, cart_id)
+UNION ALL
+SELECT quote_id, id, product_code, item, description, 'Item', category, base_cost, add_cost, is_constant, 0::DOUBLE, 1::DOUBLE,
+  0::DOUBLE, 0::DOUBLE, 0::DOUBLE
+FROM live_lines l JOIN items i ON i.row_ix = l.row_ix WHERE id LIKE 'I-%'
+UNION ALL
+SELECT quote_id, id, 'SVC', service, description, 'Processing', grp, base_price, 0::DOUBLE, false, 0::DOUBLE, 1::DOUBLE,
+  0::DOUBLE, 0::DOUBLE, 0::DOUBLE
+FROM live_lines l JOIN services s ON s.row_ix = l.row_ix WHERE id LIKE 'P-%'""",
     "cart_rejects": """
 SELECT quote_id, line_no, type, ref_ix, 'no catalog row' AS reason FROM cart_lines
 WHERE type = 'Item' AND ref_ix NOT IN (SELECT row_ix FROM items)
   OR type = 'Processing' AND ref_ix NOT IN (SELECT row_ix FROM services)""",
     "cart_reprice": f"SELECT {BUILT_CART} FROM priced",
-    "edit_single": """
-SELECT * FROM (""" + one_edit(
-        "FROM priced l LEFT JOIN numbered n ON n.quote_id = l.quote_id AND n.cart_id = l.cart_id "
-        "AND n.nth = 1", "n.kind", "n.value") + """)
-ANTI JOIN (SELECT quote_id, cart_id FROM valid GROUP BY ALL HAVING arg_min(kind, seq) = 'remove') r
-  USING (quote_id, cart_id)""",
+    "edit_single": one_edit(
+        "FROM priced l LEFT JOIN first_edits n ON n.quote_id = l.quote_id AND n.cart_id = l.cart_id "
+        "WHERE n.kind IS DISTINCT FROM 'remove'", "n.kind", "n.value"),
     **{name: f"SELECT * FROM replayed_{kind}" for kind, name in KINDS.items()},
     "bulk_percent": one_edit("FROM priced l", IS_OPEN.format("'pct'"), "12.5::DOUBLE"),
     "bulk_amount": one_edit("FROM priced l", IS_OPEN.format("'amt'"), "9000::DOUBLE"),
@@ -485,6 +539,11 @@ SELECT book_id, display_text FROM ({discounts('''(SELECT * REPLACE (NULL AS supp
     "resolved_edits": "SELECT * FROM valid",
     "replay_edits": "SELECT * FROM replayed",
     "replay_edits_with_surcharges": "SELECT * FROM replayed_both",
+    "totals_after_events": f"""
+SELECT quote_id, seq, cart_id, n_lines, net_total, n_batches, net_total * n_batches AS project_total,
+  CASE WHEN item_surcharge <> '' AND service_surcharge <> '' AND n_lines > 0
+  THEN {TOTAL_TEXT.replace('project_total', 'net_total * n_batches')} ELSE 'Total (Per Batch): $0.00' END AS text
+FROM event_totals""",
     "stream_edits": "SELECT * FROM replayed",
     "stream_edit_summaries": "SELECT * FROM replayed",
     "edited_quote_totals": totals("replayed"),

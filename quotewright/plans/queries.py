@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quotewright.functions.tags import matches_tag
 from quotewright.functions.values import truthy
-from quotewright.operators import catalog, discounts, selection, surcharges, totals
+from quotewright.operators import cart_log, catalog, discounts, selection, surcharges, totals
 from quotewright.operators import cart as carts
 from quotewright.operators import cleaning, tagging
 from quotewright.plans.views import table, view, view_over
@@ -460,6 +460,20 @@ def cart_remove(spark, sf):
     return carts.remove_lines(lines, F.col("status") == "F").select(*CART.fieldNames())
 
 
+@query
+def cart_replayed(spark, sf):
+    """Carts after a log in which items and services are added and lines removed in turn."""
+    prices = Book(spark, sf)
+    log = view(spark, sf, "cart_log")
+    picks = log.select("quote_id", F.col("seq").alias("add_seq"), "op", F.posexplode(F.when(
+        F.col("op") == "services", F.array("service_ix")).otherwise(F.array("item_ix", "other_ix"))).alias("pick_ix", ROW)
+    ).withColumn("pick_ix", F.col("pick_ix") + 1)
+    removals = log.where("op = 'remove'").select("quote_id", "cart_id", "seq")
+    return cart_log.replay_cart_log(
+        plain_cart(spark, sf, prices), picks.where("op = 'items'").join(prices.items, ROW),
+        picks.where("op = 'services'").join(prices.services, ROW), removals, _stored)
+
+
 @query
 def cart_rejects(spark, sf):
     """Cart lines whose catalog row does not exist or was dropped in cleaning."""
@@ -569,6 +583,14 @@ def replay_edits_with_surcharges(spark, sf):
     return _edited(lines)
 
 
+@query
+def totals_after_events(spark, sf):
+    """What a quote comes to after each edit of the log."""
+    prices = Book(spark, sf)
+    return discounts.totals_after_events(
+        priced_cart(spark, sf, prices), valid_edits(spark, sf, prices), quotes(spark, sf), _stored)
+
+
 def _edit_stream(spark: SparkSession, sf: str, prices: Book) -> DataFrame:
     """``valid_edits``, read as a stream of files."""
     events = spark.readStream.schema(table(spark, sf, "events").schema).parquet(

@@ -109,8 +109,8 @@ SELECT user_id AS quote_id, CAST(1 + event_id % 5 AS STRING) AS cart_id, event_i
        END AS op,
   value, CAST(event_id % (SELECT max(s_suppkey) + 1 FROM {supplier}) AS BIGINT) AS discount_ix
 FROM {events}""",
-    # Quotes that change their surcharges now and then; some to labels that their book lacks. The
-    # events are those whose value is no percentage, so that they are no valid edits as well.
+    # Quotes that change their surcharges now and then; some to labels that their book lacks. An
+    # event whose value is a percentage is a valid edit as well, with the same number.
     "surcharge_changes": """
 SELECT user_id AS quote_id, event_id AS seq,
   CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'RETIRED'
@@ -119,7 +119,20 @@ SELECT user_id AS quote_id, event_id AS seq,
   'NATION_' || CAST(n_regionkey + CASE WHEN n_regionkey % 2 = 0 THEN 10 ELSE 5 END AS STRING) AS service_surcharge
 FROM {events} JOIN {orders} ON o_orderkey = user_id JOIN {customer} ON o_custkey = c_custkey
 JOIN {nation} ON c_nationkey = n_nationkey
-WHERE event_type = 'signup' AND value > 100""",
+WHERE event_type = 'signup'""",
+    # Events as requests on carts: most add one or two items of the few a quote deals with, some add services,
+    # others remove a line of the cart before the log, or the first line of the request before.
+    "cart_log": """
+SELECT quote_id, seq, CASE op WHEN 'click' THEN 'items' WHEN 'view' THEN 'items' WHEN 'purchase' THEN 'services'
+    ELSE 'remove' END AS op,
+  1 + (quote_id * 7 + seq % 3) % (SELECT max(p_partkey) FROM {part}) AS item_ix,
+  1 + (quote_id * 7 + seq % 4) % (SELECT max(p_partkey) FROM {part}) AS other_ix,
+  1 + (quote_id + seq % 3) % (SELECT max(s_suppkey) FROM {supplier}) AS service_ix,
+  CASE WHEN seq % 3 = 0 OR before_op IS NULL THEN CAST(1 + seq % 5 AS STRING)
+       ELSE CASE WHEN before_op = 'purchase' THEN 'P-' ELSE 'I-' END || CAST(before AS STRING) || '-1' END AS cart_id
+FROM (SELECT user_id AS quote_id, event_id AS seq, event_type AS op,
+    lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before,
+    lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before_op FROM {events}) e""",
 }
 
 

@@ -190,20 +190,3 @@ def test_single_editors_equal_their_sql(spark, name):
     assert len(expected) == len(lines) and any(e[2:] != tuple(g) for e, g in zip(
         expected, sorted(cart.select(*SHOWN).collect())))
     assert rows(got, *SHOWN) == expected
-
-
-def test_epochs_of_a_busy_quote(spark):
-    rng = random.Random(3)
-    edits = [(q, "x", s, "qty", 1.0) for q, n in ((1, 400), (2, 20), (3, 5)) for s in rng.sample(range(500), n)]
-    changes = [(q, s, "a", "b") for q, n in ((1, 200), (2, 1), (4, 3)) for s in rng.sample(range(500), n)]
-    expected = sorted((q, s, sum(c[0] == q and c[1] < s for c in changes)) for q, _, s, _, _ in edits)
-    for seq_range in (1, 64, 1 << 20):
-        got = d._in_epochs(spark.createDataFrame(edits, VALID), spark.createDataFrame(
-            changes, "quote_id long, seq long, item_surcharge string, service_surcharge string"), seq_range)
-        assert rows(got.where("not __change"), "quote_id", "seq", "epoch") == expected
-        assert rows(got.where("__change"), "quote_id", "seq", "epoch") == sorted(
-            (q, s, sum(c[0] == q and c[1] <= s for c in changes)) for q, s, _, _ in changes)
-        unplaced = d._in_epochs(spark.createDataFrame([(1, "x", None, "qty", 1.0), (None, "x", 7, "qty", 1.0)], VALID),
-                                got.where("__change"), seq_range)
-        assert rows(unplaced.where("not __change"), "quote_id", "seq", "epoch") == [(None, 7, 0), (1, None, 0)]
-        assert "collect_list" not in got._jdf.queryExecution().toString()
