@@ -104,14 +104,18 @@ def replay_cart_log(cart: DataFrame, item_picks: DataFrame, service_picks: DataF
     def spans(lines: DataFrame, column: str) -> DataFrame:
         return lines.withColumn("key", _key(F.col(column))).select(*span)
 
-    items = store(_accepted(
-        spans(before, "product_code").unionByName(spans(added["items"], "product_code")), store, ranges).where(F.col("start") != FIRST))
+    def rivals(lines: DataFrame, column: str, asked: DataFrame) -> DataFrame:
+        """The few of ``lines`` that have a key which a request asks for."""
+        return spans(lines, column).join(asked.select("quote_id", "key").distinct(), ["quote_id", "key"], "left_semi")
+
+    asked = spans(added["items"], "product_code")
+    items = store(_accepted(asked.unionByName(rivals(before, "product_code", asked)), store, ranges).where(F.col("start") != FIRST))
     own = added["items"].join(items.select(*LINE_KEY).distinct(), LINE_KEY, "left_semi")
-    item_names = spans(before.where("type = 'Item'"), "name").unionByName(spans(own, "name"))
     asked = spans(added["services"], "name")
-    free = asked.join(_blocked_by(item_names, asked, store, ranges), ["quote_id", "key", "start"], "left_anti")
-    services = _accepted(
-        spans(before.where("type <> 'Item'"), "name").unionByName(free), store, ranges).where(F.col("start") != FIRST)
+    named = rivals(before.where("type = 'Item'"), "name", asked).unionByName(rivals(own, "name", asked))
+    free = asked.join(_blocked_by(named, asked, store, ranges), ["quote_id", "key", "start"], "left_anti")
+    services = store(_accepted(
+        free.unionByName(rivals(before.where("type <> 'Item'"), "name", asked)), store, ranges).where(F.col("start") != FIRST))
     kept = before.where("end IS NULL")
     for new, which in ((own, items), (added["services"], services)):
         kept = kept.unionByName(new.where("end IS NULL").join(which.select(*LINE_KEY).distinct(), LINE_KEY, "left_semi"))
