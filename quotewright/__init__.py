@@ -11,8 +11,8 @@ from quotewright.operators.discounts import (
     replay_with_surcharges, resolve_edits, supplier_discount, totals_after_events,
 )
 from quotewright.operators.selection import (
-    application_choices, choice_list, eligible_item_counts, eligible_items, eligible_service_counts,
-    eligible_services, filter_items, filter_services, protocol_choices,
+    application_choices, choice_list, eligible_item_classes, eligible_item_counts, eligible_items,
+    eligible_service_classes, eligible_service_counts, eligible_services, filter_items, filter_services, protocol_choices,
 )
 from quotewright.operators.surcharges import multiplier_reference, surcharge_labels, surcharge_rejects
 from quotewright.operators.totals import (
@@ -35,8 +35,8 @@ from quotewright.streaming.edits import (
 __all__ = [
     "PriceBook", "add_items", "add_services", "application_choices", "apply_edits", "apply_summaries",
     "batch_totals", "bulk_amount", "bulk_percent", "choice_list", "current_lines", "edit_amount",
-    "edit_percent", "edit_quantity", "eligible_item_counts", "eligible_items",
-    "eligible_service_counts", "eligible_services", "filter_items", "filter_services",
+    "edit_percent", "edit_quantity", "eligible_item_classes", "eligible_item_counts", "eligible_items",
+    "eligible_service_classes", "eligible_service_counts", "eligible_services", "filter_items", "filter_services",
     "grand_total_text", "ingest_workbooks", "invoice_lines", "invoice_totals", "load_price_book",
     "label_names", "multiplier_reference", "price_book", "price_items_by_label", "price_items_long",
     "price_items_wide", "price_services_by_label", "price_services_long", "price_services_wide", "protocol_choices", "quote_header", "quote_lines",

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from quotewright.functions.tags import matches_tag
 from quotewright.functions.values import is_set
+from quotewright.operators.bitmaps import rows_of, selected, tag_bitmaps, value_bitmaps
 from quotewright.operators.joins import null_safe_join
-from quotewright.schemas import ALL, ALL_APPLICATIONS, ALL_PROTOCOLS, BOOK
+from quotewright.schemas import ALL, ALL_APPLICATIONS, ALL_PROTOCOLS, BOOK, ROW
 
 ITEM_NAME = ["brand", "item"]
 SERVICE_NAME = ["service"]
@@ -85,91 +86,70 @@ def _selections(quotes: DataFrame, filters: Sequence[str]) -> DataFrame:
     )
 
 
+def _with_rows(catalog: DataFrame) -> DataFrame:
+    """A catalog without row numbers gets some; it is read more than once, so let it be a stored table."""
+    return catalog if ROW in catalog.columns else catalog.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def _class_words(quotes: DataFrame, catalog: DataFrame, tags: DataFrame, name: Sequence[str],
+                 filters: dict[str, str]) -> DataFrame:
+    """The distinct selections of ``quotes`` with the bitmap of the catalog rows that each shows."""
+    catalog, made = _with_rows(catalog), _selections(quotes, list(filters))
+    keys = _selection_keys(made.select(BOOK, "application", "protocol").distinct())
+    return selected(made, keys, tag_bitmaps(catalog, _row_keys(tags, name), name),
+                    value_bitmaps(catalog, list(filters.values())), filters)
+
+
+def _class_rows(quotes: DataFrame, catalog: DataFrame, tags: DataFrame, name: Sequence[str],
+                filters: dict[str, str]) -> DataFrame:
+    """One row per distinct selection and catalog row that it shows: the selection's columns and ``row_ix``.
+
+    Quotes with the same selection share its rows: join them on the selection's columns to reach the rows of one.
+    """
+    return rows_of(_class_words(quotes, catalog, tags, name, filters))
+
+
 def _eligible(quotes: DataFrame, catalog: DataFrame, tags: DataFrame, name: Sequence[str],
               filters: dict[str, str]) -> DataFrame:
-    """Pair every selection with its catalog rows, then every quote with its selection."""
-    tag_selection = _selections(quotes, [])
-    hits = (
-        _selection_keys(tag_selection)
-        .join(_row_keys(tags, name), [BOOK, "app_key", "proto_key"])
-        .select(BOOK, "application", "protocol", *name).distinct()
-    )
-    unmatched = tag_selection.join(
-        hits.select(BOOK, "application", "protocol").distinct(),
-        [BOOK, "application", "protocol"], "left_anti")
-    shown = null_safe_join(hits, catalog, [BOOK, *name], "inner").unionByName(
-        unmatched.join(catalog, BOOK))
-    wanted = quotes.select("quote_id", BOOK, "application", "protocol", *filters)
-    rows = wanted.join(
-        shown.withColumnsRenamed({c: f"__{c}" for c in filters.values()}),
-        [BOOK, "application", "protocol"])
-    for choice, column in filters.items():
-        rows = rows.where((F.col(choice) == ALL) | (F.col(choice) == F.col(f"__{column}")))
-    rows = rows.drop(*filters).withColumnsRenamed({f"__{c}": c for c in filters.values()})
-    return rows.select("quote_id", *catalog.columns)
+    """Every quote with the rows of its selection."""
+    selection = [BOOK, "application", "protocol", *filters]
+    shown = _class_rows(quotes, catalog, tags, name, filters).join(
+        _with_rows(catalog).withColumnsRenamed({c: f"__{c}" for c in selection if c in catalog.columns and c != BOOK}), [BOOK, ROW])
+    return quotes.select("quote_id", *selection).join(shown, selection).select(
+        "quote_id", *[F.col(f"__{c}").alias(c) if c in selection and c != BOOK else F.col(c) for c in catalog.columns])
+
+
+ITEM_FILTERS = {"brand_filter": "brand", "category_filter": "category"}
+SERVICE_FILTERS = {"group_filter": "grp"}
+
+
+def eligible_item_classes(quotes: DataFrame, items: DataFrame, tags: DataFrame) -> DataFrame:
+    """The rows that each distinct selection of ``quotes`` shows: ``book_id``, ``application``, ``protocol``,
+    ``brand_filter``, ``category_filter`` and ``row_ix``. ``row_ix`` is unique in a book and not negative."""
+    return _class_rows(quotes, items, tags, ITEM_NAME, ITEM_FILTERS)
+
+
+def eligible_service_classes(quotes: DataFrame, services: DataFrame, tags: DataFrame) -> DataFrame:
+    """The same for services, with ``group_filter``."""
+    return _class_rows(quotes, services, tags, SERVICE_NAME, SERVICE_FILTERS)
 
 
 def eligible_items(quotes: DataFrame, items: DataFrame, tags: DataFrame) -> DataFrame:
-    """One row per quote and item it may pick. This output is as large as it sounds: use
-    :func:`eligible_item_counts` where the number is enough."""
-    return _eligible(quotes, items, tags, ITEM_NAME,
-                     {"brand_filter": "brand", "category_filter": "category"})
+    """One row per quote and item it may pick. This output is as large as it sounds: quotes share
+    the rows of :func:`eligible_item_classes`, and :func:`eligible_item_counts` has their number."""
+    return _eligible(quotes, items, tags, ITEM_NAME, ITEM_FILTERS)
 
 
 def eligible_services(quotes: DataFrame, services: DataFrame, tags: DataFrame) -> DataFrame:
-    return _eligible(quotes, services, tags, SERVICE_NAME, {"group_filter": "grp"})
+    return _eligible(quotes, services, tags, SERVICE_NAME, SERVICE_FILTERS)
 
 
 def _eligible_counts(quotes: DataFrame, catalog: DataFrame, tags: DataFrame, name: Sequence[str],
                      filters: dict[str, str]) -> DataFrame:
-    """Number of eligible catalog rows per quote, without listing them.
-
-    Names with the same set of tag keys are interchangeable, so the catalog shrinks to
-    counts per (book, key set, filter values) before any selection meets it. A key set
-    holds the distinct tags written on one name, however many rows repeat that name; its
-    digest stands for it in the joins.
-    """
-    facets = list(filters.values())
-    choices = list(filters)
-    kinds = (
-        _row_keys(tags, name).groupBy(BOOK, *name)
-        .agg(F.array_sort(F.collect_set(F.struct("app_key", "proto_key"))).alias("key_set"))
-        .withColumn("kind", F.sha2(F.to_json("key_set"), 256))
-    )
-    by_name = catalog.groupBy(BOOK, *dict.fromkeys([*name, *facets])).agg(F.count("*").alias("n"))
-
-    def with_facets(counts: DataFrame, *keys: str) -> DataFrame:
-        """Roll counts up so that 'All' is one more value of every filter."""
-        for choice, column in filters.items():
-            counts = counts.withColumn(choice, F.explode(F.array_distinct(
-                F.array(F.col(column), F.lit(ALL)))))
-        return counts.where(" AND ".join(f"{c} IS NOT NULL" for c in choices)).groupBy(
-            BOOK, *keys, *choices).agg(F.sum("n").alias("n"))
-
-    per_kind = with_facets(
-        null_safe_join(kinds.drop("key_set"), by_name, [BOOK, *name], "inner")
-        .groupBy(BOOK, "kind", *facets).agg(F.sum("n").alias("n")), "kind")
-    per_book = with_facets(
-        by_name.groupBy(BOOK, *facets).agg(F.sum("n").alias("n"))).withColumnRenamed("n", "whole")
-    keyed = kinds.groupBy(BOOK, "kind").agg(F.first("key_set").alias("key_set")).select(
-        BOOK, "kind", F.inline("key_set"))
-
-    tag_selection = [BOOK, "application", "protocol"]
-    selection = [*tag_selection, *choices]
-    # The narrower list comes from the wider one, whose shuffle is then used twice.
-    made = _selections(quotes, choices)
-    matched = (
-        _selection_keys(made.select(*tag_selection).distinct())
-        .join(keyed, [BOOK, "app_key", "proto_key"]).select(*tag_selection, "kind").distinct()
-    )
-    answers = (
-        made.join(matched, tag_selection, "left")
-        .join(per_kind, [BOOK, "kind", *choices], "left")
-        .groupBy(*selection)
-        .agg(F.sum("n").alias("n"), F.max(F.col("kind").isNotNull()).alias("tagged"))
-        .join(per_book, [BOOK, *choices], "left")
-        .select(*selection, F.when(F.col("tagged"), F.col("n")).otherwise(F.col("whole")).alias("n"))
-    )
+    """Number of eligible catalog rows per quote: the bits of its selection."""
+    selection = [BOOK, "application", "protocol", *filters]
+    answers = _class_words(quotes, catalog, tags, name, filters).groupBy(*selection).agg(
+        F.sum(F.bit_count("word")).alias("n"))
     return (
         quotes.select("quote_id", *selection).join(answers, selection, "left")
         .select("quote_id", F.coalesce("n", F.lit(0)).alias("n_eligible"))
@@ -177,12 +157,11 @@ def _eligible_counts(quotes: DataFrame, catalog: DataFrame, tags: DataFrame, nam
 
 
 def eligible_item_counts(quotes: DataFrame, items: DataFrame, tags: DataFrame) -> DataFrame:
-    return _eligible_counts(quotes, items, tags, ITEM_NAME,
-                            {"brand_filter": "brand", "category_filter": "category"})
+    return _eligible_counts(quotes, items, tags, ITEM_NAME, ITEM_FILTERS)
 
 
 def eligible_service_counts(quotes: DataFrame, services: DataFrame, tags: DataFrame) -> DataFrame:
-    return _eligible_counts(quotes, services, tags, SERVICE_NAME, {"group_filter": "grp"})
+    return _eligible_counts(quotes, services, tags, SERVICE_NAME, SERVICE_FILTERS)
 
 
 # --- choice lists --------------------------------------------------------------------

@@ -317,12 +317,22 @@ SELECT c.* FROM {catalog} c WHERE {extra} AND (
 
 
 def eligible(catalog: str, tag_table: str, name: list[str], filters: dict[str, str],
-             source: str = "quotes") -> str:
+             source: str = "quotes", rows: bool = False) -> str:
     match = (f"{has('t.application', 'c.application', 'ALL_APPLICATIONS')} AND "
              f"{has('t.protocol', 'c.protocol', 'ALL_PROTOCOLS')}")
     names = ", ".join(f"t.{n}" for n in name)
     same = " AND ".join(f"h.{n} = k.{n}" for n in name)
     keep = " AND ".join(f"(s.{f} = 'All' OR s.{f} = k.{c})" for f, c in filters.items())
+    choices = ", ".join(f"s.{f}" for f in filters)
+    listed = f"""
+SELECT DISTINCT s.book_id, s.application, s.protocol, {choices}, k.row_ix FROM shapes s JOIN shown k ON k.book_id = s.book_id
+  AND k.application = s.application AND k.protocol = s.protocol AND {keep}"""
+    counted = f"""
+, answers AS (SELECT s.*, (SELECT count(*) FROM shown k WHERE k.book_id = s.book_id
+    AND k.application = s.application AND k.protocol = s.protocol AND {keep}) AS n
+  FROM shapes s)
+SELECT quote_id, n AS n_eligible FROM {source} JOIN answers USING
+  (book_id, application, protocol, brand_filter, category_filter, group_filter)"""
     return f"""
 , combos AS (SELECT DISTINCT book_id, application, protocol FROM {source}),
 shapes AS (SELECT DISTINCT book_id, application, protocol, brand_filter, category_filter, group_filter
@@ -334,12 +344,7 @@ shown AS (
   UNION ALL
   SELECT c.application, c.protocol, k.* FROM combos c JOIN {catalog} k ON k.book_id = c.book_id
   WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.book_id = c.book_id
-    AND h.application = c.application AND h.protocol = c.protocol)),
-answers AS (SELECT s.*, (SELECT count(*) FROM shown k WHERE k.book_id = s.book_id
-    AND k.application = s.application AND k.protocol = s.protocol AND {keep}) AS n
-  FROM shapes s)
-SELECT quote_id, n AS n_eligible FROM {source} JOIN answers USING
-  (book_id, application, protocol, brand_filter, category_filter, group_filter)"""
+    AND h.application = c.application AND h.protocol = c.protocol)){listed if rows else counted}"""
 
 
 def choices(parts: str) -> str:
@@ -468,6 +473,9 @@ FROM params WHERE configured AND NOT priceable""",
     "eligible_items_by_quote_fallback": eligible("items", "itags", ["brand", "item"], {
         "brand_filter": "brand", "category_filter": "category"}, "picky_quotes"),
     "eligible_services_by_quote": eligible("services", "stags", ["service"], {"group_filter": "grp"}),
+    "eligible_item_classes": eligible("items", "itags", ["brand", "item"], {
+        "brand_filter": "brand", "category_filter": "category"}, rows=True),
+    "eligible_service_classes": eligible("services", "stags", ["service"], {"group_filter": "grp"}, rows=True),
     "application_choices": choices(
         "SELECT book_id, unnest(application) AS choice FROM itags "
         "UNION ALL SELECT book_id, unnest(application) FROM stags"),

@@ -338,6 +338,19 @@ def eligible_services_by_quote(spark, sf):
                                              prices.service_tags)
 
 
+@query
+def eligible_item_classes(spark, sf):
+    """The items that each distinct selection made in any quote shows."""
+    prices = Book(spark, sf)
+    return selection.eligible_item_classes(quotes(spark, sf), prices.items, prices.item_tags)
+
+
+@query
+def eligible_service_classes(spark, sf):
+    prices = Book(spark, sf)
+    return selection.eligible_service_classes(quotes(spark, sf), prices.services, prices.service_tags)
+
+
 @query
 def application_choices(spark, sf):
     prices = Book(spark, sf)

@@ -131,3 +131,38 @@ def test_choices(items, item_tags, service_tags):
         "All", "X", "p1", "p2", "p3", "p4", "p5", "p6", "p7"]
     assert [r["choice"] for r in sel.choice_list(items, "brand").collect()] == ["All", "B1", "B2", "B3", "B4"]
     assert [r["choice"] for r in sel.choice_list(items, "category", "").collect()] == ["", "cat 1", "cat 2"]
+
+
+def test_bitmaps_hold_many_rows_of_hot_names(spark):
+    """One name with most rows and tags of a book; rows on both ends of a word and beyond it."""
+    n = 700
+    items = spark.createDataFrame(
+        [(1, i, f"p{i}", "B" if i % 3 else None, "hot" if i % 10 else f"i{i}", "C" if i % 2 else "D") for i in range(n)],
+        "book_id int, row_ix long, product_code string, brand string, item string, category string")
+    tags = spark.createDataFrame(
+        [(1, "B" if i % 3 else None, "hot" if i % 10 else f"i{i}", ["x", f"t{i % 4}"], ["P"] if i % 5 else ["ALL_PROTOCOLS"])
+         for i in range(n)],
+        "book_id int, brand string, item string, application array<string>, protocol array<string>")
+    quotes = spark.createDataFrame(
+        [(i, 1, a, p, b, c) for i, (a, p, b, c) in enumerate(
+            (a, p, b, c) for a in ("x", "t1", "All", "none", None) for p in ("P", "All", "other") for b in ("All", "B", "Z", None)
+            for c in ("All", "D"))],
+        "quote_id long, book_id int, application string, protocol string, brand_filter string, category_filter string")
+    got = sel.eligible_item_classes(quotes, items, tags)
+    plain_items = [tuple(r) for r in items.collect()]
+    plain_tags = [tuple(r) for r in tags.collect()]
+    want = set()
+    for q in {tuple(r)[2:] for r in quotes.collect()}:
+        a, p, b, c = q
+        if a is None:
+            continue
+        hits = {(t[1], t[2]) for t in plain_tags if (a == "All" or {a, "ALL_APPLICATIONS"} & set(t[3]))
+                and (p == "All" or {p, "ALL_PROTOCOLS"} & set(t[4]))}
+        want |= {(1, a, p, b, c, i[1]) for i in plain_items if (not hits or (i[3], i[4]) in hits)
+                 and (b == "All" or b is not None and b == i[3]) and (c == "All" or c == i[5])}
+    columns = ("book_id", "application", "protocol", "brand_filter", "category_filter", "row_ix")
+    assert rows(got, *columns) == sorted(want, key=lambda r: tuple((v is not None, str(type(v)), v) for v in r))
+    assert "CartesianProduct" not in got._jdf.queryExecution().executedPlan().toString()
+    counts = dict(rows(sel.eligible_item_counts(quotes, items, tags), "quote_id", "n_eligible"))
+    for r in quotes.collect():
+        assert counts[r["quote_id"]] == sum(w[:5] == tuple(r)[1:] for w in want)
