@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from array import array
+from collections.abc import Callable
 
 CACHED_PARTS = 400_000  # of one generation; a bound on memory, about 65 MB each
 SPACE_RUN = re.compile(r"\s ")
@@ -25,8 +27,30 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def for_library(pattern: str, pieces: Callable[[str], int]) -> str:
+    """``pattern`` for the ``regex`` module, with letters and digits as the library's own tables have them.
+
+    Tables of different releases of Unicode differ in characters that older ones do not have. For those that Python's
+    own table lacks, ``pieces`` tells into how many pieces the library cuts two characters: a letter goes with a
+    letter, a digit with a digit.
+    """
+    import regex
+
+    pattern = f"(?V1){pattern}"
+    unsure = "".join([c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Cn"])
+    for kind, partner in (("L", "a"), ("N", "1")):
+        not_ = "".join([c for c in regex.findall(rf"\p{{{kind}}}", unsure) if pieces(partner + c) > 1])
+        if not_:
+            pattern = pattern.replace(rf"\p{{{kind}}}", rf"[\p{{{kind}}}--[{not_}]]")
+    return pattern
+
+
 class PartTokenizer:
-    """Encodes whole texts to little-endian unsigned 32-bit ids, without special tokens."""
+    """Encodes whole texts to little-endian unsigned 32-bit ids, as ``Tokenizer.encode(text, add_special_tokens=False)``.
+
+    Nothing is added at the ends. Strings of the file's added tokens inside a text get the ids of these tokens, as the
+    library has it by default.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -38,8 +62,15 @@ class PartTokenizer:
         if not isinstance(tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) or isinstance(
                 tokenizer.normalizer, normalizers.Normalizer):
             raise ValueError("a byte-level tokenizer without a normalizer is needed")
+        added = tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens that take in what is around them are not supported")
+        self.added = {t.content: array("I", [i]).tobytes() for i, t in added.items()}
+        longest_first = sorted(map(re.escape, self.added), key=len, reverse=True)
+        self.split = re.compile(f"({'|'.join(longest_first)})").split if added else None
         self.tokenize = tokenizer.model.tokenize
-        self.pieces_of = regex.compile(public_tokenizers.PATTERN).findall
+        cut = tokenizer.pre_tokenizer.pre_tokenize_str
+        self.pieces_of = regex.compile(for_library(public_tokenizers.PATTERN, lambda text: len(cut(text)))).findall
         self.characters = byte_characters()
         self.space = self.characters[32]
         self.new: dict[str, bytes] = {}  # ids of " " + part
@@ -67,6 +98,12 @@ class PartTokenizer:
         return ids
 
     def encode(self, text: str) -> bytes:
+        for mark in self.added:
+            if mark in text:
+                return b"".join([self.added.get(p) or self._plain(p) for p in self.split(text) if p])
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         parts = CUT.split(text) if SPACE_RUN.search(text) else text.split(" ")
         if len(self.new) > CACHED_PARTS:
             self.new, self.old = {}, self.new

@@ -38,7 +38,6 @@ def exact_groups(docs):
 
 def token_ids(docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for i, t in docs}
 
 
