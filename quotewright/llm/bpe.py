@@ -6,10 +6,10 @@ to a nondeterministic transducer: its configurations are a position in the trie
 tokens passed so far; a token may follow another if the two alone encode to just themselves. Both the
 pair relation and the transducer are built lazily: a state is the set of configurations that the bytes
 read so far allow, and is made when it is first reached. Tokens that all configurations of a state
-agree on are emitted; the others wait for at most as many bytes as the longest token has. The table
-of states is bounded: input that leaves a full table runs through the nondeterministic transducer.
+agree on are settled and can be emitted; the others wait for at most as many bytes as the longest token has.
+The table of states is bounded: when it is full a new one is begun, so all input runs through determinised states.
 
-Decoding feeds the bytes of the tokens to a UTF-8 state machine and yields complete characters.
+Decoding feeds tokens to a UTF-8 state machine that carries an unfinished character and yields complete ones.
 """
 
 from __future__ import annotations
@@ -27,12 +27,20 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+import quotewright.llm.tokens
 from quotewright.llm.store import per_worker
+from quotewright.llm.tokens import for_library
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+for _module in (__name__, quotewright.llm.tokens.__name__):
+    cloudpickle.register_pickle_by_value(sys.modules[_module])
 
-MOST_STATES = 30_000
+MOST_MOVES = 300_000  # of one table of states
+FEW_TOKENS = 8  # so many tokens below a node are told apart by which may follow
 MOST_PAIRS = 400_000
+TOKEN_BITS = 24
+TOKEN_MASK = (1 << TOKEN_BITS) - 1
+AT_ONCE = 1 << 16  # bytes after which settled tokens are emitted
+BAD = "\N{REPLACEMENT CHARACTER}"
 CACHED_PARTS = 300_000  # of one generation
 DECODED_AT_ONCE = 1 << 16
 SPACE_RUN = re.compile(r"\s ")
@@ -60,24 +68,22 @@ def merge(data: bytes, ranks: dict[bytes, int], but: bytes = b"") -> list[bytes]
     return parts
 
 
-class State:
-    """A set of configurations: (waiting tokens, trie node); ``last`` is the token emitted last."""
-
-    __slots__ = ("last", "configurations", "next", "rest")
-
-    def __init__(self, last: int, configurations: tuple):
-        self.last, self.configurations = last, configurations
-        self.next: dict[int, tuple[State, tuple]] = {}
-        # What the input's end emits: the tokens of the configuration that has just passed a token.
-        self.rest = next((tokens for tokens, node in configurations if node == 0), ())
+class Transducer:
+    """The transducer of the merges, determinised as far as input has needed it.
 
+    A configuration is a trie node that the bytes since some token's end lead to, with what is known of that
+    token: the token itself, or, where few tokens are below the node, which of them may follow it (none: the
+    configuration is dropped). A state is a tuple of configurations, a move goes by state and byte to the next state and
+    tells which token, if any, ends there in the encoding of the bytes so far. States have numbers.
+    Past ``most_moves`` moves the table is emptied, and the state in hand is the first of a new one.
+    """
 
-class Transducer:
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], most_moves: int = MOST_MOVES):
+        self.ranks, self.most_moves = ranks, most_moves
         self.tokens = {r: t for t, r in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
         self.ends: list[int] = [-1]
+        self.depth: list[int] = [0]
         for token, rank in ranks.items():
             node = 0
             for byte in token:
@@ -86,19 +92,30 @@ class Transducer:
                     below = self.children[node][byte] = len(self.ends)
                     self.children.append({})
                     self.ends.append(-1)
+                    self.depth.append(self.depth[node] + 1)
                 node = below
             self.ends[node] = rank
+        self.below = [0] * len(self.ends)  # number of tokens below a node
+        for node in range(len(self.ends) - 1, -1, -1):
+            self.below[node] = sum(self.below[c] + (self.ends[c] >= 0) for c in self.children[node].values())
         self.follows: dict[int, bool] = {}  # by (left + 1) << 32 | right
         self.split: dict[int, tuple[int, int] | None] = {}
-        self.states: dict[tuple, State] = {}
-        self.start = self._state(-1, (((), 0),))
-
-    def _state(self, last: int, configurations: tuple) -> State:
-        key = (last, configurations)
-        state = self.states.get(key)
-        if state is None:
-            state = self.states[key] = State(last, configurations)
-        return state
+        self.allowed: dict[tuple[int, int], frozenset[int]] = {}
+        self.computed = 0  # moves made so far, in all tables
+        self._empty()
+
+    def _empty(self) -> None:
+        self.numbers: dict[tuple, int] = {}
+        self.states: list[tuple] = []
+        self.moves: dict[int, int] = {}  # state << 8 | byte -> next state << TOKEN_BITS | token + 1
+        self._number(((-1, 0),))
+
+    def _number(self, state: tuple) -> int:
+        known = self.numbers.get(state)
+        if known is None:
+            known = self.numbers[state] = len(self.states)
+            self.states.append(state)
+        return known
 
     def _halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``token``; itself twice for a byte, None if merging its
@@ -146,63 +163,104 @@ class Transducer:
             else:
                 y, until = self._halves(y)[0], y + 1
 
-    def _step(self, state: State, byte: int) -> tuple[State, tuple]:
-        grown = []
-        for tokens, node in state.configurations:
+    def _tokens_below(self, node: int) -> list[int]:
+        out, open_ = [], [node]
+        while open_:
+            for child in self.children[open_.pop()].values():
+                if self.ends[child] >= 0:
+                    out.append(self.ends[child])
+                open_.append(child)
+        return out
+
+    def _context(self, before: int | frozenset[int], node: int) -> int | frozenset[int]:
+        """What is still to be known at ``node`` of the token before it; an empty set: nothing may follow."""
+        if isinstance(before, frozenset):
+            return before.intersection(self._tokens_below(node))
+        if self.below[node] > FEW_TOKENS:
+            return before
+        known = self.allowed.get((before, node))
+        if known is None:
+            if len(self.allowed) > MOST_PAIRS:
+                self.allowed.clear()
+            known = self.allowed[before, node] = frozenset(
+                [t for t in self._tokens_below(node) if self.may_follow(before, t)])
+        return known
+
+    def _step(self, number: int, byte: int) -> int:
+        """Makes the move from a state by a byte that it has none for."""
+        state = self.states[number]
+        if len(self.moves) >= self.most_moves:
+            self._empty()
+            number = self._number(state)
+        self.computed += 1
+        grown, ended = [], -1
+        for before, node in state:
             below = self.children[node].get(byte)
             if below is None:
                 continue
-            if self.children[below]:
-                grown.append((tokens, below))
             token = self.ends[below]
-            if token >= 0 and self.may_follow(tokens[-1] if tokens else state.last, token):
-                grown.append(((*tokens, token), 0))
-        agreed = 0
-        first = grown[0][0]
-        while all(len(t) > agreed and t[agreed] == first[agreed] for t, _ in grown) if len(first) > agreed else False:
-            agreed += 1
-        emitted = first[:agreed]
-        last = emitted[-1] if emitted else state.last
-        reached = self._state(last, tuple((tokens[agreed:], node) for tokens, node in grown))
-        state.next[byte] = reached, emitted
-        return reached, emitted
+            if token >= 0 and ended < 0 and (
+                    token in before if isinstance(before, frozenset) else self.may_follow(before, token)):
+                ended = token  # the encoding of a prefix is unique
+            if self.children[below]:
+                context = self._context(before, below)
+                if context != frozenset():
+                    grown.append((context, below))
+        grown.append((ended, 0))
+        move = self.moves[number << 8 | byte] = self._number(tuple(grown)) << TOKEN_BITS | ended + 1
+        return move
+
+    def _settled(self, ended: list[int], state: tuple) -> int:
+        """The last place up to which all configurations agree on the tokens."""
+        open_ = {len(ended) - self.depth[node] for _, node in state}
+        while len(open_) > 1:
+            latest = max(open_)
+            open_.remove(latest)
+            open_.add(latest - len(self.tokens[ended[latest - 1] - 1]))
+        return open_.pop()
+
+    def _emitted(self, ended: list[int], at: int) -> list[int]:
+        out = []
+        while at:
+            token = ended[at - 1] - 1
+            out.append(token)
+            at -= len(self.tokens[token])
+        return out[::-1]
 
     def encode(self, data: bytes) -> list[int]:
-        """The ranks of the encoding."""
-        state, out = self.start, []
-        for byte in data:
-            reached = state.next.get(byte)
-            if reached is None:
-                if len(self.states) >= MOST_STATES:
-                    return self._simulate(data)
-                reached = self._step(state, byte)
-            state, emitted = reached
-            if emitted:
-                out += emitted
-        out += state.rest
-        return out
-
-    def _simulate(self, data: bytes) -> list[int]:
-        """``encode`` by following all configurations: of every prefix the last token is kept."""
-        children, ends, follows = self.children, self.ends, self.follows
-        last = [-1] * (len(data) + 1)
-        for i in range(len(data)):
-            before, node = last[i], 0
-            pairs = before + 1 << 32
-            for j in range(i, len(data)):
-                node = children[node].get(data[j])
-                if node is None:
-                    break
-                token = ends[node]
-                if token >= 0 and last[j + 1] < 0:  # the encoding of a prefix is unique
-                    fits = follows.get(pairs | token)
-                    if fits or fits is None and self.may_follow(before, token):
-                        last[j + 1] = token
-        out, end = [], len(data)
-        while end:
-            out.append(last[end])
-            end -= len(self.tokens[last[end]])
-        return out[::-1]
+        """The ranks of the encoding. Of long input, tokens are emitted as soon as they are settled."""
+        out: list[int] = []
+        number = 0
+        for first in range(0, len(data), AT_ONCE):
+            if first == 0:
+                ended: list[int] = []
+            moves, add = self.moves, ended.append
+            for byte in data[first:first + AT_ONCE]:
+                move = moves.get(number << 8 | byte)
+                if move is None:
+                    move = self._step(number, byte)
+                    moves = self.moves
+                number = move >> TOKEN_BITS
+                add(move & TOKEN_MASK)
+            if first + AT_ONCE < len(data):
+                settled = self._settled(ended, self.states[number])
+                out += self._emitted(ended, settled)
+                del ended[:settled]
+        return out + self._emitted(ended, len(ended)) if data else out
+
+
+def _tiktoken_pieces(pattern: str, text: str) -> int:
+    """Into how many pieces the tiktoken library cuts the two characters of ``text``."""
+    def make():
+        import tiktoken
+
+        single = {bytes([b]): b for b in range(256)}
+        # An ASCII character and any first byte after it are one token, if they are in one piece.
+        pairs = [c + bytes([b]) for c in (b"a", b"1") for b in range(0xC2, 0xF5)]
+        return tiktoken.Encoding("pieces", pat_str=pattern, special_tokens={},
+                                 mergeable_ranks=single | {p: 256 + i for i, p in enumerate(pairs)})
+
+    return 1 if per_worker(("pieces", pattern), make).encode_ordinary(text)[0] >= 256 else 2
 
 
 class Encoder:
@@ -216,7 +274,7 @@ class Encoder:
         import regex
 
         self.ranks, self.transducer = ranks, Transducer(ranks)
-        self.matches = regex.compile(pattern).findall
+        self.matches = regex.compile(for_library(pattern, lambda text: _tiktoken_pieces(pattern, text))).findall
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -252,43 +310,72 @@ class Encoder:
         return head + b"".join([known(p) or compute(p) for p in parts])
 
 
-class Utf8Stream:
-    """Characters from bytes that come in pieces; what is no UTF-8 becomes U+FFFD."""
+class Utf8Machine:
+    """Characters from bytes that come in pieces; what is no UTF-8 becomes U+FFFD, as Python decodes it.
+
+    The machine's state are the bytes of an unfinished character, at most three; a byte completes it, goes on with it,
+    or ends it as no character and begins the next. What a piece does from a state is remembered.
+    """
 
     def __init__(self) -> None:
-        self.waiting = b""
+        self.known: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
 
     @staticmethod
-    def _unfinished(data: bytes) -> int:
-        """How many bytes at the end begin a character without ending it."""
-        for n in range(1, min(3, len(data)) + 1):
-            lead = data[-n]
-            if lead < 0x80:
-                return 0
-            if lead >= 0xC0:
-                need = 2 if 0xC2 <= lead < 0xE0 else 3 if 0xE0 <= lead < 0xF0 else 4 if 0xF0 <= lead < 0xF5 else 0
-                low = {0xE0: 0xA0, 0xF0: 0x90}.get(lead, 0x80)
-                high = {0xED: 0x9F, 0xF4: 0x8F}.get(lead, 0xBF)
-                return n if n < need and (n == 1 or low <= data[1 - n] <= high) else 0
-        return 0
-
-    def feed(self, data: bytes) -> str:
-        data = self.waiting + data
-        whole = len(data) - self._unfinished(data)
-        self.waiting = data[whole:]
-        return data[:whole].decode("utf-8", "replace")
-
-    def end(self) -> str:
-        rest, self.waiting = self.waiting, b""
-        return rest.decode("utf-8", "replace")
-
-
-def decode_stream(ids: np.ndarray, tokens: list[bytes]) -> Iterator[str]:
-    """The text of ``ids`` piece by piece."""
-    stream = Utf8Stream()
-    for i in range(0, len(ids), DECODED_AT_ONCE):
-        yield stream.feed(b"".join([tokens[t] for t in ids[i:i + DECODED_AT_ONCE].tolist()]))
-    yield stream.end()
+    def step(state: bytes, byte: int) -> tuple[str, bytes]:
+        """The characters that a byte completes, and the next state."""
+        if state:
+            lead = state[0]
+            low = {0xE0: 0xA0, 0xF0: 0x90}.get(lead, 0x80) if len(state) == 1 else 0x80
+            high = {0xED: 0x9F, 0xF4: 0x8F}.get(lead, 0xBF) if len(state) == 1 else 0xBF
+            if not low <= byte <= high:
+                out, state = Utf8Machine.step(b"", byte)
+                return BAD + out, state
+            state += bytes([byte])
+            need = 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+            return (state.decode(), b"") if len(state) == need else ("", state)
+        if byte < 0x80:
+            return chr(byte), b""
+        return ("", bytes([byte])) if 0xC2 <= byte < 0xF5 else (BAD, b"")
+
+    def feed(self, state: bytes, piece: bytes) -> tuple[str, bytes]:
+        key = state, piece
+        known = self.known.get(key)
+        if known is None:
+            out = []
+            for byte in piece:
+                text, state = self.step(state, byte)
+                out.append(text)
+            if len(self.known) > MOST_PAIRS:
+                self.known.clear()
+            known = self.known[key] = "".join(out), state
+        return known
+
+    def end(self, state: bytes) -> str:
+        return BAD if state else ""
+
+
+class Decoder:
+    """Texts from ids, token by token; what tokens do between characters is looked up by id."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.tokens, self.machine = tokens, Utf8Machine()
+        self.whole: list[str | None] = [None] * len(tokens)  # of tokens that end between characters, fed there
+
+    def stream(self, ids: np.ndarray) -> Iterator[str]:
+        """The text of ``ids`` piece by piece."""
+        state, whole, tokens, feed = b"", self.whole, self.tokens, self.machine.feed
+        for i in range(0, len(ids), DECODED_AT_ONCE):
+            out = []
+            for token in ids[i:i + DECODED_AT_ONCE].tolist():
+                text = None if state else whole[token]
+                if text is None:
+                    before = state
+                    text, state = feed(state, tokens[token])
+                    if not before and not state:
+                        whole[token] = text
+                out.append(text)
+            yield "".join(out)
+        yield self.machine.end(state)
 
 
 def _token_list(ranks: dict[bytes, int]) -> list[bytes]:
@@ -325,13 +412,13 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
 
 def _digest(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = per_worker(("tokens", path), lambda: _token_list(read_ranks(path)))
+        decoder = per_worker(("decoder", path), lambda: Decoder(_token_list(read_ranks(path))))
         for batch in batches:
             counts, encoded, decoded = [], [], []
             for row in batch.column(1):
                 data = row.as_py()
                 text = hashlib.sha256()
-                for piece in decode_stream(np.frombuffer(data, "<u4"), tokens):
+                for piece in decoder.stream(np.frombuffer(data, "<u4")):
                     text.update(piece.encode())
                 counts.append(len(data) // 4)
                 encoded.append(hashlib.sha256(data).hexdigest())
@@ -352,9 +439,9 @@ def token_digests(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -
 
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = per_worker(("tokens", path), lambda: _token_list(read_ranks(path)))
+        decoder = per_worker(("decoder", path), lambda: Decoder(_token_list(read_ranks(path))))
         for batch in batches:
-            texts = ["".join(decode_stream(np.frombuffer(x.as_py(), "<u4"), tokens)) for x in batch.column(1)]
+            texts = ["".join(decoder.stream(np.frombuffer(x.as_py(), "<u4"))) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_id", "text"])
 
     return run

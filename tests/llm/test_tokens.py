@@ -5,6 +5,7 @@ import random
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 import zstandard
@@ -21,9 +22,10 @@ from quotewright.llm.tokens import PartTokenizer
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 ENCODER = bpe.Encoder(RANKS, public_tokenizers.PATTERN)
+PARTS = PartTokenizer(PATH)
 TIKTOKEN = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 TEXT = st.lists(st.sampled_from(
-    list("abethnrs'll 1.,!\n\t\x1c\x85\xa0　é中😀<|>") + ["  ", " the", "ing", "<|endoftext|>"]), max_size=60).map("".join)
+    list("abethnrs'll 1.,!\n\t\x1c\x85\xa0　é中😀<|>") + ["\ua7ce", "\ua7dd", "\U00010ec5", "\u0558", "\U00011de3", "7","  ", " the", "ing", "<|endoftext|>"]), max_size=60).map("".join)
 DOCS = [(1, "Hello  world.\n a"), (2, None), (3, ""), (4, "x" * 30_000), (5, "tokens and words " * 900), (6, " "), (7, "é中😀")]
 
 
@@ -34,7 +36,7 @@ def documents(spark, docs=DOCS):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(TEXT, max_size=4))
 def test_parts_encode_as_whole_texts(texts):
-    tokenizer = PartTokenizer(PATH)
+    tokenizer = PARTS
     expected = brute.token_ids(list(enumerate(texts)))
     assert [tokenizer.encode(t) for t in texts] == [brute.little_endian(expected[i][:-1]) for i in range(len(texts))]
 
@@ -144,17 +146,46 @@ def test_transducer_encodes_like_tiktoken(text):
 def test_transducer_equals_merging(parts):
     data = "".join(parts).encode()
     expected = [RANKS[t] for t in bpe.merge(data, RANKS)]
-    assert ENCODER.transducer.encode(data) == expected and ENCODER.transducer._simulate(data) == expected
+    assert ENCODER.transducer.encode(data) == expected
 
 
-def test_a_full_table_goes_on(monkeypatch):
-    monkeypatch.setattr(bpe, "MOST_STATES", 5)
+@pytest.mark.parametrize("most_moves, at_once", [(5, 1 << 16), (300_000, 7), (11, 64), (1, 1)])
+def test_a_full_table_goes_on(monkeypatch, most_moves, at_once):
+    monkeypatch.setattr(bpe, "AT_ONCE", at_once)
     monkeypatch.setattr(bpe, "CACHED_PARTS", 2)
     encoder = bpe.Encoder(RANKS, public_tokenizers.PATTERN)
+    encoder.transducer.most_moves = most_moves
     text = "unbelievable thinkings of extraordinary xyzzyqq " * 3 + "z" * 5000
     assert np.frombuffer(encoder.encode(text), "<u4").tolist() == TIKTOKEN.encode_ordinary(text)
 
 
+def test_long_input_is_emitted_as_it_settles(monkeypatch):
+    monkeypatch.setattr(bpe, "AT_ONCE", 20)
+    rng, transducer, waiting = random.Random(8), bpe.Transducer(RANKS), []
+    settled = transducer._settled
+    transducer._settled = lambda ended, state: (waiting.append(len(ended) - settled(ended, state)), settled(ended, state))[1]
+    data = "".join(rng.choices(["th", "er", "ing", "a", "zz", "é", "==", "\n"], k=700)).encode()
+    assert [transducer.tokens[t] for t in transducer.encode(data)] == bpe.merge(data, RANKS)
+    assert len(waiting) > 50 and max(waiting) <= max(map(len, RANKS))
+
+
+def test_nearly_all_input_finds_its_states_made():
+    """Of the bytes that reach the transducer, few need a state or move that no earlier byte has made."""
+    docs = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column("text").to_pylist()
+    encoder, fed = bpe.Encoder(RANKS, public_tokenizers.PATTERN), 0
+    encode = encoder.transducer.encode
+
+    def counted(data):
+        nonlocal fed
+        fed += len(data)
+        return encode(data)
+
+    encoder.transducer.encode = counted
+    for text in docs:
+        encoder.encode(text or "")
+    assert fed > 4_000_000 and encoder.transducer.computed < 0.05 * fed
+
+
 def test_pairs_stay_apart_as_by_merging():
     transducer, rng = ENCODER.transducer, random.Random(2)
     tokens = rng.sample(sorted(transducer.tokens), 400)
@@ -167,10 +198,11 @@ def test_pairs_stay_apart_as_by_merging():
 @settings(max_examples=300, deadline=None)
 @given(st.binary(max_size=20) | st.text(max_size=8).map(str.encode), st.lists(st.integers(0, 20), max_size=4))
 def test_utf8_in_pieces(data, cuts):
-    stream, out, at = bpe.Utf8Stream(), "", 0
-    for cut in sorted(cuts):
-        out, at = out + stream.feed(data[at:cut]), max(at, cut)
-    assert out + stream.feed(data[at:]) + stream.end() == data.decode("utf-8", "replace")
+    machine, state, out, at = bpe.Utf8Machine(), b"", "", 0
+    for cut in [*sorted(cuts), len(data)]:
+        text, state = machine.feed(state, data[at:cut])
+        out, at = out + text, max(at, cut)
+    assert out + machine.end(state) == data.decode("utf-8", "replace")
 
 
 def test_bpe_round_trip(spark):
