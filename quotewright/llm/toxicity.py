@@ -30,8 +30,7 @@ from quotewright.llm.store import stored
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SAMPLE = 6000  # labelled documents a chain is fitted on, at most
-WORDS_EACH = 400  # features selected for each category
-LEAST_CHI_SQUARE = 11.0  # a feature's association with the category; p = 0.001
+LEAST_CHI_SQUARE = 50.0  # a feature's association with a category; p = 2e-12, so that few of very many pass by chance
 CACHED_WORDS = 200_000
 FOLDS = 5
 RIDGE = 0.03
@@ -97,13 +96,20 @@ def fit(rows: np.ndarray, labels: np.ndarray, ridge: float = RIDGE, steps: int =
     w[-1] = np.log((positive + 0.5) / (n - positive + 0.5))
     if n == 0 or labels.min() == labels.max():
         return w
-    x, y = np.hstack([rows, np.ones((n, 1), kind)]), labels.astype(kind)
+    y = labels.astype(kind)
+
+    def forward(w: np.ndarray) -> np.ndarray:
+        return rows @ w[:-1] + w[-1]
+
+    def backward(r: np.ndarray) -> np.ndarray:
+        return np.append(rows.T @ r, r.sum())
+
     ratio = (n - positive) / positive
     weight = np.where(y > 0, max(ratio, 1), max(1 / ratio, 1)).astype(kind) ** kind.type(0.5)
-    # The largest eigenvalue of the weighted x'x, by power iteration, bounds the curvature.
-    v = np.ones(x.shape[1], kind)
+    # The largest eigenvalue of the weighted x'x (x: the rows and a column of ones), by power iteration, bounds the curvature.
+    v = np.ones(len(w), kind)
     for _ in range(20):
-        v = x.T @ (weight * (x @ v))
+        v = backward(weight * forward(v))
         size = np.linalg.norm(v)
         v /= size
     rate = kind.type(1 / (0.3 * size + ridge))
@@ -111,7 +117,7 @@ def fit(rows: np.ndarray, labels: np.ndarray, ridge: float = RIDGE, steps: int =
     penalty[-1] = 0
     look, momentum = w.copy(), 1.0
     for _ in range(steps):
-        gradient = x.T @ (weight * (sigmoid(x @ look) - y)) + penalty * look
+        gradient = backward(weight * (sigmoid(forward(look)) - y)) + penalty * look
         new = look - rate * gradient
         following = (1 + (1 + 4 * momentum * momentum) ** 0.5) / 2
         look = new + kind.type((momentum - 1) / following) * (new - w)
@@ -136,7 +142,7 @@ def fit_chain(rows: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> tuple[
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            counts: Counter = Counter()
+            counts: Counter = Counter({"": 0})  # so that texts without words are counted as documents
             for word, n in Counter(WORD.findall((text.as_py() or "").lower())).items():
                 for part in parts(word):
                     counts[part] += n
@@ -146,11 +152,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], id_col: str = "doc_id",
-          text_col: str = "text", sample: int = SAMPLE, words_each: int = WORDS_EACH) -> Chain:
+          text_col: str = "text", sample: int = SAMPLE, least: float = LEAST_CHI_SQUARE) -> Chain:
     """A chain for the 0/1 columns ``categories`` of ``labels``, which also has ``id_col``.
 
     Rows with a NULL label or id are ignored; of repeated ids one row counts, the largest. The sample
-    are the documents with the smallest hashes of their ids.
+    are the documents with the smallest hashes of their ids; those without words count as well. Features are all words
+    and beginnings whose association with a category is ``least`` or more. Other columns are ignored.
     """
     label = F.struct(*[F.col(c).cast("int").alias(c) for c in categories])
     complete = labels.where(F.col(id_col).isNotNull()).dropna(subset=list(categories))
@@ -159,9 +166,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], id_co
         .orderBy(F.xxhash64("_key"), "_key").limit(sample)
     )
     drawn = stored(drawn.select("_key", "_label.*"), "sample")
-    chosen = docs.join(F.broadcast(drawn.select("_key")), F.col(id_col) == F.col("_key"))  # ``sample`` rows at most
+    texts = docs.select(F.col(id_col).cast("long").alias("_key"), F.col(text_col).cast("string").alias("_text"))
+    chosen = texts.join(F.broadcast(drawn.select("_key")), "_key")  # ``sample`` rows at most
     counted = stored(
-        chosen.select("_key", F.col(text_col).cast("string")).mapInArrow(_count, "_key long, word string, n long"), "counts")
+        chosen.mapInArrow(_count, "_key long, word string, n long"), "counts")
     answers = drawn.join(counted.select("_key").distinct(), "_key", "left_semi").orderBy("_key").toPandas()
     words: dict[str, int] = {}
     marked = counted.select("_key", "word").distinct().join(F.broadcast(drawn), "_key")
@@ -172,9 +180,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], id_co
         b = F.count(F.lit(1)) - a
         c, d = positive - a, (total - positive) - b
         statistic = total * (a * d - b * c) ** 2 / ((a + b) * (c + d + 1e-9) * (a + c + 1e-9) * (b + d + 1e-9))
-        found = marked.groupBy("word").agg(statistic.cast("double").alias("s")).where(F.col("s") >= LEAST_CHI_SQUARE)
-        for r in found.orderBy(F.col("s").desc(), "word").limit(words_each).collect():
-            words.setdefault(r["word"], len(words))
+        found = marked.groupBy("word").agg(statistic.cast("double").alias("s")).where(F.col("s") >= least)
+        for word in sorted(r["word"] for r in found.select("word").collect()):
+            words.setdefault(word, len(words))
     index = docs.sparkSession.createDataFrame(list(words.items()) or [("", 0)], "word string, column int")
     cells = counted.join(F.broadcast(index), "word").groupBy("_key", "column").agg(F.sum("n").alias("n")).toPandas()
     rows = np.zeros((len(answers), len(words)), np.float32)

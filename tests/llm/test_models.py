@@ -200,8 +200,8 @@ def test_chains_without_examples(spark, shown):
 def test_bounded_samples(spark):
     table = spark.createDataFrame([(i, "bad" if i % 2 else "fine") for i in range(100)], "doc_id long, text string")
     known = table.selectExpr("doc_id", "cast(doc_id % 2 as int) AS toxic")
-    chain = toxicity.train(table, known, ("toxic",), sample=40, words_each=1)
-    assert len(chain.words) == 1
+    chain = toxicity.train(table, known, ("toxic",), sample=40, least=30.0)
+    assert set(chain.words) == {"bad", "fine"}
     assert all((r["p_toxic"] > 0.5) == bool(r["doc_id"] % 2) for r in toxicity.predict(table, chain).collect())
 
 
@@ -285,3 +285,23 @@ def test_model_queries_equal_brute_force(spark):
     encoded = QUERIES["op10_bpe"](spark, SF_DIR)
     assert encoded.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert rows(encoded) == brute.bpe_digests(docs)
+
+
+def vectors(spark, made):
+    return bit_slices.quantised(spark.createDataFrame(made, "vec_id long, embedding array<double>"))
+
+
+def test_large_components_are_exact_or_refused(spark):
+    made = [(50, [1e12, -3.5, 1e9]), (1, [2.0, 1.0, -1e6]), (2, [-1e6, 1e6, 7.0]), (3, [0.0, 0.0, 0.0]), (4, [1e3, 1e5, 1.0])]
+    got = bit_slices.top_k(vectors(spark, made), vectors(spark, made[:1]))
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == brute.best(dict(made))
+    for bad, said in ([(7, [1e30])], "vector 7"), ([(50, [1e15]), (51, [1e15])], "score of vector 51 for query 50"):
+        with pytest.raises(Exception, match=said):
+            made_bad = vectors(spark, bad)
+            bit_slices.top_k(made_bad, made_bad.where("id = 50")).collect()
+
+
+def test_a_repeated_query_is_answered_for_its_smallest_vector(spark):
+    made = [(50, [2.0, 0.0]), (50, [1.0, 5.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0])]
+    got = bit_slices.top_k(vectors(spark, made), vectors(spark, made[:2]))
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == [(1, 1, 5 * 65536), (2, 2, 65536)]
