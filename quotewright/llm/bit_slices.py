@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotewright.llm.store import stored
@@ -26,6 +26,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_ROWS = 8192
 BLOCK_QUERIES = 512
+LARGEST = float(1 << 62)
 GROUP = 4
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -99,7 +100,7 @@ class Block:
         total[-1] ^= ONES
         digits = total[:, found >> 6] >> (found & 63).astype(np.uint64) & np.uint64(1)
         weights = [1 << i for i in range(depth - 1)] + [-(1 << depth - 1)]
-        base = int(query @ self.least[:len(query)])
+        base = sum(q * low for q, low in zip(query.tolist(), self.least.tolist()))  # of any size
         return [(int(self.ids[r]), base + sum(w for w, d in zip(weights, column) if d))
                 for r, column in zip(found, digits.T)]
 
@@ -190,6 +191,12 @@ def _pack_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 "columns": pa.array([values.shape[1]], pa.int32()), "queries": [values.astype("<i8").tobytes()]})
 
 
+def _long(score: int, query_id: int, vec_id: int) -> int:
+    if not -(1 << 63) <= score < 1 << 63:
+        raise ValueError(f"the score of vector {vec_id} for query {query_id} does not fit 64 bits: {score}")
+    return score
+
+
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, block = None, None
@@ -202,7 +209,7 @@ def _search(k: int):
                     at, block = row["block"], Block(ids, least, slices)
                 query_ids = np.frombuffer(row["query_ids"], "<i8")
                 queries = np.frombuffer(row["queries"], "<i8").reshape(-1, row["columns"])
-                found = [(q, i, score) for q, v in zip(query_ids.tolist(), queries) for i, score in block.best(q, v, k)]
+                found = [(q, i, _long(score, q, i)) for q, v in zip(query_ids.tolist(), queries) for i, score in block.best(q, v, k)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int64()) for c in (zip(*found) if found else ([], [], []))],
                     ["query_id", "vec_id", "score"])
@@ -214,9 +221,14 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     """id and floor(scale * component) of the vectors that have only finite components.
 
     NULL vectors, NULL ids and vectors with NULL, NaN or infinite components are left out. Components
-    must stay below 2^62 / scale; a larger one raises an error.
+    must stay below 2^62 / scale in size; a larger one raises an error that names the row.
     """
-    values = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale))
+    def number(x: Column) -> Column:
+        scaled = x.cast("double") * scale
+        message = F.concat(F.lit("vector "), F.col("id").cast("string"), F.lit(": a component is too large"))
+        return F.when(F.abs(scaled) < LARGEST, F.floor(scaled)).otherwise(F.raise_error(message))
+
+    values = F.transform(F.col(vector_col), number)
     finite = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col))
     return rows.where(F.col("id").isNotNull() & finite).select("id", values.alias("values"))
@@ -227,10 +239,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int =
 
     Both tables have id (long) and values (array<long>). Ties go to the smaller id; rows with the query's
     own id are no candidates. Where lengths differ the missing components count as 0. Repeated rows
-    are candidates each; repeated queries are answered once. Empty tables give an empty result.
+    are candidates each; a repeated query id is answered once, for the smallest of its vectors. Scores are exact; one
+    beyond 64 bits raises an error that names both rows. Empty tables give an empty result.
     """
     index, blocks = build_index(vectors, block_rows)
-    asked = queries.dropDuplicates(["id"]).mapInArrow(_pack_queries, "query_ids binary, columns int, queries binary")
+    asked = queries.groupBy("id").agg(F.min("values").alias("values")).mapInArrow(_pack_queries, "query_ids binary, columns int, queries binary")
     dealt = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     # Blocks are few bytes and much work: Spark is told how many tasks there are to be.
     pairs = index.repartition(blocks, "block").join(dealt.repartition(blocks, "block"), "block")

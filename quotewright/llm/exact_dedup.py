@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotewright.llm.store import stored
-from quotewright.llm.text import ascii_lower, whole
+from quotewright.llm.text import ascii_lower, unused, whole
 
 FILTER_BITS = 1 << 23  # 1 MB as a bitmap
 PREFIX_CHARS = 128
@@ -94,10 +94,11 @@ def exact_groups(
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; ids may be NULL or repeat."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their names; ids may be NULL or repeat."""
+    own, digest = unused(docs, "_dropped", "_sha256")
     groups = exact_groups(docs, id_col, text_col, digest=True)
     dropped = groups.where(~F.col("kept")).select(
-        F.col(id_col).alias("_dropped"), F.col("text_sha256").alias("_sha256")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_dropped")) & (
-        F.sha2(ascii_lower(whole(F.col(text_col))), 256) == F.col("_sha256"))
+        F.col(id_col).alias(own), F.col("text_sha256").alias(digest)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(own)) & (
+        F.sha2(ascii_lower(whole(F.col(text_col))), 256) == F.col(digest))
     return docs.join(dropped, same, "left_anti")

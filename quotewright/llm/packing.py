@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 import quotewright.llm.tokens
 from quotewright.llm.store import per_worker
+from quotewright.llm.text import unused
 from quotewright.llm.tokens import PartTokenizer
 
 for _module in (__name__, quotewright.llm.tokens.__name__):
@@ -145,7 +146,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     ``pieces`` needs ``length`` (1 to ``capacity``); it is read three times, so store it if it is costly.
     Equal rows are packed as often as they occur. A NULL or impossible length raises an error. Columns
-    named sequence_id or offset are replaced. An empty table gives an empty result.
+    named sequence_id or offset are replaced; all others stay, whatever their names. An empty table gives an empty result.
     """
     spark = pieces.sparkSession
     pieces = pieces.drop("sequence_id", "offset")
@@ -154,25 +155,28 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         raise ValueError(f"lengths must be from 1 to {capacity}")
     plan = spark.createDataFrame(_plan_rows(plan_bins(counts, capacity)), PLAN)
     columns = pieces.columns
+    salt, n, before_, own_, rank, run_, k, runs = unused(
+        pieces, "_salt", "_n", "_before", "_own", "_rank", "_run", "_k", "runs")
+    plan = plan.withColumnRenamed("runs", runs)
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int"))
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    shares = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")).select(
-        "length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*columns)) - 1
-    run = F.filter("runs", lambda r: (r["first"] <= F.col("_rank")) & (F.col("_rank") < r["last"]))[0]
+    salted = pieces.withColumn(salt, F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int"))
+    before = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    shares = salted.groupBy("length", salt).agg(F.count(F.lit(1)).alias(n)).select(
+        "length", salt, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(before_))
+    own = F.row_number().over(Window.partitionBy("length", salt).orderBy(*columns)) - 1
+    run = F.filter(runs, lambda r: (r["first"] <= F.col(rank)) & (F.col(rank) < r["last"]))[0]
     ranked = (
-        salted.withColumn("_own", own).join(shares, ["length", "_salt"])
-        .withColumn("_rank", F.col("_own") + F.col("_before"))
+        salted.withColumn(own_, own).join(shares, ["length", salt])
+        .withColumn(rank, F.col(own_) + F.col(before_))
         .join(F.broadcast(plan), "length")  # at most one row per length
-        .withColumn("_run", run)
-        .withColumn("_k", F.col("_rank") - F.col("_run.first"))
+        .withColumn(run_, run)
+        .withColumn(k, F.col(rank) - F.col(f"{run_}.first"))
     )
-    size = F.size("_run.offsets")
+    size = F.size(f"{run_}.offsets")
     return ranked.select(
         *columns,
-        (F.col("_run.sequence") + F.floor(F.col("_k") / size)).cast("long").alias("sequence_id"),
-        F.get("_run.offsets", (F.col("_k") % size).cast("int")).cast("long").alias("offset"),
+        (F.col(f"{run_}.sequence") + F.floor(F.col(k) / size)).cast("long").alias("sequence_id"),
+        F.get(f"{run_}.offsets", (F.col(k) % size).cast("int")).cast("long").alias("offset"),
     )
 
 

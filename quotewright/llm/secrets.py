@@ -17,7 +17,7 @@ from re import _parser as regex_parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotewright.llm.text import ascii_lower, whole
+from quotewright.llm.text import ascii_lower, unused, whole
 
 MOST_STRINGS = 64  # alternatives that are spelled out; beyond that a part counts as "anything"
 MASK = "[secret]"
@@ -140,29 +140,37 @@ def find_secrets(
     """Every row of ``docs`` with ``spans``: array<struct<start, rank, kind, end>>, sorted.
 
     NULL texts have no spans. Ids may be NULL or repeat: the index then yields the candidates of all
-    rows with the id, and each is verified on its own text. Input columns named ``spans`` are replaced.
+    rows with the id, and each is verified on its own text. Input columns named ``spans`` are replaced;
+    all others stay, whatever their names.
     """
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q}
     rows = docs.drop("spans")
+    own_id, own_kinds = unused(rows, "_id", "_kinds")
     if indexed:
         trigrams = sorted({t for q in indexed.values() for a in q for t in a})
         found = candidates(trigram_postings(docs, trigrams, id_col, text_col), indexed)
-        rows = rows.join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
+        found = found.select(F.col("_id").alias(own_id), F.col("_kinds").alias(own_kinds))
+        rows = rows.join(found, F.col(id_col).eqNullSafe(F.col(own_id)), "left").drop(own_id)
     text = F.col(text_col)
     parts = []
     for rank, rule in enumerate(rules):
         spans = _spans(text, rule, rank)
         if rule.kind in indexed:
-            spans = F.when(F.array_contains("_kinds", rule.kind), spans)
+            spans = F.when(F.array_contains(own_kinds, rule.kind), spans)
         parts.append(F.coalesce(spans, F.array()))
-    return rows.withColumn("spans", F.sort_array(F.concat(*parts))).drop("_kinds")
+    return rows.withColumn("spans", F.sort_array(F.concat(*parts))).drop(own_kinds)
 
 
 def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id",
                  text_col: str = "text", mask: str = MASK) -> DataFrame:
-    """``docs`` with every secret replaced; spans that overlap or touch become one mask."""
-    found = find_secrets(docs, rules, id_col, text_col)
+    """``docs`` with every secret replaced; spans that overlap or touch become one mask.
+
+    NULL texts stay NULL. All columns stay, whatever their names.
+    """
+    own, = unused(docs, "_spans")
+    clashing = [c for c in docs.columns if c.lower() == "spans"]
+    found = find_secrets(docs.withColumnsRenamed({c: own for c in clashing}), rules, id_col, text_col)
     text = F.col(text_col)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -173,4 +181,5 @@ def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
 
     masked = F.aggregate("spans", zero, step, lambda s: F.concat(
         s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, masked).otherwise(text)).drop("spans")
+    return found.withColumn(text_col, F.when(F.size("spans") > 0, masked).otherwise(text)).drop("spans").withColumnsRenamed(
+        {own: c for c in clashing}).select(*docs.columns)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from quotewright.llm.components import smallest_reachable
 from quotewright.llm.store import stored
+from quotewright.llm.text import unused
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -119,9 +120,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """``docs`` without the rows whose id is not the smallest of their component.
 
-    A repeated id is one document, which stays if one of its rows does. Rows without id stay.
+    A repeated id is one document, which stays if one of its rows does. Rows without id stay. All
+    columns stay, whatever their names.
     """
+    own, = unused(docs, "_dropped")
     found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, words).where(F.col(id_col).isNotNull())
-    dropped = found.groupBy(F.col(id_col).alias("_dropped")).agg(
+    dropped = found.groupBy(F.col(id_col).alias(own)).agg(
         F.bool_and(F.col(id_col) != F.col("component_id")).alias("_all")).where("_all")
-    return docs.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
+    return docs.join(dropped, F.col(id_col) == F.col(own), "left_anti")

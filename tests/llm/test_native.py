@@ -5,7 +5,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from quotewright.llm import chat, secrets
+from quotewright.llm import chat, packing, secrets, simhash, toxicity
 from quotewright.llm.exact_dedup import deduplicate, exact_groups
 
 SCHEMA = "doc_id long, text string, kept string"
@@ -100,3 +100,47 @@ def test_chat_round_trip(spark):
     assert got[1]["formatted"].count("<|im_start|>") == 4 and got[1]["formatted"].count("<|im_sep|>") == 2
     assert "Python" not in plan_of(formatted)
     assert chat.format_conversations(turns.limit(0)).count() == 0
+
+
+HELPERS = ["_id", "_kinds", "_found", "_low", "_spans", "spans", "Spans", "_dropped", "_sha256", "_all", "_key", "_label", "_text",
+           "_print", "_first", "_salt", "_n", "_before", "_own", "_rank", "_run", "_k", "runs", "sequence", "count", "_bucket",
+           "_bitmap", "_position", "_byte", "_rows", "_full", "_length", "keep_id", "group_size", "component_id", "node", "word",
+           "n", "row", "id", "p_quality", "ids", "piece", "start", "salt", "u", "v", "m"]
+CLASHING = [(1, "password = abcdefgh1 and more words than that"), (2, "PASSWORD = abcdefgh1 and more words than that"), (3, None),
+            (4, ""), (5, "other words here"), (5, "other words here"), (None, "nothing to see")]
+
+
+@pytest.mark.parametrize("names", [HELPERS[i::4] for i in range(4)])
+def test_columns_with_the_names_of_helpers_stay(spark, names):
+    extra = {n: F.lit(f"own {n}") for n in names if n.lower() not in {m.lower() for m in names[:names.index(n)]}}
+    plain = spark.createDataFrame(CLASHING, "doc_id long, text string")
+    docs = plain.withColumns(extra)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(6)], "doc_id long, quality int, toxic int")
+
+    def same(kept, other, columns=("doc_id", "text")):
+        assert set(docs.columns) <= set(kept.columns) and rows(kept, *columns) == rows(other, *columns)
+        for n in extra:
+            assert {r[0] for r in kept.select(f"`{n}`").distinct().collect()} <= {f"own {n}"}
+
+    same(secrets.mask_secrets(docs), secrets.mask_secrets(plain))
+    found = secrets.find_secrets(docs)
+    assert rows(found, "doc_id", "spans") == rows(secrets.find_secrets(plain), "doc_id", "spans")
+    same(deduplicate(docs), deduplicate(plain))
+    same(simhash.drop_near_duplicates(docs), simhash.drop_near_duplicates(plain))
+    chain = toxicity.train(docs, labels.withColumns({k: v for k, v in extra.items()}), ("quality", "toxic"))
+    assert chain.words == toxicity.train(plain, labels, ("quality", "toxic")).words
+    assert rows(toxicity.drop_toxic(docs.drop("p_quality"), chain, "toxic"), "doc_id") == rows(
+        toxicity.drop_toxic(plain, chain, "toxic"), "doc_id")
+    pieces = docs.drop("sequence_id", "offset").withColumn("length", F.coalesce(F.char_length("text"), F.lit(0)) + 1)
+    packed = packing.pack(pieces)
+    assert set(pieces.columns) <= set(packed.columns) and packed.count() == len(CLASHING)
+    assert rows(packed.groupBy("sequence_id").agg(F.sum("length").alias("x")), "x") == rows(
+        packing.pack(pieces.select("doc_id", "length")).groupBy("sequence_id").agg(F.sum("length").alias("x")), "x")
+
+
+def test_labelled_documents_without_words_count(spark):
+    docs = spark.createDataFrame([(i, "bad words" if i % 2 else None) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(60)], "doc_id long, toxic int")
+    chain = toxicity.train(docs, labels, ("toxic",))
+    p = {r["doc_id"]: r["p_toxic"] for r in toxicity.predict(docs, chain).collect()}
+    assert all((p[i] > 0.5) == bool(i % 2) for i in p)
