@@ -29,19 +29,19 @@ from pyspark.sql import functions as F
 
 import quotewright.llm.tokens
 from quotewright.llm.store import per_worker
-from quotewright.llm.tokens import for_library
+from quotewright.llm.tokens import Pieces
 
 for _module in (__name__, quotewright.llm.tokens.__name__):
     cloudpickle.register_pickle_by_value(sys.modules[_module])
 
 MOST_MOVES = 300_000  # of one table of states
-FEW_TOKENS = 8  # so many tokens below a node are told apart by which may follow
-MOST_PAIRS = 400_000
+FEW_TOKENS = 16  # so many tokens below a node are told apart by which may follow
+MOST_PAIRS = 300_000
 TOKEN_BITS = 24
 TOKEN_MASK = (1 << TOKEN_BITS) - 1
 AT_ONCE = 1 << 16  # bytes after which settled tokens are emitted
 BAD = "\N{REPLACEMENT CHARACTER}"
-CACHED_PARTS = 300_000  # of one generation
+CACHED_PARTS = 200_000  # of one generation
 DECODED_AT_ONCE = 1 << 16
 SPACE_RUN = re.compile(r"\s ")
 CUT = re.compile(r"(?<=\S) ")
@@ -68,23 +68,29 @@ def merge(data: bytes, ranks: dict[bytes, int], but: bytes = b"") -> list[bytes]
     return parts
 
 
+# A state is a dictionary of moves by byte: (next state, the token that ends there in the encoding of the bytes so
+# far, or -1). Under CONFIGURATIONS it has its pairs (what is known of the token before, trie node).
+CONFIGURATIONS = -1
+
+
 class Transducer:
     """The transducer of the merges, determinised as far as input has needed it.
 
     A configuration is a trie node that the bytes since some token's end lead to, with what is known of that
     token: the token itself, or, where few tokens are below the node, which of them may follow it (none: the
-    configuration is dropped). A state is a tuple of configurations, a move goes by state and byte to the next state and
-    tells which token, if any, ends there in the encoding of the bytes so far. States have numbers.
-    Past ``most_moves`` moves the table is emptied, and the state in hand is the first of a new one.
+    configuration is dropped). Past ``most_moves`` moves the table of states is emptied, and the state in hand is the first
+    of a new one.
     """
 
     def __init__(self, ranks: dict[bytes, int], most_moves: int = MOST_MOVES):
         self.ranks, self.most_moves = ranks, most_moves
         self.tokens = {r: t for t, r in ranks.items()}
+        self.lengths = [0] * (max(ranks.values(), default=-1) + 1)
         self.children: list[dict[int, int]] = [{}]
         self.ends: list[int] = [-1]
         self.depth: list[int] = [0]
         for token, rank in ranks.items():
+            self.lengths[rank] = len(token)
             node = 0
             for byte in token:
                 below = self.children[node].get(byte)
@@ -95,26 +101,30 @@ class Transducer:
                     self.depth.append(self.depth[node] + 1)
                 node = below
             self.ends[node] = rank
-        self.below = [0] * len(self.ends)  # number of tokens below a node
+        # The tokens below each node that has few.
+        self.below: list[frozenset[int] | None] = [None] * len(self.ends)
         for node in range(len(self.ends) - 1, -1, -1):
-            self.below[node] = sum(self.below[c] + (self.ends[c] >= 0) for c in self.children[node].values())
+            parts = [(self.ends[c], self.below[c]) for c in self.children[node].values()]
+            if all(few is not None for _, few in parts) and sum(len(few) + 1 for _, few in parts) <= FEW_TOKENS:
+                self.below[node] = frozenset(t for own, few in parts for t in (own, *few) if t >= 0)
         self.follows: dict[int, bool] = {}  # by (left + 1) << 32 | right
         self.split: dict[int, tuple[int, int] | None] = {}
         self.allowed: dict[tuple[int, int], frozenset[int]] = {}
         self.computed = 0  # moves made so far, in all tables
-        self._empty()
-
-    def _empty(self) -> None:
-        self.numbers: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.moves: dict[int, int] = {}  # state << 8 | byte -> next state << TOKEN_BITS | token + 1
-        self._number(((-1, 0),))
-
-    def _number(self, state: tuple) -> int:
-        known = self.numbers.get(state)
+        self._empty(((-1, 0),))
+
+    def _empty(self, state: tuple) -> dict:
+        """Begins a table with the start and the state of these configurations."""
+        self.states: dict[tuple, dict] = {}
+        self.sets: dict[frozenset[int], frozenset[int]] = {}
+        self.made = 0
+        self.start = self._state(((-1, 0),))
+        return self._state(state)
+
+    def _state(self, configurations: tuple) -> dict:
+        known = self.states.get(configurations)
         if known is None:
-            known = self.numbers[state] = len(self.states)
-            self.states.append(state)
+            known = self.states[configurations] = {CONFIGURATIONS: configurations}
         return known
 
     def _halves(self, token: int) -> tuple[int, int] | None:
@@ -163,90 +173,88 @@ class Transducer:
             else:
                 y, until = self._halves(y)[0], y + 1
 
-    def _tokens_below(self, node: int) -> list[int]:
-        out, open_ = [], [node]
-        while open_:
-            for child in self.children[open_.pop()].values():
-                if self.ends[child] >= 0:
-                    out.append(self.ends[child])
-                open_.append(child)
-        return out
-
-    def _context(self, before: int | frozenset[int], node: int) -> int | frozenset[int]:
-        """What is still to be known at ``node`` of the token before it; an empty set: nothing may follow."""
-        if isinstance(before, frozenset):
-            return before.intersection(self._tokens_below(node))
-        if self.below[node] > FEW_TOKENS:
-            return before
-        known = self.allowed.get((before, node))
-        if known is None:
-            if len(self.allowed) > MOST_PAIRS:
-                self.allowed.clear()
-            known = self.allowed[before, node] = frozenset(
-                [t for t in self._tokens_below(node) if self.may_follow(before, t)])
-        return known
-
-    def _step(self, number: int, byte: int) -> int:
+    def _context(self, before: int | frozenset[int], node: int) -> frozenset[int]:
+        """Which of the few tokens below ``node`` may follow the token before it."""
+        few = self.below[node]
+        if type(before) is not int:
+            known = before & few
+        else:
+            known = self.allowed.get((before, node))
+            if known is None:
+                if len(self.allowed) > MOST_PAIRS:
+                    self.allowed.clear()
+                known = frozenset([t for t in few if self.may_follow(before, t)])
+                known = self.allowed[before, node] = self.sets.setdefault(known, known)
+        return self.sets.setdefault(known, known)
+
+    def _step(self, state: dict, byte: int) -> tuple[dict, int]:
         """Makes the move from a state by a byte that it has none for."""
-        state = self.states[number]
-        if len(self.moves) >= self.most_moves:
-            self._empty()
-            number = self._number(state)
+        if self.made >= self.most_moves:
+            state = self._empty(state[CONFIGURATIONS])
         self.computed += 1
+        self.made += 1
+        children, ends, few = self.children, self.ends, self.below
         grown, ended = [], -1
-        for before, node in state:
-            below = self.children[node].get(byte)
+        for before, node in state[CONFIGURATIONS]:
+            below = children[node].get(byte)
             if below is None:
                 continue
-            token = self.ends[below]
+            token = ends[below]
             if token >= 0 and ended < 0 and (
-                    token in before if isinstance(before, frozenset) else self.may_follow(before, token)):
+                    self.may_follow(before, token) if type(before) is int else token in before):
                 ended = token  # the encoding of a prefix is unique
-            if self.children[below]:
+            if few[below] is None:
+                grown.append((before, below))
+            elif few[below]:
                 context = self._context(before, below)
-                if context != frozenset():
+                if context:
                     grown.append((context, below))
         grown.append((ended, 0))
-        move = self.moves[number << 8 | byte] = self._number(tuple(grown)) << TOKEN_BITS | ended + 1
+        move = state[byte] = self._state(tuple(grown)), ended
         return move
 
-    def _settled(self, ended: list[int], state: tuple) -> int:
+    def _settled(self, ended: list[int], state: dict) -> int:
         """The last place up to which all configurations agree on the tokens."""
-        open_ = {len(ended) - self.depth[node] for _, node in state}
+        open_ = {len(ended) - self.depth[node] for _, node in state[CONFIGURATIONS]}
         while len(open_) > 1:
             latest = max(open_)
             open_.remove(latest)
-            open_.add(latest - len(self.tokens[ended[latest - 1] - 1]))
+            open_.add(latest - self.lengths[ended[latest - 1]])
         return open_.pop()
 
     def _emitted(self, ended: list[int], at: int) -> list[int]:
-        out = []
+        out, lengths = [], self.lengths
         while at:
-            token = ended[at - 1] - 1
+            token = ended[at - 1]
             out.append(token)
-            at -= len(self.tokens[token])
-        return out[::-1]
+            at -= lengths[token]
+        out.reverse()
+        return out
+
+    def _read(self, data: bytes, state: dict, ended: list[int]) -> dict:
+        """Follows the moves of ``data`` and appends the tokens that end at each byte."""
+        add = ended.append
+        for byte in data:
+            try:
+                state, token = state[byte]
+            except KeyError:
+                state, token = self._step(state, byte)
+            add(token)
+        return state
 
     def encode(self, data: bytes) -> list[int]:
         """The ranks of the encoding. Of long input, tokens are emitted as soon as they are settled."""
-        out: list[int] = []
-        number = 0
+        ended: list[int] = []
+        if len(data) <= AT_ONCE:
+            self._read(data, self.start, ended)
+            return self._emitted(ended, len(ended))
+        out, state = [], self.start
         for first in range(0, len(data), AT_ONCE):
-            if first == 0:
-                ended: list[int] = []
-            moves, add = self.moves, ended.append
-            for byte in data[first:first + AT_ONCE]:
-                move = moves.get(number << 8 | byte)
-                if move is None:
-                    move = self._step(number, byte)
-                    moves = self.moves
-                number = move >> TOKEN_BITS
-                add(move & TOKEN_MASK)
-            if first + AT_ONCE < len(data):
-                settled = self._settled(ended, self.states[number])
-                out += self._emitted(ended, settled)
-                del ended[:settled]
-        return out + self._emitted(ended, len(ended)) if data else out
+            state = self._read(data[first:first + AT_ONCE], state, ended)
+            settled = self._settled(ended, state)
+            out += self._emitted(ended, settled)
+            del ended[:settled]
+        return out + self._emitted(ended, len(ended))
 
 
 def _tiktoken_pieces(pattern: str, text: str) -> int:
@@ -271,10 +279,8 @@ class Encoder:
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        import regex
-
         self.ranks, self.transducer = ranks, Transducer(ranks)
-        self.matches = regex.compile(for_library(pattern, lambda text: _tiktoken_pieces(pattern, text))).findall
+        self.matches = Pieces(pattern, lambda text: _tiktoken_pieces(pattern, text))
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 

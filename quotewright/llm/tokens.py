@@ -27,22 +27,31 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-def for_library(pattern: str, pieces: Callable[[str], int]) -> str:
-    """``pattern`` for the ``regex`` module, with letters and digits as the library's own tables have them.
+class Pieces:
+    """Cuts texts by a pattern, with letters and digits as a library's own tables have them.
 
     Tables of different releases of Unicode differ in characters that older ones do not have. For those that Python's
     own table lacks, ``pieces`` tells into how many pieces the library cuts two characters: a letter goes with a
-    letter, a digit with a digit.
+    letter, a digit with a digit. Texts without such characters are cut by the pattern as it is.
     """
-    import regex
 
-    pattern = f"(?V1){pattern}"
-    unsure = "".join([c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Cn"])
-    for kind, partner in (("L", "a"), ("N", "1")):
-        not_ = "".join([c for c in regex.findall(rf"\p{{{kind}}}", unsure) if pieces(partner + c) > 1])
-        if not_:
-            pattern = pattern.replace(rf"\p{{{kind}}}", rf"[\p{{{kind}}}--[{not_}]]")
-    return pattern
+    def __init__(self, pattern: str, pieces: Callable[[str], int]):
+        import regex
+
+        self.plain = regex.compile(pattern).findall
+        unknown = "".join([c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Cn"])
+        self.unsure: set[str] = set()
+        exact = f"(?V1){pattern}"
+        for kind, partner in (("L", "a"), ("N", "1")):
+            found = regex.findall(rf"\p{{{kind}}}", unknown)
+            self.unsure.update(found)
+            not_ = "".join([c for c in found if pieces(partner + c) > 1])
+            if not_:
+                exact = exact.replace(rf"\p{{{kind}}}", rf"[\p{{{kind}}}--[{not_}]]")
+        self.exact = regex.compile(exact).findall
+
+    def __call__(self, text: str) -> list[str]:
+        return self.plain(text) if text.isascii() or self.unsure.isdisjoint(text) else self.exact(text)
 
 
 class PartTokenizer:
@@ -55,7 +64,6 @@ class PartTokenizer:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
-        import regex
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         tokenizer = Tokenizer.from_file(path)
@@ -70,7 +78,7 @@ class PartTokenizer:
         self.split = re.compile(f"({'|'.join(longest_first)})").split if added else None
         self.tokenize = tokenizer.model.tokenize
         cut = tokenizer.pre_tokenizer.pre_tokenize_str
-        self.pieces_of = regex.compile(for_library(public_tokenizers.PATTERN, lambda text: len(cut(text)))).findall
+        self.pieces_of = Pieces(public_tokenizers.PATTERN, lambda text: len(cut(text)))
         self.characters = byte_characters()
         self.space = self.characters[32]
         self.new: dict[str, bytes] = {}  # ids of " " + part
