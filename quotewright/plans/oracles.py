@@ -537,7 +537,7 @@ WHERE type = 'Item' AND ref_ix NOT IN (SELECT row_ix FROM items)
     "supplier_discount": one_edit(
         """FROM priced l JOIN quotes USING (quote_id)
 LEFT JOIN cart_lines c ON c.quote_id = l.quote_id AND CAST(c.line_no AS VARCHAR) = l.cart_id AND c.status = 'O'
-LEFT JOIN discounts d ON d.row_ix = c.ref_ix
+LEFT JOIN discounts d ON d.row_ix = c.discount_ix
 LEFT JOIN texts t ON t.book_id = quotes.book_id AND t.display_text = d.display_text""",
         "CASE t.type WHEN 'percentage' THEN 'pct' WHEN 'amount' THEN 'amt' END",
         "CASE t.type WHEN 'percentage' THEN t.amount * 100::DOUBLE ELSE t.amount END"),

@@ -102,14 +102,14 @@ def _catalog_rows(prices: Book) -> DataFrame:
 
 
 def cart_lines(spark: SparkSession, sf: str, prices: Book) -> DataFrame:
-    """Cart lines before pricing, with ``status`` and ``ref_ix``: one join against items and
+    """Cart lines before pricing, with ``status`` and ``discount_ix``: one join against items and
     services together. Lines whose catalog row was dropped in cleaning are ``cart_rejects``."""
     zero = F.lit(0.0)
     return (
         view(spark, sf, "cart_lines").join(_catalog_rows(prices), ["type", "ref_ix"])
         .withColumns({"cart_id": F.col("line_no").cast("string"), "unit_price": zero,
                       "disc_amt": zero, "final_total": zero})
-        .select(*CART.fieldNames(), "status", "ref_ix")
+        .select(*CART.fieldNames(), "status", "discount_ix")
     )
 
 
@@ -123,7 +123,7 @@ def priced_cart(spark: SparkSession, sf: str, prices: Book) -> DataFrame:
 
 
 def priced_lines(spark: SparkSession, sf: str, prices: Book) -> DataFrame:
-    """As :func:`priced_cart`, with ``status`` and ``ref_ix`` kept for choosing lines."""
+    """As :func:`priced_cart`, with ``status`` and ``discount_ix`` kept for choosing lines."""
     return carts.reprice(cart_lines(spark, sf, prices), quotes(spark, sf),
                          prices.item_multipliers, prices.service_multipliers)
 
@@ -550,10 +550,10 @@ def bulk_amount(spark, sf):
 
 @query
 def supplier_discount(spark, sf):
-    """Open lines with the discount whose row number is their catalog row number."""
+    """All open lines with the discounts that they name."""
     prices = Book(spark, sf)
-    texts = prices.discounts.select(F.col(ROW).alias("ref_ix"), "display_text")
-    lines = priced_lines(spark, sf, prices).join(texts, "ref_ix", "left")
+    texts = prices.discounts.select(F.col(ROW).alias("discount_ix"), "display_text")
+    lines = priced_lines(spark, sf, prices).join(texts, "discount_ix", "left")
     return _edited(discounts.supplier_discount(
         lines, F.when(F.col("status") == "O", F.col("display_text")), quotes(spark, sf), prices.discounts))
 

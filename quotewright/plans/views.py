@@ -92,15 +92,17 @@ SELECT o_orderkey AS quote_id, n_regionkey AS book_id, c_mktsegment AS applicati
   CAST(o_custkey % 8 + 1 AS INT) AS samples_per_batch,
   CAST(o_custkey % 10000 AS INT) AS aimed_cells
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey""",
-    # One cart line per line number of an order; repeated line numbers are merged.
+    # One cart line per line number of an order; repeated line numbers are merged. Lines refer to any catalog row, and
+    # to discounts by turns.
     "cart_lines": """
+SELECT *, CAST(ref_ix % (SELECT max(s_suppkey) + 1 FROM {supplier}) AS BIGINT) AS discount_ix FROM (
 SELECT l_orderkey AS quote_id, l_linenumber AS line_no,
   CASE WHEN max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 1 THEN 'Processing' ELSE 'Item' END AS type,
   CASE WHEN max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 1 THEN min(l_suppkey)
        ELSE min(l_partkey) END AS ref_ix,
   CASE WHEN max(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) = 1 THEN 'O' ELSE 'F' END AS status,
   sum(l_quantity) AS quantity, min(l_discount) * CAST(100 AS DOUBLE) AS disc_pct
-FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
+FROM {lineitem} GROUP BY l_orderkey, l_linenumber) c""",
     "edit_events": """
 SELECT user_id AS quote_id, CAST(1 + event_id % 5 AS STRING) AS cart_id, event_id AS seq,
   CASE event_type WHEN 'click' THEN 'qty' WHEN 'view' THEN 'pct' WHEN 'purchase' THEN 'amt'
