@@ -30,7 +30,8 @@ from quotewright.llm.store import stored
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SAMPLE = 6000  # labelled documents a chain is fitted on, at most
-LEAST_CHI_SQUARE = 50.0  # a feature's association with a category; p = 2e-12, so that few of very many pass by chance
+LEAST_CHI_SQUARE = 11.0  # a feature's association with a category; p = 0.001
+LEAST_EFFECT = 1 / 120  # and its share of the number of documents, the squared phi coefficient
 CACHED_WORDS = 200_000
 FOLDS = 5
 RIDGE = 0.03
@@ -157,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], id_co
 
     Rows with a NULL label or id are ignored; of repeated ids one row counts, the largest. The sample
     are the documents with the smallest hashes of their ids; those without words count as well. Features are all words
-    and beginnings whose association with a category is ``least`` or more. Other columns are ignored.
+    and beginnings whose association with a category is significant (``least``) and not slight. Other columns are ignored.
     """
     label = F.struct(*[F.col(c).cast("int").alias(c) for c in categories])
     complete = labels.where(F.col(id_col).isNotNull()).dropna(subset=list(categories))
@@ -180,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], id_co
         b = F.count(F.lit(1)) - a
         c, d = positive - a, (total - positive) - b
         statistic = total * (a * d - b * c) ** 2 / ((a + b) * (c + d + 1e-9) * (a + c + 1e-9) * (b + d + 1e-9))
-        found = marked.groupBy("word").agg(statistic.cast("double").alias("s")).where(F.col("s") >= least)
+        found = marked.groupBy("word").agg(statistic.cast("double").alias("s")).where(F.col("s") >= max(least, LEAST_EFFECT * total))
         for word in sorted(r["word"] for r in found.select("word").collect()):
             words.setdefault(word, len(words))
     index = docs.sparkSession.createDataFrame(list(words.items()) or [("", 0)], "word string, column int")

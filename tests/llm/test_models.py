@@ -243,7 +243,7 @@ def test_queries_equal_their_sql(spark):
     from quotewright.llm.oracles import oracle_sql
 
     db = duckdb.connect()
-    for name in ("documents", "conversations", "embeddings"):
+    for name in ("documents", "conversations", "embeddings", "labels"):
         db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF_DIR}/{name}.parquet'")
     for name, sql in oracle_sql().items():
         got = QUERIES[name](spark, SF_DIR)
