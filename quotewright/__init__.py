@@ -31,18 +31,19 @@ from quotewright.sources.workbooks import (
 from quotewright.streaming.edits import (
     apply_summaries, current_lines, run_to_table, stream_edits, stream_summaries,
 )
+from quotewright.streaming.totals import begin_totals, followed_totals, stream_totals
 
 __all__ = [
     "PriceBook", "add_items", "add_services", "application_choices", "apply_edits", "apply_summaries",
-    "batch_totals", "bulk_amount", "bulk_percent", "choice_list", "current_lines", "edit_amount",
+    "batch_totals", "begin_totals", "bulk_amount", "bulk_percent", "choice_list", "current_lines", "edit_amount",
     "edit_percent", "edit_quantity", "eligible_item_classes", "eligible_item_counts", "eligible_items",
-    "eligible_service_classes", "eligible_service_counts", "eligible_services", "filter_items", "filter_services",
+    "eligible_service_classes", "eligible_service_counts", "eligible_services", "filter_items", "filter_services", "followed_totals",
     "grand_total_text", "ingest_workbooks", "invoice_lines", "invoice_totals", "load_price_book",
     "label_names", "multiplier_reference", "price_book", "price_items_by_label", "price_items_long",
     "price_items_wide", "price_services_by_label", "price_services_long", "price_services_wide", "protocol_choices", "quote_header", "quote_lines",
     "quote_totals", "quote_view", "read_price_book", "remove_lines", "replay_cart_log", "replay_edits", "replay_with_surcharges",
     "reprice",
-    "resolve_edits", "run_to_table", "stage_workbooks", "stream_edits", "stream_summaries", "supplier_discount",
+    "resolve_edits", "run_to_table", "stage_workbooks", "stream_edits", "stream_summaries", "stream_totals", "supplier_discount",
     "surcharge_labels", "surcharge_rejects", "totals_after_events", "tune", "workbook_rejects", "workbook_sheets",
     "write_price_book", "write_quote_lines", "write_quote_totals",
 ]

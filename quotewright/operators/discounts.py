@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quotewright.functions.values import money
 from quotewright.operators.cart import unit_price
 from quotewright.operators.scans import RANGES, running
 from quotewright.operators.surcharges import with_multipliers
@@ -282,6 +283,19 @@ def _merged(pieces: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def condensed(merged: DataFrame) -> DataFrame:
+    """``merged`` (see ``merge_pieces``) as one piece per line, to be merged with others again: of each ``seq`` only
+    the order among the line's three places is kept, since between pieces it has no meaning."""
+    groups = ("qty", "some", "disc")
+    at = {g: F.struct(f"{g}_piece", f"{g}_seq") for g in groups}
+    places = {
+        f"{g}_seq": F.when(F.col(f"{g}_seq").isNotNull(), sum(
+            F.when(F.col(f"{o}_seq").isNotNull() & (at[o] <= at[g]), 1).otherwise(0) for o in groups).cast("long"))
+        for g in groups
+    }
+    return merged.withColumns(places).drop(*[f"{g}_piece" for g in groups])
+
+
 def apply_summary(cart: DataFrame, summary: DataFrame) -> DataFrame:
     """The cart after the edits that ``summary`` (see ``merge_pieces``) stands for."""
     own = [c for c in summary.columns if c not in LINE_KEY]
@@ -458,11 +472,6 @@ def _total_in(state: _State) -> Column:
     return F.when(untouched, F.col("final_total")).otherwise(gross - amount)
 
 
-def _money(c: Column) -> Column:
-    """As a decimal, so that sums do not depend on their order; NULL, NaN and what is 10^21 or more count as nothing."""
-    return F.coalesce(F.when(F.abs(c) < 1e21, c).cast("decimal(28,6)"), F.lit(0).cast("decimal(28,6)"))
-
-
 def totals_after_events(cart: DataFrame, edits: DataFrame, quotes: DataFrame, store: Callable[[DataFrame], DataFrame],
                         ranges: Sequence[int] = RANGES) -> DataFrame:
     """One row per valid edit of a quote in ``quotes``: what the quote comes to right after it.
@@ -486,7 +495,7 @@ def totals_after_events(cart: DataFrame, edits: DataFrame, quotes: DataFrame, st
     twice = running(once, LINE_KEY, "seq", last={
         "disc": F.when(is_discount, F.struct("seq", "kind", "value", quantity.alias("quantity"))),
         "some": F.when(is_qty & (value > 0), F.struct(seq, (F.col("unit_price") * value).alias("gross")))}, ranges=ranges)
-    after, before = (_money(_total_in(_State(*[F.col(f"{c}{end}") for c in _State._fields]))) for end in ("", "_before"))
+    after, before = (money(_total_in(_State(*[F.col(f"{c}{end}") for c in _State._fields]))) for end in ("", "_before"))
     counts = F.coalesce("known", F.lit(False)) & F.col("gone_before").isNull()
     leaves = F.col("kind") == "remove"
     effects = store(twice.select(
@@ -495,7 +504,7 @@ def totals_after_events(cart: DataFrame, edits: DataFrame, quotes: DataFrame, st
         F.when(counts & leaves, -1).otherwise(0).alias("fewer")))
     summed = running(effects, ["quote_id"], "seq", sums={"changed": F.col("delta"), "lines": F.col("fewer")},
                      tie=["cart_id"], ranges=ranges)
-    first = lines.groupBy("quote_id").agg(F.sum(_money(F.col("final_total"))).alias("first"), F.count("*").alias("n_first"))
+    first = lines.groupBy("quote_id").agg(F.sum(money(F.col("final_total"))).alias("first"), F.count("*").alias("n_first"))
     kept = ["n_batches", "item_surcharge", "service_surcharge"]
     totals = summed.join(first, "quote_id", "left").join(quotes.select("quote_id", *kept), "quote_id").withColumns({
         "n_lines": F.coalesce("n_first", F.lit(0)) + F.col("lines"),

@@ -554,6 +554,7 @@ SELECT quote_id, seq, cart_id, n_lines, net_total, n_batches, net_total * n_batc
 FROM event_totals""",
     "stream_edits": "SELECT * FROM replayed",
     "stream_edit_summaries": "SELECT * FROM replayed",
+    "stream_quote_totals": totals("replayed"),
     "edited_quote_totals": totals("replayed"),
     "quote_totals": totals("priced"),
     "invoice_totals": totals("priced", "raw - disc"),

@@ -23,6 +23,7 @@ from quotewright.session import shared_dir, tune
 from quotewright.sources.tables import counts, price_book
 from quotewright.sources.workbooks import pack_workbooks, parse_workbooks, workbook_sheet
 from quotewright.streaming import edits as live
+from quotewright.streaming import totals as live_totals
 
 AS_OF = dt.date(1998, 2, 15)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -631,6 +632,22 @@ def stream_edit_summaries(spark, sf):
     return _edited(live.apply_summaries(spark, priced_cart(spark, sf, prices), out))
 
 
+@query
+def stream_quote_totals(spark, sf):
+    """Totals kept up to date while the log arrives in five micro-batches, a stretch of the log each."""
+    prices = Book(spark, sf)
+    lines, edits = _stored(priced_cart(spark, sf, prices)), _stored(valid_edits(spark, sf, prices))
+    first, last = edits.agg(F.min("seq"), F.max("seq")).first()
+    first, width = first or 0, ((last or 0) - (first or 0)) // 5 + 1
+    arrived, out, checkpoint = (shared_dir(spark, p) for p in ("arrived-edits", "quote-totals", "totals-checkpoint"))
+    live_totals.begin_totals(lines, out)
+    for i in range(5):
+        edits.where(F.floor((F.col("seq") - first) / width) == i).write.mode("append").parquet(arrived)
+        stream = spark.readStream.schema(edits.schema).parquet(arrived)
+        live_totals.stream_totals(stream, lines, out, checkpoint).awaitTermination()
+    return live_totals.followed_totals(quotes(spark, sf), out)
+
+
 # --- totals and outputs ----------------------------------------------------------------
 
 

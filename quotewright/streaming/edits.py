@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from quotewright.operators.discounts import apply_summary, merge_pieces, summarise_pieces
+from quotewright.operators.discounts import apply_summary, condensed, merge_pieces, summarise_pieces
 from quotewright.schemas import LINE_KEY
 from quotewright.session import ship_by_value
 
@@ -173,16 +173,7 @@ def compact_summaries(spark: SparkSession, out: str, path: str, upto: int, base:
     micro-batch, which a restart may write again. Folders that a base covers may be deleted.
     """
     pieces = _pieces(spark, out, base).where(F.col("piece") <= upto)
-    merged = merge_pieces(pieces)
-    groups = ("qty", "some", "disc")
-    # Between micro-batches arrival counts, not ``seq``: keep the order of the three only.
-    at = {g: F.struct(f"{g}_piece", f"{g}_seq") for g in groups}
-    places = {
-        f"{g}_seq": F.when(F.col(f"{g}_seq").isNotNull(), sum(
-            F.when(F.col(f"{o}_seq").isNotNull() & (at[o] <= at[g]), 1).otherwise(0) for o in groups).cast("long"))
-        for g in groups
-    }
-    merged.withColumns(places).drop(*[f"{g}_piece" for g in groups]).write.parquet(path)
+    condensed(merge_pieces(pieces)).write.parquet(path)
     return Base(path, upto)
 
 
