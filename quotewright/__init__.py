@@ -19,6 +19,7 @@ from quotewright.operators.totals import (
     batch_totals, grand_total_text, invoice_lines, invoice_totals, quote_header, quote_lines,
     quote_totals, quote_view,
 )
+from quotewright.operators.what_if import totals_by_label
 from quotewright.schemas import PriceBook
 from quotewright.session import tune
 from quotewright.sources.sinks import write_quote_lines, write_quote_totals
@@ -44,6 +45,6 @@ __all__ = [
     "quote_totals", "quote_view", "read_price_book", "remove_lines", "replay_cart_log", "replay_edits", "replay_with_surcharges",
     "reprice",
     "resolve_edits", "run_to_table", "stage_workbooks", "stream_edits", "stream_summaries", "stream_totals", "supplier_discount",
-    "surcharge_labels", "surcharge_rejects", "totals_after_events", "tune", "workbook_rejects", "workbook_sheets",
+    "surcharge_labels", "surcharge_rejects", "totals_after_events", "totals_by_label", "tune", "workbook_rejects", "workbook_sheets",
     "write_price_book", "write_quote_lines", "write_quote_totals",
 ]

@@ -55,9 +55,8 @@ def surcharge_labels(multipliers: DataFrame) -> DataFrame:
     return multipliers.select(BOOK, "label_ix", "label").orderBy(BOOK, "label_ix")
 
 
-def with_multipliers(quotes: DataFrame, items: DataFrame, services: DataFrame) -> DataFrame:
-    """Add each quote's two multipliers. ``priceable`` is true when both surcharges are
-    set and known; a known label may still have a NULL multiplier."""
+def named_multipliers(quotes: DataFrame, items: DataFrame, services: DataFrame) -> DataFrame:
+    """Add each quote's two multipliers, and whether its book knows the label (``item_known``, ``service_known``; else NULL)."""
 
     def side(multipliers: DataFrame, prefix: str) -> DataFrame:
         return multipliers.select(
@@ -68,6 +67,14 @@ def with_multipliers(quotes: DataFrame, items: DataFrame, services: DataFrame) -
     return (
         quotes.join(side(items, "item"), [BOOK, "item_surcharge"], "left")
         .join(side(services, "service"), [BOOK, "service_surcharge"], "left")
+    )
+
+
+def with_multipliers(quotes: DataFrame, items: DataFrame, services: DataFrame) -> DataFrame:
+    """Add each quote's two multipliers. ``priceable`` is true when both surcharges are
+    set and known; a known label may still have a NULL multiplier."""
+    return (
+        named_multipliers(quotes, items, services)
         .withColumn("configured",
                     is_set(F.col("item_surcharge")) & is_set(F.col("service_surcharge")))
         .withColumn("priceable", F.col("configured") & F.coalesce("item_known", F.lit(False))

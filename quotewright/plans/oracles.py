@@ -269,6 +269,20 @@ SELECT c.quote_id, CASE op WHEN 'remove' THEN list_filter(live, lambda x: x.id <
 FROM carts c JOIN requests r ON r.quote_id = c.quote_id AND r.nth = c.nth + 1"""
 STEPS["live_lines"] = """
 SELECT quote_id, unnest(live, recursive := true) FROM (SELECT quote_id, arg_max(live, nth) AS live FROM carts GROUP BY quote_id)"""
+# Every cart re-priced, line by line, with each label of its book in place of one of its quote's two.
+STEPS["offers"] = """
+SELECT quote_id, 'PRICE_LIST' AS type, m.label_ix, m.label, item_surcharge = m.label AS chosen, n_batches,
+  m.multiplier AS im, s.multiplier AS sm
+FROM quotes q JOIN smults s ON s.book_id = q.book_id AND s.label = service_surcharge JOIN imults m ON m.book_id = q.book_id
+UNION ALL
+SELECT quote_id, 'PROCESSING', m.label_ix, m.label, service_surcharge = m.label, n_batches, i.multiplier, m.multiplier
+FROM quotes q JOIN imults i ON i.book_id = q.book_id AND i.label = item_surcharge JOIN smults m ON m.book_id = q.book_id"""
+STEPS["offered"] = """
+SELECT o.quote_id, o.type, label_ix, label, chosen, n_batches, coalesce(sum(g - g * (disc_pct / 100::DOUBLE)), 0) AS net
+FROM offers o LEFT JOIN (SELECT *, type AS kind FROM lines) l USING (quote_id), LATERAL (SELECT quantity * CASE
+    WHEN kind = 'Item' AND is_constant THEN base_ref + add_ref WHEN kind = 'Item' THEN base_ref * im + add_ref
+    WHEN kind = 'Processing' THEN base_ref * sm END AS g) p
+GROUP BY ALL"""
 RECURSIVE = {"carts", "walk", "walk_both", *(f"walk_{kind}" for kind in KINDS)}
 
 
@@ -557,6 +571,9 @@ FROM event_totals""",
     "stream_quote_totals": totals("replayed"),
     "edited_quote_totals": totals("replayed"),
     "quote_totals": totals("priced"),
+    "quote_totals_by_label": """
+SELECT quote_id, type, label_ix, label, chosen, floor(net * 100 + 0.50001) / 100 AS net_total,
+  floor(net * n_batches * 100 + 0.50001) / 100 AS project_total FROM offered""",
     "invoice_totals": totals("priced", "raw - disc"),
     "grand_total_text": f"""
 SELECT quote_id, CASE WHEN item_surcharge <> '' AND service_surcharge <> ''

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quotewright.functions.tags import matches_tag
 from quotewright.functions.values import truthy
-from quotewright.operators import cart_log, catalog, discounts, selection, surcharges, totals
+from quotewright.operators import cart_log, catalog, discounts, selection, surcharges, totals, what_if
 from quotewright.operators import cart as carts
 from quotewright.operators import cleaning, tagging
 from quotewright.plans.views import table, view, view_over
@@ -656,6 +656,14 @@ def quote_totals(spark, sf):
     return totals.quote_totals(priced_cart(spark, sf, Book(spark, sf)), quotes(spark, sf))
 
 
+@query
+def quote_totals_by_label(spark, sf):
+    """What each quote would cost under the other surcharges of its price book."""
+    prices = Book(spark, sf)
+    return what_if.totals_by_label(plain_cart(spark, sf, prices), quotes(spark, sf),
+                                   prices.item_multipliers, prices.service_multipliers)
+
+
 @query
 def invoice_totals(spark, sf):
     return totals.invoice_totals(priced_cart(spark, sf, Book(spark, sf)), quotes(spark, sf))

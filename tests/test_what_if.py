@@ -1,0 +1,92 @@
+"""Totals under other surcharges, against carts that are re-priced."""
+
+import random
+
+import pytest
+from conftest import SF_DIR, rows
+from pyspark.sql import functions as F
+
+from quotewright.operators import what_if
+from quotewright.operators.cart import reprice
+from quotewright.operators.totals import quote_totals
+from quotewright.plans.queries import Book, plain_cart
+from quotewright.plans.queries import quotes as given_quotes
+from quotewright.schemas import CART
+
+QUOTES = "quote_id long, book_id int, item_surcharge string, service_surcharge string, n_batches int"
+LABELS = "book_id int, label string, multiplier double, label_ix long"
+
+
+@pytest.fixture(scope="module")
+def case(spark):
+    rng = random.Random(5)
+    lines = []
+    for i in range(600):
+        quote = 3 if i % 3 == 0 else rng.randrange(40)  # one quote has a third of the lines
+        type_ = rng.choice(["Item", "Item", "Processing", "Other"])
+        lines.append((
+            quote, f"k{i}", f"P{i}", "n", "d", type_, "c", rng.choice([None, 0.0, 12.5, 99.99]), rng.choice([None, 0.0, 3.25]),
+            rng.random() < 0.3, 0.0, rng.choice([None, 0.0, 1.0, 2.5]), rng.choice([None, 0.0, 10.0, 150.0]), 0.0, 0.0))
+    quotes = [(q, q % 3, rng.choice(["a", "b", "", None, "gone"]), rng.choice(["s", "t", "", "gone"]), 1 + q % 3)
+              for q in range(45)]  # five have no lines
+    items = [(b, label, m, i) for b in (0, 1) for i, (label, m) in enumerate((("a", 1.5), ("b", None), ("c", 2.25)))]
+    services = [(b, label, m, i) for b in (0, 1) for i, (label, m) in enumerate((("s", 1.1), ("t", 0.0), ("u", None)))]
+    return (spark.createDataFrame(lines, CART), spark.createDataFrame(quotes, QUOTES),
+            spark.createDataFrame(items, LABELS), spark.createDataFrame(services, LABELS))
+
+
+def test_totals_equal_repriced_carts(spark, case):
+    cart, quotes, items, services = case
+    got = what_if.totals_by_label(cart, quotes, items, services)
+    assert got.where("chosen").groupBy("quote_id", "type").count().where("count > 1").isEmpty()
+    want = []
+    for type_, multipliers, column, other in (("PRICE_LIST", items, "item_surcharge", "service_surcharge"),
+                                              ("PROCESSING", services, "service_surcharge", "item_surcharge")):
+        known = ["s", "t", "u"] if other == "service_surcharge" else ["a", "b", "c"]
+        for label, ix in ((r.label, r.label_ix) for r in multipliers.select("label", "label_ix").distinct().collect()):
+            # Book 2 has no labels.
+            asked = quotes.where(F.col(other).isin(known) & (F.col("book_id") < 2))
+            changed = asked.withColumn(column, F.lit(label))
+            kept = cart.join(changed, "quote_id", "left_semi")
+            totals = quote_totals(reprice(kept, changed, items, services), changed)
+            chosen = {r.quote_id for r in asked.where(F.col(column) == label).collect()}
+            want += [(r.quote_id, type_, ix, label, r.quote_id in chosen, round(r.net_total, 4), round(r.project_total, 4))
+                     for r in totals.collect()]
+    got = {tuple(r)[:5]: tuple(r)[5:] for r in got.collect()}
+    assert set(got) == {w[:5] for w in want} and len(want) > 60
+    for w in want:
+        assert got[w[:5]] == pytest.approx(w[5:], abs=0.00501)
+
+
+def test_cents():
+    cents = [(0.005, 0.01), (0.0049999999, 0.01), (0.0049, 0.0), (-0.005, 0.0), (-0.0051, -0.01), (1.014999, 1.01), (3e15, 3e15)]
+    from pyspark.sql import SparkSession
+    df = SparkSession.getActiveSession().createDataFrame(cents, "c double, want double")
+    assert df.where(what_if.to_cents(F.col("c")) != F.col("want")).isEmpty()
+
+
+def test_empty_tables(spark, case):
+    cart, quotes, items, services = case
+    assert what_if.totals_by_label(cart, quotes.limit(0), items, services).isEmpty()
+    assert what_if.totals_by_label(cart, quotes, items.limit(0), services.limit(0)).isEmpty()
+    nothing = what_if.totals_by_label(cart.limit(0), quotes, items, services)
+    assert {(r.net_total, r.project_total) for r in nothing.collect()} == {(0.0, 0.0)}
+
+
+def test_any_pair_of_labels(spark, case):
+    cart, quotes, items, services = case
+    factors = what_if.quote_factors(cart).select("quote_id", what_if.net_under(F.lit(1.5), F.lit(1.1)).alias("net"))
+    priced = reprice(cart, quotes.withColumns({"book_id": F.lit(0), "item_surcharge": F.lit("a"), "service_surcharge": F.lit("s")}),
+                     items, services)
+    want = dict(rows(quote_totals(priced, quotes), "quote_id", "net_total"))
+    for quote, net in rows(factors):
+        assert net == pytest.approx(want[quote], abs=1e-3)
+
+
+def test_lines_never_meet_labels(spark):
+    prices = Book(spark, SF_DIR)
+    df = what_if.totals_by_label(plain_cart(spark, SF_DIR, prices), given_quotes(spark, SF_DIR),
+                                 prices.item_multipliers, prices.service_multipliers)
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert text.count("l_orderkey") and len([x for x in text.splitlines() if "FileScan" in x and "l_orderkey" in x]) == 1
+    assert "Python" not in text
