@@ -26,6 +26,7 @@ from quotewright.sources.sinks import write_quote_lines, write_quote_totals
 from quotewright.sources.tables import (
     load_price_book, price_book, read_price_book, write_price_book,
 )
+from quotewright.sources.uploads import publish, published_book
 from quotewright.sources.workbooks import (
     ingest_workbooks, stage_workbooks, workbook_rejects, workbook_sheets,
 )
@@ -41,7 +42,7 @@ __all__ = [
     "eligible_service_classes", "eligible_service_counts", "eligible_services", "filter_items", "filter_services", "followed_totals",
     "grand_total_text", "ingest_workbooks", "invoice_lines", "invoice_totals", "load_price_book",
     "label_names", "multiplier_reference", "price_book", "price_items_by_label", "price_items_long",
-    "price_items_wide", "price_services_by_label", "price_services_long", "price_services_wide", "protocol_choices", "quote_header", "quote_lines",
+    "price_items_wide", "price_services_by_label", "price_services_long", "price_services_wide", "protocol_choices", "publish", "published_book", "quote_header", "quote_lines",
     "quote_totals", "quote_view", "read_price_book", "remove_lines", "replay_cart_log", "replay_edits", "replay_with_surcharges",
     "reprice",
     "resolve_edits", "run_to_table", "stage_workbooks", "stream_edits", "stream_summaries", "stream_totals", "supplier_discount",

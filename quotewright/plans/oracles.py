@@ -425,6 +425,13 @@ SQL: dict[str, str] = {
         for n, t in {"items": "items", "services": "services", "item_multipliers": "imults",
                      "service_multipliers": "smults", "item_tags": "itags",
                      "service_tags": "stags", "discounts": "discounts"}.items()),
+    "book_versions": f"""
+SELECT 1 AS version, book_id, 'Item' AS type, row_ix, base_cost AS price FROM items
+UNION ALL SELECT 1, book_id, 'Processing', row_ix, base_price FROM services
+UNION ALL SELECT 2, book_id, 'Item', row_ix, base_cost FROM items WHERE book_id <> 2 OR row_ix % 3 = 2
+UNION ALL SELECT 2, book_id, 'Item', row_ix, 10.5::DOUBLE FROM items_raw
+WHERE book_id = 2 AND row_ix % 3 = 1 AND (add_cost IS NULL OR {number('add_cost')} IS NOT NULL)
+UNION ALL SELECT 2, book_id, 'Processing', row_ix, base_price FROM services WHERE book_id <> 2""",
     "workbook_rows": """
 SELECT 'part-' || CAST(row_ix // 1000 AS VARCHAR) AS book_id,
   row_number() OVER (PARTITION BY row_ix // 1000 ORDER BY row_ix) AS row_ix,

@@ -21,6 +21,7 @@ from quotewright.schemas import (
 )
 from quotewright.session import shared_dir, tune
 from quotewright.sources.tables import counts, price_book
+from quotewright.sources.uploads import publish, published_book
 from quotewright.sources.workbooks import pack_workbooks, parse_workbooks, workbook_sheet
 from quotewright.streaming import edits as live
 from quotewright.streaming import totals as live_totals
@@ -156,6 +157,28 @@ def price_book_counts(spark, sf):
     return counts(price_book(raw_sheets(spark, sf), AS_OF))
 
 
+@query
+def book_versions(spark, sf):
+    """Catalog rows before and after an upload that brings books 1 and 2 again, of which book 2 has changed prices
+    and no services any more."""
+    raw, store = raw_sheets(spark, sf), shared_dir(spark, "price-books")
+    publish(spark, raw, store, AS_OF)
+    again = {sheet: df.where(F.col(BOOK).isin(1, 2)) for sheet, df in raw.items()}
+    again["prices"] = again["prices"].where((F.col(BOOK) == 1) | (F.col(ROW) % 3 > 0)).withColumn(
+        "base_cost", F.when((F.col(BOOK) == 2) & (F.col(ROW) % 3 == 1), F.lit("10.50")).otherwise(F.col("base_cost")))
+    again["services"] = again["services"].where(F.col(BOOK) == 1)
+    publish(spark, again, store, AS_OF)
+
+    def rows(version: int) -> DataFrame:
+        book = published_book(spark, store, version)
+        return book.items.select(
+            F.lit(version).alias("version"), BOOK, F.lit(ITEM_LINE).alias("type"), ROW, F.col("base_cost").alias("price")
+        ).unionByName(book.services.select(
+            F.lit(version).alias("version"), BOOK, F.lit(SERVICE_LINE).alias("type"), ROW, F.col("base_price").alias("price")))
+
+    return rows(1).unionByName(rows(2))
+
+
 @query
 def workbook_rows(spark, sf):
     """The price sheet after a trip through workbooks of at most a thousand rows each."""

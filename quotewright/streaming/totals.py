@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,10 +18,10 @@ from quotewright.functions.values import money
 from quotewright.operators.discounts import apply_summary, condensed, merge_pieces, summarise_pieces
 from quotewright.operators.totals import project_totals
 from quotewright.schemas import LINE_KEY
+from quotewright.sources.marks import is_done, last_done, mark_done
 
 AMOUNTS = ["unit_price", "quantity", "disc_pct", "disc_amt", "final_total"]
 SUMS = ["raw_total", "discount_total", "net_total"]
-DONE = "batch long"
 
 
 def _nodes(n: int, above: int = 0) -> Iterator[int]:
@@ -64,21 +63,10 @@ def _added(rows: DataFrame) -> DataFrame:
         *[F.sum(c).cast("decimal(38,6)").alias(c) for c in SUMS], F.sum("n_lines").alias("n_lines"))
 
 
-def _is_done(spark: SparkSession, out: str, n: int) -> bool:
-    try:
-        return bool(spark.read.schema(DONE).parquet(f"{out}/done/{n}").head(1))
-    except AnalysisException:  # no such folder
-        return False
-
-
-def _mark_done(spark: SparkSession, out: str, n: int) -> None:
-    spark.range(n, n + 1, 1, 1).toDF("batch").write.mode("overwrite").parquet(f"{out}/done/{n}")
-
-
 def begin_totals(cart: DataFrame, out: str) -> None:
     """Store the totals of the priced ``cart`` in the new folder ``out``, before any edit."""
     _added(_sums(cart, 1)).write.mode("overwrite").parquet(f"{out}/totals/0")
-    _mark_done(cart.sparkSession, out, 0)
+    mark_done(cart.sparkSession, out, 0)
 
 
 def update_totals(batch: DataFrame, batch_id: int, cart: DataFrame, out: str) -> None:
@@ -89,9 +77,9 @@ def update_totals(batch: DataFrame, batch_id: int, cart: DataFrame, out: str) ->
     was done is left as it is: readers never see it go. Edits of lines that ``cart`` lacks change nothing.
     """
     spark, n = batch.sparkSession, batch_id + 1
-    if _is_done(spark, out, n):
+    if is_done(spark, out, n):
         return
-    if not _is_done(spark, out, n - 1):
+    if not is_done(spark, out, n - 1):
         raise ValueError(f"batch {n - 1} is not stored in {out}; call begin_totals before the first one")
     edits = merge_pieces(summarise_pieces(batch)).drop("qty_piece", "some_piece", "disc_piece")
     edits.join(cart.select(*LINE_KEY, *AMOUNTS), LINE_KEY).write.mode("overwrite").parquet(f"{out}/edits/{n}")
@@ -108,7 +96,7 @@ def update_totals(batch: DataFrame, batch_id: int, cart: DataFrame, out: str) ->
     if n % 2 == 0:
         node = condensed(merge_pieces(_union(own, _pieces(spark, out, inner))))
         node.write.mode("overwrite").parquet(f"{out}/nodes/{n}")
-    _mark_done(spark, out, n)
+    mark_done(spark, out, n)
 
 
 def stream_totals(edits: DataFrame, cart: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -124,18 +112,6 @@ def stream_totals(edits: DataFrame, cart: DataFrame, out: str, checkpoint: str,
     )
 
 
-def last_batch(spark: SparkSession, out: str) -> int:
-    """How many micro-batches ``out`` holds, found by probing, without a list of them."""
-    step = 1
-    while _is_done(spark, out, step):
-        step *= 2
-    low, high = step // 2, step
-    while high - low > 1:
-        middle = (low + high) // 2
-        low, high = (middle, high) if _is_done(spark, out, middle) else (low, middle)
-    return low
-
-
 def _totals(spark: SparkSession, out: str, n: int) -> DataFrame:
     return spark.read.parquet(f"{out}/totals/{n}")
 
@@ -147,6 +123,6 @@ def followed_totals(quotes: DataFrame, out: str, upto: int | None = None) -> Dat
     nothing here, since they could not be taken out again exactly.
     """
     spark = quotes.sparkSession
-    n = last_batch(spark, out) if upto is None else upto
+    n = last_done(spark, out) if upto is None else upto
     sums = _added(_union(_totals(spark, out, 0), [_totals(spark, out, m) for m in _nodes(n)]))
     return project_totals(sums.withColumns({c: F.col(c).cast("double") for c in SUMS}), quotes)

@@ -37,7 +37,7 @@ def test_totals_after_every_batch(spark, case, tmp_path):
     assert rows(live.followed_totals(quotes, out)) == rows(quote_totals(cart, quotes))
     for i in range(BATCHES):
         live.update_totals(batch(log, i), i, cart, out)
-    assert live.last_batch(spark, out) == BATCHES
+    assert live.last_done(spark, out) == BATCHES
     for upto in range(1, BATCHES + 1):  # also as they were
         want = quote_totals(replay_edits(cart, log.where(F.col("batch") < upto).drop("batch")), quotes)
         assert rows(live.followed_totals(quotes, out, upto)) == rows(want)
@@ -48,13 +48,13 @@ def test_batches_run_again(spark, case, tmp_path, monkeypatch):
     cart, log, quotes = case
     out = str(tmp_path / "out")
     live.begin_totals(cart, out)
-    real = live._mark_done
+    real = live.mark_done
     for i in range(4):
-        monkeypatch.setattr(live, "_mark_done", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        monkeypatch.setattr(live, "mark_done", lambda *a: (_ for _ in ()).throw(OSError("lost")))
         with pytest.raises(OSError):
             live.update_totals(batch(log, i), i, cart, out)
-        assert live.last_batch(spark, out) == i
-        monkeypatch.setattr(live, "_mark_done", real)
+        assert live.last_done(spark, out) == i
+        monkeypatch.setattr(live, "mark_done", real)
         for _ in range(2):
             live.update_totals(batch(log, i), i, cart, out)
     want = quote_totals(replay_edits(cart, log.where("batch < 4").drop("batch")), quotes)
@@ -93,7 +93,7 @@ def test_stream_with_restarts_on_a_hot_quote_and_an_empty_cart(spark, case, tmp_
             stream = spark.readStream.schema(VALID).parquet(arrived)
             live.stream_totals(stream, lines, str(tmp_path / name), str(tmp_path / f"{name}-log")).awaitTermination()
     for name, lines in (("hot", hot), ("none", hot.limit(0))):
-        assert live.last_batch(spark, str(tmp_path / name)) == 3
+        assert live.last_done(spark, str(tmp_path / name)) == 3
         want = rows(quote_totals(replay_edits(lines, moved), quotes))
         assert rows(live.followed_totals(quotes, str(tmp_path / name))) == want
     plan = live.followed_totals(quotes, str(tmp_path / "hot"))._jdf.queryExecution().executedPlan().toString()
