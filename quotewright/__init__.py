@@ -34,6 +34,7 @@ from quotewright.streaming.edits import (
     apply_summaries, current_lines, run_to_table, stream_edits, stream_summaries,
 )
 from quotewright.streaming.totals import begin_totals, followed_totals, stream_totals
+from quotewright.streaming.versions import stream_versions, versioned_lines
 
 __all__ = [
     "PriceBook", "add_items", "add_services", "application_choices", "apply_edits", "apply_summaries",
@@ -45,7 +46,7 @@ __all__ = [
     "price_items_wide", "price_services_by_label", "price_services_long", "price_services_wide", "protocol_choices", "publish", "published_book", "quote_header", "quote_lines",
     "quote_totals", "quote_view", "read_price_book", "remove_lines", "replay_cart_log", "replay_edits", "replay_with_surcharges",
     "reprice",
-    "resolve_edits", "run_to_table", "stage_workbooks", "stream_edits", "stream_summaries", "stream_totals", "supplier_discount",
-    "surcharge_labels", "surcharge_rejects", "totals_after_events", "totals_by_label", "tune", "workbook_rejects", "workbook_sheets",
+    "resolve_edits", "run_to_table", "stage_workbooks", "stream_edits", "stream_summaries", "stream_totals", "stream_versions", "supplier_discount",
+    "surcharge_labels", "surcharge_rejects", "totals_after_events", "totals_by_label", "tune", "versioned_lines", "workbook_rejects", "workbook_sheets",
     "write_price_book", "write_quote_lines", "write_quote_totals",
 ]

@@ -574,6 +574,7 @@ SELECT quote_id, seq, cart_id, n_lines, net_total, n_batches, net_total * n_batc
   THEN {TOTAL_TEXT.replace('project_total', 'net_total * n_batches')} ELSE 'Total (Per Batch): $0.00' END AS text
 FROM event_totals""",
     "stream_edits": "SELECT * FROM replayed",
+    "stream_edits_stateful": "SELECT * FROM replayed",
     "stream_edit_summaries": "SELECT * FROM replayed",
     "stream_quote_totals": totals("replayed"),
     "edited_quote_totals": totals("replayed"),

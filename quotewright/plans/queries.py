@@ -25,6 +25,7 @@ from quotewright.sources.uploads import publish, published_book
 from quotewright.sources.workbooks import pack_workbooks, parse_workbooks, workbook_sheet
 from quotewright.streaming import edits as live
 from quotewright.streaming import totals as live_totals
+from quotewright.streaming import versions as live_versions
 
 AS_OF = dt.date(1998, 2, 15)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -638,11 +639,22 @@ def _edit_stream(spark: SparkSession, sf: str, prices: Book) -> DataFrame:
 
 @query
 def stream_edits(spark, sf):
+    """The log as a stream; lines in the versions that its micro-batches leave behind."""
+    prices = Book(spark, sf)
+    lines, out = _stored(priced_cart(spark, sf, prices)), shared_dir(spark, "line-versions")
+    live_versions.stream_versions(_edit_stream(spark, sf, prices), lines, out,
+                                  shared_dir(spark, "versions-checkpoint")).awaitTermination()
+    return _edited(live_versions.versioned_lines(lines, out))
+
+
+@query
+def stream_edits_stateful(spark, sf):
+    """The same with every edited line in the state store."""
     prices = Book(spark, sf)
     lines = _stored(priced_cart(spark, sf, prices))
     versions = live.run_to_table(
         spark, live.stream_edits(_edit_stream(spark, sf, prices), lines),
-        shared_dir(spark, "line-versions"), shared_dir(spark, "versions-checkpoint"))
+        shared_dir(spark, "state-versions"), shared_dir(spark, "state-checkpoint"))
     return _edited(live.current_lines(lines, versions))
 
 

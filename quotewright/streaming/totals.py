@@ -8,7 +8,7 @@ likewise, and can be read as they were after any batch. There is no state store,
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,23 +19,13 @@ from quotewright.operators.discounts import apply_summary, condensed, merge_piec
 from quotewright.operators.totals import project_totals
 from quotewright.schemas import LINE_KEY
 from quotewright.sources.marks import is_done, last_done, mark_done
+from quotewright.streaming.nodes import inner as _inner
+from quotewright.streaming.nodes import nodes as _nodes
 
 AMOUNTS = ["unit_price", "quantity", "disc_pct", "disc_amt", "final_total"]
 SUMS = ["raw_total", "discount_total", "net_total"]
 
 
-def _nodes(n: int, above: int = 0) -> Iterator[int]:
-    """The nodes that stand for the batches ``above`` + 1 to ``n``, latest first."""
-    while n > above:
-        yield n
-        n -= n & -n
-
-
-def _inner(n: int) -> Iterator[int]:
-    """The nodes that make up node ``n`` together with batch ``n``."""
-    return _nodes(n - 1, n - (n & -n))
-
-
 def _pieces(spark: SparkSession, out: str, nodes: Iterable[int]) -> list[DataFrame]:
     """Summaries of the nodes' batches; an odd node is its batch."""
     return [spark.read.parquet(f"{out}/{'nodes' if n % 2 == 0 else 'edits'}/{n}").drop(*AMOUNTS)
