@@ -22,6 +22,7 @@ from quotewright.operators.totals import (
 from quotewright.operators.what_if import totals_by_label
 from quotewright.schemas import PriceBook
 from quotewright.session import tune
+from quotewright.sources.refresh import refresh_quotes, refreshed_lines, refreshed_totals
 from quotewright.sources.sinks import write_quote_lines, write_quote_totals
 from quotewright.sources.tables import (
     load_price_book, price_book, read_price_book, write_price_book,
@@ -44,7 +45,7 @@ __all__ = [
     "grand_total_text", "ingest_workbooks", "invoice_lines", "invoice_totals", "load_price_book",
     "label_names", "multiplier_reference", "price_book", "price_items_by_label", "price_items_long",
     "price_items_wide", "price_services_by_label", "price_services_long", "price_services_wide", "protocol_choices", "publish", "published_book", "quote_header", "quote_lines",
-    "quote_totals", "quote_view", "read_price_book", "remove_lines", "replay_cart_log", "replay_edits", "replay_with_surcharges",
+    "quote_totals", "quote_view", "read_price_book", "refresh_quotes", "refreshed_lines", "refreshed_totals", "remove_lines", "replay_cart_log", "replay_edits", "replay_with_surcharges",
     "reprice",
     "resolve_edits", "run_to_table", "stage_workbooks", "stream_edits", "stream_summaries", "stream_totals", "stream_versions", "supplier_discount",
     "surcharge_labels", "surcharge_rejects", "totals_after_events", "totals_by_label", "tune", "versioned_lines", "workbook_rejects", "workbook_sheets",

@@ -413,6 +413,13 @@ def one_edit(joined: str, kind: str, value: str) -> str:
     return f"SELECT {edited(kind, value)} {joined}{END_EDITED}"
 
 
+# All lines, with 12.5 % off those of book 2's quotes.
+STEPS["refreshed"] = f"""
+SELECT e.*, name, description, book_id, CASE WHEN book_id = 2 THEN 2 ELSE 1 END AS stored
+FROM ({one_edit("FROM priced l JOIN quotes b USING (quote_id)", "CASE WHEN b.book_id = 2 THEN 'pct' END", "12.5::DOUBLE")}) e
+JOIN (SELECT quote_id, cart_id, name, description FROM priced) USING (quote_id, cart_id)
+JOIN (SELECT quote_id, book_id FROM quotes) USING (quote_id)"""
+
 TOTAL_TEXT = """'Total (Per Batch): $' || format('{:,.2f}', net_total) || ' | Total Project (' ||
   CAST(n_batches AS VARCHAR) || ' batches): $' || format('{:,.2f}', project_total)"""
 
@@ -592,6 +599,10 @@ FROM ({totals('priced')}) JOIN (SELECT quote_id, item_surcharge, service_surchar
 SELECT quote_id, cart_id, {view_columns(QUOTE_VIEW)}
 FROM priced SEMI JOIN (SELECT quote_id FROM params WHERE configured) USING (quote_id)""",
     "quote_lines_internal": f"SELECT quote_id, cart_id, {view_columns(QUOTE_LINES)} FROM priced",
+    "quote_lines_refreshed": f"SELECT quote_id, cart_id, {view_columns(QUOTE_LINES)}, book_id, stored FROM refreshed",
+    "quote_totals_refreshed": f"""
+SELECT t.*, book_id, CASE WHEN book_id = 2 THEN 2 ELSE 1 END AS stored
+FROM ({totals('refreshed')}) t JOIN (SELECT quote_id, book_id FROM quotes) USING (quote_id)""",
     "invoice_lines": f"""
 SELECT quote_id, cart_id, name AS "Item", {DOLLARS.format('unit_price')} AS "Amount",
   coalesce(description, '') AS "Description", quantity AS "Quantity",

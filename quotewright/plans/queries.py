@@ -20,6 +20,7 @@ from quotewright.schemas import (
     SERVICE_LINE, SHEET_HEADERS, SHEET_POSITIONS,
 )
 from quotewright.session import shared_dir, tune
+from quotewright.sources.refresh import refresh_quotes, refreshed_lines, refreshed_totals
 from quotewright.sources.tables import counts, price_book
 from quotewright.sources.uploads import publish, published_book
 from quotewright.sources.workbooks import pack_workbooks, parse_workbooks, workbook_sheet
@@ -719,6 +720,27 @@ def quote_lines_internal(spark, sf):
     return totals.quote_lines(priced_cart(spark, sf, Book(spark, sf)))
 
 
+def _refreshed(spark: SparkSession, sf: str) -> str:
+    """A store of all quotes that is written again after 12.5 % off every line of book 2's quotes."""
+    prices, store = Book(spark, sf), shared_dir(spark, "quotes")
+    lines = _stored(priced_cart(spark, sf, prices))
+    refresh_quotes(lines, quotes(spark, sf), store)
+    own = lines.join(quotes(spark, sf).where(F.col(BOOK) == 2), "quote_id", "left_semi")
+    refresh_quotes(discounts.bulk_percent(lines, own, 12.5), quotes(spark, sf), store)
+    return store
+
+
+@query
+def quote_lines_refreshed(spark, sf):
+    """Stored lines with the run that wrote them: lines of books other than 2 are written once."""
+    return refreshed_lines(spark, _refreshed(spark, sf))
+
+
+@query
+def quote_totals_refreshed(spark, sf):
+    return refreshed_totals(spark, _refreshed(spark, sf))
+
+
 @query
 def invoice_lines(spark, sf):
     return totals.invoice_lines(priced_cart(spark, sf, Book(spark, sf)))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotewright.schemas import BOOK, ROW, SHEETS, PriceBook
+from quotewright.sources.digests import digests, row_hash
 from quotewright.sources.marks import is_done, last_done, mark_done
 from quotewright.sources.tables import price_book
 
@@ -23,29 +24,24 @@ TABLES = {
     "prices": ("items", "item_tags"), "services": ("services", "service_tags"),
     "surcharges": ("item_multipliers", "service_multipliers"), "discounts": ("discounts",),
 }
-LIMBS = 8
 
 
 def sheet_digests(raw: Mapping[str, DataFrame], as_of: dt.date) -> DataFrame:
     """``book_id``, ``sheet``, ``digest`` of every book that has rows in any sheet, four rows each.
 
-    A sheet's digest is the hash of its row count and of eight sums over 32-bit parts of its rows' SHA-256, which
-    are added up before the shuffle and do not depend on the order of rows; a row's number is part of it. That of
+    A sheet's digest does not depend on the order of rows; a row's number is part of it. That of
     the discounts covers ``as_of``, since what is in force changes by the day. Rows without a ``book_id`` belong to no book.
     """
     def rows(sheet: str) -> DataFrame:
         df = raw[sheet].where(F.col(BOOK).isNotNull())
         seed = as_of.isoformat() if sheet == "discounts" else ""
-        row = F.to_json(F.struct(F.lit(seed).alias("__seed"), *[F.col(f"`{c}`") for c in sorted(df.columns) if c != BOOK]))
-        return df.select(BOOK, F.lit(sheet).alias("sheet"), F.sha2(row, 256).alias("sha"))
+        columns = [c for c in df.columns if c != BOOK]
+        return df.select(BOOK, F.lit(sheet).alias("sheet"), row_hash(columns, seed).alias("sha"))
 
-    parts = [F.conv(F.substring("sha", 1 + 8 * i, 8), 16, 10).cast("long") for i in range(LIMBS)]
-    sums = reduce(DataFrame.unionByName, map(rows, SHEETS)).groupBy(BOOK, "sheet").agg(
-        F.count("*").alias("n"), *[F.sum(p).alias(f"s{i}") for i, p in enumerate(parts)])
-    digest = F.sha2(F.concat_ws(":", "n", *[f"s{i}" for i in range(LIMBS)]), 256)
+    found = digests(reduce(DataFrame.unionByName, map(rows, SHEETS)), [BOOK, "sheet"])
     sheets = F.explode(F.array(*map(F.lit, SHEETS))).alias("sheet")
-    every = sums.select(BOOK).distinct().select(BOOK, sheets)
-    return every.join(sums.select(BOOK, "sheet", digest.alias("digest")), [BOOK, "sheet"], "left").fillna("empty", ["digest"])
+    every = found.select(BOOK).distinct().select(BOOK, sheets)
+    return every.join(found, [BOOK, "sheet"], "left").fillna("empty", ["digest"])
 
 
 def manifest(spark: SparkSession, store: str, version: int | None = None) -> DataFrame:

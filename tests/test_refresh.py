@@ -1,0 +1,97 @@
+"""Quotes that are written again: only changed books, no gap and no row twice."""
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+from test_catalog_cart import line
+
+from quotewright.operators.totals import quote_lines, quote_totals
+from quotewright.schemas import CART
+from quotewright.sources import refresh
+
+QUOTES = [(1, "a", 1), (2, "a", 2), (3, "b", 1), (4, "c", 3), (5, None, 1)]
+
+
+def case(spark, changed=(), quotes=QUOTES):
+    """Three lines per quote, ``changed`` with another amount, and one line of an unknown quote."""
+    books = spark.createDataFrame(quotes, "quote_id long, book_id string, n_batches int")
+    lines = [line(q, f"x{i}", price=10.0, qty=2.0, amt=1.0, total=19.0 - i - (q in changed))
+             for q, _, _ in quotes for i in range(3)]
+    return spark.createDataFrame([*lines, line(99, "x")], CART), books
+
+
+def held(spark, store, run=None):
+    return (rows(refresh.refreshed_lines(spark, store, run).drop("stored")),
+            rows(refresh.refreshed_totals(spark, store, run).drop("stored")))
+
+
+def want(cart, quotes):
+    books = quotes.select("quote_id", "book_id")
+    return (rows(quote_lines(cart).join(books, "quote_id")), rows(quote_totals(cart, quotes).join(books, "quote_id")))
+
+
+def books_in(spark, store, kind, run):
+    return {r.book_id for r in spark.read.parquet(f"{store}/{kind}/stored={run}").collect()}
+
+
+def test_only_changed_books_are_written(spark, tmp_path):
+    store, first = str(tmp_path), case(spark)
+    assert refresh.refresh_quotes(*first, store) == 1
+    assert held(spark, store) == want(*first)
+    again = first[0].orderBy(F.desc("cart_id")).repartition(5), first[1]
+    assert refresh.refresh_quotes(*again, store) == 1  # nothing changed
+    second = case(spark, changed=(3, 5))
+    assert refresh.refresh_quotes(*second, store) == 2
+    assert books_in(spark, store, "lines", 2) == books_in(spark, store, "totals", 2) == {"b", None}
+    assert held(spark, store) == want(*second) and held(spark, store, 1) == want(*first)
+    # Another number of batches changes totals only.
+    third = second[0], second[1].withColumn("n_batches", F.when(F.col("quote_id") == 4, 9).otherwise(F.col("n_batches")))
+    assert refresh.refresh_quotes(*third, store) == 3
+    assert books_in(spark, store, "lines", 3) == set() and books_in(spark, store, "totals", 3) == {"c"}
+    assert held(spark, store) == want(*third)
+
+
+def test_books_that_go_and_come_back(spark, tmp_path):
+    store, first = str(tmp_path), case(spark)
+    refresh.refresh_quotes(*first, store)
+    fewer = first[0].where("quote_id <> 4"), first[1].where("quote_id NOT IN (3, 5)")
+    assert refresh.refresh_quotes(*fewer, store) == 2
+    assert held(spark, store) == want(*fewer)
+    assert refresh.refresh_quotes(*first, store) == 3
+    assert held(spark, store) == want(*first)
+    nothing = first[0].limit(0), first[1].limit(0)
+    assert refresh.refresh_quotes(*nothing, store) == 4
+    assert held(spark, store) == ([], [])
+    assert held(spark, store, 1) == want(*first)
+
+
+@pytest.mark.parametrize("step", ["before the mark", "between the tables"])
+def test_lost_writes(spark, tmp_path, monkeypatch, step):
+    """A write that ends early is not seen, and what it left does no harm to another one."""
+    store, first = str(tmp_path), case(spark)
+    refresh.refresh_quotes(*first, store)
+
+    def lose(*args, **kwargs):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        if step == "before the mark":
+            m.setattr(refresh, "mark_done", lose)
+        else:
+            real, calls = refresh.null_safe_join, []
+            m.setattr(refresh, "null_safe_join", lambda *a: calls.append(1) or (lose() if len(calls) > 1 else real(*a)))
+        with pytest.raises(OSError):
+            refresh.refresh_quotes(*case(spark, changed=(1, 3)), store)
+    assert held(spark, store) == want(*first)
+    # The lost write changed books a and b; this one changes c, and b's lines are gone.
+    other = case(spark, changed=(4,))
+    other = other[0].where("quote_id <> 3"), other[1]
+    for _ in range(2):
+        assert refresh.refresh_quotes(*other, store) == 2
+        assert held(spark, store) == want(*other)
+    assert books_in(spark, store, "lines", 2) == {"c"}
+
+
+def test_an_unknown_run_is_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="holds no run"):
+        refresh.refreshed_lines(spark, str(tmp_path))
