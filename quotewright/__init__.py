@@ -22,6 +22,7 @@ from quotewright.operators.totals import (
 from quotewright.operators.what_if import totals_by_label
 from quotewright.schemas import PriceBook
 from quotewright.session import tune
+from quotewright.sources.carts import load_cart, replay_stored, reprice_stored, store_cart
 from quotewright.sources.refresh import refresh_quotes, refreshed_lines, refreshed_totals
 from quotewright.sources.sinks import write_quote_lines, write_quote_totals
 from quotewright.sources.tables import (
@@ -42,12 +43,12 @@ __all__ = [
     "batch_totals", "begin_totals", "bulk_amount", "bulk_percent", "choice_list", "current_lines", "edit_amount",
     "edit_percent", "edit_quantity", "eligible_item_classes", "eligible_item_counts", "eligible_items",
     "eligible_service_classes", "eligible_service_counts", "eligible_services", "filter_items", "filter_services", "followed_totals",
-    "grand_total_text", "ingest_workbooks", "invoice_lines", "invoice_totals", "load_price_book",
+    "grand_total_text", "ingest_workbooks", "invoice_lines", "invoice_totals", "load_cart", "load_price_book",
     "label_names", "multiplier_reference", "price_book", "price_items_by_label", "price_items_long",
     "price_items_wide", "price_services_by_label", "price_services_long", "price_services_wide", "protocol_choices", "publish", "published_book", "quote_header", "quote_lines",
-    "quote_totals", "quote_view", "read_price_book", "refresh_quotes", "refreshed_lines", "refreshed_totals", "remove_lines", "replay_cart_log", "replay_edits", "replay_with_surcharges",
-    "reprice",
-    "resolve_edits", "run_to_table", "stage_workbooks", "stream_edits", "stream_summaries", "stream_totals", "stream_versions", "supplier_discount",
+    "quote_totals", "quote_view", "read_price_book", "refresh_quotes", "refreshed_lines", "refreshed_totals", "remove_lines", "replay_cart_log", "replay_edits", "replay_stored", "replay_with_surcharges",
+    "reprice", "reprice_stored",
+    "resolve_edits", "run_to_table", "stage_workbooks", "store_cart", "stream_edits", "stream_summaries", "stream_totals", "stream_versions", "supplier_discount",
     "surcharge_labels", "surcharge_rejects", "totals_after_events", "totals_by_label", "tune", "versioned_lines", "workbook_rejects", "workbook_sheets",
     "write_price_book", "write_quote_lines", "write_quote_totals",
 ]

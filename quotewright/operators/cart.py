@@ -75,16 +75,25 @@ def unit_price(item_mult: Column, service_mult: Column) -> Column:
     )
 
 
+def pricing_params(quotes: DataFrame, item_multipliers: DataFrame, service_multipliers: DataFrame) -> DataFrame:
+    """``quote_id`` and both multipliers of quotes that can be priced."""
+    return with_multipliers(
+        quotes.select("quote_id", "book_id", "item_surcharge", "service_surcharge"),
+        item_multipliers, service_multipliers,
+    ).where("priceable").select("quote_id", "item_mult", "service_mult", "priceable")
+
+
 def reprice(cart: DataFrame, quotes: DataFrame, item_multipliers: DataFrame,
             service_multipliers: DataFrame) -> DataFrame:
     """Price every line under its quote's surcharges, keeping the discount percentage.
     Lines of a quote that is not priceable stay as they are."""
-    params = with_multipliers(
-        quotes.select("quote_id", "book_id", "item_surcharge", "service_surcharge"),
-        item_multipliers, service_multipliers,
-    ).where("priceable").select("quote_id", "item_mult", "service_mult", "priceable")
+    return price_with(cart, pricing_params(quotes, item_multipliers, service_multipliers), ["quote_id"])
+
+
+def price_with(cart: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
+    """``reprice`` with the ``pricing_params`` that lines find by ``keys``."""
     priced = (
-        cart.join(params, "quote_id", "left")
+        cart.join(params, keys, "left")
         .withColumn("__price", unit_price(F.col("item_mult"), F.col("service_mult")))
         .withColumn("__gross", F.col("__price") * F.col("quantity"))
         .withColumn("__amt", F.col("__gross") * (F.col("disc_pct") / 100.0))

@@ -296,10 +296,10 @@ def condensed(merged: DataFrame) -> DataFrame:
     return merged.withColumns(places).drop(*[f"{g}_piece" for g in groups])
 
 
-def apply_summary(cart: DataFrame, summary: DataFrame) -> DataFrame:
-    """The cart after the edits that ``summary`` (see ``merge_pieces``) stands for."""
-    own = [c for c in summary.columns if c not in LINE_KEY]
-    joined = cart.join(summary.withColumnsRenamed({c: f"__{c}" for c in own}), LINE_KEY, "left").where(
+def apply_summary(cart: DataFrame, summary: DataFrame, keys: Sequence[str] = LINE_KEY) -> DataFrame:
+    """The cart after the edits that ``summary`` (see ``merge_pieces``) stands for, joined on ``keys``."""
+    own = [c for c in summary.columns if c not in keys]
+    joined = cart.join(summary.withColumnsRenamed({c: f"__{c}" for c in own}), list(keys), "left").where(
         ~F.coalesce("__removed", F.lit(False)))
     price = F.col("unit_price")
     has_qty, has_disc = F.col("__qty_seq").isNotNull(), F.col("__disc_seq").isNotNull()

@@ -585,6 +585,7 @@ FROM event_totals""",
     "stream_edit_summaries": "SELECT * FROM replayed",
     "stream_quote_totals": totals("replayed"),
     "edited_quote_totals": totals("replayed"),
+    "stored_cart_totals": totals("replayed"),
     "quote_totals": totals("priced"),
     "quote_totals_by_label": """
 SELECT quote_id, type, label_ix, label, chosen, floor(net * 100 + 0.50001) / 100 AS net_total,

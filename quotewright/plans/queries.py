@@ -20,6 +20,7 @@ from quotewright.schemas import (
     SERVICE_LINE, SHEET_HEADERS, SHEET_POSITIONS,
 )
 from quotewright.session import shared_dir, tune
+from quotewright.sources.carts import replay_stored, reprice_stored, store_cart
 from quotewright.sources.refresh import refresh_quotes, refreshed_lines, refreshed_totals
 from quotewright.sources.tables import counts, price_book
 from quotewright.sources.uploads import publish, published_book
@@ -612,6 +613,15 @@ def edited_quote_totals(spark, sf):
     return totals.quote_totals(lines, quotes(spark, sf))
 
 
+@query
+def stored_cart_totals(spark, sf):
+    """The same on a cart stored by quote, whose lines are not shuffled again; quotes of more than three lines have parts."""
+    prices = Book(spark, sf)
+    stored = store_cart(plain_cart(spark, sf, prices), shared_dir(spark, "cart"), part_lines=3, buckets=_buckets(spark))
+    priced = reprice_stored(stored, quotes(spark, sf), prices.item_multipliers, prices.service_multipliers)
+    return totals.quote_totals(replay_stored(priced, valid_edits(spark, sf, prices)).lines, quotes(spark, sf))
+
+
 @query
 def replay_edits_with_surcharges(spark, sf):
     """The edit log of quotes whose surcharges change in between."""
@@ -630,6 +640,10 @@ def totals_after_events(spark, sf):
         priced_cart(spark, sf, prices), valid_edits(spark, sf, prices), quotes(spark, sf), _stored)
 
 
+def _buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _edit_stream(spark: SparkSession, sf: str, prices: Book) -> DataFrame:
     """``valid_edits``, read as a stream of files."""
     events = spark.readStream.schema(table(spark, sf, "events").schema).parquet(
