@@ -88,9 +88,9 @@ def quote_view(cart: DataFrame, quotes: DataFrame) -> DataFrame:
         *LINE_KEY, *[F.col(c).alias(h) for c, h in QUOTE_VIEW.items()])
 
 
-def quote_lines(cart: DataFrame) -> DataFrame:
-    """Line table of the internal quote under its printed headers."""
-    return cart.select(*LINE_KEY, *[F.col(c).alias(h) for c, h in QUOTE_LINES.items()])
+def quote_lines(cart: DataFrame, *more: str) -> DataFrame:
+    """Line table of the internal quote under its printed headers, and the columns ``more`` as they are."""
+    return cart.select(*LINE_KEY, *[F.col(c).alias(h) for c, h in QUOTE_LINES.items()], *more)
 
 
 def invoice_lines(cart: DataFrame) -> DataFrame:

@@ -19,10 +19,30 @@ from quotewright.sources.digests import digests, row_hash
 from quotewright.sources.marks import is_done, last_done, mark_done
 
 
-def _tables(cart: DataFrame, quotes: DataFrame) -> dict[str, DataFrame]:
+KINDS = ("lines", "totals")
+
+
+def _table(kind: str, cart: DataFrame, quotes: DataFrame, changed: DataFrame | None = None) -> DataFrame:
+    """The table of one kind with its books, or of the books in ``changed`` only."""
+    if changed is not None:
+        quotes = null_safe_join(quotes, changed, [BOOK], "left_semi")
+        if BOOK in cart.columns:
+            cart = null_safe_join(cart, changed, [BOOK], "left_semi")
     books = quotes.select("quote_id", BOOK)
-    return {"lines": quote_lines(cart).join(books, "quote_id"),
-            "totals": quote_totals(cart, quotes).join(books, "quote_id")}
+    if kind == "totals":
+        return quote_totals(cart, quotes).join(books, "quote_id")
+    return quote_lines(cart, BOOK) if BOOK in cart.columns else quote_lines(cart).join(books, "quote_id")
+
+
+def _digests(tables: dict[str, DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [
+        digests(df.select(BOOK, F.lit(kind).alias("kind"), row_hash(df.columns).alias("sha")), [BOOK, "kind"])
+        for kind, df in tables.items()])
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    df.hint("rebalance", BOOK).sortWithinPartitions(BOOK, "quote_id").write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _manifest(spark: SparkSession, store: str, run: int) -> DataFrame:
@@ -34,32 +54,34 @@ def refresh_quotes(cart: DataFrame, quotes: DataFrame, store: str) -> int:
 
     Books are compared by digests of their rows, lines and totals apart, so a change of the number of batches
     writes no line again. Books without quotes or lines any more are gone from then on. Quotes without a book
-    are kept together, lines of unknown quotes are left out. What changes nothing makes no run. ``cart`` is read
-    for the digests and again for what is written, so store it priced. One write to a store runs at a time; readers at any time.
+    are kept together, lines of unknown quotes are left out. What changes nothing makes no run. The first run writes
+    everything and takes the digests from what it wrote; later ones read ``cart`` for the digests and again for what is
+    written, so store it priced. A cart with the column ``book_id``, that of the line's quote, is not joined with the
+    quotes for its lines and is read by book; it must have no line of an unknown quote. One write to a store runs at a
+    time; readers at any time.
     """
-    spark, tables = cart.sparkSession, _tables(cart, quotes)
+    spark = cart.sparkSession
     last = last_done(spark, store)
     run = last + 1
-    both = reduce(DataFrame.unionByName, [
-        digests(df.select(BOOK, F.lit(kind).alias("kind"), row_hash(df.columns).alias("sha")), [BOOK, "kind"])
-        for kind, df in tables.items()])
+    tables = {kind: _table(kind, cart, quotes) for kind in KINDS}
     if last:
         before = _manifest(spark, store, last).where(F.col("stored").isNotNull())
-        both = both.unionByName(before.withColumnRenamed("digest", "was"), allowMissingColumns=True)
+        both = _digests(tables).unionByName(before.withColumnRenamed("digest", "was"), allowMissingColumns=True)
     else:
-        both = both.withColumns({"was": F.lit(None).cast("string"), "stored": F.lit(None).cast("long")})
+        tables = {kind: _write(df, f"{store}/{kind}/stored={run}") for kind, df in tables.items()}
+        both = _digests(tables).withColumns({"was": F.lit(None).cast("string"), "stored": F.lit(None).cast("long")})
     # Grouped and not joined, since a missing book is a key like any other.
     merged = both.groupBy(BOOK, "kind").agg(*[F.max(c).alias(c) for c in ("digest", "was", "stored")])
     stored = F.when(F.col("digest") == F.col("was"), F.col("stored")).when(F.col("digest").isNotNull(), F.lit(run))
     merged.select(BOOK, "kind", "digest", stored.cast("long").alias("stored")).write.mode("overwrite").parquet(
         f"{store}/manifests/{run}")
-    written = _manifest(spark, store, run)
-    if last and written.where(F.col("stored").isNull() | (F.col("stored") == run)).isEmpty():
-        return last
-    for kind, df in tables.items():
-        changed = written.where((F.col("kind") == kind) & (F.col("stored") == run)).select(BOOK)
-        null_safe_join(df, changed, [BOOK], "left_semi").hint("rebalance", BOOK).sortWithinPartitions(
-            BOOK, "quote_id").write.mode("overwrite").parquet(f"{store}/{kind}/stored={run}")
+    if last:
+        written = _manifest(spark, store, run)
+        if written.where(F.col("stored").isNull() | (F.col("stored") == run)).isEmpty():
+            return last
+        for kind in KINDS:
+            changed = written.where((F.col("kind") == kind) & (F.col("stored") == run)).select(BOOK)
+            _write(_table(kind, cart, quotes, changed), f"{store}/{kind}/stored={run}")
     mark_done(spark, store, run)
     return run
 

@@ -95,3 +95,20 @@ def test_lost_writes(spark, tmp_path, monkeypatch, step):
 def test_an_unknown_run_is_refused(spark, tmp_path):
     with pytest.raises(ValueError, match="holds no run"):
         refresh.refreshed_lines(spark, str(tmp_path))
+
+
+def test_a_cart_with_books_is_not_joined_for_its_lines(spark, tmp_path):
+    """The same runs and rows as without the column, and no join but that with the books to write."""
+    plain, owned = str(tmp_path / "plain"), str(tmp_path / "owned")
+    for changed in ((), (3, 5)):
+        cart, quotes = case(spark, changed)
+        cart.join(quotes.select("quote_id", "book_id"), "quote_id").write.mode("overwrite").parquet(f"{tmp_path}/cart")
+        own = spark.read.parquet(f"{tmp_path}/cart")
+        assert refresh.refresh_quotes(own, quotes, owned) == refresh.refresh_quotes(cart, quotes, plain)
+        assert held(spark, owned) == held(spark, plain) == want(cart, quotes)
+    for kind in ("lines", "totals"):
+        assert books_in(spark, owned, kind, 2) == {"b", None}
+    plan = refresh._table("lines", own, quotes)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    plan = refresh._digests({"lines": own})._jdf.queryExecution().executedPlan().toString()
+    assert "conv(" not in plan
