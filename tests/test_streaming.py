@@ -1,5 +1,6 @@
 import pytest
 from conftest import rows
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from test_discounts import SHOWN, VALID, random_logs
 
@@ -82,3 +83,32 @@ def test_arrival_order_wins_across_batches(spark, tmp_path):
         stream = spark.readStream.schema(VALID).parquet(folder)
         live.stream_summaries(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert rows(live.apply_summaries(spark, cart, str(tmp_path / "out")), "quantity") == [(7.0,)]
+
+
+def test_a_lines_edits_are_folded_as_rows():
+    """No data frame per line; NaN amounts count as missing, and a removed line stays as it is."""
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    line = live.LineEdits()
+    line.line = Value()
+    first = {"unit_price": 10.0, "quantity": 1.0, "disc_pct": 0.0, "disc_amt": float("nan"), "final_total": 10.0}
+
+    def after(*edits):
+        found = list(line.handleInputRows((7, "x"), iter([Row(seq=s, kind=k, value=v, **first) for s, k, v in edits]), None))
+        assert all(isinstance(r, Row) and (r.quote_id, r.cart_id) == (7, "x") for r in found)
+        return [(r.quantity, r.disc_pct, r.disc_amt, r.final_total, r.removed, r.version) for r in found]
+
+    assert after((2, "pct", 50.0), (1, "qty", 4.0)) == [(4.0, 50.0, 20.0, 20.0, False, 2)]
+    assert after((0, "qty", 2.0)) == [(2.0, 50.0, 10.0, 10.0, False, 3)]
+    assert after((5, "remove", None)) == [(2.0, 50.0, 10.0, 10.0, True, 4)]
+    assert after((6, "qty", 9.0)) == []
