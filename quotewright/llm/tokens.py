@@ -13,7 +13,7 @@ import unicodedata
 from array import array
 from collections.abc import Callable
 
-CACHED_PARTS = 400_000  # of one generation; a bound on memory, about 65 MB each
+CACHED_PARTS = 300_000  # of one generation; a bound on memory, about 50 MB each
 SPACE_RUN = re.compile(r"\s ")
 CUT = re.compile(r"(?<=\S) ")
 PUNCTUATION = frozenset(".,;:!?")  # single pieces after a word

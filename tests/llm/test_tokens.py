@@ -214,3 +214,9 @@ def test_bpe_round_trip(spark):
     assert rows(bpe.token_digests(encoded, path)) == [
         (i, len(expected[i]), brute.sha(brute.little_endian(expected[i])), brute.sha(t or "")) for i, t in DOCS]
     assert bpe.encode_texts(documents(spark).limit(0), path, public_tokenizers.PATTERN).count() == 0
+
+
+def test_remembered_parts_leave_room_for_other_stages():
+    """Two generations of parts, of 165 bytes each on average, in each of an executor's Python workers."""
+    from quotewright.llm import tokens
+    assert 2 * tokens.CACHED_PARTS * 165 <= 100e6
