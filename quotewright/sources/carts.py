@@ -54,13 +54,40 @@ def store_cart(cart: DataFrame, folder: str, part_lines: int = PART_LINES, bucke
     if taken:
         raise ValueError(f"a stored cart cannot have columns {sorted(taken)}")
     sizes = cart.groupBy("quote_id").agg(F.count("*").alias("n"))
+    if buckets is None:
+        buckets = buckets_for(spark, cart.count(), part_lines)
+    return _write(_deal(cart, sizes, folder, part_lines, buckets), folder, buckets)
+
+
+def store_priced(cart: DataFrame, quotes: DataFrame, item_multipliers: DataFrame, service_multipliers: DataFrame, folder: str,
+                 sizes: DataFrame, buckets: int, columns: list[str] | None = None, part_lines: int = PART_LINES) -> StoredCart:
+    """``cart`` re-priced and written as ``store_cart`` does, with one shuffle for both.
+
+    ``sizes`` (``quote_id``, ``n``) gives at least the number of each quote's lines, so that the cart is computed once; only
+    its line keys and ``columns`` are stored, all if there are none.
+    """
+    dealt = _deal(cart, sizes, folder, part_lines, buckets)
+    parts = cart.sparkSession.read.parquet(f"{folder}/parts")
+    priced = price_with(dealt, _params(quotes, item_multipliers, service_multipliers, parts), BY_QUOTE)
+    return _write(priced.select(*LINE_KEY, PART, *columns) if columns else priced, folder, buckets)
+
+
+def buckets_for(spark: SparkSession, lines: int, part_lines: int = PART_LINES) -> int:
+    """``part_lines`` lines in a bucket on average, but no fewer buckets than shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(lines / part_lines))
+
+
+def _deal(cart: DataFrame, sizes: DataFrame, folder: str, part_lines: int, buckets: int) -> DataFrame:
+    """Store the parts of large quotes, and deal the lines to their buckets."""
     sizes.where(F.col("n") > part_lines).select(
         "quote_id", F.ceil(F.col("n") / part_lines).cast("long").alias("n_parts"),
     ).write.mode("overwrite").parquet(f"{folder}/parts")
-    if buckets is None:
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(cart.count() / part_lines))
     # Dealt by the buckets' own hash, each task writes one bucket.
-    dealt = _dealt(cart, spark.read.parquet(f"{folder}/parts")).repartition(buckets, *BY_QUOTE)
+    return _dealt(cart, cart.sparkSession.read.parquet(f"{folder}/parts")).repartition(buckets, *BY_QUOTE)
+
+
+def _write(dealt: DataFrame, folder: str, buckets: int) -> StoredCart:
+    spark = dealt.sparkSession
     (dealt.write.mode("overwrite").format("parquet").bucketBy(buckets, *BY_QUOTE)
      .option("path", f"{folder}/lines").saveAsTable(f"cart_{uuid.uuid4().hex}"))
     # Written last: a cart without it is not whole.
@@ -85,12 +112,27 @@ def load_cart(spark: SparkSession, folder: str) -> StoredCart:
 def reprice_stored(cart: StoredCart, quotes: DataFrame, item_multipliers: DataFrame,
                    service_multipliers: DataFrame) -> StoredCart:
     """``reprice`` of a stored cart: a row per quote and part goes to the lines."""
-    params = pricing_params(quotes, item_multipliers, service_multipliers).join(cart.parts, "quote_id", "left")
-    part = F.explode(F.sequence(F.lit(0), F.coalesce("n_parts", F.lit(1)).cast("int") - 1))
-    params = params.withColumn(PART, part).drop("n_parts")
+    params = _params(quotes, item_multipliers, service_multipliers, cart.parts)
     return cart._replace(lines=price_with(cart.lines, params, BY_QUOTE))
 
 
+def _params(quotes: DataFrame, item_multipliers: DataFrame, service_multipliers: DataFrame, parts: DataFrame) -> DataFrame:
+    """``pricing_params`` per quote and part."""
+    params = pricing_params(quotes, item_multipliers, service_multipliers).join(parts, "quote_id", "left")
+    part = F.explode(F.sequence(F.lit(0), F.coalesce("n_parts", F.lit(1)).cast("int") - 1))
+    return params.withColumn(PART, part).drop("n_parts")
+
+
+def with_lines(summary: DataFrame, cart: StoredCart | DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with a line key, and the ``columns`` of their line; those without a line go. A stored cart's lines stay where they are."""
+    if not isinstance(cart, StoredCart):
+        return summary.join(cart.select(*LINE_KEY, *columns), LINE_KEY)
+    # Between equal numbers of partitions the left side is the one that stays.
+    lines = cart.lines.select(*LINE_KEY, PART, *columns)
+    found = lines.join(_dealt(summary, cart.parts), [*LINE_KEY, PART])
+    return found.select(*summary.columns, *columns)
+
+
 def replay_stored(cart: StoredCart, edits: DataFrame) -> StoredCart:
     """``replay_edits`` of a stored cart: a summary per edited line goes to the lines."""
     summary = _dealt(merge_pieces(summarise_pieces(edits)), cart.parts)

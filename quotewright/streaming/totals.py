@@ -18,6 +18,7 @@ from quotewright.functions.values import money
 from quotewright.operators.discounts import apply_summary, condensed, merge_pieces, summarise_pieces
 from quotewright.operators.totals import project_totals
 from quotewright.schemas import LINE_KEY
+from quotewright.sources.carts import StoredCart, with_lines
 from quotewright.sources.marks import is_done, last_done, mark_done
 from quotewright.streaming.nodes import inner as _inner
 from quotewright.streaming.nodes import nodes as _nodes
@@ -53,13 +54,14 @@ def _added(rows: DataFrame) -> DataFrame:
         *[F.sum(c).cast("decimal(38,6)").alias(c) for c in SUMS], F.sum("n_lines").alias("n_lines"))
 
 
-def begin_totals(cart: DataFrame, out: str) -> None:
+def begin_totals(cart: DataFrame | StoredCart, out: str) -> None:
     """Store the totals of the priced ``cart`` in the new folder ``out``, before any edit."""
-    _added(_sums(cart, 1)).write.mode("overwrite").parquet(f"{out}/totals/0")
-    mark_done(cart.sparkSession, out, 0)
+    lines = cart.lines if isinstance(cart, StoredCart) else cart
+    _added(_sums(lines, 1)).write.mode("overwrite").parquet(f"{out}/totals/0")
+    mark_done(lines.sparkSession, out, 0)
 
 
-def update_totals(batch: DataFrame, batch_id: int, cart: DataFrame, out: str) -> None:
+def update_totals(batch: DataFrame, batch_id: int, cart: DataFrame | StoredCart, out: str) -> None:
     """Bring the totals in ``out`` up to date with one micro-batch of valid edits.
 
     Everything about a batch is written to folders of its own, from earlier batches alone, and the mark that it is
@@ -72,7 +74,7 @@ def update_totals(batch: DataFrame, batch_id: int, cart: DataFrame, out: str) ->
     if not is_done(spark, out, n - 1):
         raise ValueError(f"batch {n - 1} is not stored in {out}; call begin_totals before the first one")
     edits = merge_pieces(summarise_pieces(batch)).drop("qty_piece", "some_piece", "disc_piece")
-    edits.join(cart.select(*LINE_KEY, *AMOUNTS), LINE_KEY).write.mode("overwrite").parquet(f"{out}/edits/{n}")
+    with_lines(edits, cart, AMOUNTS).write.mode("overwrite").parquet(f"{out}/edits/{n}")
     edited = spark.read.parquet(f"{out}/edits/{n}")
     lines = edited.select(*LINE_KEY, *AMOUNTS)
     own = edited.drop(*AMOUNTS).withColumn("piece", F.lit(n).cast("long"))
@@ -89,12 +91,13 @@ def update_totals(batch: DataFrame, batch_id: int, cart: DataFrame, out: str) ->
     mark_done(spark, out, n)
 
 
-def stream_totals(edits: DataFrame, cart: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
+def stream_totals(edits: DataFrame, cart: DataFrame | StoredCart, out: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Start a query that keeps the totals in ``out`` up to date with a stream of valid edits.
 
-    ``cart`` is the priced cart that ``begin_totals`` was given, stored: each micro-batch reads it once. Within a
-    micro-batch edits apply in order of ``seq``, between micro-batches in order of arrival. Without a
-    ``trigger`` all that has arrived is taken, in one micro-batch or those that the source's limits cut.
+    ``cart`` is the priced cart that ``begin_totals`` was given, stored: each micro-batch reads it once, and does not
+    shuffle it if it is stored by quote (``store_priced``). Within a micro-batch edits apply in order of ``seq``, between
+    micro-batches in order of arrival. Without a ``trigger`` all that has arrived is taken, in one micro-batch or those
+    that the source's limits cut.
     """
     return (
         edits.writeStream.foreachBatch(lambda batch, batch_id: update_totals(batch, batch_id, cart, out))

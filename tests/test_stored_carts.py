@@ -99,3 +99,31 @@ def test_empty_carts_and_refused_columns(spark, tmp_path):
         carts.store_cart(spark.createDataFrame(lines, CART).withColumn("quote_part", F.lit(1)), str(tmp_path / "b"))
     with pytest.raises(ValueError, match="no whole cart"):
         carts.load_cart(spark, str(tmp_path / "b"))
+
+
+def test_priced_while_stored(spark, case, tmp_path):
+    """One shuffle for pricing and buckets; sizes may be too large."""
+    cart, _, _, quotes_, prices, _ = case
+    mults = prices.item_multipliers, prices.service_multipliers
+    sizes = cart.groupBy("quote_id").agg((F.count("*") + 1).alias("n"))
+    kept = ["unit_price", "final_total"]
+    stored = carts.store_priced(cart, quotes_, *mults, str(tmp_path / "a"), sizes, 16, kept, part_lines=500)
+    assert rows(stored.lines, *LINE_KEY, *kept) == rows(reprice(cart, quotes_, *mults), *LINE_KEY, *kept)
+    assert set(stored.lines.columns) == {*LINE_KEY, carts.PART, *kept} and dict(rows(stored.parts))[7] > 1
+    files = stored.lines.groupBy(F.input_file_name().alias("file")).count()
+    assert 4 <= files.count() <= 16  # one task writes a bucket
+
+
+def test_lines_that_edits_look_up_are_not_shuffled(spark, case):
+    cart, edits, stored, *_ = case
+    summary = edits.groupBy(*LINE_KEY).agg(F.max("value").alias("value"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = carts.with_lines(summary, stored, ["quantity"])
+        names = above_the_scan(found._jdf.queryExecution().executedPlan().toString(), "Bucketed: true")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    upto = next(i for i, x in enumerate(names) if "SortMergeJoin" in x)
+    assert not any("Exchange" in x for x in names[:upto])
+    assert rows(found) == rows(carts.with_lines(summary, cart, ["quantity"]))

@@ -1,13 +1,15 @@
 """Totals that follow a stream of edits, against totals of the replayed cart."""
 
 import pytest
-from conftest import rows
+from conftest import SF_DIR, rows
 from pyspark.sql import functions as F
 from test_discounts import VALID, random_logs
 
 from quotewright.operators.discounts import replay_edits
 from quotewright.operators.totals import quote_totals
-from quotewright.schemas import CART
+from quotewright.plans.queries import QUERIES
+from quotewright.schemas import CART, LINE_KEY
+from quotewright.sources.carts import PART, StoredCart, store_cart
 from quotewright.streaming import totals as live
 
 BATCHES = 7
@@ -107,3 +109,25 @@ def test_nodes_cover_the_batches_once(n):
 
     assert sorted(b for m in live._nodes(n) for b in batches(m)) == list(range(1, n + 1))
     assert sorted(b for m in live._inner(n) for b in batches(m)) == sorted(batches(n) - {n})
+
+
+def test_a_cart_stored_by_quote(spark, case, tmp_path):
+    """The same totals, with large quotes in several parts."""
+    cart, log, quotes = case
+    out = str(tmp_path / "out")
+    stored = store_cart(cart, str(tmp_path / "cart"), part_lines=1)
+    assert not stored.parts.isEmpty()
+    live.begin_totals(stored, out)
+    for i in range(3):
+        live.update_totals(batch(log, i), i, stored, out)
+    want = quote_totals(replay_edits(cart, log.where("batch < 3").drop("batch")), quotes)
+    assert rows(live.followed_totals(quotes, out)) == rows(want)
+
+
+def test_the_query_hands_over_a_stored_cart(spark, monkeypatch):
+    """Each of the five micro-batches looks its lines up where they are."""
+    seen, real = [], live.update_totals
+    monkeypatch.setattr(live, "update_totals", lambda b, i, cart, out: (seen.append(cart), real(b, i, cart, out)))
+    QUERIES["stream_quote_totals"](spark, SF_DIR)
+    assert len(seen) == 5 and all(isinstance(c, StoredCart) for c in seen)
+    assert set(seen[0].lines.columns) == {*LINE_KEY, PART, *live.AMOUNTS}
