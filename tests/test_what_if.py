@@ -6,10 +6,11 @@ import pytest
 from conftest import SF_DIR, rows
 from pyspark.sql import functions as F
 
+from quotewright import session
 from quotewright.operators import what_if
 from quotewright.operators.cart import reprice
 from quotewright.operators.totals import quote_totals
-from quotewright.plans.queries import Book, plain_cart
+from quotewright.plans.queries import QUERIES, Book, plain_cart
 from quotewright.plans.queries import quotes as given_quotes
 from quotewright.schemas import CART
 
@@ -90,3 +91,26 @@ def test_lines_never_meet_labels(spark):
     text = df._jdf.queryExecution().executedPlan().toString()
     assert text.count("l_orderkey") and len([x for x in text.splitlines() if "FileScan" in x and "l_orderkey" in x]) == 1
     assert "Python" not in text
+
+
+def test_shuffles_grow_with_the_lines(spark, monkeypatch):
+    """A task's share of a large cart is bounded by rows and bytes; the session's own values come back."""
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    own = [spark.conf.get(k) for k in keys]
+    name = "quote_totals_by_label"
+    want = rows(QUERIES[name](spark, SF_DIR))
+    assert [spark.conf.get(k) for k in keys] == own  # few lines
+    monkeypatch.setattr(session, "TASK_ROWS", 200)
+    wide = QUERIES[name](spark, SF_DIR)
+    lines = spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count()
+    assert [spark.conf.get(k) for k in keys] == [str(-(-lines // 200)), str(16 << 20)]
+    assert rows(wide) == want
+    session.tune(spark, lines)
+    spark.conf.set(keys[0], "9")  # set by someone else since then
+    session.tune(spark)
+    assert [spark.conf.get(k) for k in keys] == ["9", own[1]]
+    spark.conf.set(keys[0], own[0])
+
+
+def test_sizes_as_spark_writes_them():
+    assert [session._bytes(s) for s in ("8m", "64MB", "67108864b", "16k", "512")] == [8 << 20, 64 << 20, 64 << 20, 16 << 10, 512]
